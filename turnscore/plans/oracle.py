@@ -196,3 +196,35 @@ def corr_sql(x: str, y: str) -> str:
 
 def trim_ws_sql(x: str) -> str:
     return f"trim({x}, {WS})"
+
+
+def lit_sql(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def render_sql(template: str, values: dict[str, str]) -> str:
+    """DuckDB twin of :func:`turnscore.functions.prompts.render`."""
+    from turnscore.functions.prompts import template_parts
+
+    pieces = [lit_sql(x) if k == "lit" else values.get(x, "''") for k, x in template_parts(template)]
+    return "(" + " || ".join(pieces) + ")"
+
+
+def py_float_sql(x: str) -> str:
+    t = f"lower({trim_ws_sql(x)})"
+    return f"CASE WHEN regexp_matches({t}, '{NUM_RE}') THEN CAST(replace({t}, '_', '') AS DOUBLE) END"
+
+
+def first_token_sql(x: str) -> str:
+    tok = f"regexp_extract({x}, '^[ \\t\\n\\r\\x0b\\x0c]*([^ \\t\\n\\r\\x0b\\x0c]+)', 1)"
+    return f"CASE WHEN {tok} <> '' THEN {tok} END"
+
+
+def parse_multi_sql(reply: str, quality: str) -> str:
+    names = "['appropriateness', 'richness', 'grammatical', 'relevance']"
+    words = f"string_split_regex(lower({reply}), '{SPLIT_RE.replace(chr(9), chr(92) + 't').replace(chr(10), chr(92) + 'n')}')"
+    pos = f"list_position({words}, '{quality}')"
+    cands = (f"list_filter({words}, lambda w, i: i > coalesce({pos}, 1000000000) AND "
+             f"(list_contains({names}, w) OR regexp_matches(lower({trim_ws_sql('w')}), '{NUM_RE}')))")
+    first = f"{cands}[1]"
+    return f"CASE WHEN {pos} IS NOT NULL AND NOT list_contains({names}, {first}) THEN {py_float_sql(first)} END"
