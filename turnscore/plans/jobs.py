@@ -94,3 +94,15 @@ __all__ = [
     "QUALITIES",
     "F",
 ]
+
+
+def train_on_embeddings(data: DataFrame, reg_params: Sequence[float] = (0.0, 0.1, 1.0), label: str = "label",
+                        split: str = "split") -> DataFrame:
+    """E6 (after J6 / P11): fit candidates on ``train``, keep the best by dev
+    Spearman (T5), predict ``dev`` (M6)."""
+    from turnscore.operators import regression as rg
+
+    train, dev = data.where(F.col(split) == "train"), data.where(F.col(split) == "dev")
+    models = rg.fit_candidates(train, reg_params, label)
+    best = rg.select_best(models, dev, 1, label)[0][2]
+    return rg.predict(best, dev, label=label)
