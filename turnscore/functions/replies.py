@@ -28,10 +28,12 @@ def reply_words(reply: Column | str) -> Column:
     return F.split(F.lower(col(reply)), SPLIT_RE, -1)
 
 
-def parse_multi(reply: Column | str, quality: str, names: Sequence[str] = QUALITIES) -> Column:
+def parse_multi(reply: Column | str, quality: str, names: Sequence[str] = QUALITIES,
+                words: Column | None = None) -> Column:
     """from the first mention of ``quality`` scan to the first number,
-    stopping at any quality name. NULL when not found."""
-    words = reply_words(reply)
+    stopping at any quality name. NULL when not found. Pass ``words`` (the
+    split reply, computed once per row) when parsing several qualities."""
+    words = reply_words(reply) if words is None else words
     pos = F.array_position(words, quality)  # 1-based, 0 when absent
     name_arr = F.array(*[F.lit(n) for n in names])
     cands = F.filter(
@@ -42,10 +44,10 @@ def parse_multi(reply: Column | str, quality: str, names: Sequence[str] = QUALIT
     return F.when((pos > 0) & ~F.array_contains(name_arr, first), py_float(first))
 
 
-def parse_value(reply: Column | str, quality: str, qualities: Sequence[str]) -> Column:
+def parse_value(reply: Column | str, quality: str, qualities: Sequence[str], words: Column | None = None) -> Column:
     """A prompt's raw value for one quality: single-number form first when the
     prompt has one quality, then the multi-quality form."""
-    multi = parse_multi(reply, quality)
+    multi = parse_multi(reply, quality, words=words)
     if len(qualities) == 1:
         return F.coalesce(parse_single(reply), multi)
     return multi
@@ -66,10 +68,13 @@ def parse_replies(
 ) -> DataFrame:
     """F3-F5 long: ``(keep..., quality, score, parse_error, out_of_range)``;
     one row per reply and quality, fanned out with ``inline`` (no join)."""
+    # split once per row; the per-quality scans read the materialised array
+    base = df.select(*keep, F.col(reply).alias("_reply"), reply_words(reply).alias("_words"))
     vals = F.array(
-        *[F.struct(F.lit(q).alias("quality"), parse_value(reply, q, qualities).alias("raw")) for q in qualities]
+        *[F.struct(F.lit(q).alias("quality"), parse_value("_reply", q, qualities, F.col("_words")).alias("raw"))
+          for q in qualities]
     )
-    x = df.select(*keep, F.inline(vals))
+    x = base.select(*keep, F.inline(vals))
     return x.select(
         *keep,
         "quality",

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from turnscore.functions.stats import correlation_pvalue
-from turnscore.operators.ranks import average_rank
+from turnscore.operators.ranks import rank_table
 from turnscore.schemas import SUBTASK_DIMENSIONS
 
 
@@ -57,8 +57,16 @@ def correlations(
     """A3 + A4 per group: ``group..., n, pearson, spearman``."""
     g = list(group)
     m = paired_mask(df.select(*g, gold, pred), gold, pred)
-    r = average_rank(m, gold, g, "_gold_rank", buckets)
-    r = average_rank(r, pred, g, "_pred_rank", buckets)
+    # one rank pass for both columns: values of gold and prediction are
+    # stacked with a side tag, so the count / bucket / window stages run once
+    both = m.select(*g, F.inline(F.array(
+        F.struct(F.lit("x").alias("_side"), F.col(gold).cast("double").alias("_v")),
+        F.struct(F.lit("y").alias("_side"), F.col(pred).cast("double").alias("_v")),
+    )))
+    rt = rank_table(both, "_v", g + ["_side"], "_rank", buckets)
+    rx = rt.where(F.col("_side") == "x").select(*g, F.col("_v").alias(gold), F.col("_rank").alias("_gold_rank"))
+    ry = rt.where(F.col("_side") == "y").select(*g, F.col("_v").alias(pred), F.col("_rank").alias("_pred_rank"))
+    r = m.join(rx, g + [gold], "left").join(ry, g + [pred], "left")
     return r.groupBy(*g).agg(
         F.count(F.lit(1)).alias("n"),
         pearson(gold, pred).alias("pearson"),

@@ -53,8 +53,13 @@ def fit_candidates(
     train: DataFrame, reg_params: Sequence[float] = (0.0, 0.1, 1.0), label: str = "label",
     vec: str = "features", max_iter: int = 20,
 ) -> list[tuple[float, PipelineModel]]:
-    """M5: one fitted pipeline per regularisation value."""
-    data = features(train, vec).where(F.col(label).isNotNull())
+    """M5: one fitted pipeline per regularisation value. The training data is
+    checkpointed to the shared folder first: every optimiser pass re-reads it,
+    and a lost executor then re-reads files instead of recomputing the
+    feature lineage."""
+    from turnscore.session import reliable_checkpoint
+
+    data = reliable_checkpoint(features(train, vec).where(F.col(label).isNotNull()))
     models = []
     for rp in reg_params:
         pipe = Pipeline(stages=[

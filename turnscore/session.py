@@ -55,3 +55,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def sf_table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+
+
+def reliable_checkpoint(df):
+    """Cut lineage before iterative work: ``DataFrame.checkpoint`` into the
+    shared checkpoint folder (never ``localCheckpoint``: an executor loss
+    must not lose the data)."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
