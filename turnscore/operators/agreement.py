@@ -52,7 +52,7 @@ def mask_report(df: DataFrame, group: Sequence[str], gold: str = "gold", pred: s
 
 
 def correlations(
-    df: DataFrame, group: Sequence[str], gold: str = "gold", pred: str = "score", buckets: int = 16
+    df: DataFrame, group: Sequence[str], gold: str = "gold", pred: str = "score", buckets: int = 1024
 ) -> DataFrame:
     """A3 + A4 per group: ``group..., n, pearson, spearman``."""
     g = list(group)
@@ -152,7 +152,7 @@ def leaderboard(
     language: str | None = None,
     supervised: str | None = None,
     limit_dims: str | Sequence[str] | None = None,
-    buckets: int = 16,
+    buckets: int = 1024,
 ) -> DataFrame:
     """Grade a submission. Per dimension: ``|rho|`` and ``|r|`` of
     the submission against gold on the chosen slice; NULL where it cannot be
@@ -174,7 +174,7 @@ def leaderboard(
 
 
 def leaderboard_slices(
-    gold: DataFrame, submission: DataFrame, subtask: str = "t2t", buckets: int = 16
+    gold: DataFrame, submission: DataFrame, subtask: str = "t2t", buckets: int = 1024
 ) -> DataFrame:
     """A7 for every slice in one job: each gold row is exploded into the
     slices it belongs to (all, its dataset, its supervision flag and, for
@@ -201,7 +201,7 @@ def leaderboard_slices(
 
 def pooled_evaluation(
     df: DataFrame, set_col: str, gold: str = "gold", pred: str = "score", quality: str = "quality",
-    pool_name: str = "POOL", buckets: int = 16,
+    pool_name: str = "POOL", buckets: int = 1024,
 ) -> DataFrame:
     """A10: pool several train sets and evaluate the pool once, plus each set
     on its own, in one job (each row belongs to the pool and to its set)."""

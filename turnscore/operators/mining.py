@@ -41,7 +41,7 @@ def to_long(df: DataFrame, gold: Sequence[str], pred: Sequence[str], id_col: str
     return long.select(id_col, "column_name", F.element_at(roles, F.col("column_name")).alias("role"), "value")
 
 
-def column_ranks(long: DataFrame, buckets: int = 16) -> DataFrame:
+def column_ranks(long: DataFrame, buckets: int = 1024) -> DataFrame:
     """Average rank of every value within its column (W3 per column)."""
     return average_rank(long, "value", ["column_name"], "rank", buckets)
 
@@ -101,7 +101,7 @@ def mean_rank_gap(diffs: DataFrame, id_col: str = "dialogue_id") -> DataFrame:
 
 
 def rank_disagreement(
-    run: DataFrame, metric: str = "LLM", id_col: str = "dialogue_id", buckets: int = 16
+    run: DataFrame, metric: str = "LLM", id_col: str = "dialogue_id", buckets: int = 1024
 ) -> DataFrame:
     """E4 core: discover, rank, pair (suffix pairing when the counts agree,
     all pairs otherwise), average the gaps. ``(id, mean_diff)``."""

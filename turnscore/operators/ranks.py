@@ -33,7 +33,9 @@ def value_bucket(v: Column, resolution: int) -> Column:
     infinities stay finite. ``log2`` is semi-monotonic and every later step
     is monotonic, so ``a <= b`` implies ``bucket(a) <= bucket(b)``; the
     bucket is a pure function of the value, hence identical when a task is
-    recomputed. ``resolution`` buckets per octave.
+    recomputed. ``resolution`` buckets per octave (1024 by default: values
+    spread over a narrow range still land in many buckets, so no single task
+    ranks most of a group's distinct values).
     """
     key = F.signum(v) * (F.log2(F.abs(v)) + F.lit(1075.0)) * F.lit(float(resolution))
     key = F.when(v == 0, F.lit(0.0)).otherwise(F.greatest(F.lit(-1e15), F.least(F.lit(1e15), key)))
@@ -41,7 +43,7 @@ def value_bucket(v: Column, resolution: int) -> Column:
 
 
 def rank_table(
-    df: DataFrame, value: str, group: Sequence[str] = (), rank_col: str = "rank", buckets: int = 16
+    df: DataFrame, value: str, group: Sequence[str] = (), rank_col: str = "rank", buckets: int = 1024
 ) -> DataFrame:
     """Distinct ``(group..., value, rank_col)`` rows with average-tie ranks."""
     g = list(group)
@@ -65,7 +67,7 @@ def rank_table(
 
 
 def average_rank(
-    df: DataFrame, value: str, group: Sequence[str] = (), rank_col: str = "rank", buckets: int = 16
+    df: DataFrame, value: str, group: Sequence[str] = (), rank_col: str = "rank", buckets: int = 1024
 ) -> DataFrame:
     """Add ``rank_col`` = average-tie rank of ``value`` within ``group``
     (1-based). NULL values get a NULL rank and do not count."""
@@ -82,7 +84,7 @@ def small_group_rank(value: str, group: Sequence[str]) -> Column:
 
 
 def metric_vs_gold(
-    df: DataFrame, id_col: str, gold: str, metric: str, buckets: int = 16
+    df: DataFrame, id_col: str, gold: str, metric: str, buckets: int = 1024
 ) -> DataFrame:
     """One metric against one gold column over the whole table: both
     ranks and the absolute rank difference, largest difference first (ties by

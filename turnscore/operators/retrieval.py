@@ -35,34 +35,82 @@ _CAND = T.StructType(
 )
 
 
-def _partition_topk(bq, k: int, exclude_self: bool):
+def _exact_d2(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    diff = x - q
+    return np.einsum("...j,...j->...", diff, diff)
+
+
+def _block_topk(ids, x, xx, qids, qmat, k, exclude_self, margin=8):
+    """Exact top-k of one batch for a block of queries.
+
+    Candidates come from the BLAS form ``|x|^2 + |q|^2 - 2 x.q`` (fast, a few
+    ulps off); their distances are then recomputed directly. A query whose
+    candidate set cannot be proven complete (the next approximate distance is
+    within the error bound of the k-th exact one) is recomputed directly over
+    the whole batch, so the result is always exact."""
+    b, m = len(ids), len(qids)
+    qq = np.einsum("ij,ij->i", qmat, qmat)
+    approx = xx[:, None] + qq[None, :] - 2.0 * (x @ qmat.T)
+    if exclude_self:
+        approx[ids[:, None] == qids[None, :]] = np.inf
+    kk = min(b, k + margin)
+    cand = np.argpartition(approx, kk - 1, axis=0)[:kk] if kk < b else np.tile(np.arange(b)[:, None], (1, m))
+    d = _exact_d2(x[cand], qmat[None, :, :])  # kk x m
+    if exclude_self:
+        d[ids[cand] == qids[None, :]] = np.inf
+    cid = ids[cand]
+    if kk < b:
+        err = 1e-9 * (xx.max() + qq) + 1e-12
+        kth = np.sort(d, axis=0)[min(k, kk) - 1]
+        nxt = np.partition(approx, kk, axis=0)[kk]
+        unsure = np.where(nxt - err <= kth + err)[0]
+        for j in unsure:  # rare: fall back to the direct form for this query
+            full = _exact_d2(x, qmat[j])
+            if exclude_self:
+                full[ids == qids[j]] = np.inf
+            top = np.lexsort((ids, full))[:kk]
+            cand[:, j], d[:, j], cid[:, j] = top, full[top], ids[top]
+    return cid.T, d.T  # m x kk
+
+
+def _merge(best_ids, best_d, cid, cd, k):
+    """Keep the k smallest (distance, id) per row."""
+    ids = np.concatenate([best_ids, cid], axis=1)
+    dd = np.concatenate([best_d, cd], axis=1)
+    m, w = ids.shape
+    rows = np.repeat(np.arange(m), w)
+    order = (np.lexsort((ids.ravel(), dd.ravel(), rows)).reshape(m, w) % w)[:, :k]
+    return np.take_along_axis(ids, order, 1), np.take_along_axis(dd, order, 1)
+
+
+def _partition_topk(bq, k: int, exclude_self: bool, block_cells: int = 4_000_000):
     """mapInPandas body: running top-k per query over one partition; the
-    queries come from the broadcast variable ``bq``."""
+    queries come from the broadcast variable ``bq``. Distances are computed
+    in query blocks so the batch x block matrix stays bounded."""
 
     def run(batches):
         qids, qmat = bq.value
-        best_ids = [np.empty(0, dtype=np.int64) for _ in range(len(qids))]
-        best_d = [np.empty(0, dtype=np.float64) for _ in range(len(qids))]
+        m = len(qids)
+        best_ids = np.empty((m, 0), dtype=np.int64)
+        best_d = np.empty((m, 0), dtype=np.float64)
         for pdf in batches:
             if pdf.empty:
                 continue
             ids = pdf["ex_id"].to_numpy(dtype=np.int64)
             x = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
-            for qi in range(len(qids)):
-                diff = x - qmat[qi]
-                d = np.einsum("ij,ij->i", diff, diff)
-                keep = ids != qids[qi] if exclude_self else np.ones(len(ids), dtype=bool)
-                cid = np.concatenate([best_ids[qi], ids[keep]])
-                cd = np.concatenate([best_d[qi], d[keep]])
-                order = np.lexsort((cid, cd))[:k]
-                best_ids[qi], best_d[qi] = cid[order], cd[order]
-        rows = [
-            pd.DataFrame({"query_id": np.full(len(best_ids[qi]), qids[qi], dtype=np.int64),
-                          "ex_id": best_ids[qi], "dist": best_d[qi]})
-            for qi in range(len(qids))
-        ]
-        if rows:
-            yield pd.concat(rows, ignore_index=True)
+            xx = np.einsum("ij,ij->i", x, x)
+            step = max(1, block_cells // max(1, len(ids)))
+            cids, cds = [], []
+            for lo in range(0, m, step):
+                ci, cd = _block_topk(ids, x, xx, qids[lo:lo + step], qmat[lo:lo + step], k, exclude_self)
+                cids.append(ci)
+                cds.append(cd)
+            best_ids, best_d = _merge(best_ids, best_d, np.concatenate(cids), np.concatenate(cds), k)
+        keep = np.isfinite(best_d)
+        rows = np.repeat(qids, best_ids.shape[1])
+        flat = keep.ravel()
+        if flat.any():
+            yield pd.DataFrame({"query_id": rows[flat], "ex_id": best_ids.ravel()[flat], "dist": best_d.ravel()[flat]})
 
     return run
 
