@@ -54,21 +54,25 @@ def mask_report(df: DataFrame, group: Sequence[str], gold: str = "gold", pred: s
 def correlations(
     df: DataFrame, group: Sequence[str], gold: str = "gold", pred: str = "score", buckets: int = 1024
 ) -> DataFrame:
-    """A3 + A4 per group: ``group..., n, pearson, spearman``."""
+    """A3 + A4 per group: ``group..., n, pearson, spearman``. Pairs where
+    gold or prediction is missing (NULL / NaN) are masked out (P9, pairwise);
+    a group with no pair is kept with ``n = 0`` and NULL correlations."""
     g = list(group)
-    m = paired_mask(df.select(*g, gold, pred), gold, pred)
+    ok = present(gold) & present(pred)
+    m = df.select(*g, F.when(ok, F.col(gold).cast("double")).alias(gold),
+                  F.when(ok, F.col(pred).cast("double")).alias(pred))
     # one rank pass for both columns: values of gold and prediction are
     # stacked with a side tag, so the count / bucket / window stages run once
     both = m.select(*g, F.inline(F.array(
-        F.struct(F.lit("x").alias("_side"), F.col(gold).cast("double").alias("_v")),
-        F.struct(F.lit("y").alias("_side"), F.col(pred).cast("double").alias("_v")),
+        F.struct(F.lit("x").alias("_side"), F.col(gold).alias("_v")),
+        F.struct(F.lit("y").alias("_side"), F.col(pred).alias("_v")),
     )))
     rt = rank_table(both, "_v", g + ["_side"], "_rank", buckets)
     rx = rt.where(F.col("_side") == "x").select(*g, F.col("_v").alias(gold), F.col("_rank").alias("_gold_rank"))
     ry = rt.where(F.col("_side") == "y").select(*g, F.col("_v").alias(pred), F.col("_rank").alias("_pred_rank"))
     r = m.join(rx, g + [gold], "left").join(ry, g + [pred], "left")
     return r.groupBy(*g).agg(
-        F.count(F.lit(1)).alias("n"),
+        F.count(gold).alias("n"),
         pearson(gold, pred).alias("pearson"),
         pearson("_gold_rank", "_pred_rank").alias("spearman"),
     )
@@ -188,15 +192,9 @@ def leaderboard_slices(
     g = _long(exploded, dims, "gold", ["UID", "slice"])
     p = _long(submission.select("UID", *dims), dims, "pred", ["UID"])
     pairs = g.join(p, ["UID", "dimension"])
-    universe = pairs.groupBy("slice", "dimension").agg(F.count(F.lit(1)).alias("n_rows"))
     corr = correlations(pairs, ["slice", "dimension"], "gold", "pred", buckets)
-    return universe.join(corr, ["slice", "dimension"], "left").select(
-        "slice",
-        "dimension",
-        F.coalesce(F.col("n"), F.lit(0)).alias("n"),
-        F.abs("spearman").alias("spearman"),
-        F.abs("pearson").alias("pearson"),
-    )
+    return corr.select("slice", "dimension", "n", F.abs("spearman").alias("spearman"),
+                       F.abs("pearson").alias("pearson"))
 
 
 def pooled_evaluation(

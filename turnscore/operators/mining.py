@@ -70,31 +70,30 @@ def suffix_pairs(gold: Sequence[str], pred: Sequence[str]) -> tuple[list[tuple[s
 
 
 def rank_differences(
-    ranked: DataFrame, pairs: Sequence[tuple[str, str]] | None, id_col: str = "dialogue_id"
+    ranked: DataFrame, pairs: Sequence[tuple[str, str]], id_col: str = "dialogue_id"
 ) -> DataFrame:
-    """J7 (``pairs=None``: every gold x predicted column) or J8 (given name
-    pairs): ``|gold_rank - pred_rank|`` per row and pair, by an equi-join on
-    the row id."""
-    g = ranked.where(F.col("role") == "gold").select(
-        id_col, F.col("column_name").alias("gold_col"), F.col("rank").alias("gold_rank")
+    """``|gold_rank - pred_rank|`` per row and column pair. The
+    ranks of one row are gathered into a map (one shuffle on the id, at most
+    one entry per column), then every pair reads its two ranks from the map:
+    no self-join of the long table."""
+    per_id = ranked.groupBy(id_col).agg(
+        F.map_from_entries(F.collect_list(F.struct("column_name", "rank"))).alias("_ranks")
     )
-    p = ranked.where(F.col("role") == "pred").select(
-        id_col, F.col("column_name").alias("pred_col"), F.col("rank").alias("pred_rank")
-    )
-    if pairs is not None:
-        spark = ranked.sparkSession
-        names = F.broadcast(spark.createDataFrame(list(pairs), "gold_col string, pred_col string"))
-        g = g.join(names, "gold_col")
-        j = g.join(p, [id_col, "pred_col"])
-    else:
-        j = g.join(p, id_col)
-    return j.select(
+    arr = F.array(*[F.struct(F.lit(gc).alias("gold_col"), F.lit(pc).alias("pred_col")) for gc, pc in pairs])
+    x = per_id.select(id_col, "_ranks", F.inline(arr))
+    diff = F.try_element_at("_ranks", F.col("gold_col")) - F.try_element_at("_ranks", F.col("pred_col"))
+    return x.select(
         id_col, "gold_col", "pred_col",
         F.concat_ws("_vs_", "gold_col", "pred_col").alias("pair"),
-        F.abs(F.col("gold_rank") - F.col("pred_rank")).alias("rank_diff"),
+        F.abs(diff).alias("rank_diff"),
     )
 
 
+def cross_pairs(gold: Sequence[str], pred: Sequence[str]) -> list[tuple[str, str]]:
+    """J7 on names: every gold column with every predicted column."""
+    return [(g, p) for g in gold for p in pred]
+
+
 def mean_rank_gap(diffs: DataFrame, id_col: str = "dialogue_id") -> DataFrame:
     """Mean absolute rank difference per row, missing values ignored."""
     return diffs.groupBy(id_col).agg(F.avg("rank_diff").alias(MEAN_DIFF))
@@ -107,7 +106,7 @@ def rank_disagreement(
     all pairs otherwise), average the gaps. ``(id, mean_diff)``."""
     gold, pred = discover_columns(run.columns, metric)
     ranked = column_ranks(to_long(run, gold, pred, id_col), buckets)
-    pairs = suffix_pairs(gold, pred)[0] if len(gold) == len(pred) else None
+    pairs = suffix_pairs(gold, pred)[0] if len(gold) == len(pred) else cross_pairs(gold, pred)
     return mean_rank_gap(rank_differences(ranked, pairs, id_col), id_col)
 
 

@@ -71,6 +71,12 @@ def score_and_evaluate(
     rendered = pairs.withColumn("prompt", prompts.render_prompt(prompt))
     raw = scoring.batch_score(rendered, scorer)
     parsed = replies.parse_replies(raw, qs, "reply", default=prompt.default_missing_value, keep=("uid", "call_failed"))
+    # model calls are the expensive step: materialise the scores once in the
+    # shared checkpoint folder so the evaluation branches (and a recomputed
+    # task after an executor loss) never call the model again
+    from turnscore.session import reliable_checkpoint
+
+    parsed = reliable_checkpoint(parsed)
     errors = replies.parse_error_totals(parsed)
     agreement = None
     if gold is not None:

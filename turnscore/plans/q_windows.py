@@ -128,8 +128,8 @@ FROM rk g JOIN rk p ON g.dialogue_id = p.dialogue_id AND g.role = 'gold' AND p.r
     ),
 )
 def j7(spark, sf_dir):
-    _, _, _, ranked = _ranked(spark, sf_dir)
-    return mn.rank_differences(ranked, None)
+    _, gold, pred, ranked = _ranked(spark, sf_dir)
+    return mn.rank_differences(ranked, mn.cross_pairs(gold, pred))
 
 
 @query(
