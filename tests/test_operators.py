@@ -226,3 +226,15 @@ def test_rehearsal_variants(spark):
     assert copy["TEST-0001-0000"]["relevance"] == 2.0
     omit = dl.rehearsal_rows(df, "omit").collect()
     assert [r["dialogue_id"] for r in omit] == ["TEST-0001-0001"] and omit[0]["context"] == "hi"
+
+
+def test_knn_ties_broken_by_id(spark):
+    rows = [(i, [1.0, 2.0] if i % 3 else [5.0, 5.0]) for i in range(30)]
+    store = spark.createDataFrame(rows, "ex_id long, embedding array<double>")
+    q = spark.createDataFrame([(100, [1.0, 2.0]), (101, [5.0, 5.0])], "query_id long, embedding array<double>")
+    got = {}
+    for r in rt.nearest(q, store, 4).collect():
+        got.setdefault(r["query_id"], []).append((r["rk"], r["ex_id"], r["dist"]))
+    assert [e for _, e, _ in sorted(got[100])] == [1, 2, 4, 5]
+    assert [e for _, e, _ in sorted(got[101])] == [0, 3, 6, 9]
+    assert all(d == 0.0 for _, _, d in got[100])

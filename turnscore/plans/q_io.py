@@ -52,7 +52,19 @@ def s1(spark, sf_dir):
 _REH_COLS = ("content", "grammar", "appropriateness", "relevance")
 
 
-@query("S6_write_nested_json")
+def _s6_sql():
+    from turnscore.plans.q_text import _REH
+
+    sel = """SELECT id AS dialogue_id, sid AS model, cont AS content, gram AS grammar, appr AS appropriateness,
+       CASE WHEN is_first THEN 5.0 ELSE rel END AS relevance FROM rc"""
+    body = " UNION ALL ".join(
+        f"SELECT dialogue_id, model, '{c}' AS annotation, round({c}, 6) AS value, CAST(1 AS INTEGER) AS n_values "
+        "FROM e5" for c in _REH_COLS
+    )
+    return sql(body, "rehearsal_in", extra={**_REH, "e5": sel})
+
+
+@query("S6_write_nested_json", _s6_sql())
 def s6(spark, sf_dir):
     """E5 output folded into nested one-element rating lists, written as
     JSON, read back through S1."""
@@ -170,7 +182,15 @@ def s8(spark, sf_dir):
 # ------------------------------------------------------------------ E4 / E5
 
 
-@query("E4_mine_hard_set")
+def _e4_sql():
+    from turnscore.plans.q_windows import _HARD, _MINING
+
+    return sql("""SELECT d.dialogue_id, d.dataset, d.model FROM drows d
+WHERE d.dialogue_id IN (SELECT dialogue_id FROM (""" + _HARD + "))", "drows", "scores_wide", "gold_wide",
+               extra=_MINING)
+
+
+@query("E4_mine_hard_set", _e4_sql())
 def e4(spark, sf_dir):
     """Whole job: rank disagreement -> hardest 200 -> source shares -> hard
     subset of the dataset (written nested, as the reference's hard set)."""
