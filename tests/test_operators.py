@@ -238,3 +238,13 @@ def test_knn_ties_broken_by_id(spark):
     assert [e for _, e, _ in sorted(got[100])] == [1, 2, 4, 5]
     assert [e for _, e, _ in sorted(got[101])] == [0, 3, 6, 9]
     assert all(d == 0.0 for _, _, d in got[100])
+
+
+@pytest.mark.parametrize("block", [1, 2, 3])
+def test_blocked_history_equals_plain_window(spark, block):
+    rnd = random.Random(block)
+    rows = [(d, t, rnd.choice(["a", " b ", "", "c\nd", "e"])) for d in range(6) for t in range(rnd.randint(1, 9))]
+    df = spark.createDataFrame(rows, "d int, turn int, text string")
+    plain = {(r["d"], r["turn"]): r["context"] for r in dl.dialogue_context(df, "d", "turn", block_size=None).collect()}
+    blocked = {(r["d"], r["turn"]): r["context"] for r in dl.dialogue_context(df, "d", "turn", block_size=block).collect()}
+    assert plain == blocked

@@ -94,15 +94,39 @@ def dialogue_context(
     insert_speaker: bool = False,
     max_history: int | None = None,
     out: str = "context",
+    block_size: int | None = 256,
 ) -> DataFrame:
     """Context of a turn = all earlier (kept) turns of its dialogue,
-    trimmed, joined by newline; empty for the first kept turn."""
-    lo = Window.unboundedPreceding if max_history is None else -max_history
-    w = Window.partitionBy(dialogue).orderBy(turn).rowsBetween(lo, -1)
-    ctx = F.array_join(F.collect_list(trim_ws(text)).over(w), "\n")
+    trimmed, joined by newline; empty for the first kept turn.
+
+    With ``block_size`` (default) a dialogue is cut into blocks of turn
+    numbers: the history inside a block is a window over ``(dialogue,
+    block)``, and the turns of all earlier blocks come from per-block arrays
+    chained by a window over the dialogue's *blocks* (one row per block) and
+    joined back. A dialogue holding a large share of all rows is then spread
+    over its blocks instead of one window task; the result is identical to
+    the plain window (``block_size=None``)."""
+    t = trim_ws(text)
+    if max_history is not None or block_size is None:
+        lo = Window.unboundedPreceding if max_history is None else -max_history
+        w = Window.partitionBy(dialogue).orderBy(turn).rowsBetween(lo, -1)
+        ctx = F.array_join(F.collect_list(t).over(w), "\n")
+        return df.withColumn(out, speaker_tags(ctx) if insert_speaker else ctx)
+    blk = F.floor(F.col(turn) / F.lit(block_size))
+    x = df.withColumn("_t", t).withColumn("_blk", blk)
+    inside = Window.partitionBy(dialogue, "_blk").orderBy(turn).rowsBetween(Window.unboundedPreceding, -1)
+    x = x.withColumn("_in", F.collect_list("_t").over(inside))
+    blocks = x.groupBy(dialogue, "_blk").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct(F.col(turn).alias("k"), F.col("_t").alias("v")))),
+                    lambda s: s["v"]).alias("_arr")
+    )
+    earlier = Window.partitionBy(dialogue).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    prefix = blocks.select(dialogue, "_blk", F.flatten(F.collect_list("_arr").over(earlier)).alias("_pre"))
+    j = x.join(prefix, [dialogue, "_blk"], "left")
+    ctx = F.array_join(F.concat(F.coalesce("_pre", F.array().cast("array<string>")), "_in"), "\n")
     if insert_speaker:
         ctx = speaker_tags(ctx)
-    return df.withColumn(out, ctx)
+    return j.withColumn(out, ctx).drop("_t", "_blk", "_in", "_pre")
 
 
 def segment_context(

@@ -59,11 +59,16 @@ def heuristic_scorer(fail_prefix: str | None = None) -> ScorerFactory:
     return build
 
 
-def batch_score(df: DataFrame, scorer: ScorerFactory | None = None, keep: tuple[str, ...] | None = None) -> DataFrame:
+def batch_score(df: DataFrame, scorer: ScorerFactory | None = None, keep: tuple[str, ...] | None = None,
+                partitions: int | None = None) -> DataFrame:
     """M1 + M2: add ``reply`` and ``call_failed`` to ``df`` (which carries
     ``uid``, ``context``, ``response`` and optionally ``prompt``). A failing
     call (exception object or raised error) yields the fallback reply
-    ``3.0`` and ``call_failed = 1`` instead of hiding the failure."""
+    ``3.0`` and ``call_failed = 1`` instead of hiding the failure.
+
+    Model calls dominate the cost, so ``partitions`` can spread the prompts
+    evenly (hash of the uid) over that many scorer tasks first; by default
+    the input partitioning is kept (no shuffle)."""
     factory = scorer or heuristic_scorer()
     cols = list(keep or df.columns)
     schema = T.StructType(
@@ -84,7 +89,10 @@ def batch_score(df: DataFrame, scorer: ScorerFactory | None = None, keep: tuple[
             out["call_failed"] = failed.astype("int32").to_numpy()
             yield out
 
-    return df.select(*cols).mapInPandas(run, schema)
+    src = df.select(*cols)
+    if partitions:
+        src = src.repartition(partitions, F.xxhash64("uid"))
+    return src.mapInPandas(run, schema)
 
 
 def _one(call, row: pd.DataFrame):
