@@ -144,7 +144,7 @@ FROM turns""",
        label
 FROM embeddings""",
     ),
-    "rq": ((), "SELECT vec_id AS query_id, embedding AS qvec FROM embeddings WHERE vec_id < 20"),
+    "rq": ((), "SELECT vec_id AS query_id, embedding AS qvec FROM embeddings"),
     "emb_records": (
         (),
         """SELECT printf('EMB-%05d', vec_id) AS dialogue_id, vec_id, embedding,
