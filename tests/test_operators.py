@@ -248,3 +248,46 @@ def test_blocked_history_equals_plain_window(spark, block):
     plain = {(r["d"], r["turn"]): r["context"] for r in dl.dialogue_context(df, "d", "turn", block_size=None).collect()}
     blocked = {(r["d"], r["turn"]): r["context"] for r in dl.dialogue_context(df, "d", "turn", block_size=block).collect()}
     assert plain == blocked
+
+
+def test_null_prediction_is_masked_pairwise(spark):
+    rows = [("q", 1.0, 1.0), ("q", 2.0, 3.0), ("q", 3.0, 2.0), ("q", 4.0, None), ("q", None, None)]
+    df = spark.createDataFrame(rows, "q string, gold double, score double")
+    r = ag.correlations(df, ["q"]).first()
+    assert r["n"] == 3 and r["pearson"] == pytest.approx(0.5)
+    rep = ag.mask_report(df, ["q"]).first()
+    assert rep["n_gold"] == 4 and rep["n_dropped_pred"] == 1
+
+
+def test_spearman_invariant_under_monotone_maps(spark):
+    rnd = random.Random(11)
+    rows = [(float(rnd.randint(1, 5)), rnd.random() * 4 + 1) for _ in range(60)]
+    df = spark.createDataFrame([("a", g, s) for g, s in rows], "q string, gold double, score double")
+    base = ag.correlations(df, ["q"]).first()["spearman"]
+    mapped = df.withColumn("score", F.exp(F.col("score") * 3) - 7).withColumn("gold", F.col("gold") * 10 + 1)
+    assert ag.correlations(mapped, ["q"]).first()["spearman"] == pytest.approx(base, abs=1e-12)
+
+
+def test_history_is_incremental(spark):
+    from tests.conftest import SMALL
+    from turnscore.sources import adapters as ad
+
+    t = dl.dialogue_context(ad.turns(spark, SMALL)).select("dialogue_id", "turn_id", "text", "context").collect()
+    by = {(r["dialogue_id"], r["turn_id"]): r for r in t}
+    for (d, k), r in by.items():
+        nxt = by.get((d, k + 1))
+        if nxt is not None:
+            want = (r["context"] + "\n" if r["context"] != "" or k > 0 else "") + r["text"].strip()
+            assert nxt["context"] == want
+
+
+def test_retrieved_ids_unique_per_query(spark):
+    from tests.conftest import SMALL
+    from turnscore.sources import adapters as ad
+
+    q, s = ad.retrieval_queries(spark, SMALL), ad.store(spark, SMALL)
+    filled = rt.backup_fill(rt.similar_examples(q, s, 2, ("relevance",)), q, s, 2)
+    dup = filled.groupBy("query_id", "ex_id").count().where("count > 1").count()
+    self_hit = filled.where("query_id = ex_id").count()
+    per_q = {r["query_id"]: r["count"] for r in filled.groupBy("query_id").count().collect()}
+    assert dup == 0 and self_hit == 0 and set(per_q.values()) == {2} and len(per_q) == q.count()

@@ -212,11 +212,19 @@ def examples_block(df: DataFrame, group: Sequence[str], order: str, text: str) -
     return agg.select(*group, block.alias("examples"))
 
 
-def prompt_table(spark: SparkSession, names: Sequence[str] | None = None) -> DataFrame:
-    """M4 as a config DataFrame (one row per prompt, names unique)."""
-    names = list(names or PROMPTS)
+def check_names(names: Sequence[str]) -> list[str]:
+    """M4 registry rules: names are unique and registered."""
+    names = list(names)
     if len(set(names)) != len(names):
         raise ValueError("duplicate prompt names")
+    for n in names:
+        get_prompt(n)
+    return names
+
+
+def prompt_table(spark: SparkSession, names: Sequence[str] | None = None) -> DataFrame:
+    """M4 as a config DataFrame (one row per prompt, names unique)."""
+    names = check_names(names or PROMPTS)
     rows = []
     for n in names:
         p = get_prompt(n)

@@ -54,27 +54,58 @@ def mask_report(df: DataFrame, group: Sequence[str], gold: str = "gold", pred: s
 def correlations(
     df: DataFrame, group: Sequence[str], gold: str = "gold", pred: str = "score", buckets: int = 1024
 ) -> DataFrame:
-    """A3 + A4 per group: ``group..., n, pearson, spearman``. Pairs where
-    gold or prediction is missing (NULL / NaN) are masked out (P9, pairwise);
-    a group with no pair is kept with ``n = 0`` and NULL correlations."""
+    """A3 + A4 per group: ``group..., n, pearson, spearman``.
+
+    Pairs where gold or prediction is missing (NULL / NaN) are masked out
+    (P9, pairwise); a group with no pair is kept with ``n = 0`` and NULL
+    correlations; a constant column gives NULL (exactly: ``min = max``).
+
+    The rows are read once and collapsed to distinct ``(group, gold, pred)``
+    pairs with a count (map-side combined: ratings against parsed scores
+    collapse to a few rows per group, and a hot group costs one row per value
+    pair and partition). Both rank tables and all moments are computed from
+    that weighted table; no join back to the rows."""
     g = list(group)
     ok = present(gold) & present(pred)
-    m = df.select(*g, F.when(ok, F.col(gold).cast("double")).alias(gold),
-                  F.when(ok, F.col(pred).cast("double")).alias(pred))
-    # one rank pass for both columns: values of gold and prediction are
-    # stacked with a side tag, so the count / bucket / window stages run once
-    both = m.select(*g, F.inline(F.array(
-        F.struct(F.lit("x").alias("_side"), F.col(gold).alias("_v")),
-        F.struct(F.lit("y").alias("_side"), F.col(pred).alias("_v")),
+    pairs = df.select(*g, F.when(ok, F.col(gold).cast("double")).alias("_x"),
+                      F.when(ok, F.col(pred).cast("double")).alias("_y"))
+    pairs = pairs.groupBy(*g, "_x", "_y").agg(F.count(F.lit(1)).alias("_c"))
+    both = pairs.select(*g, "_c", F.inline(F.array(
+        F.struct(F.lit("x").alias("_side"), F.col("_x").alias("_v")),
+        F.struct(F.lit("y").alias("_side"), F.col("_y").alias("_v")),
     )))
-    rt = rank_table(both, "_v", g + ["_side"], "_rank", buckets)
-    rx = rt.where(F.col("_side") == "x").select(*g, F.col("_v").alias(gold), F.col("_rank").alias("_gold_rank"))
-    ry = rt.where(F.col("_side") == "y").select(*g, F.col("_v").alias(pred), F.col("_rank").alias("_pred_rank"))
-    r = m.join(rx, g + [gold], "left").join(ry, g + [pred], "left")
-    return r.groupBy(*g).agg(
-        F.count(gold).alias("n"),
-        pearson(gold, pred).alias("pearson"),
-        pearson("_gold_rank", "_pred_rank").alias("spearman"),
+    rt = rank_table(both, "_v", g + ["_side"], "_rank", buckets, weight="_c")
+    rx = rt.where(F.col("_side") == "x").select(*g, F.col("_v").alias("_x"), F.col("_rank").alias("_rx"))
+    ry = rt.where(F.col("_side") == "y").select(*g, F.col("_v").alias("_y"), F.col("_rank").alias("_ry"))
+    j = pairs.join(rx, g + ["_x"], "left").join(ry, g + ["_y"], "left")
+    c = F.when(F.col("_x").isNotNull(), F.col("_c"))
+
+    def wsum(e):
+        return F.sum(c * e)
+
+    agg = j.groupBy(*g).agg(
+        F.coalesce(F.sum(c), F.lit(0)).cast("long").alias("n"),
+        wsum(F.col("_x")).alias("_sx"), wsum(F.col("_y")).alias("_sy"),
+        wsum(F.col("_x") * F.col("_x")).alias("_sxx"), wsum(F.col("_y") * F.col("_y")).alias("_syy"),
+        wsum(F.col("_x") * F.col("_y")).alias("_sxy"),
+        wsum(F.col("_rx")).alias("_rsx"), wsum(F.col("_ry")).alias("_rsy"),
+        wsum(F.col("_rx") * F.col("_rx")).alias("_rsxx"), wsum(F.col("_ry") * F.col("_ry")).alias("_rsyy"),
+        wsum(F.col("_rx") * F.col("_ry")).alias("_rsxy"),
+        (F.min("_x") < F.max("_x")).alias("_vx"), (F.min("_y") < F.max("_y")).alias("_vy"),
+    )
+
+    def corr(sx, sy, sxx, syy, sxy):
+        n = F.col("n").cast("double")
+        cov = F.col(sxy) - F.col(sx) * F.col(sy) / n
+        vx = F.col(sxx) - F.col(sx) * F.col(sx) / n
+        vy = F.col(syy) - F.col(sy) * F.col(sy) / n
+        r = cov / F.sqrt(vx * vy)
+        return F.when(F.col("_vx") & F.col("_vy") & (vx > 0) & (vy > 0), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
+
+    return agg.select(
+        *g, "n",
+        corr("_sx", "_sy", "_sxx", "_syy", "_sxy").alias("pearson"),
+        corr("_rsx", "_rsy", "_rsxx", "_rsyy", "_rsxy").alias("spearman"),
     )
 
 
@@ -144,8 +175,14 @@ def dimension_table(spark: SparkSession, dims: Sequence[str]) -> DataFrame:
     return spark.createDataFrame([(i, d) for i, d in enumerate(dims)], "dim_order int, dimension string")
 
 
-def _long(df: DataFrame, dims: Sequence[str], value: str, keep: Sequence[str]) -> DataFrame:
-    return df.unpivot(list(keep), list(dims), "dimension", value)
+def _aligned_pairs(gold: DataFrame, submission: DataFrame, dims: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    """Gold and submission rows meet once, wide, on the UID; the
+    dimensions fan out afterwards with ``inline`` (no join of long tables)."""
+    sub = submission.select(F.col("UID"), *[F.col(d).alias(f"_p_{d}") for d in dims])
+    j = gold.select("UID", *keep, *dims).join(sub, "UID")
+    arr = F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).cast("double").alias("gold"),
+                             F.col(f"_p_{d}").cast("double").alias("pred")) for d in dims])
+    return j.select("UID", *keep, F.inline(arr))
 
 
 def leaderboard(
@@ -164,9 +201,7 @@ def leaderboard(
     position."""
     spark = gold.sparkSession
     dims = select_dimensions(subtask, limit_dims)
-    g = _long(eval_slice(gold, subtask, dataset, language, supervised), dims, "gold", ["UID"])
-    p = _long(submission.select("UID", *dims), dims, "pred", ["UID"])
-    pairs = g.join(p, ["UID", "dimension"])
+    pairs = _aligned_pairs(eval_slice(gold, subtask, dataset, language, supervised), submission, dims)
     corr = correlations(pairs, ["dimension"], "gold", "pred", buckets)
     dt = F.broadcast(dimension_table(spark, dims))
     return dt.join(corr, "dimension", "left").select(
@@ -180,7 +215,7 @@ def leaderboard(
 def leaderboard_slices(
     gold: DataFrame, submission: DataFrame, subtask: str = "t2t", buckets: int = 1024
 ) -> DataFrame:
-    """A7 for every slice in one job: each gold row is exploded into the
+    """A7 for every slice in one job: each aligned row is exploded into the
     slices it belongs to (all, its dataset, its supervision flag and, for
     task 1, its language); ranks are slice-relative."""
     dims = select_dimensions(subtask)
@@ -188,10 +223,9 @@ def leaderboard_slices(
     members = [F.lit("ALL"), F.concat(F.lit("CID="), "CID"), F.concat(F.lit("SUPERVISED="), "SUPERVISED")]
     if subtask in ("t1t", "t1d"):
         members.append(F.concat(F.lit("LANGUAGE="), "LANGUAGE"))
-    exploded = base.select("UID", F.explode(F.array(*members)).alias("slice"), *dims)
-    g = _long(exploded, dims, "gold", ["UID", "slice"])
-    p = _long(submission.select("UID", *dims), dims, "pred", ["UID"])
-    pairs = g.join(p, ["UID", "dimension"])
+    base = base.select("UID", F.array(*members).alias("_slices"), *dims)
+    pairs = _aligned_pairs(base, submission, dims, ["_slices"])
+    pairs = pairs.select(F.explode("_slices").alias("slice"), "dimension", "gold", "pred")
     corr = correlations(pairs, ["slice", "dimension"], "gold", "pred", buckets)
     return corr.select("slice", "dimension", "n", F.abs("spearman").alias("spearman"),
                        F.abs("pearson").alias("pearson"))

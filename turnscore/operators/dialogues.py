@@ -160,8 +160,16 @@ def rehearsal_rows(df: DataFrame, variant: str = "constant", strict: bool = Fals
     sets relevance 5.0, ``copy`` sets relevance to the two-view mean of
     appropriateness, ``omit`` drops the row (after the history is built, so
     it still enters later contexts)."""
-    if variant not in ("constant", "copy", "omit"):
-        raise ValueError(f"unknown rehearsal variant {variant!r}")
+    return rehearsal_variants(df, (variant,), strict).drop("variant")
+
+
+def rehearsal_variants(df: DataFrame, variants=("constant", "copy", "omit"), strict: bool = False) -> DataFrame:
+    """F6 for several variants in one pass: the history and two-view ratings
+    are computed once, then every row fans out over the variants (``explode``
+    of a literal list, no join)."""
+    for v in variants:
+        if v not in ("constant", "copy", "omit"):
+            raise ValueError(f"unknown rehearsal variant {v!r}")
     parts = F.split("id", "-", -1)
     x = df.withColumn("dialogue_key", F.get(parts, 1)).withColumn(
         "turn_id", F.substring_index("id", "-", -1).cast("long")
@@ -169,22 +177,22 @@ def rehearsal_rows(df: DataFrame, variant: str = "constant", strict: bool = Fals
     x = segment_context(x, dialogue="dialogue_key", turn="turn_id", turn_label="turn_last", strict=strict)
     has_o = F.col("o_cont").isNotNull()
     tv = {k: two_view(F.col(f"p_{k}"), F.col(f"o_{k}"), has_o) for k in ("appr", "cont", "gram", "rel")}
-    rel = tv["rel"]
-    if variant == "constant":
-        rel = F.when(F.col("is_first"), F.lit(5.0)).otherwise(rel)
-    elif variant == "copy":
-        rel = F.when(F.col("is_first"), (F.col("p_appr") + F.col("o_appr")) / 2).otherwise(rel)
-    out = x.select(
+    first = F.col("is_first")
+    rel = (
+        F.when(first & (F.col("variant") == "constant"), F.lit(5.0))
+        .when(first & (F.col("variant") == "copy"), (F.col("p_appr") + F.col("o_appr")) / 2)
+        .otherwise(tv["rel"])
+    )
+    x = x.withColumn("variant", F.explode(F.array(*[F.lit(v) for v in variants])))
+    out = x.where(~(first & (F.col("variant") == "omit"))).select(
+        "variant",
         F.col("id").alias("dialogue_id"),
         F.col("sid").alias("model"),
-        F.when(F.col("is_first"), F.lit("")).otherwise(F.col("context")).alias("context"),
+        F.when(first, F.lit("")).otherwise(F.col("context")).alias("context"),
         "response",
         tv["cont"].alias("content"),
         tv["gram"].alias("grammar"),
         tv["appr"].alias("appropriateness"),
         rel.alias("relevance"),
-        "is_first",
     )
-    if variant == "omit":
-        out = out.where(~F.col("is_first"))
-    return out.drop("is_first")
+    return out

@@ -11,7 +11,8 @@ unpartitioned window:
    pass is needed.
 3. Rows below a value = rows in earlier buckets (a tiny per-group running sum
    over bucket totals) + rows below it inside its bucket (a window over one
-   bucket's distinct values).
+   bucket's distinct values). One shuffle on (group, bucket) yields both the
+   in-bucket running sums and the bucket totals.
 4. ``rank = below + (count + 1) / 2``, joined back on ``(group, value)``; the
    rank table has one row per distinct value, so AQE broadcasts it when it
    is small (ratings) and shuffles with skew-join splitting otherwise.
@@ -43,21 +44,31 @@ def value_bucket(v: Column, resolution: int) -> Column:
 
 
 def rank_table(
-    df: DataFrame, value: str, group: Sequence[str] = (), rank_col: str = "rank", buckets: int = 1024
+    df: DataFrame, value: str, group: Sequence[str] = (), rank_col: str = "rank", buckets: int = 1024,
+    weight: str | None = None,
 ) -> DataFrame:
-    """Distinct ``(group..., value, rank_col)`` rows with average-tie ranks."""
+    """Distinct ``(group..., value, rank_col)`` rows with average-tie ranks.
+    ``weight``: a row stands for that many rows (pre-aggregated input)."""
     g = list(group)
     src = df
     if not g:
         src = df.withColumn(_G, F.lit(0))
         g = [_G]
-    counts = src.where(F.col(value).isNotNull()).groupBy(*g, value).agg(F.count(F.lit(1)).alias("_cnt"))
+    cnt = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    counts = src.where(F.col(value).isNotNull()).groupBy(*g, value).agg(cnt.alias("_cnt"))
     counts = counts.withColumn("_b", value_bucket(F.col(value), buckets) if buckets > 1 else F.lit(0))
-    totals = counts.groupBy(*g, "_b").agg(F.sum("_cnt").alias("_bcnt"))
+    # one shuffle on (group, bucket) serves the running sum inside the bucket,
+    # the bucket total, and the per-bucket totals (already clustered there)
+    part = Window.partitionBy(*g, "_b")
+    local = counts.select(
+        *g, "_b", value, "_cnt",
+        F.coalesce(F.sum("_cnt").over(part.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)),
+                   F.lit(0)).alias("_below"),
+        F.sum("_cnt").over(part).alias("_btot"),
+    )
+    totals = local.groupBy(*g, "_b").agg(F.max("_btot").alias("_bcnt"))
     before = Window.partitionBy(*g).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*g, "_b", F.coalesce(F.sum("_bcnt").over(before), F.lit(0)).alias("_off"))
-    inside = Window.partitionBy(*g, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    local = counts.select(*g, "_b", value, "_cnt", F.coalesce(F.sum("_cnt").over(inside), F.lit(0)).alias("_below"))
     ranked = local.join(offsets, g + ["_b"]).select(
         *g, value, (F.col("_off") + F.col("_below") + (F.col("_cnt") + 1) / 2.0).alias(rank_col)
     )

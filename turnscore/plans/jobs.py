@@ -15,7 +15,7 @@ from turnscore.operators import agreement as ag
 from turnscore.operators import dialogues as dl
 from turnscore.operators import mining as mn
 from turnscore.operators import submissions as sb
-from turnscore.schemas import HARD_SET_SIZE, QUALITIES, SUBMISSION_ROWS
+from turnscore.schemas import HARD_SET_SIZE, SUBMISSION_ROWS
 
 
 def build_submission(files: dict[str, DataFrame], expected_rows: int | None = SUBMISSION_ROWS) -> DataFrame:
@@ -97,8 +97,7 @@ __all__ = [
     "build_rehearsal",
     "score_and_evaluate",
     "pooled_evaluation",
-    "QUALITIES",
-    "F",
+    "train_on_embeddings",
 ]
 
 

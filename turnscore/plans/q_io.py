@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from turnscore.operators import dialogues as dl
-from turnscore.operators import mining as mn
 from turnscore.plans.oracle import rating_sql, sql
 from turnscore.plans.registry import query
 from turnscore.schemas import QUALITIES, TURN_DIMENSIONS, dialogue_schema
@@ -22,7 +21,7 @@ def _nested_dataset(spark, sf_dir):
     """Dialogue rows with a nested ``annotations`` struct: per quality the
     three annotator ratings."""
     d = ad.dialogue_rows(spark, sf_dir).withColumnRenamed("conv_id", "dialogue_key")
-    ann = F.struct(*[F.array(*[ad.rating(k, F.lit(i), dialogue="dialogue_key") for k in range(3)]).alias(q)
+    ann = F.struct(*[F.array(*[ad.rating(k, i, dialogue="dialogue_key") for k in range(3)]).alias(q)
                      for i, q in enumerate(QUALITIES)])
     cols = [f.name for f in dialogue_schema(QUALITIES).fields if f.name != "annotations"]
     return d.select(*cols, ann.alias("annotations"))
@@ -214,5 +213,3 @@ def e5(spark, sf_dir):
 
     return build_rehearsal(ad.rehearsal_input(spark, sf_dir), "constant")
 
-
-__all__ = ["mn"]

@@ -158,7 +158,7 @@ def run_table(spark, sf_dir):
     over the turns: gold and scores are both row-wise)."""
     t = ad.turns(spark, sf_dir)
     quals = ("appropriateness", "richness", "grammatical", "relevance")
-    score = {q: ad.score_tenths(F.lit(i)) / 10 for i, q in enumerate(quals)}
+    score = {q: ad.score_tenths(i) / 10 for i, q in enumerate(quals)}
     return t.select(
         F.col("uid").alias("dialogue_id"),
         F.concat(F.lit("model-"), (F.col("dialogue_id") % 5).cast("string")).alias("model"),

@@ -63,8 +63,7 @@ def m4(spark, sf_dir):
     """Every turn rendered with every example-free prompt in one job: rows
     fan out over the (fixed, small) prompt list with ``explode``."""
     p = chatbot_pairs(spark, sf_dir)
-    table = prompts.prompt_table(spark, _NONE)
-    names = [r for r in _NONE]
+    names = prompts.check_names(_NONE)
     x = p.select("uid", "context", "response", F.explode(F.array(*[F.lit(n) for n in names])).alias("prompt"))
     text = F.lit(None).cast("string")
     nq = F.lit(None).cast("int")
@@ -72,7 +71,6 @@ def m4(spark, sf_dir):
         pr = prompts.get_prompt(n)
         text = F.when(F.col("prompt") == n, prompts.render_prompt(pr)).otherwise(text)
         nq = F.when(F.col("prompt") == n, F.lit(len(pr.qualities))).otherwise(nq)
-    del table
     return x.select("uid", "prompt", nq.alias("n_qualities"), F.md5(text).alias("prompt_md5"),
                     F.length(text).cast("long").alias("prompt_chars"))
 
@@ -177,12 +175,7 @@ WHERE NOT (v.variant = 'omit' AND is_first)""",
     ),
 )
 def f6(spark, sf_dir):
-    r = ad.rehearsal_input(spark, sf_dir)
-    out = None
-    for v in ("constant", "copy", "omit"):
-        part = dl.rehearsal_rows(r, v).select(F.lit(v).alias("variant"), "*")
-        out = part if out is None else out.unionByName(part)
-    return out
+    return dl.rehearsal_variants(ad.rehearsal_input(spark, sf_dir))
 
 
 @query("F7_stable_id", sql("SELECT uid, md5(concat_ws('|', '42', uid)) AS stable_id FROM turns", "turns"))

@@ -50,30 +50,29 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def rating(k: int, qi: Column | str = "qi", dialogue="dialogue_id", turn="turn_id", text="text") -> Column:
-    """Annotator ``k``'s rating of quality index ``qi`` (1..5, double)."""
-    qi = F.col(qi) if isinstance(qi, str) else qi
-    return (
-        F.lit(1)
-        + (F.col(dialogue) * 7 + F.col(turn) * 13 + k * 5 + qi * 11 + F.length(text) * (k + 1)) % 5
-    ).cast("double")
+def rating(k: int, qi: int | str = "qi", dialogue: str = "dialogue_id", turn: str = "turn_id",
+           text: str = "text") -> Column:
+    """Annotator ``k``'s rating of quality index ``qi`` (a column name or a
+    number), 1..5 as double. Written as one SQL expression (one call to the
+    JVM instead of one per operator)."""
+    return F.expr(
+        f"CAST(1 + ({dialogue} * 7 + {turn} * 13 + {k * 5} + {qi} * 11 + length({text}) * {k + 1}) % 5 AS DOUBLE)"
+    )
 
 
-def score_tenths(qi: Column | str = "qi") -> Column:
+def score_tenths(qi: int | str = "qi") -> Column:
     """Synthetic prediction in tenths: 10..50."""
-    qi = F.col(qi) if isinstance(qi, str) else qi
-    return F.lit(10) + (F.length("text") * 3 + F.col("dialogue_id") * 5 + qi * 7) % 41
+    return F.expr(f"(10 + (length(text) * 3 + dialogue_id * 5 + {qi} * 7) % 41)")
 
 
 def ratings_long(turns_df: DataFrame) -> DataFrame:
     """One row per (turn, quality): three annotator ratings, gold, score."""
     t = turns_df.select("*", F.inline(quality_rows()))
     r = [rating(k) for k in range(3)]
-    gold = F.when((F.col("dialogue_id") + F.col("turn_id") + F.col("qi")) % 11 != 0, (r[0] + r[1] + r[2]) / 3)
     return t.select(
         "uid", "dialogue_id", "turn_id", "sid", "cid", "language", "supervised", "text", "qi", "quality",
         r[0].alias("r0"), r[1].alias("r1"), r[2].alias("r2"),
-        gold.alias("gold"),
+        gold_expr("qi").alias("gold"),
         (score_tenths() / 10).alias("score"),
     )
 
@@ -95,11 +94,14 @@ def scored_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ratings_long(turns(spark, sf_dir))
 
 
-def gold_expr(qi: int) -> Column:
+def gold_expr(qi: int | str) -> Column:
     """Gold of quality index ``qi`` for a turn row: mean of the three ratings,
     NULL when ``(conv_id + turn + qi) % 11 = 0``."""
-    r = [rating(k, F.lit(qi)) for k in range(3)]
-    return F.when((F.col("dialogue_id") + F.col("turn_id") + qi) % 11 != 0, (r[0] + r[1] + r[2]) / 3)
+    r = [
+        f"CAST(1 + (dialogue_id * 7 + turn_id * 13 + {k * 5} + {qi} * 11 + length(text) * {k + 1}) % 5 AS DOUBLE)"
+        for k in range(3)
+    ]
+    return F.expr(f"CASE WHEN (dialogue_id + turn_id + {qi}) % 11 <> 0 THEN ({r[0]} + {r[1]} + {r[2]}) / 3 END")
 
 
 def turn_gold_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,7 +127,7 @@ def scores_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = turns(spark, sf_dir)
     return t.select(
         "uid", "dialogue_id", "turn_id", "sid", "text",
-        *[(score_tenths(F.lit(i)) / 10).alias(q) for i, q in enumerate(QUALITIES)],
+        *[(score_tenths(i) / 10).alias(q) for i, q in enumerate(QUALITIES)],
     )
 
 
@@ -145,7 +147,7 @@ def _num_text(tenths: Column) -> Column:
 def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Synthetic raw model replies in six shapes (by ``(conv_id + turn) % 6``)."""
     t = turns(spark, sf_dir)
-    s = [_num_text(score_tenths(F.lit(i))) for i in range(4)]
+    s = [_num_text(score_tenths(i)) for i in range(4)]
     kind = (F.col("dialogue_id") + F.col("turn_id")) % 6
     reply = (
         F.when(kind == 0, F.concat(F.lit("appropriateness: "), s[0], F.lit(", richness: "), s[1],
@@ -217,8 +219,8 @@ def rehearsal_input(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("uid").alias("id"),
         F.col("sid"),
         F.col("text").alias("response"),
-        *[rating(0, F.lit(i)).alias(f"p_{s}") for i, s in enumerate(short)],
-        *[F.when(~missing, rating(1, F.lit(i))).alias(f"o_{s}") for i, s in enumerate(short)],
+        *[rating(0, i).alias(f"p_{s}") for i, s in enumerate(short)],
+        *[F.when(~missing, rating(1, i)).alias(f"o_{s}") for i, s in enumerate(short)],
     )
 
 
