@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnscore.functions.text import NUMBER_RE, col, first_token, py_float, trim_ws
+from turnscore.functions.text import NUMBER_WS_RE, col, first_token, py_float
 from turnscore.schemas import DEFAULT_MISSING_SCORE, QUALITIES
 
 SPLIT_RE = "[:;|,!? \\t\\n]"
@@ -38,7 +38,9 @@ def parse_multi(reply: Column | str, quality: str, names: Sequence[str] = QUALIT
     name_arr = F.array(*[F.lit(n) for n in names])
     cands = F.filter(
         words,
-        lambda w, i: (i >= pos) & (F.array_contains(name_arr, w) | F.lower(trim_ws(w)).rlike(NUMBER_RE)),
+        # words are lower-cased already; the pattern absorbs the whitespace
+        # float() would strip, so no per-word trim or lower is needed
+        lambda w, i: (i >= pos) & (F.array_contains(name_arr, w) | w.rlike(NUMBER_WS_RE)),
     )
     first = F.get(cands, 0)
     return F.when((pos > 0) & ~F.array_contains(name_arr, first), py_float(first))

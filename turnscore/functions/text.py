@@ -16,6 +16,11 @@ NUMBER_RE = (
 )
 
 
+# NUMBER_RE allowing the outer whitespace Python's float() ignores (for tokens
+# that are already lower-cased)
+NUMBER_WS_RE = NUMBER_RE.replace("^", "^[ \\t\\n\\r\\x0b\\x0c]*", 1).replace("$", "[ \\t\\n\\r\\x0b\\x0c]*$")
+
+
 def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
