@@ -70,14 +70,19 @@ def correlations(
     pairs = df.select(*g, F.when(ok, F.col(gold).cast("double")).alias("_x"),
                       F.when(ok, F.col(pred).cast("double")).alias("_y"))
     pairs = pairs.groupBy(*g, "_x", "_y").agg(F.count(F.lit(1)).alias("_c"))
-    both = pairs.select(*g, "_c", F.inline(F.array(
+    # both columns are ranked in one pass: the pair rows are stacked by side,
+    # ranked together (group + side), joined to their ranks once and folded
+    # back to one row per pair
+    long = pairs.select(*g, "_x", "_y", "_c", F.inline(F.array(
         F.struct(F.lit("x").alias("_side"), F.col("_x").alias("_v")),
         F.struct(F.lit("y").alias("_side"), F.col("_y").alias("_v")),
     )))
-    rt = rank_table(both, "_v", g + ["_side"], "_rank", buckets, weight="_c")
-    rx = rt.where(F.col("_side") == "x").select(*g, F.col("_v").alias("_x"), F.col("_rank").alias("_rx"))
-    ry = rt.where(F.col("_side") == "y").select(*g, F.col("_v").alias("_y"), F.col("_rank").alias("_ry"))
-    j = pairs.join(rx, g + ["_x"], "left").join(ry, g + ["_y"], "left")
+    rt = rank_table(long, "_v", g + ["_side"], "_rank", buckets, weight="_c")
+    ranked = long.join(rt, g + ["_side", "_v"], "left")
+    j = ranked.groupBy(*g, "_x", "_y", "_c").agg(
+        F.max(F.when(F.col("_side") == "x", F.col("_rank"))).alias("_rx"),
+        F.max(F.when(F.col("_side") == "y", F.col("_rank"))).alias("_ry"),
+    )
     c = F.when(F.col("_x").isNotNull(), F.col("_c"))
 
     def wsum(e):
