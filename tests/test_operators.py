@@ -291,3 +291,16 @@ def test_retrieved_ids_unique_per_query(spark):
     self_hit = filled.where("query_id = ex_id").count()
     per_q = {r["query_id"]: r["count"] for r in filled.groupBy("query_id").count().collect()}
     assert dup == 0 and self_hit == 0 and set(per_q.values()) == {2} and len(per_q) == q.count()
+
+
+@pytest.mark.parametrize("block", [None, 1, 2, 3])
+def test_blocked_segments_equal_plain(spark, block):
+    rnd = random.Random(5)
+    rows = [(d, t, f"r{d}.{t}", str(t) if rnd.random() < 0.7 else str(t * 10)) for d in range(5)
+            for t in range(rnd.randint(1, 12))]
+    df = spark.createDataFrame(rows, "d int, turn int, response string, label string")
+    plain = {(r["d"], r["turn"]): (r["segment"], r["context"], r["is_first"])
+             for r in dl.segment_context(df, "d", "turn", "label", "response", block_size=None).collect()}
+    got = {(r["d"], r["turn"]): (r["segment"], r["context"], r["is_first"])
+           for r in dl.segment_context(df, "d", "turn", "label", "response", block_size=block).collect()}
+    assert plain == got

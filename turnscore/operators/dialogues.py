@@ -9,6 +9,8 @@ turns (off by default, so contexts stay whole).
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,18 +88,24 @@ def prepare_pairs(df: DataFrame, insert_speaker: bool = False, context: str = "c
     return df.withColumn(context, trim_ws(context)).withColumn(response, r)
 
 
+def _keys(k: str | Sequence[str]) -> list[str]:
+    return [k] if isinstance(k, str) else list(k)
+
+
 def dialogue_context(
     df: DataFrame,
-    dialogue: str = "dialogue_id",
+    dialogue: str | Sequence[str] = "dialogue_id",
     turn: str = "turn_id",
     text: str = "text",
     insert_speaker: bool = False,
     max_history: int | None = None,
     out: str = "context",
     block_size: int | None = 256,
+    trim: bool = True,
 ) -> DataFrame:
     """Context of a turn = all earlier (kept) turns of its dialogue,
-    trimmed, joined by newline; empty for the first kept turn.
+    trimmed, joined by newline; empty for the first kept turn. ``dialogue``
+    may be several key columns (W2 uses dialogue and segment).
 
     With ``block_size`` (default) a dialogue is cut into blocks of turn
     numbers: the history inside a block is a window over ``(dialogue,
@@ -106,29 +114,50 @@ def dialogue_context(
     joined back. A dialogue holding a large share of all rows is then spread
     over its blocks instead of one window task; the result is identical to
     the plain window (``block_size=None``)."""
-    t = trim_ws(text)
+    keys = _keys(dialogue)
+    t = trim_ws(text) if trim else F.col(text)
     if max_history is not None or block_size is None:
         lo = Window.unboundedPreceding if max_history is None else -max_history
-        w = Window.partitionBy(dialogue).orderBy(turn).rowsBetween(lo, -1)
+        w = Window.partitionBy(*keys).orderBy(turn).rowsBetween(lo, -1)
         ctx = F.array_join(F.collect_list(t).over(w), "\n")
         return df.withColumn(out, speaker_tags(ctx) if insert_speaker else ctx)
     blk = F.floor(F.col(turn) / F.lit(block_size))
     x = df.withColumn("_t", t).withColumn("_blk", blk)
-    inside = Window.partitionBy(dialogue, "_blk").orderBy(turn).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*keys, "_blk").orderBy(turn).rowsBetween(Window.unboundedPreceding, -1)
     x = x.withColumn("_in", F.collect_list("_t").over(inside))
-    blocks = x.groupBy(dialogue, "_blk").agg(
+    blocks = x.groupBy(*keys, "_blk").agg(
         F.transform(F.sort_array(F.collect_list(F.struct(F.col(turn).alias("k"), F.col("_t").alias("v")))),
                     lambda s: s["v"]).alias("_arr")
     )
-    earlier = Window.partitionBy(dialogue).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    prefix = blocks.select(dialogue, "_blk", F.flatten(F.collect_list("_arr").over(earlier)).alias("_pre"))
-    j = x.join(prefix, [dialogue, "_blk"], "left")
+    earlier = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    prefix = blocks.select(*keys, "_blk", F.flatten(F.collect_list("_arr").over(earlier)).alias("_pre"))
+    j = x.join(prefix, keys + ["_blk"], "left")
     ctx = F.array_join(F.concat(F.coalesce("_pre", F.array().cast("array<string>")), "_in"), "\n")
     if insert_speaker:
         ctx = speaker_tags(ctx)
     return j.withColumn(out, ctx).drop("_t", "_blk", "_in", "_pre")
 
 
+def running_count(df: DataFrame, dialogue: str, turn: str, flag: str, out: str,
+                  block_size: int | None = 256) -> DataFrame:
+    """Number of ``flag`` rows at or before each turn of its dialogue. Blocked
+    like the history: in-block running sums plus the totals of earlier blocks
+    (a window over one row per block), so a hot dialogue is not one task."""
+    f = F.col(flag).cast("int")
+    if block_size is None:
+        w = Window.partitionBy(dialogue).orderBy(turn).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumn(out, F.sum(f).over(w))
+    x = df.withColumn("_blk", F.floor(F.col(turn) / F.lit(block_size)))
+    inside = Window.partitionBy(dialogue, "_blk").orderBy(turn).rowsBetween(Window.unboundedPreceding, 0)
+    x = x.withColumn("_in", F.sum(f).over(inside))
+    totals = x.groupBy(dialogue, "_blk").agg(F.sum(f).alias("_bt"))
+    earlier = Window.partitionBy(dialogue).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    prefix = totals.select(dialogue, "_blk", F.coalesce(F.sum("_bt").over(earlier), F.lit(0)).alias("_pre"))
+    return x.join(prefix, [dialogue, "_blk"], "left").withColumn(
+        out, (F.coalesce("_pre", F.lit(0)) + F.col("_in")).cast("long")
+    ).drop("_blk", "_in", "_pre")
+
+
 def segment_context(
     df: DataFrame,
     dialogue: str = "dialogue_id",
@@ -136,16 +165,16 @@ def segment_context(
     turn_label: str = "turn_last",
     text: str = "response",
     strict: bool = False,
+    block_size: int | None = 256,
 ) -> DataFrame:
     """A turn whose id ends in ``0`` (``strict``: equals 0) starts a new
     segment and resets the history; later turns see all responses since the
-    reset. Adds ``is_first``, ``segment`` and ``context``."""
+    reset (raw, not trimmed). Adds ``is_first``, ``segment`` and ``context``.
+    Both the segment numbering and the history are blocked against hot
+    dialogues."""
     first = (F.col(turn) == 0) if strict else F.col(turn_label).endswith("0")
-    order = Window.partitionBy(dialogue).orderBy(turn)
-    seg = F.sum(first.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    with_seg = df.withColumn("is_first", first).withColumn("segment", seg)
-    w = Window.partitionBy(dialogue, "segment").orderBy(turn).rowsBetween(Window.unboundedPreceding, -1)
-    return with_seg.withColumn("context", F.array_join(F.collect_list(text).over(w), "\n"))
+    with_seg = running_count(df.withColumn("is_first", first), dialogue, turn, "is_first", "segment", block_size)
+    return dialogue_context(with_seg, [dialogue, "segment"], turn, text, block_size=block_size, trim=False)
 
 
 def two_view(p: Column, o: Column, original_present: Column) -> Column:

@@ -174,7 +174,9 @@ def s8(spark, sf_dir):
     runs = io.read_runs(spark, root)
     s = ad.scored_turns(spark, sf_dir).where(F.col("sid") == "Chatbot").select(
         "uid", "quality", "score", F.lit("run-a").alias("run_id"))
-    return s.join(F.broadcast(runs.select("run_id", "prompt")), "run_id").select(
+    # the runs table grows with the number of runs: no forced broadcast, AQE
+    # broadcasts it at run time when it is small
+    return s.join(runs.select("run_id", "prompt"), "run_id").select(
         "uid", "quality", "score", "run_id", "prompt")
 
 
