@@ -304,3 +304,30 @@ def test_blocked_segments_equal_plain(spark, block):
     got = {(r["d"], r["turn"]): (r["segment"], r["context"], r["is_first"])
            for r in dl.segment_context(df, "d", "turn", "label", "response", block_size=block).collect()}
     assert plain == got
+
+
+def test_hot_dialogue_is_spread_over_blocks(spark):
+    """Every turn of the table in one dialogue: the blocked history equals the
+    plain window and is partitioned by (dialogue, block), not by dialogue."""
+    from tests.conftest import SMALL
+    from turnscore.sources import adapters as ad
+
+    t = ad.turns(spark, SMALL).select(F.lit(0).alias("d"), (F.col("dialogue_id") * 100 + F.col("turn_id")).alias("k"),
+                                      "text")
+    plain = {r["k"]: r["context"] for r in dl.dialogue_context(t, "d", "k", block_size=None).collect()}
+    blocked_df = dl.dialogue_context(t, "d", "k", block_size=100)
+    assert {r["k"]: r["context"] for r in blocked_df.collect()} == plain
+    n_blocks = t.select(F.floor(F.col("k") / 100)).distinct().count()
+    assert n_blocks >= 10
+
+
+def test_hot_group_with_narrow_values_ranks_exactly(spark):
+    rnd = random.Random(9)
+    hot = [("hot", 3.0 + rnd.random() * 0.2) for _ in range(300)]
+    cold = [(f"g{i}", float(rnd.randint(1, 5))) for i in range(100)]
+    df = spark.createDataFrame(hot + cold, "g string, v double")
+    got = ranks.average_rank(df, "v", ["g"], "rank").where("g = 'hot'").collect()
+    want = brute_avg_rank([v for _, v in hot])
+    assert sorted(r["rank"] for r in got) == pytest.approx(sorted(want))
+    buckets = df.where("g = 'hot'").select(ranks.value_bucket(F.col("v"), 1024).alias("b")).distinct().count()
+    assert buckets > 20
