@@ -167,11 +167,11 @@ def dialogue_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dialogue dataset rows (S1 shape, flat): one row per turn with its raw
     history as ``context`` and the turn as ``response``, language variants,
     and a catalogue dataset assigned by ``conv_id % 24``."""
-    from pyspark.sql import Window
+    from turnscore.operators.dialogues import dialogue_context
 
-    t = turns(spark, sf_dir)
-    w = Window.partitionBy("dialogue_id").orderBy("turn_id").rowsBetween(Window.unboundedPreceding, -1)
-    ctx = F.array_join(F.collect_list("text").over(w), "\n")
+    # raw history (not trimmed), blocked against hot dialogues
+    t = dialogue_context(turns(spark, sf_dir), "dialogue_id", "turn_id", "text", out="context", trim=False)
+    ctx = F.col("context")
     resp = F.when((F.col("dialogue_id") + F.col("turn_id")) % 17 == 0, F.lit("")).otherwise(F.col("text"))
     names = F.array(*[F.lit(n) for n in DATASET_NAMES])
     base = t.select(
