@@ -59,8 +59,13 @@ def sf_table(spark: SparkSession, sf_dir: str, name: str):
 
 
 def reliable_checkpoint(df):
-    """Cut lineage before iterative work: ``DataFrame.checkpoint`` into the
-    shared checkpoint folder (never ``localCheckpoint``: an executor loss
-    must not lose the data)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut lineage before expensive or iterative work by writing the rows
+    once as a Parquet table in the shared checkpoint folder and reading it
+    back. Unlike ``RDD.checkpoint`` (whose file-writing job recomputes the
+    lineage unless it is cached) the rows are computed exactly once, and a
+    lost executor later re-reads files instead of recomputing (never
+    ``localCheckpoint``, whose blocks die with the executor)."""
+    spark = df.sparkSession
+    path = scratch_path(spark, "materialized")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
