@@ -44,6 +44,20 @@ class RankCorrelationEvaluator(Evaluator):
         return self.metric != "log_cosh"
 
 
+def dev_metrics(pred: DataFrame, label: str = "label", prediction: str = "prediction") -> dict[str, float]:
+    """Spearman and Pearson (one correlation pass) and log-cosh of a scored
+    dev set; two small jobs."""
+    d = pred.select(F.col(label).cast("double").alias("gold"), F.col(prediction).cast("double").alias("score"),
+                    F.lit("all").alias("g"))
+    c = correlations(d, ["g"]).first()
+    lc = log_cosh_loss(d, ["g"]).first()
+
+    def val(row, k):
+        return float(row[k]) if row is not None and row[k] is not None else float("nan")
+
+    return {"spearman": val(c, "spearman"), "pearson": val(c, "pearson"), "log_cosh": val(lc, "log_cosh")}
+
+
 def features(df: DataFrame, vec: str = "features") -> DataFrame:
     """Embedding arrays as ML vectors."""
     return df.withColumn("_vec", array_to_vector(F.col(vec)))

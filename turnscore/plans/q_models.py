@@ -112,11 +112,8 @@ def m5(spark, sf_dir):
     n_train = train.count()
     rows = []
     for rp, m in models:
-        pred = m.transform(rg.features(dev))
-        rows.append((float(rp), int(n_train),
-                     rg.RankCorrelationEvaluator("spearman").evaluate(pred),
-                     rg.RankCorrelationEvaluator("pearson").evaluate(pred),
-                     rg.RankCorrelationEvaluator("log_cosh").evaluate(pred)))
+        met = rg.dev_metrics(m.transform(rg.features(dev)))
+        rows.append((float(rp), int(n_train), met["spearman"], met["pearson"], met["log_cosh"]))
     return spark.createDataFrame(rows, "reg_param double, n_train long, dev_spearman double, dev_pearson double, "
                                        "dev_log_cosh double")
 
@@ -144,8 +141,11 @@ def m7(spark, sf_dir):
     _, dev, models = _fit(spark, sf_dir)
     best = rg.select_best(models, dev, 1)[0][2]
     pred = best.transform(rg.features(dev))
-    rows = [(m, rg.RankCorrelationEvaluator(m).evaluate(pred)) for m in ("spearman", "pearson", "log_cosh")]
-    return spark.createDataFrame(rows, "metric string, value double")
+    ev = rg.RankCorrelationEvaluator("spearman")
+    met = rg.dev_metrics(pred)
+    rows = [("evaluator_spearman", ev.evaluate(pred), ev.isLargerBetter())]
+    rows += [(k, v, k != "log_cosh") for k, v in met.items()]
+    return spark.createDataFrame(rows, "metric string, value double, larger_is_better boolean")
 
 
 @query("E6_train_on_embeddings")
