@@ -331,3 +331,53 @@ def test_hot_group_with_narrow_values_ranks_exactly(spark):
     assert sorted(r["rank"] for r in got) == pytest.approx(sorted(want))
     buckets = df.where("g = 'hot'").select(ranks.value_bucket(F.col("v"), 1024).alias("b")).distinct().count()
     assert buckets > 20
+
+
+def test_label_coverage_reports_unmapped_datasets(spark):
+    rows = spark.createDataFrame([("fed-dial",), ("fed-dial",), ("humod",)], "dataset string")
+    gold = spark.createDataFrame([("x", "humod", "relevance", 3.0), ("y", "humod", "grammatical", None)],
+                                 "dialogue_id string, dataset string, quality string, gold double")
+    cov = {(r["dataset"], r["quality"]): r for r in gd.label_coverage(spark, gold, rows, QUALITIES).collect()}
+    assert not any(cov[("fed-dial", q)]["mapped"] for q in QUALITIES)
+    assert cov[("fed-dial", "relevance")]["n_missing"] == 2
+    assert cov[("humod", "relevance")]["mapped"] and cov[("humod", "relevance")]["n_missing"] == 0
+    assert cov[("humod", "grammatical")]["n_missing"] == 1 and not cov[("humod", "richness")]["mapped"]
+
+
+def test_score_distribution_bins(spark):
+    df = spark.createDataFrame([("q", 1.0, 5.0), ("q", 5.0, 0.0), ("q", None, 3.0)], "quality string, gold double, "
+                                                                                       "score double")
+    got = {(r["kind"], r["gold_bin"], r["pred_bin"]): r["n"] for r in ag.score_distribution(df, ["quality"]).collect()}
+    assert got[("gold", 0, None)] == 1 and got[("gold", 31, None)] == 1
+    assert got[("pred", None, 31)] == 1 and got[("pred", None, 0)] == 1 and got[("pred", None, 16)] == 1
+    assert got[("joint", 0, 31)] == 1 and got[("joint", 31, 0)] == 1 and sum(got.values()) == 7
+
+
+def test_parse_uid_routes_bad_prefixes(spark):
+    df = spark.createDataFrame([("TEST-0001-0003",), ("DEV-0001-0003",), ("TEST-0001",), (None,)], "uid string")
+    got = {r["uid"]: r for r in df.select("uid", *dl.parse_uid("uid")).collect()}
+    assert got["TEST-0001-0003"]["prefix_ok"] and got["TEST-0001-0003"]["turn_last"] == "0003"
+    assert not got["DEV-0001-0003"]["prefix_ok"] and not got["TEST-0001"]["prefix_ok"]
+    kept = {r["uid"] for r in dl.drop_first_turns(spark.createDataFrame(
+        [("TEST-0001-0000",), ("TEST-0001-0010",), (None,)], "uid string")).collect()}
+    assert kept == {"TEST-0001-0010", None}
+
+
+def test_ids_and_samples_do_not_depend_on_partitioning(spark):
+    from turnscore.functions import ids
+
+    base = spark.range(200).withColumnRenamed("id", "ex_id")
+    a = {r["ex_id"]: r["s"] for r in base.select("ex_id", ids.stable_id(7, "ex_id").alias("s")).collect()}
+    b = {r["ex_id"]: r["s"] for r in base.repartition(13).select("ex_id", ids.stable_id(7, "ex_id").alias("s")).collect()}
+    assert a == b
+    s1 = [r["ex_id"] for r in rt.sample_examples(base, 5, 42).collect()]
+    s2 = [r["ex_id"] for r in rt.sample_examples(base.repartition(7), 5, 42).collect()]
+    assert s1 == s2 and len(set(s1)) == 5
+
+
+def test_union_keeps_duplicates_and_fills_columns(spark):
+    a = spark.createDataFrame([("x", "r")], "dialogue_id string, response string")
+    b = spark.createDataFrame([("x", "m")], "dialogue_id string, model string")
+    u = sb.union_datasets({"a": a, "b": b}).collect()
+    assert len(u) == 2 and {r["dataset"] for r in u} == {"a", "b"}
+    assert {(r["model"], r["response"]) for r in u} == {(None, "r"), ("m", None)}
