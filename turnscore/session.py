@@ -69,3 +69,25 @@ def reliable_checkpoint(df):
     path = scratch_path(spark, "materialized")
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def cluster_conf(input_bytes: int, total_cores: int, target_partition_bytes: int = 256 * 1024 * 1024) -> dict:
+    """Settings for a cluster run sized from the input: shuffle partitions so
+    a post-shuffle partition stays near ``target_partition_bytes`` (at least
+    two waves of the cluster's cores), the same size for file splits, AQE
+    coalescing and skew-join splitting on. Apply with
+    ``SparkSession.builder.config(map=...)`` (or ``spark.conf.set`` for the SQL
+    ones)."""
+    parts = max(2 * total_cores, -(-input_bytes // target_partition_bytes))
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(target_partition_bytes),
+        "spark.sql.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
+    }
