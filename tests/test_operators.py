@@ -381,3 +381,11 @@ def test_union_keeps_duplicates_and_fills_columns(spark):
     u = sb.union_datasets({"a": a, "b": b}).collect()
     assert len(u) == 2 and {r["dataset"] for r in u} == {"a", "b"}
     assert {(r["model"], r["response"]) for r in u} == {(None, "r"), ("m", None)}
+
+
+def test_group_without_pairs_is_kept_with_nulls(spark):
+    rows = [("empty", None, 1.0), ("empty", 2.0, None), ("ok", 1.0, 2.0), ("ok", 2.0, 1.0), ("ok", 3.0, 3.0)]
+    df = spark.createDataFrame(rows, "q string, gold double, score double")
+    got = {r["q"]: r for r in ag.correlations(df, ["q"]).collect()}
+    assert got["empty"]["n"] == 0 and got["empty"]["pearson"] is None and got["empty"]["spearman"] is None
+    assert got["ok"]["n"] == 3 and got["ok"]["spearman"] == pytest.approx(0.5)
