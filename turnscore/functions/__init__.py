@@ -1,0 +1 @@
+"""Column expressions: prompt rendering, reply parsing, text helpers, stable ids, statistics."""
