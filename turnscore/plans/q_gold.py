@@ -67,7 +67,7 @@ LEFT JOIN (SELECT dataset, quality, count(gold) AS n_gold FROM a2 GROUP BY datas
 )
 def a9(spark, sf_dir):
     gold = gd.composite_quality(_values(spark, sf_dir))
-    rows = ad.dialogue_rows(spark, sf_dir).select("dataset")
+    rows = ad.dialogue_keys(spark, sf_dir).select("dataset")
     return gd.label_coverage(spark, gold, rows, QUALITIES)
 
 
@@ -86,7 +86,7 @@ def s4(spark, sf_dir):
     aggregation rule, file path, annotation count and mapped qualities."""
     cat = cg.catalogue(spark).select("dataset", "rule", "path", "n_annotations").distinct()
     nq = cg.quality_mapping(spark).groupBy("dataset").agg(F.countDistinct("quality").alias("n_qualities"))
-    rows = ad.dialogue_rows(spark, sf_dir).groupBy("dataset").agg(F.count(F.lit(1)).alias("n_rows"))
+    rows = ad.dialogue_keys(spark, sf_dir).groupBy("dataset").agg(F.count(F.lit(1)).alias("n_rows"))
     meta = cat.join(nq, "dataset", "left").select(
         "dataset", "rule", "path", "n_annotations", F.coalesce("n_qualities", F.lit(0)).alias("n_qualities")
     )

@@ -194,12 +194,25 @@ def dialogue_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def dialogue_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dialogue rows' keys and catalogue dataset without the history
+    (for rating work that never reads the context)."""
+    t = turns(spark, sf_dir)
+    names = F.array(*[F.lit(n) for n in DATASET_NAMES])
+    return t.select(
+        F.col("uid").alias("dialogue_id"),
+        F.col("dialogue_id").alias("conv_id"),
+        "turn_id", "text",
+        F.element_at(names, (F.col("dialogue_id") % len(DATASET_NAMES) + 1).cast("int")).alias("dataset"),
+    )
+
+
 def annotation_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long annotator lists: ``(dialogue_id, dataset, annotation, position,
     rule, ratings)``; the list is empty when
     ``(conv_id + turn + position) % 11 = 0``. The catalogue side is a fixed
     107-row table, broadcast by construction."""
-    rows = dialogue_rows(spark, sf_dir).select("dialogue_id", "conv_id", "turn_id", "text", "dataset")
+    rows = dialogue_keys(spark, sf_dir)
     cat = F.broadcast(catalogue(spark).select("dataset", "annotation", "position", "rule"))
     j = rows.join(cat, "dataset")
     r = [rating(k, "position", dialogue="conv_id") for k in range(3)]
