@@ -83,3 +83,23 @@ def test_entry_smoke(spark):
     rows = entry(spark).collect()
     assert {r["quality"] for r in rows} <= {"appropriateness", "richness", "grammatical", "relevance"}
     assert len(rows) == 4
+
+
+def test_e1_scoring_plan_has_one_python_node_and_no_cartesian(spark):
+    from turnscore.functions import prompts, replies
+    from turnscore.operators import scoring
+    from turnscore.plans.q_text import chatbot_pairs
+
+    p = prompts.get_prompt("op-all-02")
+    pairs = chatbot_pairs(spark, SMALL).withColumn("prompt", prompts.render_prompt(p))
+    raw = scoring.batch_score(pairs, keep=("uid", "context", "response", "prompt"))
+    parsed = replies.parse_replies(raw, p.qualities, "reply", keep=("uid", "call_failed"))
+    assert checks.python_nodes(parsed) == 1
+    assert checks.plan_problems(parsed) == []
+
+
+def test_mining_job_has_no_cartesian(spark):
+    from __spark_entry__ import queries
+
+    plan = checks.physical_plan(queries()["E4_mine_hard_set"](spark, SMALL))
+    assert not any(op in plan for op in checks.FORBIDDEN)

@@ -25,9 +25,10 @@ from turnscore.sources import io
 
 def load_dialogue_dataset(
     spark: SparkSession, root: str, dataset: str, eval_type: str = "en", insert_speaker: bool = False,
-    banned_contexts: DataFrame | None = None, multiline: bool = True,
+    banned_contexts: DataFrame | None = None, multiline: bool = True, max_turns: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """One dev/train dataset: prepared pairs and long gold."""
+    """One dev/train dataset: prepared pairs and long gold. ``max_turns``
+    keeps the first rows by id (T3); the gold follows the kept rows."""
     rule, annotations = cg.lookup(dataset)
     raw = io.read_dialogue_json(spark, cg.dataset_path(dataset, root), dialogue_schema(annotations), multiline)
     if banned_contexts is not None:  # J4 on the raw English context
@@ -38,6 +39,9 @@ def load_dialogue_dataset(
         "dialogue_id", F.lit(dataset).alias("dataset"), "annotation", "ratings", F.lit(rule).alias("rule")
     )
     gold = gd.composite_quality(gd.annotator_aggregate(lists)).select("dialogue_id", "quality", "gold")
+    if max_turns is not None:
+        pairs = sb.cap_rows(pairs, max_turns, ("dialogue_id",))
+        gold = gold.join(pairs.select("dialogue_id"), "dialogue_id", "left_semi")
     return pairs, gold
 
 
@@ -55,6 +59,7 @@ _ALL_DIMS = tuple(TURN_DIMENSIONS) + tuple(DIAL_DIMENSIONS)
 
 def load_test_turns(
     spark: SparkSession, turns_csv: str, gold_csv: str, insert_speaker: bool = False,
+    max_examples: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Task 2 test turns (``UID, SID, PARAPHRASES``): first turns dropped, the
     history of each turn (optionally speaker-tagged), the raw paraphrase as
@@ -69,6 +74,8 @@ def load_test_turns(
     kept = dl.drop_first_turns(turns, "uid", "000")
     hist = dl.dialogue_context(kept, "dialogue_key", "turn_id", "text", insert_speaker=insert_speaker)
     pairs = hist.select("uid", "sid", "prefix_ok", "context", F.col("text").alias("response"))
+    if max_examples is not None:  # T3: after the history, so contexts stay whole
+        pairs = sb.cap_rows(pairs, max_examples, ("uid",))
     gold_file = read_challenge_csv(spark, gold_csv, _ALL_DIMS).withColumn("_row", F.monotonically_increasing_id())
     looked = sb.gold_lookup(pairs.select("uid"), gold_file, uid="uid", gold_key="UID_TEST", order="_row")
     gold = gd.challenge_to_long(looked.withColumnRenamed("uid", "UID"))
