@@ -25,7 +25,9 @@ from pyspark.sql import types as T
 
 from turnscore.functions.ids import sample_key
 
-DEFAULT_MAX_BROADCAST_BYTES = 64 * 1024 * 1024
+# a query chunk is shipped to every executor once; 256 MB of float64 vectors
+# (about 500k queries of 64 dims) per chunk keeps store re-scans rare
+DEFAULT_MAX_BROADCAST_BYTES = 256 * 1024 * 1024
 _CAND = T.StructType(
     [
         T.StructField("query_id", T.LongType()),
