@@ -389,3 +389,13 @@ def test_group_without_pairs_is_kept_with_nulls(spark):
     got = {r["q"]: r for r in ag.correlations(df, ["q"]).collect()}
     assert got["empty"]["n"] == 0 and got["empty"]["pearson"] is None and got["empty"]["spearman"] is None
     assert got["ok"]["n"] == 3 and got["ok"]["spearman"] == pytest.approx(0.5)
+
+
+def test_knn_chunked_queries_equal_single_chunk(spark):
+    rnd = random.Random(21)
+    rows = [(i, [rnd.random() for _ in range(3)]) for i in range(40)]
+    store = spark.createDataFrame(rows, "ex_id long, embedding array<double>")
+    q = store.select(F.col("ex_id").alias("query_id"), "embedding")
+    one = sorted(tuple(r) for r in rt.nearest(q, store, 3).collect())
+    many = sorted(tuple(r) for r in rt.nearest(q, store, 3, max_broadcast_bytes=3 * 8 * 5).collect())
+    assert one == many and len(one) == 40 * 3
