@@ -83,35 +83,25 @@ def correlations(
         F.max(F.when(F.col("_side") == "x", F.col("_rank"))).alias("_rx"),
         F.max(F.when(F.col("_side") == "y", F.col("_rank"))).alias("_ry"),
     )
-    c = F.when(F.col("_x").isNotNull(), F.col("_c"))
-
-    def wsum(e):
-        return F.sum(c * e)
-
+    # weighted moments of values and ranks; one SQL expression each (the
+    # counts are weights: a pair row stands for _c input rows)
+    w = "CASE WHEN _x IS NOT NULL THEN _c END"
+    sums = {"_sx": "_x", "_sy": "_y", "_sxx": "_x * _x", "_syy": "_y * _y", "_sxy": "_x * _y",
+            "_rsx": "_rx", "_rsy": "_ry", "_rsxx": "_rx * _rx", "_rsyy": "_ry * _ry", "_rsxy": "_rx * _ry"}
     agg = j.groupBy(*g).agg(
-        F.coalesce(F.sum(c), F.lit(0)).cast("long").alias("n"),
-        wsum(F.col("_x")).alias("_sx"), wsum(F.col("_y")).alias("_sy"),
-        wsum(F.col("_x") * F.col("_x")).alias("_sxx"), wsum(F.col("_y") * F.col("_y")).alias("_syy"),
-        wsum(F.col("_x") * F.col("_y")).alias("_sxy"),
-        wsum(F.col("_rx")).alias("_rsx"), wsum(F.col("_ry")).alias("_rsy"),
-        wsum(F.col("_rx") * F.col("_rx")).alias("_rsxx"), wsum(F.col("_ry") * F.col("_ry")).alias("_rsyy"),
-        wsum(F.col("_rx") * F.col("_ry")).alias("_rsxy"),
-        (F.min("_x") < F.max("_x")).alias("_vx"), (F.min("_y") < F.max("_y")).alias("_vy"),
+        F.expr(f"CAST(coalesce(sum({w}), 0) AS BIGINT)").alias("n"),
+        *[F.expr(f"sum({w} * {e})").alias(k) for k, e in sums.items()],
+        F.expr("min(_x) < max(_x)").alias("_vx"), F.expr("min(_y) < max(_y)").alias("_vy"),
     )
 
-    def corr(sx, sy, sxx, syy, sxy):
-        n = F.col("n").cast("double")
-        cov = F.col(sxy) - F.col(sx) * F.col(sy) / n
-        vx = F.col(sxx) - F.col(sx) * F.col(sx) / n
-        vy = F.col(syy) - F.col(sy) * F.col(sy) / n
-        r = cov / F.sqrt(vx * vy)
-        return F.when(F.col("_vx") & F.col("_vy") & (vx > 0) & (vy > 0), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
-
-    return agg.select(
-        *g, "n",
-        corr("_sx", "_sy", "_sxx", "_syy", "_sxy").alias("pearson"),
-        corr("_rsx", "_rsy", "_rsxx", "_rsyy", "_rsxy").alias("spearman"),
-    )
+    def corr(p: str) -> Column:
+        cov = f"({p}sxy - {p}sx * {p}sy / n)"
+        vx = f"({p}sxx - {p}sx * {p}sx / n)"
+        vy = f"({p}syy - {p}sy * {p}sy / n)"
+        return F.expr(f"CASE WHEN _vx AND _vy AND {vx} > 0 AND {vy} > 0 "
+                      f"THEN greatest(-1.0D, least(1.0D, {cov} / sqrt({vx} * {vy}))) END")
+
+    return agg.select(*g, "n", corr("_").alias("pearson"), corr("_r").alias("spearman"))
 
 
 def macro_mean(per_quality: DataFrame, group: Sequence[str] = ()) -> DataFrame:
