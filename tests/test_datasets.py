@@ -71,3 +71,32 @@ def test_test_turns_and_grading_from_csv(spark):
     for dim in TURN_DIMENSIONS:
         assert graded[dim]["n"] == ref[dim]["n"]
         assert graded[dim]["spearman"] == pytest.approx(ref[dim]["spearman"])
+
+
+def test_scoring_with_static_and_retrieved_examples(spark):
+    from turnscore.plans import jobs
+    from turnscore.plans.q_text import chatbot_pairs
+
+    store = ad.store(spark, SMALL)
+    pairs = chatbot_pairs(spark, SMALL)
+    block = jobs.static_examples_block(store, "op-all-egs-rehearsal-copy-hard5-02")
+    assert block.count("Dialogue:") == 5 and "relevance:" in block
+    from turnscore.functions import prompts
+
+    p = prompts.get_prompt("op-all-egs-rehearsal-copy-hard5-02")
+    rendered = pairs.select(prompts.render_prompt(p, examples=F.lit(block)).alias("t"))
+    assert rendered.where(F.col("t").contains("Rated examples")).count() == pairs.count()
+    parsed, errors, _ = jobs.score_and_evaluate(pairs, "op-all-egs-rehearsal-copy-hard5-02", examples=block)
+    assert parsed.count() == 4 * pairs.count()
+
+    # retrieval: each turn's context is keyed by a vector of the store table
+    # (the driver tables carry no text encoder, so the turn's dialogue id picks one)
+    emb = spark.read.parquet(f"{SMALL}/embeddings.parquet")
+    keyed = pairs.withColumn("query_id", F.substring("uid", 6, 4).cast("long"))
+    q = keyed.join(emb.select(F.col("vec_id").alias("query_id"), "embedding"), "query_id").select(
+        "query_id", "embedding").distinct()
+    blocks = jobs.retrieved_examples_blocks(q, store, "vh-relevance-2egs-dd-zhao-retrieval-01")
+    per_uid = keyed.join(blocks, "query_id").select("uid", "examples")
+    assert per_uid.where(F.col("examples").contains("relevance:")).count() == per_uid.count() > 0
+    parsed2, _, _ = jobs.score_and_evaluate(pairs, "vh-relevance-2egs-dd-zhao-retrieval-01", examples=per_uid)
+    assert parsed2.count() == pairs.count()

@@ -54,22 +54,64 @@ def build_rehearsal(rehearsal_input: DataFrame, variant: str = "constant") -> Da
     return dl.rehearsal_rows(rehearsal_input, variant)
 
 
+def static_examples_block(store: DataFrame, prompt_name: str, seed: int = 42) -> str:
+    """J12 / T4 / F2 for a prompt with static examples: ``n`` rated examples
+    carrying every quality of the prompt, sampled reproducibly, rendered into
+    one block. At most ``n`` rows reach the driver."""
+    from turnscore.functions import prompts
+    from turnscore.operators import retrieval as rt
+
+    prompt = prompts.get_prompt(prompt_name)
+    rated = store.where(rt.has_qualities("qualities", prompt.qualities))
+    sample = rt.sample_examples(rated, prompt.n_examples, seed)
+    ratings = {q: F.try_element_at(F.col("qualities"), F.lit(q)) for q in prompt.qualities}
+    text = prompts.render_example(prompt, F.col("context"), F.col("response"), ratings)
+    block = prompts.examples_block(sample.withColumn("_text", text).withColumn("_g", F.lit(0)), ["_g"],
+                                   "sample_key", "_text").first()
+    return block["examples"] if block else ""
+
+
+def retrieved_examples_blocks(queries: DataFrame, store: DataFrame, prompt_name: str,
+                              backup: DataFrame | None = None) -> DataFrame:
+    """J9 -> J10 -> J11 -> F2 for a prompt with retrieved examples: per query
+    (``query_id``, ``embedding`` of its context) the rendered block of its
+    nearest rated examples. ``(query_id, examples)``."""
+    from turnscore.functions import prompts
+    from turnscore.operators import retrieval as rt
+
+    prompt = prompts.get_prompt(prompt_name)
+    chosen = rt.similar_examples(queries, store, prompt.n_examples, prompt.qualities, exclude_self=False)
+    filled = rt.backup_fill(chosen, queries, backup if backup is not None else store, prompt.n_examples,
+                            exclude_self=False)
+    pay = rt.example_payload(filled, store, prompt.qualities)
+    text = prompts.render_example(prompt, F.col("context"), F.col("response"), {q: F.col(q) for q in prompt.qualities})
+    return prompts.examples_block(pay.withColumn("_text", text), ["query_id"], "rank", "_text")
+
+
 def score_and_evaluate(
     pairs: DataFrame, prompt_name: str, scorer=None, gold: DataFrame | None = None,
-    qualities: Sequence[str] | None = None,
+    qualities: Sequence[str] | None = None, examples: DataFrame | str | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """F1 -> M1 -> F3-F5 -> A8 -> A3/A4 -> A6.
 
     ``pairs``: ``(uid, context, response)`` (history built, cleaned);
-    ``gold``: long ``(uid, quality, gold)``. Returns the long scores, the
-    parse-error totals and the per-quality agreement."""
+    ``gold``: long ``(uid, quality, gold)``; ``examples``: the block of a
+    static-example prompt (a string) or per-turn blocks ``(uid, examples)``
+    of a retrieval prompt. Returns the long scores, the parse-error totals
+    and the per-quality agreement."""
     from turnscore.functions import prompts, replies
     from turnscore.operators import scoring
 
     prompt = prompts.get_prompt(prompt_name)
     qs = tuple(qualities or prompt.qualities)
-    rendered = pairs.withColumn("prompt", prompts.render_prompt(prompt))
-    raw = scoring.batch_score(rendered, scorer)
+    block = None
+    if isinstance(examples, str):
+        block = F.lit(examples)
+    elif examples is not None:
+        pairs = pairs.join(examples.select("uid", F.col("examples").alias("_examples")), "uid", "left")
+        block = F.coalesce(F.col("_examples"), F.lit(""))
+    rendered = pairs.withColumn("prompt", prompts.render_prompt(prompt, examples=block))
+    raw = scoring.batch_score(rendered.select("uid", "context", "response", "prompt"), scorer)
     parsed = replies.parse_replies(raw, qs, "reply", default=prompt.default_missing_value, keep=("uid", "call_failed"))
     # model calls are the expensive step: materialise the scores once in the
     # shared checkpoint folder so the evaluation branches (and a recomputed
@@ -96,6 +138,8 @@ __all__ = [
     "mine_hard_set",
     "build_rehearsal",
     "score_and_evaluate",
+    "static_examples_block",
+    "retrieved_examples_blocks",
     "pooled_evaluation",
     "train_on_embeddings",
 ]
