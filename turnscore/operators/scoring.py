@@ -143,8 +143,9 @@ def pooled_embeddings(df: DataFrame, text: str = "response", id_col: str = "uid"
     from turnscore.operators.features import max_and_avg_pool
 
     e = embed_turns(df, text, id_col)
+    # an empty text has no token: a zero vector keeps every embedding the same length
     pooled = F.when(F.size("token_vectors") > 0, max_and_avg_pool("token_vectors")).otherwise(
-        F.array().cast("array<double>")
+        F.array_repeat(F.lit(0.0), 2 * EMBED_DIM)
     )
     return e.select(id_col, F.size("token_vectors").alias("n_tokens"),
                     F.transform(pooled, lambda x: x.cast("float")).alias("embedding"))

@@ -142,9 +142,41 @@ __all__ = [
     "retrieved_examples_blocks",
     "pooled_evaluation",
     "train_on_embeddings",
+    "embed_and_train",
 ]
 
 
+def embed_and_train(
+    train_sets: dict[str, DataFrame], dev: DataFrame, gold: DataFrame, store_root: str, run_id: str = "run",
+    id_col: str = "dialogue_id",
+) -> DataFrame:
+    """E6 end to end: U1 (pool the train sets) -> J4 (drop train rows whose
+    context occurs in dev) -> M3 (embed responses) -> S7 (store train/dev
+    embeddings, read them back) -> J6 (ensemble: embedding and its reverse)
+    -> P11 (drop unlabelled) -> M5 -> T5 -> M6. ``gold``: ``(id, label)``.
+    Returns dev predictions ``(id, prediction, gold)``."""
+    from turnscore.operators import features as fe
+    from turnscore.operators import gold as gd
+    from turnscore.operators import scoring
+    from turnscore.sources import io
+
+    train = sb.drop_banned_contexts(sb.union_datasets(train_sets), dev.select("context"))
+    spark = dev.sparkSession
+    for split, df in (("train", train), ("dev", dev)):
+        emb = scoring.pooled_embeddings(df.select(id_col, "response"), "response", id_col)
+        io.write_embeddings(emb, store_root, run_id, split, mode="append")
+    parts = []
+    for split in ("train", "dev"):
+        e = io.read_embeddings(spark, store_root, run_id, split)
+        m0 = e.select(id_col, "split", F.lit(0).alias("member"), "embedding")
+        m1 = e.select(id_col, "split", F.lit(1).alias("member"), F.reverse("embedding").alias("embedding"))
+        ens = fe.ensemble_features(m0.unionByName(m1), 2, id_col=id_col)
+        parts.append(ens.withColumn("split", F.lit(split)))
+    data = parts[0].unionByName(parts[1]).join(gold.select(id_col, "label"), id_col, "left")
+    data, _ = gd.drop_unlabelled(data, "label")
+    return train_on_embeddings(data)
+
+
 def train_on_embeddings(data: DataFrame, reg_params: Sequence[float] = (0.0, 0.1, 1.0), label: str = "label",
                         split: str = "split") -> DataFrame:
     """E6 (after J6 / P11): fit candidates on ``train``, keep the best by dev

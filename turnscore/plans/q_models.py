@@ -150,8 +150,17 @@ def m7(spark, sf_dir):
 
 @query("E6_train_on_embeddings")
 def e6(spark, sf_dir):
-    """Whole job: ensemble features -> drop unlabelled -> fit candidates ->
-    keep the best by dev Spearman -> predict dev."""
-    from turnscore.plans.jobs import train_on_embeddings
-
-    return train_on_embeddings(_ensembled(spark, sf_dir))
+    """Whole job: pool train sets of dialogue rows, drop rows whose context
+    occurs in dev, embed responses, store and reload the embeddings, ensemble,
+    drop unlabelled, fit candidates, keep the best by dev Spearman, predict
+    dev (gold: the appropriateness rating)."""
+    from turnscore.plans.jobs import embed_and_train
+    from turnscore.session import scratch_path
+
+    d = ad.dialogue_rows(spark, sf_dir)
+    dev = d.where(F.col("conv_id") % 5 == 0).select("dialogue_id", "context", "response")
+    rest = d.where(F.col("conv_id") % 5 != 0)
+    sets = {f"train-{k}": rest.where(F.col("conv_id") % 3 == k).select("dialogue_id", "context", "response")
+            for k in range(3)}
+    gold = ad.turns(spark, sf_dir).select(F.col("uid").alias("dialogue_id"), ad.gold_expr(0).alias("label"))
+    return embed_and_train(sets, dev, gold, scratch_path(spark, "e6-embeddings"))
