@@ -103,3 +103,19 @@ def test_mining_job_has_no_cartesian(spark):
 
     plan = checks.physical_plan(queries()["E4_mine_hard_set"](spark, SMALL))
     assert not any(op in plan for op in checks.FORBIDDEN)
+
+
+def test_sinks_are_idempotent_per_partition(spark):
+    root = tempfile.mkdtemp(prefix="ts-idem-") + "/results"
+    df = spark.createDataFrame([("u", 1.0), ("v", 2.0)], "uid string, score double")
+    io.write_results(df, root, "r1")
+    io.write_results(df, root, "r1")  # a retried job
+    io.write_results(df.limit(1), root, "r2")
+    counts = {r["run_id"]: r["count"] for r in spark.read.parquet(root).groupBy("run_id").count().collect()}
+    assert counts == {"r1": 2, "r2": 1}
+    runs = tempfile.mkdtemp(prefix="ts-runs-") + "/runs"
+    io.append_run(spark, runs, "a", "op-all-02", "m", 1)
+    io.append_run(spark, runs, "a", "op-all-02", "m", 2)
+    io.append_run(spark, runs, "b", "vh-relevance-01", "m", 3)
+    got = {r["run_id"]: r["seed"] for r in io.read_runs(spark, runs).collect()}
+    assert got == {"a": 2, "b": 3}

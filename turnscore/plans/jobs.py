@@ -164,7 +164,7 @@ def embed_and_train(
     spark = dev.sparkSession
     for split, df in (("train", train), ("dev", dev)):
         emb = scoring.pooled_embeddings(df.select(id_col, "response"), "response", id_col)
-        io.write_embeddings(emb, store_root, run_id, split, mode="append")
+        io.write_embeddings(emb, store_root, run_id, split)
     parts = []
     for split in ("train", "dev"):
         e = io.read_embeddings(spark, store_root, run_id, split)

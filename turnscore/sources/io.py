@@ -64,10 +64,19 @@ def write_nested_json(df: DataFrame, path: str, annotation_cols: Sequence[str],
     nest_annotations(df, annotation_cols).write.mode(mode).json(path)
 
 
-def write_results(df: DataFrame, root: str, run_id: str, mode: str = "append") -> None:
-    """S9 (and the run-result side of S3): append a scored table under
-    ``run_id=<id>``."""
-    df.withColumn("run_id", F.lit(run_id)).write.mode(mode).partitionBy("run_id").parquet(root)
+def _partition_write(df: DataFrame, root: str, parts: list[str]) -> None:
+    """Idempotent partitioned write: only the partitions present in ``df``
+    are replaced (dynamic partition overwrite), so a retried job or a re-run
+    epoch rewrites its own rows instead of appending duplicates."""
+    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+       .partitionBy(*parts).parquet(root))
+
+
+def write_results(df: DataFrame, root: str, run_id: str, extra_partitions: Sequence[str] = ()) -> None:
+    """S9 (and the run-result side of S3): publish a scored table as the
+    ``run_id=<id>`` partition of the results table (replacing that run's
+    earlier rows, other runs untouched)."""
+    _partition_write(df.withColumn("run_id", F.lit(run_id)), root, ["run_id", *extra_partitions])
 
 
 def read_results(spark: SparkSession, root: str, run_id: str) -> DataFrame:
@@ -75,10 +84,11 @@ def read_results(spark: SparkSession, root: str, run_id: str) -> DataFrame:
     return spark.read.parquet(root).where(F.col("run_id") == run_id)
 
 
-def write_embeddings(df: DataFrame, root: str, run_id: str, split: str, mode: str = "append") -> None:
-    """Embedding records (``ARRAY<FLOAT>``) under ``run_id``/``split``."""
-    (df.withColumn("run_id", F.lit(run_id)).withColumn("split", F.lit(split))
-       .write.mode(mode).partitionBy("run_id", "split").parquet(root))
+def write_embeddings(df: DataFrame, root: str, run_id: str, split: str) -> None:
+    """Embedding records (``ARRAY<FLOAT>``) as the ``run_id``/``split``
+    partition (idempotent, other runs and splits untouched)."""
+    _partition_write(df.withColumn("run_id", F.lit(run_id)).withColumn("split", F.lit(split)), root,
+                     ["run_id", "split"])
 
 
 def read_embeddings(spark: SparkSession, root: str, run_id: str, split: str) -> DataFrame:
@@ -98,10 +108,12 @@ RUN_SCHEMA = T.StructType(
 
 def append_run(spark: SparkSession, root: str, run_id: str, prompt: str, model_name: str, seed: int,
                **options) -> None:
-    """Persist one run record (all options as JSON)."""
+    """Persist one run record (all options as JSON) as the run's own
+    partition: recording the same run again replaces its record."""
     row = (run_id, prompt, model_name, int(seed), json.dumps(options, sort_keys=True))
-    spark.createDataFrame([row], RUN_SCHEMA).write.mode("append").parquet(root)
+    _partition_write(spark.createDataFrame([row], RUN_SCHEMA), root, ["run_id"])
 
 
 def read_runs(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.schema(RUN_SCHEMA).parquet(root)
+    """All run records (``run_id`` comes from the partition folders)."""
+    return spark.read.parquet(root).select(*RUN_SCHEMA.fieldNames())
