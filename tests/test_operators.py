@@ -399,3 +399,16 @@ def test_knn_chunked_queries_equal_single_chunk(spark):
     one = sorted(tuple(r) for r in rt.nearest(q, store, 3).collect())
     many = sorted(tuple(r) for r in rt.nearest(q, store, 3, max_broadcast_bytes=3 * 8 * 5).collect())
     assert one == many and len(one) == 40 * 3
+
+
+def test_knn_strategies_agree(spark):
+    rnd = random.Random(33)
+    store_rows = [(i, [rnd.random() for _ in range(4)]) for i in range(30)]
+    store = spark.createDataFrame(store_rows, "ex_id long, embedding array<double>")
+    q = spark.createDataFrame([(100 + i, [rnd.random() for _ in range(4)]) for i in range(50)] + [(3, store_rows[3][1])],
+                              "query_id long, embedding array<double>")
+    a = sorted(tuple(r) for r in rt.nearest(q, store, 4, strategy="store").collect())
+    b = sorted(tuple(r) for r in rt.nearest(q, store, 4, strategy="queries").collect())
+    c = sorted(tuple(r) for r in rt.nearest(q, store, 4).collect())
+    assert a == b == c and len(a) == 51 * 4
+    assert not any(r[0] == r[1] for r in a)  # query 3 excludes store row 3

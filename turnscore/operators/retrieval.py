@@ -1,16 +1,16 @@
 """Retrieval of rated examples: J9, J10, J11, J12, T4.
 
-Exact k-nearest neighbours (squared L2, ties by id) without a cross join:
+Exact k-nearest neighbours (squared L2, ties by id) without a cross join.
+The smaller side, by vector bytes and only behind a size check, is collected
+and shipped as a broadcast variable; the other side is scanned partition by
+partition (``mapInPandas``, Arrow batches) with BLAS distance blocks and an
+exact re-check:
 
-* the query side is collected only behind a size check (rows x dims x 8
-  bytes under ``max_broadcast_bytes``) and shipped as a broadcast variable;
-* the store is scanned partition by partition (``mapInPandas``, Arrow
-  batches); each partition keeps its own top ``k`` per query, so at most
-  ``k x partitions`` candidates per query are shuffled;
-* a window per query picks the final ``k``.
-
-Above the size bound the queries are processed in hash chunks, one broadcast
-per chunk, and the chunk results are unioned: still exact, never sampled.
+* store broadcast: each query's top k is complete in its task (no shuffle);
+* query broadcast: each store partition keeps its own top ``k`` per query, so
+  at most ``k x partitions`` candidates per query are shuffled, and a window
+  per query picks the final ``k``. Above the size bound the queries run in
+  hash chunks, one broadcast per chunk: still exact, never sampled.
 """
 
 from __future__ import annotations
@@ -117,6 +117,42 @@ def _partition_topk(bq, k: int, exclude_self: bool, block_cells: int = 4_000_000
     return run
 
 
+_OUT = T.StructType(_CAND.fields + [T.StructField("rk", T.IntegerType())])
+
+
+def _store_side_topk(bs, k: int, exclude_self: bool, block_cells: int = 4_000_000):
+    """mapInPandas body over *query* batches with the whole store broadcast
+    (``bs``): every query's exact top-k is complete inside its task."""
+
+    def run(batches):
+        sids, smat = bs.value
+        sxx = np.einsum("ij,ij->i", smat, smat)
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            qids = pdf["query_id"].to_numpy(dtype=np.int64)
+            qmat = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
+            step = max(1, block_cells // max(1, len(sids)))
+            for lo in range(0, len(qids), step):
+                ci, cd = _block_topk(sids, smat, sxx, qids[lo:lo + step], qmat[lo:lo + step], k, exclude_self)
+                best_ids, best_d = _merge(np.empty((len(ci), 0), np.int64), np.empty((len(ci), 0)), ci, cd, k)
+                keep = np.isfinite(best_d)
+                rows = np.repeat(qids[lo:lo + step], best_ids.shape[1])
+                rk = np.tile(np.arange(1, best_ids.shape[1] + 1, dtype=np.int32), len(best_ids))
+                flat = keep.ravel()
+                yield pd.DataFrame({"query_id": rows[flat], "ex_id": best_ids.ravel()[flat],
+                                    "dist": best_d.ravel()[flat], "rk": rk[flat]})
+
+    return run
+
+
+def _collect_side(df: DataFrame, id_col: str):
+    rows = df.collect()  # bounded by the caller's size check
+    ids = np.array([r[id_col] for r in rows], dtype=np.int64)
+    mat = np.array([r["embedding"] for r in rows], dtype=np.float64)
+    return ids, mat
+
+
 def nearest(
     queries: DataFrame,
     store: DataFrame,
@@ -125,29 +161,44 @@ def nearest(
     max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES,
     query_id: str = "query_id",
     query_vec: str = "embedding",
+    strategy: str = "auto",
 ) -> DataFrame:
     """Exact top-``k`` store rows per query: ``(query_id, ex_id, dist, rk)``,
-    ``rk`` 1..k by (distance, id)."""
+    ``rk`` 1..k by (distance, id).
+
+    The smaller side (by vector bytes, both size-checked) is broadcast:
+
+    * ``store``: the whole store is shipped once and the queries are scanned
+      partition by partition; each query's top-k is complete in its task (no
+      shuffle at all) - the usual case of many turns against a rated store;
+    * ``queries``: the queries are shipped (in chunks of at most
+      ``max_broadcast_bytes``) and the store is scanned; each partition keeps
+      a top-k per query and a window per query picks the final k.
+    """
     spark = store.sparkSession
-    q = queries.select(F.col(query_id).cast("long").alias("query_id"), F.col(query_vec).alias("qvec"))
-    stats = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("qvec")).alias("d")).first()
-    n, d = int(stats["n"] or 0), int(stats["d"] or 0)
+    q = queries.select(F.col(query_id).cast("long").alias("query_id"), F.col(query_vec).alias("embedding"))
+    s = store.select(F.col("ex_id").cast("long").alias("ex_id"), "embedding")
+    qs = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("d")).first()
+    n, d = int(qs["n"] or 0), int(qs["d"] or 0)
     if n == 0:
-        return spark.createDataFrame([], _CAND).withColumn("rk", F.lit(1))
+        return spark.createDataFrame([], _OUT)
+    if strategy == "auto":
+        ns = s.count()
+        store_bytes, query_bytes = ns * d * 8, n * d * 8
+        strategy = "store" if store_bytes <= max_broadcast_bytes and store_bytes <= query_bytes else "queries"
+    if strategy == "store":
+        bs = spark.sparkContext.broadcast(_collect_side(s, "ex_id"))
+        return q.mapInPandas(_store_side_topk(bs, k, exclude_self), _OUT)
     per_chunk = max(1, max_broadcast_bytes // max(1, d * 8))
     n_chunks = (n + per_chunk - 1) // per_chunk
-    s = store.select(F.col("ex_id").cast("long").alias("ex_id"), "embedding")
     parts = []
     for c in range(n_chunks):
         chunk = q if n_chunks == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(n_chunks)) == c)
-        rows = chunk.collect()  # bounded by the size check above
-        if not rows:
+        qids, qmat = _collect_side(chunk, "query_id")  # bounded by the size check above
+        if len(qids) == 0:
             continue
-        qids = np.array([r["query_id"] for r in rows], dtype=np.int64)
-        qmat = np.array([r["qvec"] for r in rows], dtype=np.float64)
         bq = spark.sparkContext.broadcast((qids, qmat))
-        fn = _partition_topk(bq, k, exclude_self)
-        parts.append(s.mapInPandas(fn, _CAND))
+        parts.append(s.mapInPandas(_partition_topk(bq, k, exclude_self), _CAND))
     cand = parts[0]
     for p in parts[1:]:
         cand = cand.unionByName(p)
