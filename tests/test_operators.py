@@ -412,3 +412,13 @@ def test_knn_strategies_agree(spark):
     c = sorted(tuple(r) for r in rt.nearest(q, store, 4).collect())
     assert a == b == c and len(a) == 51 * 4
     assert not any(r[0] == r[1] for r in a)  # query 3 excludes store row 3
+
+
+def test_banned_context_paths_agree(spark):
+    train = spark.createDataFrame([(i, "" if i % 3 == 0 else f"ctx{i % 7}") for i in range(60)] + [(99, None)],
+                                  "dialogue_id int, context string")
+    dev = spark.createDataFrame([("",), ("ctx1",), (None,)], "context string")
+    small = sorted(r["dialogue_id"] for r in sb.drop_banned_contexts(train, dev).collect())
+    big = sorted(r["dialogue_id"] for r in sb.drop_banned_contexts(train, dev, max_broadcast_bytes=0).collect())
+    want = sorted(i for i in range(60) if i % 3 != 0 and i % 7 != 1) + [99]
+    assert small == big == want

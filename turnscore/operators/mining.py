@@ -132,5 +132,6 @@ def source_share(hard: DataFrame, model: str = "model") -> DataFrame:
 
 
 def hard_subset(dataset: DataFrame, ids: DataFrame, id_col: str = "dialogue_id") -> DataFrame:
-    """Keep dataset rows whose id is among the hardest."""
-    return dataset.join(ids.select(id_col), id_col, "left_semi")
+    """Keep dataset rows whose id is among the hardest. ``ids`` is the
+    top-n of a ranking (bounded by n), so it is broadcast."""
+    return dataset.join(F.broadcast(ids.select(id_col)), id_col, "left_semi")
