@@ -46,6 +46,10 @@ def test_load_dialogue_dataset_from_json_array(spark):
     want_rich = (first["avoid_rep"] + 2 * first["enjoy"] + first["fluency"] + first["inquisitive"]) / 5
     assert g[(some["dialogue_id"], "richness")] == pytest.approx(want_rich)
     assert g[(some["dialogue_id"], "grammatical")] == pytest.approx(first["fluency"])
+    scores, errors, agreement = ds.score_files(pairs, gold, "op-all-02")
+    assert scores.count() == 4 * len(recs) and errors.count() == 4
+    assert {r["quality"] for r in agreement.collect()} == {"appropriateness", "richness", "grammatical",
+                                                           "relevance"}
 
 
 def test_test_turns_and_grading_from_csv(spark):
