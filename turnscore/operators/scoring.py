@@ -13,7 +13,7 @@ library); a service or local model plugs in through the same factory.
 from __future__ import annotations
 
 import hashlib
-import zlib
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -107,15 +107,22 @@ def _one(call, row: pd.DataFrame):
 EMBED_DIM = 16
 
 
+_WS_SPLIT = re.compile(r"[ \t\n\r\x0b\x0c]+")
+
+
 def hashed_token_vectors(text: str, dim: int = EMBED_DIM) -> list[list[float]]:
     """One vector per whitespace token (lower-cased): signed feature hashing
-    of the token and of its character trigrams, L2-normalised."""
+    of the token and of its character trigrams (``md5`` of the gram: the
+    first 8 hex digits give the slot and, by bit 16, the sign),
+    L2-normalised, float32."""
     vecs = []
-    for tok in (text or "").lower().split():
+    for tok in _WS_SPLIT.split((text or "").lower()):
+        if not tok:
+            continue
         v = np.zeros(dim, dtype=np.float64)
         grams = [tok] + [tok[i:i + 3] for i in range(max(0, len(tok) - 2))]
         for g in grams:
-            h = zlib.crc32(g.encode("utf-8"))
+            h = int(hashlib.md5(g.encode("utf-8")).hexdigest()[:8], 16)
             v[h % dim] += 1.0 if (h >> 16) & 1 else -1.0
         norm = float(np.sqrt((v * v).sum())) or 1.0
         vecs.append((v / norm).astype(np.float32).tolist())

@@ -56,7 +56,33 @@ def m2(spark, sf_dir):
     return scored(spark, sf_dir, fail_prefix="0")
 
 
-@query("M3_embed_turns")
+_M3 = {
+    "p": f"SELECT uid, {_RESP_SQL} AS r FROM h WHERE sid = 'Chatbot'",
+    "tk": "SELECT uid, list_filter(string_split_regex(lower(r), '[ \\t\\n\\r\\x0b\\x0c]+'), "
+          "lambda x: x <> '') AS toks FROM p",
+    "t1": "SELECT uid, len(toks) AS n_tok, unnest(toks) AS tok, unnest(range(len(toks))) AS ti FROM tk",
+    "gr": "SELECT uid, n_tok, ti, unnest(list_concat([tok], list_transform(range(greatest(0, length(tok) - 2)), "
+          "lambda i: substring(tok, i + 1, 3)))) AS g FROM t1",
+    "hh": "SELECT uid, n_tok, ti, CAST(('0x' || substr(md5(g), 1, 8)) AS BIGINT) AS h FROM gr",
+    "cell": "SELECT uid, n_tok, ti, h % 16 AS d, sum(CASE WHEN (h >> 16) & 1 = 1 THEN 1.0 ELSE -1.0 END) AS v "
+            "FROM hh GROUP BY uid, n_tok, ti, h % 16",
+    "nrm": "SELECT uid, ti, sqrt(sum(v * v)) AS nv FROM cell GROUP BY uid, ti",
+    "val": "SELECT c.uid, c.n_tok, c.ti, c.d, CAST(CAST(c.v / CASE WHEN n.nv = 0 THEN 1.0 ELSE n.nv END AS FLOAT) "
+           "AS DOUBLE) AS x FROM cell c JOIN nrm n ON n.uid = c.uid AND n.ti = c.ti",
+    "dims": "SELECT uid, d, CAST(CAST(CASE WHEN count(DISTINCT ti) < max(n_tok) THEN greatest(max(x), 0.0) "
+            "ELSE max(x) END AS FLOAT) AS DOUBLE) AS mx, CAST(CAST(sum(x) / max(n_tok) AS FLOAT) AS DOUBLE) AS av "
+            "FROM val GROUP BY uid, d",
+}
+
+
+@query(
+    "M3_embed_turns",
+    sql("""SELECT tk.uid, CAST(len(tk.toks) AS INTEGER) AS n_tokens, CAST(32 AS BIGINT) AS n_emb,
+       round(coalesce(sum(dims.mx + dims.av), 0.0), 6) AS emb_sum,
+       round(coalesce(max(dims.mx) FILTER (WHERE dims.d = 0), 0.0), 6) AS emb_first,
+       round(coalesce(max(dims.av) FILTER (WHERE dims.d = 15), 0.0), 6) AS emb_last
+FROM tk LEFT JOIN dims ON dims.uid = tk.uid GROUP BY tk.uid, tk.toks""", "turns", extra={"h": _HIST, **_M3}),
+)
 def m3(spark, sf_dir):
     """Token vectors per chatbot turn, pooled (A14) into one embedding."""
     pairs = chatbot_pairs(spark, sf_dir)
