@@ -119,3 +119,16 @@ def test_sinks_are_idempotent_per_partition(spark):
     io.append_run(spark, runs, "b", "vh-relevance-01", "m", 3)
     got = {r["run_id"]: r["seed"] for r in io.read_runs(spark, runs).collect()}
     assert got == {"a": 2, "b": 3}
+
+
+def test_session_helpers(spark):
+    from turnscore import session
+
+    d = session.checkpoint_dir(spark)
+    assert d == spark.sparkContext.getCheckpointDir()  # the session's folder, not a new one
+    assert session.scratch_path(spark, "x").startswith(d.rstrip("/") + "/turnscore/x-")
+    conf = session.cluster_conf(100 * 10**12, 8000)
+    assert int(conf["spark.sql.shuffle.partitions"]) >= 16000
+    assert conf["spark.sql.adaptive.skewJoin.enabled"] == "true"
+    small = session.cluster_conf(10**6, 8)
+    assert int(small["spark.sql.shuffle.partitions"]) == 16
