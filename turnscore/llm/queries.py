@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from turnscore.llm import chat_format, url_filter
+from turnscore.llm import bpe, chat_format, decontamination, url_filter
 
 QUERIES = {}
 ORACLE = {}
@@ -88,3 +88,23 @@ from parts p left join (select * from fits where n = 1) f on p.page_id = f.page_
 def op7_url_filters(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     return url_filter.judge_urls(pages, BLOCK_RULES, ALLOW_RULES, url_filter.tracking_hosts(pages))
+
+
+def tokenizer_path() -> str:
+    """The word-level BPE file among the installed public tokenizers."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op9_bpe_encoding")
+def op9_bpe_encoding(spark, sf_dir):
+    return bpe.encode(table(spark, sf_dir, "documents"), tokenizer_path(), ["doc_id"], output="digest")
+
+
+@query("op10_benchmark_decontamination")
+def op10_benchmark_decontamination(spark, sf_dir):
+    out = decontamination.decontaminate(
+        table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), ["doc_id"]
+    )
+    return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
