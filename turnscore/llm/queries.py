@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from turnscore.llm import bpe, chat_format, decontamination, url_filter
+from turnscore.llm import bpe, chat_format, decontamination, substring_dedup, url_filter
 
 QUERIES = {}
 ORACLE = {}
@@ -90,6 +90,11 @@ def op7_url_filters(spark, sf_dir):
     return url_filter.judge_urls(pages, BLOCK_RULES, ALLOW_RULES, url_filter.tracking_hosts(pages))
 
 
+@query("op5_substring_dedup")
+def op5_substring_dedup(spark, sf_dir):
+    return substring_dedup.dedup_substrings(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
 def tokenizer_path() -> str:
     """The word-level BPE file among the installed public tokenizers."""
     import public_tokenizers
