@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from turnscore.llm import bpe, chat_format, decontamination, substring_dedup, url_filter
+from turnscore.llm import bpe, chat_format, decontamination, language_id, substring_dedup, url_filter
 
 QUERIES = {}
 ORACLE = {}
@@ -90,6 +91,13 @@ def op7_url_filters(spark, sf_dir):
     return url_filter.judge_urls(pages, BLOCK_RULES, ALLOW_RULES, url_filter.tracking_hosts(pages))
 
 
+@query("op4_language_id")
+def op4_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = language_id.identify(docs, ["doc_id"])
+    return out.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 @query("op5_substring_dedup")
 def op5_substring_dedup(spark, sf_dir):
     return substring_dedup.dedup_substrings(table(spark, sf_dir, "documents"), ["doc_id"])
