@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnscore.llm import bpe, chat_format, decontamination, language_id, ngram_join, substring_dedup, url_filter
+from turnscore.llm import bpe, chat_format, decontamination, embedding_dedup, language_id, ngram_join, substring_dedup, url_filter
 
 QUERIES = {}
 ORACLE = {}
@@ -91,6 +91,11 @@ def op7_url_filters(spark, sf_dir):
     return url_filter.judge_urls(pages, BLOCK_RULES, ALLOW_RULES, url_filter.tracking_hosts(pages))
 
 
+@query("op2_embedding_near_dedup")
+def op2_embedding_near_dedup(spark, sf_dir):
+    return embedding_dedup.dedup(table(spark, sf_dir, "embeddings"))
+
+
 @query("op3_ngram_jaccard_join")
 def op3_ngram_jaccard_join(spark, sf_dir):
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), ["doc_id"])
