@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnscore.llm import bpe, chat_format, decontamination, embedding_dedup, language_id, ngram_join, substring_dedup, url_filter
+from turnscore.llm import bpe, chat_format, decontamination, embedding_dedup, language_id, ngram_join, secret_scan, substring_dedup, url_filter
 
 QUERIES = {}
 ORACLE = {}
@@ -59,6 +59,12 @@ def op1_chat_formatting(spark, sf_dir):
     return chat_format.digests(chat_format.prefix_targets(turns))
 
 
+@query("op6_secret_scan")
+def op6_secret_scan(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return secret_scan.find_secrets(docs, secret_scan.fit(docs), ["doc_id"])
+
+
 #: Rules of the url query: (host, path).
 BLOCK_RULES = [("net", "/"), ("example.com", "/de/")]
 ALLOW_RULES = [("example.net", "/en/"), ("org", "/fr/")]
