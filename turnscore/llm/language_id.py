@@ -182,13 +182,15 @@ def classify(docs: DataFrame, model: Model, keep: list[str], text: str = "text")
     """``keep`` columns, ``lang_pred`` and ``score``; only the text is looked at."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = [f"c{i}" for i in range(len(keep))]
-    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, kept)], F.col(f"`{text}`").alias("_text"))
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, kept)])
     schema = ", ".join([f"{n} {f.dataType.simpleString()}" for n, f in zip(kept, rows.schema)] + ["_lang string", "_score double"])
+    at = kept[keep.index(text)] if text in keep else "_text"
+    rows = rows if text in keep else docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, kept)], F.col(f"`{text}`").alias("_text"))
 
     def run(batches):
         for batch in batches:
-            for part in W.chunks(batch, "_text"):
-                lang, score = shared.value.predict(part.column("_text"))
+            for part in W.chunks(batch, at):
+                lang, score = shared.value.predict(part.column(at))
                 yield pa.record_batch(
                     [*[part.column(k) for k in kept], pa.array(lang, pa.string()), pa.array(score, pa.float64())],
                     names=[*kept, "_lang", "_score"],

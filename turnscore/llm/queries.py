@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnscore.llm import bpe, chat_format, decontamination, embedding_dedup, language_id, ngram_join, secret_scan, substring_dedup, url_filter
+from turnscore.llm import bpe, chat_format, decontamination, embedding_dedup, language_id, line_templates, ngram_join, secret_scan, substring_dedup, url_filter
 
 QUERIES = {}
 ORACLE = {}
@@ -119,6 +119,13 @@ def op5_substring_dedup(spark, sf_dir):
     return substring_dedup.dedup_substrings(table(spark, sf_dir, "documents"), ["doc_id"])
 
 
+@query("op8_line_dedup")
+def op8_line_dedup(spark, sf_dir):
+    out = line_templates.drop_recurring_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    return out.select("doc_id", "n_lines", "n_dropped", kept.alias("kept_sha256"))
+
+
 def tokenizer_path() -> str:
     """The word-level BPE file among the installed public tokenizers."""
     import public_tokenizers
