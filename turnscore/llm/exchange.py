@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 
 from turnscore.llm.words import U64
 
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 #: Entries that a bucket should hold on average.
-BUCKET_ENTRIES = 1 << 20
+BUCKET_ENTRIES = 1 << 19
 
 MESSAGE = "bucket int, shard int, entries binary, counts binary"
 REPLY = "shard int, bucket int, totals binary"

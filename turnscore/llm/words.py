@@ -109,20 +109,42 @@ def split(texts, separators: bytes = SPACES, lower: bool = False, n_hashes: int
     return Words(data, starts, ends, bounds, hashes)
 
 
+#: Bytes or words whose prefix sums are taken at a time.
+STRETCH = 1 << 18
+
+
+def _stretches(starts: np.ndarray, ends: np.ndarray):
+    """Ranges of consecutive spans that begin within ``STRETCH`` of one another."""
+    i = 0
+    while i < len(starts):
+        j = int(np.searchsorted(starts, starts[i] + STRETCH, side="left"))
+        yield i, max(j, i + 1)
+        i = max(j, i + 1)
+
+
+def _span_sums(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: np.uint64, shift: int) -> np.ndarray:
+    out = np.empty(len(starts), U64)
+    for i, j in _stretches(starts, ends):
+        first, last = int(starts[i]), int(ends[i:j].max())
+        part = values[first:last].astype(U64)
+        if shift:
+            part += U64(shift)
+        p, q = powers(base, len(part) + 1)
+        sums = np.zeros(len(part) + 1, U64)
+        np.cumsum(part * p[:-1], out=sums[1:])
+        a, b = starts[i:j] - first, ends[i:j] - first
+        out[i:j] = (sums[b] - sums[a]) * q[a]
+    return out
+
+
 def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: np.uint64) -> np.ndarray:
-    """Fingerprint of each span of bytes."""
-    p, q = powers(base, len(data) + 1)
-    sums = np.zeros(len(data) + 1, U64)
-    np.cumsum((data.astype(U64) + U64(1)) * p[:-1], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * q[starts] + (ends - starts).astype(U64))
+    """Fingerprint of each span of bytes (spans in order of their starts)."""
+    return mix(_span_sums(data, starts, ends, base, 1) + (ends - starts).astype(U64))
 
 
 def window_hash(hashes: np.ndarray, starts: np.ndarray, size: int, base: np.uint64) -> np.ndarray:
-    """Fingerprint of the ``size`` values from each of ``starts`` on."""
-    p, q = powers(base, len(hashes) + 1)
-    sums = np.zeros(len(hashes) + 1, U64)
-    np.cumsum(hashes * p[:-1], out=sums[1:])
-    return mix((sums[starts + size] - sums[starts]) * q[starts])
+    """Fingerprint of the ``size`` values from each of ``starts`` (in order) on."""
+    return mix(_span_sums(hashes, starts, starts + size, base, 0))
 
 
 def chunks(table: pa.Table | pa.RecordBatch, column: str, most: int = 4 << 20):
