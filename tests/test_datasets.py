@@ -79,17 +79,17 @@ def test_test_turns_and_grading_from_csv(spark):
 
 def test_scoring_with_static_and_retrieved_examples(spark):
     from turnscore.plans import jobs
-    from turnscore.plans.q_text import chatbot_pairs
+    from turnscore.plans.q_text import kept_pairs
 
     store = ad.store(spark, SMALL)
-    pairs = chatbot_pairs(spark, SMALL)
+    pairs = kept_pairs(spark, SMALL)
     block = jobs.static_examples_block(store, "op-all-egs-rehearsal-copy-hard5-02")
-    assert block.count("Dialogue:") == 5 and "relevance:" in block
+    assert block.count("Talk so far:") == 5 and "relevance:" in block
     from turnscore.functions import prompts
 
     p = prompts.get_prompt("op-all-egs-rehearsal-copy-hard5-02")
     rendered = pairs.select(prompts.render_prompt(p, examples=F.lit(block)).alias("t"))
-    assert rendered.where(F.col("t").contains("Rated examples")).count() == pairs.count()
+    assert rendered.where(F.col("t").contains("Marked talks")).count() == pairs.count()
     parsed, errors, _ = jobs.score_and_evaluate(pairs, "op-all-egs-rehearsal-copy-hard5-02", examples=block)
     assert parsed.count() == 4 * pairs.count()
 

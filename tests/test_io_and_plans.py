@@ -88,10 +88,10 @@ def test_entry_smoke(spark):
 def test_e1_scoring_plan_has_one_python_node_and_no_cartesian(spark):
     from turnscore.functions import prompts, replies
     from turnscore.operators import scoring
-    from turnscore.plans.q_text import chatbot_pairs
+    from turnscore.plans.q_text import kept_pairs
 
     p = prompts.get_prompt("op-all-02")
-    pairs = chatbot_pairs(spark, SMALL).withColumn("prompt", prompts.render_prompt(p))
+    pairs = kept_pairs(spark, SMALL).withColumn("prompt", prompts.render_prompt(p))
     raw = scoring.batch_score(pairs, keep=("uid", "context", "response", "prompt"))
     parsed = replies.parse_replies(raw, p.qualities, "reply", keep=("uid", "call_failed"))
     assert checks.python_nodes(parsed) == 1
@@ -132,3 +132,57 @@ def test_session_helpers(spark):
     assert conf["spark.sql.adaptive.skewJoin.enabled"] == "true"
     small = session.cluster_conf(10**6, 8)
     assert int(small["spark.sql.shuffle.partitions"]) == 16
+
+
+def test_rehearsal_rows_come_back_by_name_with_the_defaults(spark, tmp_path):
+    from turnscore.plans import datasets
+    from turnscore.sources import catalogue
+
+    name = "rehearsal-copy-hard"
+    rule, annotations = catalogue.lookup(name)
+    cols = ["dialogue_id", "model", "context", "response", *annotations]
+    rows = spark.createDataFrame([(f"d{i}", "m", "c", "r", *[float(1 + i % 5)] * len(annotations)) for i in range(10)], cols)
+    io.write_nested_json(rows, catalogue.dataset_path(name, str(tmp_path)), list(annotations))
+    pairs, gold = datasets.load_dialogue_dataset(spark, str(tmp_path), name)
+    assert pairs.count() == 10 and gold.select("dialogue_id").distinct().count() == 10
+
+
+def test_json_layout_is_told_from_the_files(spark, tmp_path):
+    import pytest
+
+    schema = T.StructType([T.StructField("a", T.DoubleType()), T.StructField("l", T.ArrayType(T.DoubleType()))])
+    (tmp_path / "lines").mkdir()
+    (tmp_path / "lines" / "x.json").write_text('{"a": 1.0}\n{"a": 2.0, "l": [1.0]}\n')
+    (tmp_path / "array").mkdir()
+    (tmp_path / "array" / "x.json").write_text('[\n {"a": 1.0},\n {"a": 2.0}\n]\n')
+    (tmp_path / "mixed").mkdir()
+    for k in ("lines", "array"):
+        assert io.json_layout(spark, str(tmp_path / k)) == k
+        assert io.read_dialogue_json(spark, str(tmp_path / k), schema).count() == 2
+        (tmp_path / "mixed" / f"{k}.json").write_text((tmp_path / k / "x.json").read_text())
+    with pytest.raises(ValueError, match="multiline"):
+        io.read_dialogue_json(spark, str(tmp_path / "lines"), schema, multiline=True)
+    with pytest.raises(ValueError, match="mixes"):
+        io.json_layout(spark, str(tmp_path / "mixed"))
+
+
+def test_run_ids_stay_as_given(spark, tmp_path):
+    root = str(tmp_path / "runs")
+    for run in ("007", "7"):
+        io.write_results(spark.createDataFrame([(run, 1.0)], "uid string, score double"), root, run)
+    back = io.read_results(spark, root, "007")
+    assert [(r["run_id"], r["uid"]) for r in back.collect()] == [("007", "007")]
+    io.append_run(spark, str(tmp_path / "m"), "01", "p", "m", 1)
+    assert io.read_runs(spark, str(tmp_path / "m")).first()["run_id"] == "01"
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from turnscore.session import checkpoint_dir
+
+    sc = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        checkpoint_dir(SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda k, d: d)))

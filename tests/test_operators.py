@@ -349,8 +349,8 @@ def test_score_distribution_bins(spark):
                                                                                        "score double")
     got = {(r["kind"], r["gold_bin"], r["pred_bin"]): r["n"] for r in ag.score_distribution(df, ["quality"]).collect()}
     assert got[("gold", 0, None)] == 1 and got[("gold", 31, None)] == 1
-    assert got[("pred", None, 31)] == 1 and got[("pred", None, 0)] == 1 and got[("pred", None, 16)] == 1
-    assert got[("joint", 0, 31)] == 1 and got[("joint", 31, 0)] == 1 and sum(got.values()) == 7
+    assert got[("pred", None, 31)] == 1 and got[("pred", None, -1)] == 1 and got[("pred", None, 16)] == 1
+    assert got[("joint", 0, 31)] == 1 and got[("joint", 31, -1)] == 1 and sum(got.values()) == 7
 
 
 def test_parse_uid_routes_bad_prefixes(spark):
@@ -391,27 +391,28 @@ def test_group_without_pairs_is_kept_with_nulls(spark):
     assert got["ok"]["n"] == 3 and got["ok"]["spearman"] == pytest.approx(0.5)
 
 
-def test_knn_chunked_queries_equal_single_chunk(spark):
-    rnd = random.Random(21)
-    rows = [(i, [rnd.random() for _ in range(3)]) for i in range(40)]
-    store = spark.createDataFrame(rows, "ex_id long, embedding array<double>")
-    q = store.select(F.col("ex_id").alias("query_id"), "embedding")
-    one = sorted(tuple(r) for r in rt.nearest(q, store, 3).collect())
-    many = sorted(tuple(r) for r in rt.nearest(q, store, 3, max_broadcast_bytes=3 * 8 * 5).collect())
-    assert one == many and len(one) == 40 * 3
-
-
-def test_knn_strategies_agree(spark):
+def test_knn_does_not_depend_on_the_blocks(spark):
     rnd = random.Random(33)
     store_rows = [(i, [rnd.random() for _ in range(4)]) for i in range(30)]
     store = spark.createDataFrame(store_rows, "ex_id long, embedding array<double>")
     q = spark.createDataFrame([(100 + i, [rnd.random() for _ in range(4)]) for i in range(50)] + [(3, store_rows[3][1])],
                               "query_id long, embedding array<double>")
-    a = sorted(tuple(r) for r in rt.nearest(q, store, 4, strategy="store").collect())
-    b = sorted(tuple(r) for r in rt.nearest(q, store, 4, strategy="queries").collect())
-    c = sorted(tuple(r) for r in rt.nearest(q, store, 4).collect())
-    assert a == b == c and len(a) == 51 * 4
-    assert not any(r[0] == r[1] for r in a)  # query 3 excludes store row 3
+    one, two, five = (sorted(tuple(r) for r in rt.nearest(q, store, 4, blocks=b).collect()) for b in (1, 2, 5))
+    assert one == two == five and len(one) == 51 * 4
+    assert not any(r[0] == r[1] for r in one)  # query 3 excludes store row 3
+
+
+def test_backup_fill_in_one_search_equals_two(spark):
+    rnd = random.Random(5)
+    rows = [(i, [rnd.random() for _ in range(3)], {"relevance": 2.0} if i % 4 == 0 else {"richness": 1.0}) for i in range(40)]
+    store = spark.createDataFrame(rows, "ex_id long, embedding array<double>, qualities map<string, double>")
+    q = store.select(F.col("ex_id").alias("query_id"), "embedding")
+    two = rt.backup_fill(rt.similar_examples(q, store, 2, ("relevance",)), q, store, 2)
+    one = rt.with_backup(q, store, 2, ("relevance",))
+    key = lambda df: sorted((r["query_id"], r["rank"], r["ex_id"], r["source"]) for r in df.collect())
+    assert key(one) == key(two) and {r[3] for r in key(one)} == {"store", "backup"}
+    plan = one._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FlatMapCoGroupsInArrow") == 1
 
 
 def test_banned_context_paths_agree(spark):
@@ -422,3 +423,84 @@ def test_banned_context_paths_agree(spark):
     big = sorted(r["dialogue_id"] for r in sb.drop_banned_contexts(train, dev, max_broadcast_bytes=0).collect())
     want = sorted(i for i in range(60) if i % 3 != 0 and i % 7 != 1) + [99]
     assert small == big == want
+
+
+def test_pearson_keeps_its_digits_far_from_zero(spark):
+    df = spark.createDataFrame([("q", 1e8 + 0.01 * i, float(i)) for i in range(100)], "quality string, gold double, score double")
+    row = ag.correlations(df, ["quality"]).first()
+    assert row["pearson"] == pytest.approx(1.0, abs=1e-9) and row["spearman"] == pytest.approx(1.0, abs=1e-12)
+
+
+def test_grading_counts_what_a_submission_lacks(spark):
+    dims = ", ".join(f"{d} double" for d in ag.SUBTASK_DIMENSIONS["t2t"])
+    gold = spark.createDataFrame([(f"u{i}", "Chatbot", "A", "YES", *[float(i)] * 4) for i in range(10)],
+                                 f"UID string, SID string, CID string, SUPERVISED string, {dims}")
+    sub = gold.where("UID < 'u3'").select("UID", *ag.SUBTASK_DIMENSIONS["t2t"])
+    rows = ag.leaderboard(gold, sub).collect()
+    assert {(r["n"], r["n_missing"]) for r in rows} == {(3, 7)}
+    assert {(r["n"], r["n_missing"]) for r in ag.leaderboard_slices(gold, sub).collect()} == {(3, 7)}
+    with pytest.raises(ValueError, match="lacks"):
+        ag.leaderboard(gold, sub, strict=True)
+    assert ag.leaderboard(gold, gold.select("UID", *ag.SUBTASK_DIMENSIONS["t2t"]), strict=True).count() == 4
+
+
+def test_crowded_values_spread_over_buckets(spark):
+    values = [3.0 + i * 1e-9 for i in range(200_000)]
+    df = spark.createDataFrame([(v,) for v in values[::10]], "v double")
+    fine = df.select(ranks.value_bucket(F.col("v"), 1024 * ranks.SPLIT).alias("m")).groupBy("m").count()
+    assert fine.agg(F.max("count")).first()[0] < 2500 and fine.count() > 50
+    got = [r["rank"] for r in ranks.average_rank(df, "v").orderBy("v").collect()]
+    assert got == [float(i + 1) for i in range(len(got))]
+
+
+def test_mining_tells_repeated_ids_apart_and_reads_dotted_names(spark):
+    from turnscore.operators import mining as mn
+
+    rows = [("d1", "m1", 1.0, 5.0), ("d1", "m2", 2.0, 1.0), ("d2", "m1", 3.0, 3.0), ("d2", "m1", 3.0, 3.0), ("d3", "m1", float("nan"), 2.0)]
+    run = spark.createDataFrame(rows, ["dialogue_id", "model", "annotations.relevance", "LLM_relevance"])
+    got = {(r["dialogue_id"], r["model"]): r["mean_diff"] for r in mn.rank_disagreement(run, id_col=("dialogue_id", "model")).collect()}
+    assert got == {("d1", "m1"): 4.0, ("d1", "m2"): 1.0, ("d2", "m1"): 0.0, ("d3", "m1"): None}
+    table = mn.ranking_table(run, id_col=("dialogue_id", "model")).first()
+    assert (table["dialogue_id"], table["model"], table["scores"]["LLM_relevance"]) == ("d1", "m1", 5.0)
+    bad = run.withColumnRenamed("LLM_relevance", "LLM_tone")
+    with pytest.warns(UserWarning, match="annotations.relevance"):
+        assert mn.column_pairs(bad.columns)[1] == ["annotations.relevance"]
+        try:
+            mn.rank_disagreement(bad)
+        except Exception:  # no pair is left to rank
+            pass
+
+
+def test_nan_is_missing_and_wide_blanks_are_stripped(spark):
+    df = spark.createDataFrame([(1, float("nan")), (2, 0.0), (3, None)], "id int, gold double")
+    kept, report = gd.drop_unlabelled(df)
+    assert [r["id"] for r in kept.collect()] == [2] and report.first()["n_missing"] == 2
+    assert [r["v"] for r in df.select(gd.or_default("gold", 9.0).alias("v")).collect()] == [9.0, 0.0, 9.0]
+    from turnscore.functions.text import trim_ws
+
+    x = spark.createDataFrame([("\u3000\u00a0 你好 \u2003\n",)], "t string")
+    assert x.select(trim_ws("t").alias("t")).first()["t"] == "你好"
+
+
+def test_history_by_blocks_equals_the_window(spark):
+    rows = [(d, t, f"text {d} {t}") for d in range(3) for t in range(23)] + [(1, 40, None), (2, None, "no number")]
+    df = spark.createDataFrame(rows, "dialogue_id int, turn_id int, text string")
+    plain = dl.dialogue_context(df.where("turn_id is not null"), block_size=None)
+    for size in (1, 4, 7, 100):
+        cut = dl.dialogue_context(df.where("turn_id is not null"), block_size=size)
+        assert sorted(map(tuple, cut.collect()), key=str) == sorted(map(tuple, plain.collect()), key=str)
+        segments = [dl.segment_context(df.where("turn_id is not null").withColumn("turn_last", F.col("turn_id").cast("string"))
+                                       .withColumn("response", F.coalesce("text", F.lit(""))), block_size=b).drop("text") for b in (size, None)]
+        a, b = (sorted(tuple(r[c] for c in sorted(x.columns)) for r in x.collect()) for x in segments)
+        assert a == b
+
+
+def test_all_prompts_differ_and_render_from_the_table(spark):
+    assert len({prompts.get_prompt(n).template for n in prompts.PROMPTS}) == len(prompts.PROMPTS) == 27
+    turn = spark.createDataFrame([("a {response} b", "reply")], "context string, response string")
+    for row in prompts.prompt_table(spark).collect():
+        p = prompts.get_prompt(row["prompt"])
+        prompts.self_check(p)
+        whole = turn.select(prompts.render_prompt(p).alias("t")).first()["t"]
+        parts = F.array(*[F.struct(F.lit(x["lit"]).cast("string").alias("lit"), F.lit(x["col"]).cast("string").alias("col")) for x in row["parts"]])
+        assert turn.select(prompts.render_parts(parts, F.col("context"), F.col("response")).alias("t")).first()["t"] == whole

@@ -17,51 +17,50 @@ from pyspark.sql import functions as F
 
 from turnscore.schemas import DEFAULT_MISSING_SCORE, QUALITIES
 
-_DESCRIPTIONS = {
-    "appropriateness": "Does the reply suit what was said before it?",
-    "richness": "Is the reply informative: full sentences, several entities, conceptual or emotional words?",
-    "grammatical": "Is the reply free of grammatical and semantic mistakes?",
-    "relevance": "Does the reply stay on the topic of the latest turns?",
+#: What each quality asks for, in our own words.
+_RUBRICS = {
+    "appropriateness": "A fitting reply takes up what was just said and could come next in a real talk.",
+    "richness": "A rich reply tells something: it brings in facts, names or feelings and goes beyond stock phrases.",
+    "grammatical": "A well-formed reply reads smoothly, with no slip in grammar, spelling or word choice.",
+    "relevance": "A relevant reply keeps to the matter that the speakers are on.",
 }
 
-MULTI_TEMPLATE = """
-Score the reply to the dialogue below with a decimal number from 1 (poor) to 5 (excellent) for each quality:
-""" + "".join(f"{q} - {_DESCRIPTIONS[q]}\n" for q in QUALITIES) + """Write each quality name followed by its number.
+_ASK_FOOT = """
 {positive_examples}
-Dialogue:
+Talk so far:
 {dialogue_context}
-Reply:
+Next reply:
 {response}
-Scores:
 """
 
-SINGLE_TEMPLATE = """
-Read the dialogue and the reply that follows it and judge the reply's {quality}. {description}
-Answer with one number between 1 and 5, where 5 is best.
-{positive_examples}
-Dialogue:
-{dialogue_context}
-Reply:
-{response}
-{quality}:"""
-
-DIGIT_TEMPLATE = """
-Judge the {quality} of the reply to the dialogue. {description}
-Answer with a single digit from 1 to 5 and nothing else.
-{positive_examples}
-Dialogue:
-{dialogue_context}
-Reply:
-{response}
-Digit:"""
+#: One wording per family of prompt names: how the task is put, on which scale,
+#: and how the answer is to be given.
+_WORDINGS = {
+    "base-simple": "You see a talk and its next reply. Mark the reply from 1 to 5 on every point below.",
+    "base-positive": "You see a talk and its next reply. Recall replies you would be glad to get, then mark this one from 1 to 5 "
+                     "on every point below.",
+    "op-all": "Act as a judge of chat replies. Mark the reply on every point below with a decimal number from 1.0 to 5.0.",
+    "comparable": "How good is the next reply as a turn of this talk? Mark its {quality} with a number from 1 to 5.",
+    "comparable-digit": "How good is the next reply as a turn of this talk? Mark its {quality} with one digit, 1 2 3 4 or 5.",
+    "op-digit": "Act as a judge of chat replies. Mark the {quality} of the reply by one digit from 1 to 5, with no other sign.",
+    "mlop": "Weigh the reply aloud in one sentence, then mark its {quality} between 1.1 and 4.9; begin with the number.",
+    "ml": "Mark the {quality} of the reply with a whole number from 1 to 5.",
+    "vh": "Mark the {quality} of the reply with a floating-point number between 1 and 5, such as 2.75.",
+}
+_EXAMPLE_INTRO = {
+    "none": "",
+    "static": " {n} marked talks, chosen in advance, come first.",
+    "retrieved": " {n} marked talks, found for their likeness to this one, come first.",
+}
 
-EXAMPLE_BLOCK = "\nRated examples (separated by a line of dashes):\n{positive_examples}\n\nEnd of examples.\n"
-EXAMPLE_SEPARATOR = "\n----------\n"
+EXAMPLE_BLOCK = "\nMarked talks, a dashed line after each:\n{positive_examples}\n\nNow the one to mark.\n"
 
 # ---------------------------------------------------------------------------
-# Fixed values (must equal the reference's prompt registry): prompt name ->
-# (qualities, examples kind, number of examples, example dataset).
+# Fixed values (must equal the reference's prompt registry): the line between
+# examples; prompt name -> (qualities, examples kind, number of examples,
+# example dataset).
 # ---------------------------------------------------------------------------
+EXAMPLE_SEPARATOR = "\n----------\n"
 APPR, REL, RICH, GRAM, ALL4 = ("appropriateness",), ("relevance",), ("richness",), ("grammatical",), QUALITIES
 PROMPTS: dict[str, tuple[tuple[str, ...], str, int, str | None]] = {
     "base-simple-prompt": (ALL4, "none", 0, None),
@@ -110,10 +109,16 @@ class Prompt:
     default_missing_value: float = DEFAULT_MISSING_SCORE
 
 
-def _family(name: str, qualities: tuple[str, ...]) -> str:
-    if len(qualities) > 1:
-        return "multi"
-    return "digit" if "single_digit" in name else "single"
+def _family(name: str) -> str:
+    """The wording of a prompt name."""
+    if name.startswith("base-positive"):
+        return "base-positive"
+    digit = "single_digit" in name
+    for start, family in (("base", "base-simple"), ("op-all", "op-all"), ("comparable", "comparable-digit" if digit else "comparable"),
+                          ("op-", "op-digit"), ("mlop", "mlop"), ("ml-", "ml")):
+        if name.startswith(start):
+            return family
+    return "vh"
 
 
 def get_prompt(name: str) -> Prompt:
@@ -121,18 +126,17 @@ def get_prompt(name: str) -> Prompt:
     if name not in PROMPTS:
         raise KeyError(f"unknown prompt {name!r}")
     qualities, kind, n, dataset = PROMPTS[name]
-    fam = _family(name, qualities)
-    if fam == "multi":
-        tpl = MULTI_TEMPLATE
-        ex = "Dialogue:\n{dialogue_context}\nReply:\n{response}\nScores:\n" + "".join(
-            f"  {q}: {{{q}}}\n" for q in qualities
-        )
+    head = _WORDINGS[_family(name)] + _EXAMPLE_INTRO[kind].replace("{n}", str(n))
+    shown = "Talk so far:\n{dialogue_context}\nNext reply:\n{response}\n"
+    if len(qualities) > 1:
+        points = "".join(f"{q}: {_RUBRICS[q]}\n" for q in qualities)
+        tpl = f"{head}\n{points}Give a line of the form 'name: number' for each point.{_ASK_FOOT}Marks:\n"
+        ex = shown + "Marks:\n" + "".join(f"{q}: {{{q}}}\n" for q in qualities)
         reply = ", ".join(f"{q}: {{{q}}}" for q in qualities)
     else:
         q = qualities[0]
-        base = DIGIT_TEMPLATE if fam == "digit" else SINGLE_TEMPLATE
-        tpl = base.replace("{quality}", q).replace("{description}", _DESCRIPTIONS[q])
-        ex = f"Dialogue:\n{{dialogue_context}}\nReply:\n{{response}}\n{q}: {{{q}}}\n"
+        tpl = f"{head.replace('{quality}', q)} {_RUBRICS[q]}{_ASK_FOOT}{q}:"
+        ex = shown + f"{q}: {{{q}}}\n"
         reply = f"{{{q}}}"
     return Prompt(name, qualities, kind, n, dataset, tpl, ex, reply)
 
@@ -223,17 +227,29 @@ def check_names(names: Sequence[str]) -> list[str]:
 
 
 def prompt_table(spark: SparkSession, names: Sequence[str] | None = None) -> DataFrame:
-    """M4 as a config DataFrame (one row per prompt, names unique)."""
+    """M4 as a config DataFrame (one row per prompt, names unique), with the
+    template's pieces: literals (``col`` null) and places of columns."""
     names = check_names(names or PROMPTS)
     rows = []
     for n in names:
         p = get_prompt(n)
-        rows.append((n, list(p.qualities), p.examples, p.n_examples, p.dataset))
+        parts = [(x if k == "lit" else None, x if k == "col" else None) for k, x in template_parts(p.template)]
+        rows.append((n, list(p.qualities), p.examples, p.n_examples, p.dataset, parts))
     return spark.createDataFrame(
-        rows, "prompt string, qualities array<string>, examples string, n_examples int, dataset string"
+        rows, "prompt string, qualities array<string>, examples string, n_examples int, dataset string, "
+              "parts array<struct<lit: string, col: string>>"
     )
 
 
+def render_parts(parts: Column, context: Column, response: Column, examples: Column | None = None) -> Column:
+    """F1 for a prompt that is data: the pieces of a ``prompt_table`` row filled
+    with a turn's columns."""
+    filled = F.transform(parts, lambda p: F.coalesce(
+        p["lit"], F.when(p["col"] == "dialogue_context", context).when(p["col"] == "response", response)
+        .otherwise(examples if examples is not None else F.lit(""))))
+    return F.array_join(filled, "")
+
+
 def self_check(prompt: Prompt) -> None:
     """The reference's construction-time check: a dummy render and a filled
     expected reply must both work, and the reply must parse back."""

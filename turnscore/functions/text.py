@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Python's str.strip() / str.split() whitespace (ASCII part).
-_WS = "[ \\t\\n\\r\\x0b\\x0c]"
+# The code points beyond ASCII's blanks that Python's str.strip()
+# and str.split() take as white space (separators, next line, wide blanks).
+WIDE_SPACES = (0x1C, 0x1D, 0x1E, 0x1F, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
+_BLANKS = " \\t\\n\\r\\x0b\\x0c" + "".join(f"\\x{{{c:x}}}" for c in WIDE_SPACES)
+_WS = f"[{_BLANKS}]"
 
 # A Python float() literal, lower-cased: digits with optional single
 # underscores between them, optional fraction and exponent, or nan / inf /
@@ -18,7 +21,7 @@ NUMBER_RE = (
 
 # NUMBER_RE allowing the outer whitespace Python's float() ignores (for tokens
 # that are already lower-cased)
-NUMBER_WS_RE = NUMBER_RE.replace("^", "^[ \\t\\n\\r\\x0b\\x0c]*", 1).replace("$", "[ \\t\\n\\r\\x0b\\x0c]*$")
+NUMBER_WS_RE = NUMBER_RE.replace("^", f"^{_WS}*", 1).replace("$", f"{_WS}*$")
 
 
 def col(c: Column | str) -> Column:
@@ -40,5 +43,5 @@ def py_float(token: Column | str) -> Column:
 
 def first_token(c: Column | str) -> Column:
     """First whitespace-separated token (``s.split()[0]``), NULL if none."""
-    tok = F.regexp_extract(col(c), f"^{_WS}*([^ \\t\\n\\r\\x0b\\x0c]+)", 1)
+    tok = F.regexp_extract(col(c), f"^{_WS}*([^{_BLANKS}]+)", 1)
     return F.when(tok != "", tok)

@@ -20,14 +20,6 @@ from turnscore.operators.ranks import rank_table
 from turnscore.schemas import SUBTASK_DIMENSIONS
 
 
-def pearson(x: Column | str, y: Column | str) -> Column:
-    """A3: Pearson r as an aggregate; NULL (not an error, not NaN) for a
-    constant column or fewer than two pairs."""
-    x = F.col(x) if isinstance(x, str) else x
-    y = F.col(y) if isinstance(y, str) else y
-    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
-
-
 def present(c: str) -> Column:
     return F.col(c).isNotNull() & ~F.isnan(F.col(c))
 
@@ -83,23 +75,31 @@ def correlations(
         F.max(F.when(F.col("_side") == "x", F.col("_rank"))).alias("_rx"),
         F.max(F.when(F.col("_side") == "y", F.col("_rank"))).alias("_ry"),
     )
-    # weighted moments of values and ranks; one SQL expression each (the
-    # counts are weights: a pair row stands for _c input rows)
+    # weighted moments of values and ranks about their group's means (raw
+    # moments would cancel where the values lie far from zero); a pair row
+    # stands for _c input rows
     w = "CASE WHEN _x IS NOT NULL THEN _c END"
-    sums = {"_sx": "_x", "_sy": "_y", "_sxx": "_x * _x", "_syy": "_y * _y", "_sxy": "_x * _y",
-            "_rsx": "_rx", "_rsy": "_ry", "_rsxx": "_rx * _rx", "_rsyy": "_ry * _ry", "_rsxy": "_rx * _ry"}
-    agg = j.groupBy(*g).agg(
+    cols = ("_x", "_y", "_rx", "_ry")
+    means = j.groupBy(*g).agg(
         F.expr(f"CAST(coalesce(sum({w}), 0) AS BIGINT)").alias("n"),
-        *[F.expr(f"sum({w} * {e})").alias(k) for k, e in sums.items()],
+        *[F.expr(f"try_divide(sum({w} * {c}), sum({w}))").alias(f"_m{c}") for c in cols],
         F.expr("min(_x) < max(_x)").alias("_vx"), F.expr("min(_y) < max(_y)").alias("_vy"),
     )
+    means = means.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(g)], *[c for c in means.columns if c not in g])
+    same = F.lit(True)
+    for i, c in enumerate(g):
+        same = same & j[c].eqNullSafe(means[f"_g{i}"])
+    d = j.join(means, same).select(*[j[c] for c in g], "_c", "_x", "n", "_vx", "_vy", *[(j[c] - means[f"_m{c}"]).alias(f"_d{c}") for c in cols])
+    sums = {"_sxx": "_d_x * _d_x", "_syy": "_d_y * _d_y", "_sxy": "_d_x * _d_y",
+            "_rsxx": "_d_rx * _d_rx", "_rsyy": "_d_ry * _d_ry", "_rsxy": "_d_rx * _d_ry"}
+    agg = d.groupBy(*g).agg(
+        F.max("n").alias("n"), F.max("_vx").alias("_vx"), F.max("_vy").alias("_vy"),
+        *[F.expr(f"sum({w} * {e})").alias(k) for k, e in sums.items()],
+    )
 
     def corr(p: str) -> Column:
-        cov = f"({p}sxy - {p}sx * {p}sy / n)"
-        vx = f"({p}sxx - {p}sx * {p}sx / n)"
-        vy = f"({p}syy - {p}sy * {p}sy / n)"
-        return F.expr(f"CASE WHEN _vx AND _vy AND {vx} > 0 AND {vy} > 0 "
-                      f"THEN greatest(-1.0D, least(1.0D, {cov} / sqrt({vx} * {vy}))) END")
+        return F.expr(f"CASE WHEN _vx AND _vy AND {p}sxx > 0 AND {p}syy > 0 "
+                      f"THEN greatest(-1.0D, least(1.0D, {p}sxy / (sqrt({p}sxx) * sqrt({p}syy)))) END")
 
     return agg.select(*g, "n", corr("_").alias("pearson"), corr("_r").alias("spearman"))
 
@@ -172,12 +172,19 @@ def dimension_table(spark: SparkSession, dims: Sequence[str]) -> DataFrame:
 
 def _aligned_pairs(gold: DataFrame, submission: DataFrame, dims: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """Gold and submission rows meet once, wide, on the UID; the
-    dimensions fan out afterwards with ``inline`` (no join of long tables)."""
-    sub = submission.select(F.col("UID"), *[F.col(d).alias(f"_p_{d}") for d in dims])
-    j = gold.select("UID", *keep, *dims).join(sub, "UID")
+    dimensions fan out afterwards with ``inline`` (no join of long tables).
+    Every gold row stays: ``missing`` is true where the submission lacks it."""
+    sub = submission.select(F.col("UID"), *[F.col(d).alias(f"_p_{d}") for d in dims], F.lit(False).alias("_lacks"))
+    j = gold.select("UID", *keep, *dims).join(sub, "UID", "left")
     arr = F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).cast("double").alias("gold"),
                              F.col(f"_p_{d}").cast("double").alias("pred")) for d in dims])
-    return j.select("UID", *keep, F.inline(arr))
+    return j.select("UID", *keep, F.coalesce("_lacks", F.lit(True)).alias("missing"), F.inline(arr))
+
+
+def missing_counts(pairs: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Annotated gold rows per group for which the submission has no value."""
+    lacks = present("gold") & (F.col("missing") | ~F.coalesce(present("pred"), F.lit(False)))
+    return pairs.groupBy(*group).agg(F.count_if(lacks).alias("n_missing"))
 
 
 def leaderboard(
@@ -189,19 +196,26 @@ def leaderboard(
     supervised: str | None = None,
     limit_dims: str | Sequence[str] | None = None,
     buckets: int = 1024,
+    strict: bool = False,
 ) -> DataFrame:
     """Grade a submission. Per dimension: ``|rho|`` and ``|r|`` of
     the submission against gold on the chosen slice; NULL where it cannot be
     computed (the reference prints ``-``). Aligned by UID (J2), not by row
-    position."""
+    position. ``n_missing`` counts the annotated gold rows that the submission
+    lacks, so leaving out hard turns shows; ``strict`` raises on any (one small
+    action)."""
     spark = gold.sparkSession
     dims = select_dimensions(subtask, limit_dims)
     pairs = _aligned_pairs(eval_slice(gold, subtask, dataset, language, supervised), submission, dims)
+    lacking = missing_counts(pairs, ["dimension"])
+    if strict and (short := {r["dimension"]: r["n_missing"] for r in lacking.where("n_missing > 0").collect()}):
+        raise ValueError(f"the submission lacks annotated gold rows: {short}")
     corr = correlations(pairs, ["dimension"], "gold", "pred", buckets)
     dt = F.broadcast(dimension_table(spark, dims))
-    return dt.join(corr, "dimension", "left").select(
+    return dt.join(corr, "dimension", "left").join(lacking, "dimension", "left").select(
         "dimension",
         F.coalesce(F.col("n"), F.lit(0)).alias("n"),
+        F.coalesce(F.col("n_missing"), F.lit(0)).alias("n_missing"),
         F.abs("spearman").alias("spearman"),
         F.abs("pearson").alias("pearson"),
     )
@@ -220,10 +234,10 @@ def leaderboard_slices(
         members.append(F.concat(F.lit("LANGUAGE="), "LANGUAGE"))
     base = base.select("UID", F.array(*members).alias("_slices"), *dims)
     pairs = _aligned_pairs(base, submission, dims, ["_slices"])
-    pairs = pairs.select(F.explode("_slices").alias("slice"), "dimension", "gold", "pred")
+    pairs = pairs.select(F.explode("_slices").alias("slice"), "dimension", "gold", "pred", "missing")
     corr = correlations(pairs, ["slice", "dimension"], "gold", "pred", buckets)
-    return corr.select("slice", "dimension", "n", F.abs("spearman").alias("spearman"),
-                       F.abs("pearson").alias("pearson"))
+    return corr.join(missing_counts(pairs, ["slice", "dimension"]), ["slice", "dimension"]).select(
+        "slice", "dimension", "n", "n_missing", F.abs("spearman").alias("spearman"), F.abs("pearson").alias("pearson"))
 
 
 def pooled_evaluation(
@@ -251,9 +265,10 @@ def log_cosh_loss(df: DataFrame, group: Sequence[str], gold: str = "gold", pred:
 
 
 def bin_index(c: Column, lo: float, hi: float, n_bins: int) -> Column:
-    """Equal-width bin of ``c`` over ``[lo, hi]``; values outside are clamped."""
+    """Equal-width bin of ``c`` over ``[lo, hi]`` (``hi`` is in the last bin);
+    -1 below and ``n_bins`` above."""
     b = F.floor((c - F.lit(lo)) / F.lit(hi - lo) * n_bins).cast("int")
-    return F.greatest(F.lit(0), F.least(F.lit(n_bins - 1), b))
+    return F.when(c < lo, -1).when(c > hi, n_bins).otherwise(F.least(F.lit(n_bins - 1), b))
 
 
 def score_distribution(
@@ -261,7 +276,8 @@ def score_distribution(
     n_bins: int = 32, lo: float = 1.0, hi: float = 5.0,
 ) -> DataFrame:
     """Binned counts of gold and of predictions (1-D) and of the
-    gold/prediction pairs (2-D), per group. ``kind`` is gold, pred or joint."""
+    gold/prediction pairs (2-D), per group. ``kind`` is gold, pred or joint;
+    bins -1 and ``n_bins`` hold what lies outside ``[lo, hi]``."""
     gb = F.when(present(gold), bin_index(F.col(gold), lo, hi, n_bins))
     pb = F.when(present(pred), bin_index(F.col(pred), lo, hi, n_bins))
     rows = df.select(*group, gb.alias("gold_bin"), pb.alias("pred_bin"))

@@ -48,7 +48,7 @@ def parse_uid(uid: Column | str = "uid", prefix: str = "TEST") -> list[Column]:
 def language_variant(df: DataFrame, eval_type: str, keep: tuple[str, ...] = ("dialogue_id",)) -> DataFrame:
     """context/response of one variant (en, zh, es, par)."""
     if eval_type not in LANG_COLUMNS:
-        raise ValueError("Please, specify a valid type of evaluation: en, zh, es, par")
+        raise ValueError(f"unknown language variant {eval_type!r}; known: {', '.join(LANG_COLUMNS)}")
     c, r = LANG_COLUMNS[eval_type]
     return df.select(*keep, F.lit(eval_type).alias("lang"), F.col(c).alias("context"), F.col(r).alias("response"))
 
@@ -108,12 +108,12 @@ def dialogue_context(
     may be several key columns (W2 uses dialogue and segment).
 
     With ``block_size`` (default) a dialogue is cut into blocks of turn
-    numbers: the history inside a block is a window over ``(dialogue,
-    block)``, and the turns of all earlier blocks come from per-block arrays
-    chained by a window over the dialogue's *blocks* (one row per block) and
-    joined back. A dialogue holding a large share of all rows is then spread
-    over its blocks instead of one window task; the result is identical to
-    the plain window (``block_size=None``)."""
+    numbers. One aggregate by ``(dialogue, block)`` gathers a block's turns in
+    order (the only shuffle of whole rows); the texts of all earlier blocks
+    come from a window over the dialogue's blocks, one joined text per block;
+    each turn then takes the texts before it from its block's array. A
+    dialogue holding a large share of all rows is spread over its blocks, and
+    the result is identical to the plain window (``block_size=None``)."""
     keys = _keys(dialogue)
     t = trim_ws(text) if trim else F.col(text)
     if max_history is not None or block_size is None:
@@ -121,21 +121,24 @@ def dialogue_context(
         w = Window.partitionBy(*keys).orderBy(turn).rowsBetween(lo, -1)
         ctx = F.array_join(F.collect_list(t).over(w), "\n")
         return df.withColumn(out, speaker_tags(ctx) if insert_speaker else ctx)
-    blk = F.floor(F.col(turn) / F.lit(block_size))
-    x = df.withColumn("_t", t).withColumn("_blk", blk)
-    inside = Window.partitionBy(*keys, "_blk").orderBy(turn).rowsBetween(Window.unboundedPreceding, -1)
-    x = x.withColumn("_in", F.collect_list("_t").over(inside))
+    columns = [c for c in df.columns if c != out]
+    rest = [c for c in columns if c not in keys]
+    x = df.select(*keys, F.floor(F.col(turn) / F.lit(block_size)).alias("_blk"),
+                  F.struct(F.col(turn).alias("_k"), t.alias("_t"), F.struct(*rest).alias("_row")).alias("_s"))
     blocks = x.groupBy(*keys, "_blk").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct(F.col(turn).alias("k"), F.col("_t").alias("v")))),
-                    lambda s: s["v"]).alias("_arr")
+        F.array_sort(F.collect_list("_s"), lambda a, b: F.when(a["_k"] < b["_k"], -1).when(a["_k"] > b["_k"], 1).otherwise(0)).alias("_ss")
     )
+    texts = F.filter(F.transform("_ss", lambda s: s["_t"]), lambda v: v.isNotNull())
     earlier = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    prefix = blocks.select(*keys, "_blk", F.flatten(F.collect_list("_arr").over(earlier)).alias("_pre"))
-    j = x.join(prefix, keys + ["_blk"], "left")
-    ctx = F.array_join(F.concat(F.coalesce("_pre", F.array().cast("array<string>")), "_in"), "\n")
+    # one text per block, none for a block without any; a null block number orders first
+    whole = F.when(F.size(texts) > 0, F.array_join(texts, "\n"))
+    blocks = blocks.withColumn("_pre", F.collect_list(whole).over(earlier))
+    y = blocks.select(*keys, "_ss", "_pre", F.posexplode("_ss").alias("_i", "_s"))
+    own = F.filter(F.transform(F.slice("_ss", 1, F.col("_i")), lambda s: s["_t"]), lambda v: v.isNotNull())
+    ctx = F.array_join(F.concat("_pre", own), "\n")
     if insert_speaker:
         ctx = speaker_tags(ctx)
-    return j.withColumn(out, ctx).drop("_t", "_blk", "_in", "_pre")
+    return y.select(*[F.col(c) if c in keys else F.col("_s._row")[c].alias(c) for c in columns], ctx.alias(out))
 
 
 def running_count(df: DataFrame, dialogue: str, turn: str, flag: str, out: str,

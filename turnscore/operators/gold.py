@@ -37,7 +37,8 @@ def composite_quality(
     spark = values.sparkSession
     m = F.broadcast(mapping if mapping is not None else quality_mapping(spark))
     j = values.join(m, (values[dataset] == m["dataset"]) & (values[annotation] == m["source"]))
-    j = j.select(values[id_col].alias(id_col), values[dataset].alias(dataset), "quality", "weight", value)
+    known = F.when(~F.isnan(F.col(value)), F.col(value))
+    j = j.select(values[id_col].alias(id_col), values[dataset].alias(dataset), "quality", "weight", known.alias(value))
     n_sources = m.groupBy("dataset", "quality").agg(F.count(F.lit(1)).alias("_n_src"))
     agg = j.groupBy(id_col, dataset, "quality").agg(
         F.count(F.lit(1)).alias("_n"),
@@ -59,16 +60,18 @@ def challenge_to_long(gold_wide: DataFrame, uid: str = "UID") -> DataFrame:
 
 
 def drop_unlabelled(df: DataFrame, gold: str = "gold") -> tuple[DataFrame, DataFrame]:
-    """Keep records with the target label; also return a one-row report
-    ``(n_total, n_missing)`` (computed lazily, one pass)."""
-    report = df.agg(F.count(F.lit(1)).alias("n_total"), F.count_if(F.col(gold).isNull()).alias("n_missing"))
-    return df.where(F.col(gold).isNotNull()), report
+    """Keep records with the target label (a NaN is none); also return a
+    one-row report ``(n_total, n_missing)`` (computed lazily, one pass)."""
+    has = F.col(gold).isNotNull() & ~F.isnan(F.col(gold).cast("double"))
+    report = df.agg(F.count(F.lit(1)).alias("n_total"), F.count_if(~has).alias("n_missing"))
+    return df.where(has), report
 
 
 def or_default(c: Column | str, default: float) -> Column:
-    """Value or default (``ifnone``); a default of 0 is respected."""
-    c = F.col(c) if isinstance(c, str) else c
-    return F.coalesce(c, F.lit(float(default)))
+    """Value or default (``ifnone``) where it is NULL or NaN; a default of 0
+    is respected."""
+    c = (F.col(c) if isinstance(c, str) else c).cast("double")
+    return F.coalesce(F.nanvl(c, F.lit(float(default))), F.lit(float(default)))
 
 
 def label_coverage(
@@ -82,7 +85,7 @@ def label_coverage(
     q = F.explode(F.array(*[F.lit(x) for x in qualities])).alias("quality")
     rows = datasets.groupBy(dataset).agg(F.count(F.lit(1)).alias("n_rows"))
     grid = rows.select(dataset, "n_rows", q)
-    have = gold.groupBy(dataset, "quality").agg(F.count("gold").alias("n_gold"))
+    have = gold.groupBy(dataset, "quality").agg(F.count(F.when(~F.isnan("gold"), F.col("gold"))).alias("n_gold"))
     out = grid.join(F.broadcast(m.withColumn("mapped", F.lit(True))), [dataset, "quality"], "left")
     out = out.join(have, [dataset, "quality"], "left")
     return out.select(

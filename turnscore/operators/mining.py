@@ -8,6 +8,7 @@ column *names* (schema metadata), never on rows.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -19,26 +20,42 @@ from turnscore.schemas import GOLD_TO_PREDICTED, HARD_SET_SIZE
 MEAN_DIFF = "mean_diff"
 
 
+# How the columns of a run table are told apart. Gold ratings, and
+# the scores of each metric family (a family's key is part of the metric's name).
+GOLD_COLUMNS = ("startswith", "annotation")
+SCORE_COLUMNS = {"am": ("endswith", "scores"), "llm": ("startswith", "LLM")}
+
+
+def _named(columns: Sequence[str], rule: tuple[str, str]) -> list[str]:
+    test, text = rule
+    return [c for c in columns if getattr(c, test)(text)]
+
+
 def discover_columns(columns: Sequence[str], metric: str = "LLM") -> tuple[list[str], list[str]]:
-    """Gold columns start with ``annotation``; predicted columns end with
-    ``scores`` for AM-FM style metrics (``am`` in the metric name), else
-    start with ``LLM``."""
-    gold = [c for c in columns if c.startswith("annotation")]
-    if "am" in metric.lower():
-        pred = [c for c in columns if c.endswith("scores")]
-    else:
-        pred = [c for c in columns if c.startswith("LLM")]
-    return gold, pred
-
-
-def to_long(df: DataFrame, gold: Sequence[str], pred: Sequence[str], id_col: str = "dialogue_id") -> DataFrame:
-    """Unpivot discovered columns to ``(id, column_name, role, value)``."""
-    cols = list(gold) + list(pred)
-    roles = F.create_map(*[x for c in cols for x in (F.lit(c), F.lit("gold" if c in gold else "pred"))])
-    long = df.select(id_col, *[F.col(c).cast("double").alias(c) for c in cols]).unpivot(
-        [id_col], cols, "column_name", "value"
-    )
-    return long.select(id_col, "column_name", F.element_at(roles, F.col("column_name")).alias("role"), "value")
+    """The gold columns of a run table and the score columns of a metric's
+    family (the model scores' family unless the name says otherwise)."""
+    family = next((f for f in SCORE_COLUMNS if f in metric.lower()), "llm")
+    return _named(columns, GOLD_COLUMNS), _named(columns, SCORE_COLUMNS[family])
+
+
+def _ids(id_col: str | Sequence[str]) -> list[str]:
+    return [id_col] if isinstance(id_col, str) else list(id_col)
+
+
+def to_long(df: DataFrame, gold: Sequence[str], pred: Sequence[str], id_col: str | Sequence[str] = "dialogue_id",
+            row: str | None = None) -> DataFrame:
+    """Unpivot discovered columns to ``(id..., column_name, role, value)``; names
+    may hold dots, NaN becomes NULL. ``row``: also a column that tells rows
+    with equal ids apart by their values."""
+    cols = [(c, "gold") for c in gold] + [(c, "pred") for c in pred]
+    value = {c: F.col(f"`{c}`").cast("double") for c, _ in cols}
+    cells = F.array(*[
+        F.struct(F.lit(c).alias("column_name"), F.lit(role).alias("role"), F.when(~F.isnan(value[c]), value[c]).alias("value"))
+        for c, role in cols
+    ])
+    ids = [F.col(f"`{c}`") for c in _ids(id_col)]
+    more = [F.xxhash64(*ids, *value.values()).alias(row)] if row else []
+    return df.select(*ids, *more, F.inline(cells))
 
 
 def column_ranks(long: DataFrame, buckets: int = 1024) -> DataFrame:
@@ -70,20 +87,22 @@ def suffix_pairs(gold: Sequence[str], pred: Sequence[str]) -> tuple[list[tuple[s
 
 
 def rank_differences(
-    ranked: DataFrame, pairs: Sequence[tuple[str, str]], id_col: str = "dialogue_id"
+    ranked: DataFrame, pairs: Sequence[tuple[str, str]], id_col: str | Sequence[str] = "dialogue_id"
 ) -> DataFrame:
     """``|gold_rank - pred_rank|`` per row and column pair. The
     ranks of one row are gathered into a map (one shuffle on the id, at most
     one entry per column), then every pair reads its two ranks from the map:
-    no self-join of the long table."""
-    per_id = ranked.groupBy(id_col).agg(
-        F.map_from_entries(F.collect_list(F.struct("column_name", "rank"))).alias("_ranks")
+    no self-join of the long table. Rows that share their ids and all values
+    are one row."""
+    ids = _ids(id_col)
+    per_id = ranked.groupBy(*ids).agg(
+        F.map_from_entries(F.collect_set(F.struct("column_name", "rank"))).alias("_ranks")
     )
     arr = F.array(*[F.struct(F.lit(gc).alias("gold_col"), F.lit(pc).alias("pred_col")) for gc, pc in pairs])
-    x = per_id.select(id_col, "_ranks", F.inline(arr))
+    x = per_id.select(*ids, "_ranks", F.inline(arr))
     diff = F.try_element_at("_ranks", F.col("gold_col")) - F.try_element_at("_ranks", F.col("pred_col"))
     return x.select(
-        id_col, "gold_col", "pred_col",
+        *ids, "gold_col", "pred_col",
         F.concat_ws("_vs_", "gold_col", "pred_col").alias("pair"),
         F.abs(diff).alias("rank_diff"),
     )
@@ -94,28 +113,61 @@ def cross_pairs(gold: Sequence[str], pred: Sequence[str]) -> list[tuple[str, str
     return [(g, p) for g in gold for p in pred]
 
 
-def mean_rank_gap(diffs: DataFrame, id_col: str = "dialogue_id") -> DataFrame:
+def mean_rank_gap(diffs: DataFrame, id_col: str | Sequence[str] = "dialogue_id") -> DataFrame:
     """Mean absolute rank difference per row, missing values ignored."""
-    return diffs.groupBy(id_col).agg(F.avg("rank_diff").alias(MEAN_DIFF))
+    return diffs.groupBy(*_ids(id_col)).agg(F.avg("rank_diff").alias(MEAN_DIFF))
+
+
+def column_pairs(columns: Sequence[str], metric: str = "LLM") -> tuple[list[tuple[str, str]], list[str]]:
+    """Pairs of gold and score columns (by suffix when the counts agree, else all
+    with all) and the gold columns left without a single counterpart."""
+    gold, pred = discover_columns(columns, metric)
+    return suffix_pairs(gold, pred) if len(gold) == len(pred) else (cross_pairs(gold, pred), [])
 
 
 def rank_disagreement(
-    run: DataFrame, metric: str = "LLM", id_col: str = "dialogue_id", buckets: int = 1024
+    run: DataFrame, metric: str = "LLM", id_col: str | Sequence[str] = "dialogue_id", buckets: int = 1024
+) -> DataFrame:
+    """E4 core: discover, rank, pair, average the gaps. ``(id..., mean_diff)``,
+    one row per row of the run table, also where ids repeat (rows equal in all
+    values are one). ``id_col`` may name several columns, such as the dialogue
+    and its model. Gold columns without a counterpart are warned of."""
+    ids = [*_ids(id_col), "_row"]
+    gold, pred = discover_columns(run.columns, metric)
+    pairs, unmatched = column_pairs(run.columns, metric)
+    if unmatched:
+        warnings.warn(f"no single score column for {unmatched}; they are left out", stacklevel=2)
+    ranked = column_ranks(to_long(run, gold, pred, id_col, "_row"), buckets)
+    return mean_rank_gap(rank_differences(ranked, pairs, ids), ids).drop("_row")
+
+
+def ranking_table(
+    run: DataFrame, metric: str = "LLM", id_col: str | Sequence[str] = "dialogue_id", buckets: int = 1024
 ) -> DataFrame:
-    """E4 core: discover, rank, pair (suffix pairing when the counts agree,
-    all pairs otherwise), average the gaps. ``(id, mean_diff)``."""
+    """The ranking with what it rests on: ids, ``mean_diff`` and, by column name,
+    ``scores`` and ``ranks``, by pair the ``gaps``; largest gap first."""
+    ids = _ids(id_col)
     gold, pred = discover_columns(run.columns, metric)
-    ranked = column_ranks(to_long(run, gold, pred, id_col), buckets)
-    pairs = suffix_pairs(gold, pred)[0] if len(gold) == len(pred) else cross_pairs(gold, pred)
-    return mean_rank_gap(rank_differences(ranked, pairs, id_col), id_col)
+    pairs, _ = column_pairs(run.columns, metric)
+    ranked = column_ranks(to_long(run, gold, pred, id_col, "_row"), buckets)
+    rows = ranked.groupBy(*ids, "_row").agg(
+        F.map_from_entries(F.collect_set(F.struct("column_name", "value"))).alias("scores"),
+        F.map_from_entries(F.collect_set(F.struct("column_name", "rank"))).alias("ranks"),
+    )
+    gap = {f"{g}_vs_{q}": F.abs(F.try_element_at("ranks", F.lit(g)) - F.try_element_at("ranks", F.lit(q))) for g, q in pairs}
+    rows = rows.withColumn("gaps", F.create_map(*[x for k, v in gap.items() for x in (F.lit(k), v)]))
+    known = F.filter(F.map_values("gaps"), lambda x: x.isNotNull())
+    mean = F.try_divide(F.aggregate(known, F.lit(0.0), lambda a, x: a + x), F.size(known))
+    return rows.select(*ids, mean.alias(MEAN_DIFF), "scores", "ranks", "gaps").orderBy(F.desc_nulls_last(MEAN_DIFF), *ids)
 
 
-def sort_by_gap(df: DataFrame, gap: str = MEAN_DIFF, id_col: str = "dialogue_id") -> DataFrame:
+def sort_by_gap(df: DataFrame, gap: str = MEAN_DIFF, id_col: str | Sequence[str] = "dialogue_id") -> DataFrame:
     """Largest gap first, id as tie-break (a range-partitioned sort)."""
-    return df.orderBy(F.col(gap).desc_nulls_last(), F.col(id_col))
+    return df.orderBy(F.col(gap).desc_nulls_last(), *_ids(id_col))
 
 
-def hardest(df: DataFrame, n: int = HARD_SET_SIZE, gap: str = MEAN_DIFF, id_col: str = "dialogue_id") -> DataFrame:
+def hardest(df: DataFrame, n: int = HARD_SET_SIZE, gap: str = MEAN_DIFF,
+            id_col: str | Sequence[str] = "dialogue_id") -> DataFrame:
     """The first ``n`` of the ranking (TakeOrderedAndProject: each
     partition keeps its own top n, so only n rows per partition move)."""
     return sort_by_gap(df, gap, id_col).limit(n)
@@ -133,5 +185,5 @@ def source_share(hard: DataFrame, model: str = "model") -> DataFrame:
 
 def hard_subset(dataset: DataFrame, ids: DataFrame, id_col: str = "dialogue_id") -> DataFrame:
     """Keep dataset rows whose id is among the hardest. ``ids`` is the
-    top-n of a ranking (bounded by n), so it is broadcast."""
-    return dataset.join(F.broadcast(ids.select(id_col)), id_col, "left_semi")
+    top-n of a ranking; AQE broadcasts it when it is small."""
+    return dataset.join(ids.select(id_col), id_col, "left_semi")

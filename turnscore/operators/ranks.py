@@ -9,10 +9,11 @@ unpartitioned window:
    function of the value (log scale, :func:`value_bucket`), so a recomputed
    task after an executor loss assigns the same bucket and no statistics
    pass is needed.
-3. Rows below a value = rows in earlier buckets (a tiny per-group running sum
-   over bucket totals) + rows below it inside its bucket (a window over one
-   bucket's distinct values). One shuffle on (group, bucket) yields both the
-   in-bucket running sums and the bucket totals.
+3. A bucket is split into ``SPLIT`` fine buckets, so values that crowd one
+   bucket (scores between 3.0 and 3.0002, say) spread over many. Rows below a
+   value = rows in earlier buckets (a running sum over a group's buckets) +
+   rows in earlier fine buckets of its bucket (over at most ``SPLIT`` rows) +
+   rows below it inside its fine bucket (over that bucket's distinct values).
 4. ``rank = below + (count + 1) / 2``, joined back on ``(group, value)``; the
    rank table has one row per distinct value, so AQE broadcasts it when it
    is small (ratings) and shuffles with skew-join splitting otherwise.
@@ -26,6 +27,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _G = "_rank_all"
+#: Fine buckets per bucket.
+SPLIT = 1024
 
 
 def value_bucket(v: Column, resolution: int) -> Column:
@@ -34,9 +37,9 @@ def value_bucket(v: Column, resolution: int) -> Column:
     infinities stay finite. ``log2`` is semi-monotonic and every later step
     is monotonic, so ``a <= b`` implies ``bucket(a) <= bucket(b)``; the
     bucket is a pure function of the value, hence identical when a task is
-    recomputed. ``resolution`` buckets per octave (1024 by default: values
-    spread over a narrow range still land in many buckets, so no single task
-    ranks most of a group's distinct values).
+    recomputed. ``resolution`` buckets per octave; :func:`rank_table` uses it
+    at two scales (1024 and 1024 times 1024 per octave by default), so only
+    values that agree to about one part in a million share a window.
     """
     key = F.signum(v) * (F.log2(F.abs(v)) + F.lit(1075.0)) * F.lit(float(resolution))
     key = F.when(v == 0, F.lit(0.0)).otherwise(F.greatest(F.lit(-1e15), F.least(F.lit(1e15), key)))
@@ -56,20 +59,24 @@ def rank_table(
         g = [_G]
     cnt = F.count(F.lit(1)) if weight is None else F.sum(weight)
     counts = src.where(F.col(value).isNotNull()).groupBy(*g, value).agg(cnt.alias("_cnt"))
-    counts = counts.withColumn("_b", value_bucket(F.col(value), buckets) if buckets > 1 else F.lit(0))
-    # one shuffle on (group, bucket) serves the running sum inside the bucket,
-    # the bucket total, and the per-bucket totals (already clustered there)
-    part = Window.partitionBy(*g, "_b")
+    fine = value_bucket(F.col(value), buckets * SPLIT) if buckets > 1 else F.lit(0).cast("long")
+    counts = counts.withColumn("_m", fine).withColumn("_b", F.floor(F.col("_m") / SPLIT).cast("long"))
+    # values inside a fine bucket
+    part = Window.partitionBy(*g, "_b", "_m")
     local = counts.select(
-        *g, "_b", value, "_cnt",
+        *g, "_b", "_m", value, "_cnt",
         F.coalesce(F.sum("_cnt").over(part.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)),
                    F.lit(0)).alias("_below"),
-        F.sum("_cnt").over(part).alias("_btot"),
     )
-    totals = local.groupBy(*g, "_b").agg(F.max("_btot").alias("_bcnt"))
+    # fine buckets inside a bucket (at most SPLIT rows), buckets inside a group
+    fines = counts.groupBy(*g, "_b", "_m").agg(F.sum("_cnt").alias("_mcnt"))
+    inside = Window.partitionBy(*g, "_b").orderBy("_m").rowsBetween(Window.unboundedPreceding, -1)
+    fines = fines.select(*g, "_b", "_m", "_mcnt", F.coalesce(F.sum("_mcnt").over(inside), F.lit(0)).alias("_moff"))
+    totals = fines.groupBy(*g, "_b").agg(F.sum("_mcnt").alias("_bcnt"))
     before = Window.partitionBy(*g).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*g, "_b", F.coalesce(F.sum("_bcnt").over(before), F.lit(0)).alias("_off"))
-    ranked = local.join(offsets, g + ["_b"]).select(
+    totals = totals.select(*g, "_b", F.coalesce(F.sum("_bcnt").over(before), F.lit(0)).alias("_boff"))
+    offsets = fines.join(totals, g + ["_b"]).select(*g, "_b", "_m", (F.col("_moff") + F.col("_boff")).alias("_off"))
+    ranked = local.join(offsets, g + ["_b", "_m"]).select(
         *g, value, (F.col("_off") + F.col("_below") + (F.col("_cnt") + 1) / 2.0).alias(rank_col)
     )
     if g == [_G]:
@@ -86,14 +93,6 @@ def average_rank(
     return df.join(ranks, list(group) + [value], "left")
 
 
-def small_group_rank(value: str, group: Sequence[str]) -> Column:
-    """W3 for many small groups: plain window form ``rank() + (ties - 1) / 2``.
-    Use only when every group fits one task."""
-    w = Window.partitionBy(*group).orderBy(value)
-    ties = Window.partitionBy(*group, value)
-    return F.rank().over(w) + (F.count(F.lit(1)).over(ties) - 1) / 2.0
-
-
 def metric_vs_gold(
     df: DataFrame, id_col: str, gold: str, metric: str, buckets: int = 1024
 ) -> DataFrame:

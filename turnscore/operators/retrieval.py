@@ -1,33 +1,27 @@
 """Retrieval of rated examples: J9, J10, J11, J12, T4.
 
-Exact k-nearest neighbours (squared L2, ties by id) without a cross join.
-The smaller side, by vector bytes and only behind a size check, is collected
-and shipped as a broadcast variable; the other side is scanned partition by
-partition (``mapInPandas``, Arrow batches) with BLAS distance blocks and an
-exact re-check:
-
-* store broadcast: each query's top k is complete in its task (no shuffle);
-* query broadcast: each store partition keeps its own top ``k`` per query, so
-  at most ``k x partitions`` candidates per query are shuffled, and a window
-  per query picks the final ``k``. Above the size bound the queries run in
-  hash chunks, one broadcast per chunk: still exact, never sampled.
+Exact k-nearest neighbours (squared L2, ties by id) without a cross join and
+with nothing on the driver: queries and store are cut into blocks by a hash
+of their ids, every pair of blocks meets in one task (``cogroup``, Arrow
+batches, BLAS distance blocks with an exact re-check) and keeps its own top
+``k`` per query, and a window per query picks the final ``k``. The number of
+blocks follows the session's shuffle partitions, so a task's memory is bounded
+by the cluster's partitioning and no job runs while a plan is built.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from turnscore.functions.ids import sample_key
 
-# a query chunk is shipped to every executor once; 256 MB of float64 vectors
-# (about 500k queries of 64 dims) per chunk keeps store re-scans rare
-DEFAULT_MAX_BROADCAST_BYTES = 256 * 1024 * 1024
 _CAND = T.StructType(
     [
         T.StructField("query_id", T.LongType()),
@@ -85,72 +79,41 @@ def _merge(best_ids, best_d, cid, cd, k):
     return np.take_along_axis(ids, order, 1), np.take_along_axis(dd, order, 1)
 
 
-def _partition_topk(bq, k: int, exclude_self: bool, block_cells: int = 4_000_000):
-    """mapInPandas body: running top-k per query over one partition; the
-    queries come from the broadcast variable ``bq``. Distances are computed
-    in query blocks so the batch x block matrix stays bounded."""
-
-    def run(batches):
-        qids, qmat = bq.value
-        m = len(qids)
-        best_ids = np.empty((m, 0), dtype=np.int64)
-        best_d = np.empty((m, 0), dtype=np.float64)
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            ids = pdf["ex_id"].to_numpy(dtype=np.int64)
-            x = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
-            xx = np.einsum("ij,ij->i", x, x)
-            step = max(1, block_cells // max(1, len(ids)))
-            cids, cds = [], []
-            for lo in range(0, m, step):
-                ci, cd = _block_topk(ids, x, xx, qids[lo:lo + step], qmat[lo:lo + step], k, exclude_self)
-                cids.append(ci)
-                cds.append(cd)
-            best_ids, best_d = _merge(best_ids, best_d, np.concatenate(cids), np.concatenate(cds), k)
-        keep = np.isfinite(best_d)
-        rows = np.repeat(qids, best_ids.shape[1])
-        flat = keep.ravel()
-        if flat.any():
-            yield pd.DataFrame({"query_id": rows[flat], "ex_id": best_ids.ravel()[flat], "dist": best_d.ravel()[flat]})
-
-    return run
+_OUT = T.StructType(_CAND.fields + [T.StructField("rk", T.IntegerType())])
 
 
-_OUT = T.StructType(_CAND.fields + [T.StructField("rk", T.IntegerType())])
+def _vectors(t: pa.Table, id_col: str) -> tuple[np.ndarray, np.ndarray]:
+    flat = t["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    ids = t[id_col].to_numpy().astype(np.int64)
+    return ids, flat.reshape(len(ids), -1)
 
 
-def _store_side_topk(bs, k: int, exclude_self: bool, block_cells: int = 4_000_000):
-    """mapInPandas body over *query* batches with the whole store broadcast
-    (``bs``): every query's exact top-k is complete inside its task."""
+def _pair_topk(k: int, exclude_self: bool, block_cells: int = 4_000_000):
+    """One pair of blocks: the top ``k`` store rows of each query, the distance
+    matrix taken in bounded pieces."""
 
-    def run(batches):
-        sids, smat = bs.value
-        sxx = np.einsum("ij,ij->i", smat, smat)
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            qids = pdf["query_id"].to_numpy(dtype=np.int64)
-            qmat = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
+    def run(queries: pa.Table, store: pa.Table) -> pa.Table:
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        if queries.num_rows and store.num_rows:
+            qids, qmat = _vectors(queries, "query_id")
+            sids, smat = _vectors(store, "ex_id")
+            sxx = np.einsum("ij,ij->i", smat, smat)
             step = max(1, block_cells // max(1, len(sids)))
             for lo in range(0, len(qids), step):
                 ci, cd = _block_topk(sids, smat, sxx, qids[lo:lo + step], qmat[lo:lo + step], k, exclude_self)
                 best_ids, best_d = _merge(np.empty((len(ci), 0), np.int64), np.empty((len(ci), 0)), ci, cd, k)
-                keep = np.isfinite(best_d)
+                keep = np.isfinite(best_d).ravel()
                 rows = np.repeat(qids[lo:lo + step], best_ids.shape[1])
-                rk = np.tile(np.arange(1, best_ids.shape[1] + 1, dtype=np.int32), len(best_ids))
-                flat = keep.ravel()
-                yield pd.DataFrame({"query_id": rows[flat], "ex_id": best_ids.ravel()[flat],
-                                    "dist": best_d.ravel()[flat], "rk": rk[flat]})
+                found.append((rows[keep], best_ids.ravel()[keep], best_d.ravel()[keep]))
+        columns = [np.concatenate([f[i] for f in found]) if found else np.empty(0, t) for i, t in enumerate((np.int64, np.int64, float))]
+        return pa.table({"query_id": columns[0], "ex_id": columns[1], "dist": columns[2]})
 
     return run
 
 
-def _collect_side(df: DataFrame, id_col: str):
-    rows = df.collect()  # bounded by the caller's size check
-    ids = np.array([r[id_col] for r in rows], dtype=np.int64)
-    mat = np.array([r["embedding"] for r in rows], dtype=np.float64)
-    return ids, mat
+def block_counts(spark) -> int:
+    """Blocks per side: the pairs of blocks are about the shuffle partitions."""
+    return max(1, math.isqrt(int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
 def nearest(
@@ -158,50 +121,22 @@ def nearest(
     store: DataFrame,
     k: int,
     exclude_self: bool = True,
-    max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES,
+    blocks: int | None = None,
     query_id: str = "query_id",
     query_vec: str = "embedding",
-    strategy: str = "auto",
 ) -> DataFrame:
     """Exact top-``k`` store rows per query: ``(query_id, ex_id, dist, rk)``,
     ``rk`` 1..k by (distance, id).
 
-    The smaller side (by vector bytes, both size-checked) is broadcast:
-
-    * ``store``: the whole store is shipped once and the queries are scanned
-      partition by partition; each query's top-k is complete in its task (no
-      shuffle at all) - the usual case of many turns against a rated store;
-    * ``queries``: the queries are shipped (in chunks of at most
-      ``max_broadcast_bytes``) and the store is scanned; each partition keeps
-      a top-k per query and a window per query picks the final k.
-    """
-    spark = store.sparkSession
+    Every query block meets every store block once: a vector is sent
+    ``blocks`` times, a query's ``k`` best of each store block once."""
+    n = blocks or block_counts(store.sparkSession)
     q = queries.select(F.col(query_id).cast("long").alias("query_id"), F.col(query_vec).alias("embedding"))
     s = store.select(F.col("ex_id").cast("long").alias("ex_id"), "embedding")
-    qs = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("d")).first()
-    n, d = int(qs["n"] or 0), int(qs["d"] or 0)
-    if n == 0:
-        return spark.createDataFrame([], _OUT)
-    if strategy == "auto":
-        ns = s.count()
-        store_bytes, query_bytes = ns * d * 8, n * d * 8
-        strategy = "store" if store_bytes <= max_broadcast_bytes and store_bytes <= query_bytes else "queries"
-    if strategy == "store":
-        bs = spark.sparkContext.broadcast(_collect_side(s, "ex_id"))
-        return q.mapInPandas(_store_side_topk(bs, k, exclude_self), _OUT)
-    per_chunk = max(1, max_broadcast_bytes // max(1, d * 8))
-    n_chunks = (n + per_chunk - 1) // per_chunk
-    parts = []
-    for c in range(n_chunks):
-        chunk = q if n_chunks == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(n_chunks)) == c)
-        qids, qmat = _collect_side(chunk, "query_id")  # bounded by the size check above
-        if len(qids) == 0:
-            continue
-        bq = spark.sparkContext.broadcast((qids, qmat))
-        parts.append(s.mapInPandas(_partition_topk(bq, k, exclude_self), _CAND))
-    cand = parts[0]
-    for p in parts[1:]:
-        cand = cand.unionByName(p)
+    every = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = q.select(F.pmod(F.xxhash64("query_id"), F.lit(n)).cast("int").alias("qb"), every.alias("sb"), "query_id", "embedding")
+    s = s.select(every.alias("qb"), F.pmod(F.xxhash64("ex_id"), F.lit(n)).cast("int").alias("sb"), "ex_id", "embedding")
+    cand = q.groupBy("qb", "sb").cogroup(s.groupBy("qb", "sb")).applyInArrow(_pair_topk(k, exclude_self), _CAND)
     w = Window.partitionBy("query_id").orderBy("dist", "ex_id")
     return cand.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k)
 
@@ -228,12 +163,42 @@ def similar_examples(
     )
 
 
+def with_backup(
+    queries: DataFrame, store: DataFrame, n: int, wanted: Sequence[str], exclude_self: bool = True, fetch_factor: int = 3
+) -> DataFrame:
+    """J9 and J10 over one store in a single search: of the ``fetch_factor * n``
+    nearest (2 n at least), the first ``n`` with all wanted qualities are
+    chosen; a query left short is topped up with the nearest others. ``(query_id,
+    rank, ex_id, dist, source)``."""
+    fetch = fetch_factor * n
+    near = nearest(queries, store, max(fetch, 2 * n), exclude_self)
+    flags = store.select(F.col("ex_id").cast("long").alias("ex_id"), has_qualities("qualities", wanted).alias("_ok"))
+    rows = near.join(flags, "ex_id").withColumn("_ok", F.col("_ok") & (F.col("rk") <= fetch))
+    before = Window.partitionBy("query_id").orderBy("rk").rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy("query_id")
+    rows = rows.withColumn("_nth", F.sum(F.col("_ok").cast("int")).over(before))
+    rows = rows.withColumn("_in", F.col("_ok") & (F.col("_nth") <= n))
+    rows = rows.withColumn("_have", F.sum(F.col("_in").cast("int")).over(whole))
+    rows = rows.withColumn("_spare", F.sum((~F.col("_in") & (F.col("rk") <= 2 * n)).cast("int")).over(before))
+    fill = ~F.col("_in") & (F.col("rk") <= 2 * n) & (F.col("_spare") <= n - F.col("_have"))
+    return rows.where(F.col("_in") | fill).select(
+        "query_id", F.when(F.col("_in"), F.col("_nth")).otherwise(F.col("_have") + F.col("_spare")).cast("int").alias("rank"),
+        "ex_id", "dist", F.when(F.col("_in"), F.lit("store")).otherwise(F.lit("backup")).alias("source"),
+    )
+
+
 def backup_fill(
     chosen: DataFrame, queries: DataFrame, backup: DataFrame, n: int, exclude_self: bool = True
 ) -> DataFrame:
-    """Top up queries with fewer than ``n`` examples from the backup
-    store's nearest rows (not filtered by quality), excluding ids already
-    chosen. ``(query_id, rank, ex_id, dist, source)``."""
+    """J10 with a backup store of its own: top up queries with fewer than ``n``
+    examples from the backup's nearest rows (not filtered by quality),
+    excluding ids already chosen. ``(query_id, rank, ex_id, dist, source)``.
+    Where both stores are one, :func:`with_backup` searches once.
+
+    ``chosen`` feeds several branches, so it is written once."""
+    from turnscore.session import reliable_checkpoint
+
+    chosen = reliable_checkpoint(chosen)
     have = chosen.groupBy("query_id").agg(F.count(F.lit(1)).alias("_have"))
     qs = queries.select(F.col("query_id").cast("long").alias("query_id"))
     need = qs.join(have, "query_id", "left").select("query_id", F.coalesce("_have", F.lit(0)).alias("_have"))

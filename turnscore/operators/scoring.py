@@ -30,13 +30,15 @@ class ScorerError(RuntimeError):
     """A failed model call."""
 
 
-def heuristic_reply(context: str, response: str) -> str:
-    """Deterministic stand-in for a model reply in the multi-quality format."""
+def heuristic_reply(context: str, response: str, prompt: str = "") -> str:
+    """Deterministic stand-in for a model reply in the multi-quality format. It
+    reads the prompt (its length decides one score), so a prompt that does not
+    arrive as rendered shows."""
     n_r, n_c = len(response), len(context)
     appr = 1 + (n_r + n_c) % 5
     rich = 1 + min(4, n_r // 200)
     gram = max(1, 5 - min(4, response.count("!") + response.count("?")))
-    rel = 1 + (n_c // 100) % 5
+    rel = 1 + (len(prompt) // 100) % 5
     return f"appropriateness: {appr}, richness: {rich}, grammatical: {gram}, relevance: {rel}"
 
 
@@ -47,11 +49,12 @@ def heuristic_scorer(fail_prefix: str | None = None) -> ScorerFactory:
     def build():
         def call(batch: pd.DataFrame) -> pd.Series:
             out = []
-            for uid, ctx, resp in zip(batch["uid"], batch["context"], batch["response"]):
+            prompts = batch["prompt"] if "prompt" in batch else [""] * len(batch)
+            for uid, ctx, resp, prompt in zip(batch["uid"], batch["context"], batch["response"], prompts):
                 if fail_prefix is not None and hashlib.md5(str(uid).encode()).hexdigest().startswith(fail_prefix):
                     out.append(ScorerError(f"service failed for {uid}"))
                 else:
-                    out.append(heuristic_reply(ctx or "", resp or ""))
+                    out.append(heuristic_reply(ctx or "", resp or "", prompt or ""))
             return pd.Series(out, dtype="object")
 
         return call

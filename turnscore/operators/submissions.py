@@ -34,17 +34,11 @@ def gold_lookup(turns: DataFrame, gold: DataFrame, uid: str = "UID", gold_key: s
     return j.withColumn("matched", F.coalesce("matched", F.lit(False)))
 
 
-def require_all_matched(looked_up: DataFrame) -> DataFrame:
-    """Strict J1: fail when any turn has no gold row (one count action)."""
-    missing = looked_up.where(~F.col("matched")).limit(1).count()
-    if missing:
-        raise ValueError("turns without a gold row")
-    return looked_up
-
-
 def align(gold_long: DataFrame, pred_long: DataFrame, keys: Sequence[str] = ("UID", "dimension")) -> DataFrame:
-    """Participant rows meet gold rows on the key, not by position."""
-    return gold_long.join(pred_long, list(keys))
+    """Participant rows meet gold rows on the key, not by position; every
+    gold row stays, ``matched`` is false where the participant has none."""
+    j = gold_long.join(pred_long.withColumn("matched", F.lit(True)), list(keys), "left")
+    return j.withColumn("matched", F.coalesce("matched", F.lit(False)))
 
 
 def merge_quality_files(files: dict[str, DataFrame], uid: str = "UID") -> DataFrame:
@@ -63,8 +57,9 @@ def merge_quality_files(files: dict[str, DataFrame], uid: str = "UID") -> DataFr
 
 
 def submission_checks(merged: DataFrame, expected_rows: int = SUBMISSION_ROWS, uid: str = "UID") -> DataFrame:
-    """One-row check table: rows, duplicate UIDs, incomplete rows and
-    whether everything holds (``expected_rows`` is a parameter)."""
+    """One-row check table: rows, UIDs that occur more than once,
+    incomplete rows and whether everything holds (``expected_rows`` is a
+    parameter)."""
     per_uid = merged.groupBy(uid).agg(F.count(F.lit(1)).alias("_n"), F.min(F.col("complete").cast("int")).alias("_c"))
     return per_uid.agg(
         F.sum("_n").alias("n_rows"),
@@ -109,7 +104,7 @@ def drop_banned_contexts(train: DataFrame, dev: DataFrame, context: str = "conte
     empty first-turn context, say) costs nothing extra. Beyond the bound the
     anti join shuffles both sides and AQE splits skewed partitions."""
     banned = dev.select(context).distinct()
-    size = banned.agg(F.coalesce(F.sum(F.length(context) + 16), F.lit(0)).alias("b")).first()["b"]
+    size = banned.agg(F.coalesce(F.sum(F.octet_length(context) + 16), F.lit(0)).alias("b")).first()["b"]
     if size <= max_broadcast_bytes:
         banned = F.broadcast(banned)
     return train.join(banned, context, "left_anti")

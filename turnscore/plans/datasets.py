@@ -25,7 +25,7 @@ from turnscore.sources import io
 
 def load_dialogue_dataset(
     spark: SparkSession, root: str, dataset: str, eval_type: str = "en", insert_speaker: bool = False,
-    banned_contexts: DataFrame | None = None, multiline: bool = True, max_turns: int | None = None,
+    banned_contexts: DataFrame | None = None, multiline: bool | None = None, max_turns: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """One dev/train dataset: prepared pairs and long gold. ``max_turns``
     keeps the first rows by id (T3); the gold follows the kept rows."""

@@ -42,11 +42,14 @@ def grade_submission(gold: DataFrame, submission: DataFrame, subtask: str = "t2t
 def mine_hard_set(run: DataFrame, dataset: DataFrame, metric: str = "LLM", n: int = HARD_SET_SIZE,
                   id_col: str = "dialogue_id") -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rank disagreement -> T1 -> T2 -> A12 -> J5. Returns the ranking,
-    the source shares of the hardest rows and the hard subset of the dataset
+    the source shares of the hardest rows (none without a ``model``; rows are
+    told apart by id and model) and the hard subset of the dataset
     (the subset, as the option help says, not the full dataset)."""
-    ranking = mn.sort_by_gap(mn.rank_disagreement(run, metric, id_col))
-    hard = mn.hardest(ranking, n).join(run.select(id_col, "model"), id_col)
-    return ranking, mn.source_share(hard), mn.hard_subset(dataset, hard, id_col)
+    ids = [id_col, "model"] if "model" in run.columns else [id_col]
+    ranking = mn.sort_by_gap(mn.rank_disagreement(run, metric, ids), id_col=ids)
+    hard = mn.hardest(ranking, n, id_col=ids)
+    shares = mn.source_share(hard if "model" in hard.columns else hard.withColumn("model", F.lit(None).cast("string")))
+    return ranking, shares, mn.hard_subset(dataset, hard, id_col)
 
 
 def build_rehearsal(rehearsal_input: DataFrame, variant: str = "constant") -> DataFrame:
@@ -80,9 +83,11 @@ def retrieved_examples_blocks(queries: DataFrame, store: DataFrame, prompt_name:
     from turnscore.operators import retrieval as rt
 
     prompt = prompts.get_prompt(prompt_name)
-    chosen = rt.similar_examples(queries, store, prompt.n_examples, prompt.qualities, exclude_self=False)
-    filled = rt.backup_fill(chosen, queries, backup if backup is not None else store, prompt.n_examples,
-                            exclude_self=False)
+    if backup is None:
+        filled = rt.with_backup(queries, store, prompt.n_examples, prompt.qualities, exclude_self=False)
+    else:
+        chosen = rt.similar_examples(queries, store, prompt.n_examples, prompt.qualities, exclude_self=False)
+        filled = rt.backup_fill(chosen, queries, backup, prompt.n_examples, exclude_self=False)
     pay = rt.example_payload(filled, store, prompt.qualities)
     text = prompts.render_example(prompt, F.col("context"), F.col("response"), {q: F.col(q) for q in prompt.qualities})
     return prompts.examples_block(pay.withColumn("_text", text), ["query_id"], "rank", "_text")

@@ -7,6 +7,7 @@ the same parquet tables to check every query of the registry.
 
 from __future__ import annotations
 
+from turnscore.functions.text import WIDE_SPACES
 from turnscore.schemas import QUALITIES
 from turnscore.sources.catalogue import DATASET_NAMES, catalogue_rows, mapping_rows, sql_values
 
@@ -16,7 +17,7 @@ NUM_RE = (
     r"^[+-]?(((\d(_?\d)*)?\.\d(_?\d)*|\d(_?\d)*\.?)([eE][+-]?\d(_?\d)*)?|nan|inf|infinity)$"
 )
 SPLIT_RE = "[:;|,!? \t\n]"
-WS = "' \t\n\r' || chr(11) || chr(12)"
+WS = "' \t\n\r' || chr(11) || chr(12) || " + " || ".join(f"chr({c})" for c in WIDE_SPACES)
 
 
 def rating_sql(k: int, qi: str = "qi", dialogue: str = "dialogue_id", turn: str = "turn_id") -> str:
@@ -74,7 +75,8 @@ FROM turns""",
     "submission": (
         ("scores_wide",),
         """SELECT uid AS "UID", appropriateness AS "APPROPRIATENESS", richness AS "CONTENT_RICHNESS",
-       grammatical AS "GRAMMATICAL_CORRECTNESS", relevance AS "RELEVANCE" FROM scores_wide""",
+       grammatical AS "GRAMMATICAL_CORRECTNESS", relevance AS "RELEVANCE" FROM scores_wide
+WHERE (dialogue_id + turn_id) % 19 <> 0""",
     ),
     "replies": (
         ("turns",),
@@ -106,7 +108,7 @@ FROM turns t JOIN dsnames d ON d.dataset_idx = t.dialogue_id % {len(DATASET_NAME
         """SELECT uid AS dialogue_id, conv_id, turn_id, sid, text, dataset, model, context, response,
        '[zh] ' || context AS context_zh, '[es] ' || context AS context_es, ' ' || context || ' ' AS context_pa,
        '[zh] ' || response AS response_zh, '[es] ' || response AS response_es,
-       '  ' || response || chr(9) AS response_pa
+       chr(12288) || '  ' || response || chr(9) || chr(12288) AS response_pa
 FROM drows0""",
     ),
     "cat": ((), "SELECT * FROM " + sql_values(catalogue_rows(),

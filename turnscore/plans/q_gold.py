@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from turnscore.operators import agreement as ag
 from turnscore.operators import gold as gd
 from turnscore.plans.oracle import avg_rank_sql, corr_sql, sql
+from turnscore.plans.q_aggs import _MASKED, _RANKED
 from turnscore.plans.registry import query
 from turnscore.schemas import QUALITIES, TURN_DIMENSIONS
 from turnscore.sources import adapters as ad
@@ -98,7 +99,24 @@ def s4(spark, sf_dir):
 # ------------------------------------------------------------------ A5 / A7 / E3 / A10 / A16 / A17
 
 
-@query("A5_corr_pvalue")
+def _p_sql(r: str) -> str:
+    """Two-sided p of a correlation: with whole degrees of freedom v = n - 2
+    Student's tail is a finite sum in 1 - r*r."""
+    even = (f"abs({r}) * list_sum(list_transform(range(v // 2), lambda k: "
+            f"exp(lgamma(2*k + 1) - 2*lgamma(k + 1) - 2*k*ln(2.0) + k*ln(1 - {r}*{r}))))")
+    odd = (f"2 / pi() * (asin(abs({r})) + abs({r}) * sqrt(1 - {r}*{r}) * coalesce(list_sum(list_transform(range((v - 1) // 2), "
+           f"lambda k: exp(2*k*ln(2.0) + 2*lgamma(k + 1) - lgamma(2*k + 2) + k*ln(1 - {r}*{r})))), 0))")
+    return f"CASE WHEN v >= 1 THEN round(1 - CASE WHEN v % 2 = 0 THEN {even} ELSE {odd} END, 6) END"
+
+
+@query("A5_corr_pvalue", sql(
+    f"""SELECT quality, n, round(pearson, 6) AS pearson, round(spearman, 6) AS spearman,
+       {_p_sql('pearson')} AS pearson_p, {_p_sql('spearman')} AS spearman_p FROM c""",
+    "rl",
+    extra={"m": _MASKED, "r": _RANKED,
+           "c": f"SELECT quality, count(*) AS n, count(*) - 2 AS v, {corr_sql('gold', 'score')} AS pearson, "
+                f"{corr_sql('gr', 'pr')} AS spearman FROM r GROUP BY quality"},
+))
 def a5(spark, sf_dir):
     """Two-sided p-values of r and rho per quality (pandas UDF on the
     4-row result)."""
@@ -115,7 +133,7 @@ _SL_LONG = " UNION ALL ".join(
 )
 _SUB_LONG = " UNION ALL ".join(f"""SELECT "UID", '{d}' AS dimension, "{d}" AS pred FROM submission"""
                                for d in TURN_DIMENSIONS)
-_PAIRS = """SELECT g."UID", g.slice, g.dimension, g.gold, p.pred FROM gl g JOIN pl p
+_PAIRS = """SELECT g."UID", g.slice, g.dimension, g.gold, p.pred FROM gl g LEFT JOIN pl p
   ON p."UID" = g."UID" AND p.dimension = g.dimension"""
 _RK = f"""SELECT slice, dimension, gold, pred,
        {avg_rank_sql('gold', 'slice, dimension')} AS gr, {avg_rank_sql('pred', 'slice, dimension')} AS pr
@@ -125,9 +143,10 @@ FROM pairs WHERE gold IS NOT NULL AND NOT isnan(gold) AND pred IS NOT NULL AND N
 @query(
     "A7_leaderboard",
     sql(
-        f"""SELECT u.slice, u.dimension, coalesce(c.n, 0) AS n, round(abs(c.spearman), 6) AS spearman,
+        f"""SELECT u.slice, u.dimension, coalesce(c.n, 0) AS n, u.n_missing, round(abs(c.spearman), 6) AS spearman,
        round(abs(c.pearson), 6) AS pearson
-FROM (SELECT DISTINCT slice, dimension FROM pairs) u
+FROM (SELECT slice, dimension, count(*) FILTER (WHERE gold IS NOT NULL AND pred IS NULL) AS n_missing
+      FROM pairs GROUP BY slice, dimension) u
 LEFT JOIN (SELECT slice, dimension, count(*) AS n, {corr_sql('gr', 'pr')} AS spearman,
                   {corr_sql('gold', 'pred')} AS pearson FROM rk GROUP BY slice, dimension) c
   ON c.slice = u.slice AND c.dimension = u.dimension""",
@@ -148,7 +167,8 @@ FROM pairs WHERE slice = 'CID=DS2' AND gold IS NOT NULL AND NOT isnan(gold) AND
 @query(
     "E3_grade_submission",
     sql(
-        f"""SELECT d.dimension, coalesce(c.n, 0) AS n, round(abs(c.spearman), 6) AS spearman,
+        f"""SELECT d.dimension, coalesce(c.n, 0) AS n, (SELECT count(*) FROM pairs p WHERE p.slice = 'CID=DS2'
+         AND p.dimension = d.dimension AND p.gold IS NOT NULL AND p.pred IS NULL) AS n_missing, round(abs(c.spearman), 6) AS spearman,
        round(abs(c.pearson), 6) AS pearson
 FROM (SELECT unnest(['APPROPRIATENESS', 'RELEVANCE']) AS dimension) d
 LEFT JOIN (SELECT dimension, count(*) AS n, {corr_sql('gr', 'pr')} AS spearman, {corr_sql('gold', 'pred')} AS pearson
@@ -192,7 +212,7 @@ def a16(spark, sf_dir):
 
 
 def _bin_sql(x: str) -> str:
-    return f"greatest(0, least(31, CAST(floor(({x} - 1.0) / 4.0 * 32) AS INTEGER)))"
+    return f"CASE WHEN {x} < 1 THEN -1 WHEN {x} > 5 THEN 32 ELSE least(31, CAST(floor(({x} - 1.0) / 4.0 * 32) AS INTEGER)) END"
 
 
 @query(

@@ -118,16 +118,17 @@ def s5(spark, sf_dir):
 
 @query(
     "S3_read_run_results",
-    sql("""SELECT uid, appropriateness, richness, grammatical, relevance, 'run-a' AS run_id FROM scores_wide""",
+    sql("""SELECT uid, appropriateness, richness, grammatical, relevance, '007' AS run_id FROM scores_wide""",
         "scores_wide"),
 )
 def s3(spark, sf_dir):
-    """Two runs in one result table; reading one is partition pruning."""
+    """Two runs with like ids in one result table; reading one is partition
+    pruning on the id as it was given."""
     s = ad.scores_wide(spark, sf_dir).select("uid", *QUALITIES)
     root = scratch_path(spark, "s3-results")
-    io.write_results(s, root, "run-a")
-    io.write_results(s.select("uid", *[(F.col(q) + 1).alias(q) for q in QUALITIES]), root, "run-b")
-    return io.read_results(spark, root, "run-a")
+    io.write_results(s, root, "007")
+    io.write_results(s.select("uid", *[(F.col(q) + 1).alias(q) for q in QUALITIES]), root, "7")
+    return io.read_results(spark, root, "007")
 
 
 @query(
@@ -146,24 +147,27 @@ def s9(spark, sf_dir):
 
 @query(
     "S7_embedding_store",
-    sql("""SELECT dialogue_id, 'dev' AS split, CAST(len(embedding) AS INTEGER) AS n_dims,
-       round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 6) AS emb_sum
-FROM emb_records WHERE vec_id % 5 = 0""", "emb_records"),
+    sql("""SELECT dialogue_id, CASE WHEN vec_id % 5 = 0 THEN 'dev' ELSE 'train' END AS split,
+       CAST(len(embedding) AS INTEGER) AS n_dims,
+       round(list_sum(list_transform(embedding, lambda x, i: CAST(x AS DOUBLE) * i)), 6) AS emb_sum
+FROM emb_records""", "emb_records"),
 )
 def s7(spark, sf_dir):
-    """Embedding records saved by run and split, the dev split read back."""
+    """Embedding records saved by run and split, both splits read back; the
+    check weighs every component by its place."""
     r = ad.embedding_records(spark, sf_dir)
     root = scratch_path(spark, "s7-embeddings")
     io.write_embeddings(r.where(F.col("vec_id") % 5 != 0), root, "run-a", "train")
     io.write_embeddings(r.where(F.col("vec_id") % 5 == 0), root, "run-a", "dev")
-    back = io.read_embeddings(spark, root, "run-a", "dev")
+    back = io.read_embeddings(spark, root, "run-a", "dev").unionByName(io.read_embeddings(spark, root, "run-a", "train"))
+    weighed = F.transform("embedding", lambda x, i: x.cast("double") * (i + 1))
     return back.select("dialogue_id", "split", F.size("embedding").alias("n_dims"),
-                       F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double")).alias("emb_sum"))
+                       F.aggregate(weighed, F.lit(0.0), lambda a, x: a + x).alias("emb_sum"))
 
 
 @query(
     "S8_run_manifest",
-    sql("""SELECT uid, quality, score, 'run-a' AS run_id, 'op-all-02' AS prompt FROM rl WHERE sid = 'Chatbot'""",
+    sql("""SELECT uid, quality, score, 'run-a' AS run_id, 'op-all-02' AS prompt FROM rl""",
         "rl"),
 )
 def s8(spark, sf_dir):
@@ -172,7 +176,7 @@ def s8(spark, sf_dir):
     io.append_run(spark, root, "run-a", "op-all-02", "heuristic", 42, eval_type="en", insert_speaker=False)
     io.append_run(spark, root, "run-b", "vh-appropriateness-03", "heuristic", 7, eval_type="par")
     runs = io.read_runs(spark, root)
-    s = ad.scored_turns(spark, sf_dir).where(F.col("sid") == "Chatbot").select(
+    s = ad.scored_turns(spark, sf_dir).select(
         "uid", "quality", "score", F.lit("run-a").alias("run_id"))
     # the runs table grows with the number of runs: no forced broadcast, AQE
     # broadcasts it at run time when it is small

@@ -68,8 +68,8 @@ def _long_sql(src: str, value: str, where: str = "") -> str:
 
 @query(
     "J2_submission_gold_align",
-    sql("""SELECT g."UID", g.dimension, g.gold, p.pred FROM gl g JOIN pl p ON p."UID" = g."UID"
-  AND p.dimension = g.dimension""", "gold_wide", "submission",
+    sql("""SELECT g."UID", g.dimension, g.gold, p.pred, p."UID" IS NOT NULL AS matched FROM gl g
+LEFT JOIN pl p ON p."UID" = g."UID" AND p.dimension = g.dimension""", "gold_wide", "submission",
         extra={"gl": _long_sql("gold_wide", "gold", """WHERE "SID" = 'Chatbot'"""),
                "pl": _long_sql("submission", "pred")}),
 )
@@ -85,14 +85,15 @@ def j2(spark, sf_dir):
 # ------------------------------------------------------------------ J3 / A11 / U2 / E2
 
 
-def quality_files(spark, sf_dir):
-    """Four per-quality score files; the richness file misses some UIDs."""
+def quality_files(spark, sf_dir, complete=False):
+    """Four per-quality score files; the richness file misses some UIDs unless
+    ``complete``."""
     s = ad.scores_wide(spark, sf_dir)
     quals = ("appropriateness", "richness", "grammatical", "relevance")
     files = {}
     for q, d in zip(quals, TURN_DIMENSIONS):
         f = s
-        if q == "richness":
+        if q == "richness" and not complete:
             f = s.where((F.col("dialogue_id") + F.col("turn_id")) % 13 != 0)
         files[d] = f.select(F.col("uid").alias("UID"), F.col(q))
     return files
@@ -123,13 +124,19 @@ def j3(spark, sf_dir):
 
 @query(
     "A11_submission_checks",
-    sql("""SELECT count(*) AS n_rows, count(*) - count(DISTINCT "UID") AS n_duplicate_uids,
-       count(*) FILTER (WHERE NOT complete) AS n_incomplete, CAST(1790 AS BIGINT) AS expected_rows,
-       (count(*) = 1790 AND count(*) = count(DISTINCT "UID") AND count(*) FILTER (WHERE NOT complete) = 0) AS ok
-FROM merged""", "turns", extra={**_FILES, "merged": _MERGED}),
+    sql("""SELECT CAST(sum(n) AS BIGINT) AS n_rows, count(*) FILTER (WHERE n > 1) AS n_duplicate_uids,
+       count(*) FILTER (WHERE NOT all_complete) AS n_incomplete, CAST(1790 AS BIGINT) AS expected_rows,
+       (sum(n) = 1790 AND count(*) FILTER (WHERE n > 1) = 0 AND count(*) FILTER (WHERE NOT all_complete) = 0) AS ok
+FROM (SELECT "UID", count(*) AS n, bool_and(complete) AS all_complete FROM thrice GROUP BY "UID")""",
+        "turns", extra={**_FILES, "merged": _MERGED,
+                        "thrice": """SELECT * FROM merged UNION ALL SELECT * FROM merged WHERE ends_with("UID", '3')
+UNION ALL SELECT * FROM merged WHERE ends_with("UID", '3')"""}),
 )
 def a11(spark, sf_dir):
-    return sb.submission_checks(sb.merge_quality_files(quality_files(spark, sf_dir)), 1790)
+    """Checks over merged files in which the third turns occur three times."""
+    merged = sb.merge_quality_files(quality_files(spark, sf_dir))
+    again = merged.where(F.col("UID").endswith("3"))
+    return sb.submission_checks(merged.unionByName(again).unionByName(again), 1790)
 
 
 @query(
@@ -147,13 +154,22 @@ def u2(spark, sf_dir):
     "E2_build_submission",
     sql("""SELECT "UID", round("APPROPRIATENESS", 6) AS "APPROPRIATENESS", round("CONTENT_RICHNESS", 6) AS "CONTENT_RICHNESS",
        round("GRAMMATICAL_CORRECTNESS", 6) AS "GRAMMATICAL_CORRECTNESS", round("RELEVANCE", 6) AS "RELEVANCE"
-FROM merged WHERE NOT coalesce(ends_with("UID", '0000'), false)""", "turns", extra={**_FILES, "merged": _MERGED}),
+FROM merged WHERE NOT coalesce(ends_with("UID", '0000'), false)""", "turns",
+        extra={**_FILES, "fr": _file_sql(1), "merged": _MERGED}),
 )
 def e2(spark, sf_dir):
-    """Whole job: merge the four files, check, drop first turns (``0000``)."""
+    """Whole job: merge four complete files, check them (on), drop first turns
+    (``0000``) and compare with the expected number of rows; written and read
+    back as the submission file (S5)."""
     from turnscore.plans.jobs import build_submission
-
-    return build_submission(quality_files(spark, sf_dir), expected_rows=None)
+    from turnscore.session import scratch_path
+    from turnscore.sources import io
+
+    expected = dl.drop_first_turns(ad.turns(spark, sf_dir), "uid", "0000").count()
+    out = build_submission(quality_files(spark, sf_dir, complete=True), expected_rows=expected)
+    path = scratch_path(spark, "e2-submission")
+    io.write_csv(out, path)
+    return io.read_csv(spark, path, out.schema)
 
 
 # ------------------------------------------------------------------ T3 / J4 / U1

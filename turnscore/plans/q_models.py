@@ -9,20 +9,21 @@ from turnscore.operators import features as fe
 from turnscore.operators import gold as gd
 from turnscore.operators import regression as rg
 from turnscore.operators import scoring as sc
-from turnscore.plans.oracle import avg_rank_sql, corr_sql, sql
-from turnscore.plans.q_text import _HIST, _RESP_SQL, chatbot_pairs
+from turnscore.plans.oracle import avg_rank_sql, corr_sql, render_sql, sql
+from turnscore.plans.q_text import _HIST, _RESP_SQL, kept_pairs
 from turnscore.plans.registry import query
 from turnscore.schemas import QUALITIES
 from turnscore.sources import adapters as ad
 
 PROMPT = prompts.get_prompt("op-all-02")
 
+_PROMPT_SQL = render_sql(PROMPT.template, {"dialogue_context": "context", "response": _RESP_SQL})
 _EXCL = "(length(r) - length(replace(r, '!', '')) + length(r) - length(replace(r, '?', '')))"
 _HEUR = f"""SELECT uid, CAST(1 + (length(r) + length(c)) % 5 AS DOUBLE) AS appropriateness,
        CAST(1 + least(4, length(r) // 200) AS DOUBLE) AS richness,
        CAST(greatest(1, 5 - least(4, {_EXCL})) AS DOUBLE) AS grammatical,
-       CAST(1 + (length(c) // 100) % 5 AS DOUBLE) AS relevance, md5(uid) LIKE '0%' AS failed
-FROM (SELECT uid, context AS c, {_RESP_SQL} AS r FROM h WHERE sid = 'Chatbot')"""
+       CAST(1 + (length(p) // 100) % 5 AS DOUBLE) AS relevance, md5(uid) LIKE '0%' AS failed
+FROM (SELECT uid, context AS c, {_RESP_SQL} AS r, {_PROMPT_SQL} AS p FROM h)"""
 
 
 def _heur_long(fail: bool) -> str:
@@ -37,7 +38,7 @@ def _heur_long(fail: bool) -> str:
 
 
 def scored(spark, sf_dir, fail_prefix=None):
-    pairs = chatbot_pairs(spark, sf_dir).withColumn("prompt", prompts.render_prompt(PROMPT))
+    pairs = kept_pairs(spark, sf_dir).withColumn("prompt", prompts.render_prompt(PROMPT))
     raw = sc.batch_score(pairs, sc.heuristic_scorer(fail_prefix), keep=("uid", "context", "response", "prompt"))
     parsed = replies.parse_replies(raw, PROMPT.qualities, "reply", keep=("uid", "call_failed"))
     return parsed.select("uid", "quality", "score", "parse_error", "call_failed")
@@ -57,7 +58,7 @@ def m2(spark, sf_dir):
 
 
 _M3 = {
-    "p": f"SELECT uid, {_RESP_SQL} AS r FROM h WHERE sid = 'Chatbot'",
+    "p": f"SELECT uid, {_RESP_SQL} AS r FROM h",
     "tk": "SELECT uid, list_filter(string_split_regex(lower(r), '[ \\t\\n\\r\\x0b\\x0c]+'), "
           "lambda x: x <> '') AS toks FROM p",
     "t1": "SELECT uid, len(toks) AS n_tok, unnest(toks) AS tok, unnest(range(len(toks))) AS ti FROM tk",
@@ -84,8 +85,8 @@ _M3 = {
 FROM tk LEFT JOIN dims ON dims.uid = tk.uid GROUP BY tk.uid, tk.toks""", "turns", extra={"h": _HIST, **_M3}),
 )
 def m3(spark, sf_dir):
-    """Token vectors per chatbot turn, pooled (A14) into one embedding."""
-    pairs = chatbot_pairs(spark, sf_dir)
+    """Token vectors per kept turn, pooled (A14) into one embedding."""
+    pairs = kept_pairs(spark, sf_dir)
     emb = sc.pooled_embeddings(pairs, "response", "uid")
     return emb.select("uid", "n_tokens", *fe.vector_summary("embedding", "emb"))
 
@@ -106,7 +107,7 @@ def e1(spark, sf_dir):
     from turnscore.plans.jobs import score_and_evaluate
 
     gold = ad.gold_long(spark, sf_dir).select("uid", "quality", "gold")
-    _, _, agreement = score_and_evaluate(chatbot_pairs(spark, sf_dir), "op-all-02", gold=gold)
+    _, _, agreement = score_and_evaluate(kept_pairs(spark, sf_dir), "op-all-02", gold=gold)
     return agreement
 
 

@@ -51,8 +51,8 @@ def j9(spark, sf_dir):
 
 
 def _filled(spark, sf_dir):
-    q, s, chosen = _chosen(spark, sf_dir)
-    return s, rt.backup_fill(chosen, q, s, N)
+    s = ad.store(spark, sf_dir)
+    return s, rt.with_backup(ad.retrieval_queries(spark, sf_dir), s, N, WANTED)
 
 
 @query(
@@ -134,11 +134,10 @@ _ST_TEXT = _example_sql(_STATIC, "context", "response", {q: f"q_{q}" for q in QU
   SELECT {_block_sql(f"string_agg({_ST_TEXT}, {lit_sql(prompts.EXAMPLE_SEPARATOR)} ORDER BY sample_key, ex_id)")}
          AS examples
   FROM (SELECT *, md5('42|' || CAST(ex_id AS VARCHAR)) AS sample_key FROM store WHERE {_ALL4}
-        ORDER BY sample_key, ex_id LIMIT 5)) b
-WHERE t.sid = 'Chatbot'""", "turns", "store"),
+        ORDER BY sample_key, ex_id LIMIT 5)) b""", "turns", "store"),
 )
 def j12(spark, sf_dir):
-    """The same sampled examples attached to every chatbot turn. The block is
+    """The same sampled examples attached to every turn. The block is
     at most n examples, so it is built once and attached as a literal."""
     s = ad.store(spark, sf_dir).where(rt.has_qualities("qualities", QUALITIES))
     sample = rt.sample_examples(s, _STATIC.n_examples, 42)
@@ -147,5 +146,5 @@ def j12(spark, sf_dir):
     block = prompts.examples_block(sample.withColumn("_text", text).withColumn("_g", F.lit(0)), ["_g"],
                                    "sample_key", "_text")
     value = block.first()["examples"]  # one bounded row (n examples)
-    t = ad.turns(spark, sf_dir).where(F.col("sid") == "Chatbot")
+    t = ad.turns(spark, sf_dir)
     return t.select("uid", F.lit(value).alias("examples"))

@@ -73,11 +73,10 @@ FROM drows""",
 )
 def p5(spark, sf_dir):
     d = ad.dialogue_rows(spark, sf_dir)
-    plain = dl.prepare_pairs(dl.language_variant(d, "par"))
-    role = dl.prepare_pairs(dl.language_variant(d, "en"), insert_speaker=True).select(
-        "dialogue_id", F.col("response").alias("response_role")
-    )
-    return plain.join(role, "dialogue_id").select("dialogue_id", "context", "response", "response_role")
+    c, r = dl.LANG_COLUMNS["par"]
+    role = dl.prepare_pairs(d.withColumn("plain", F.col("response")), insert_speaker=True, response="plain")
+    both = dl.prepare_pairs(role.withColumnRenamed("plain", "response_role"), context=c, response=r)
+    return both.select("dialogue_id", F.col(c).alias("context"), F.col(r).alias("response"), "response_role")
 
 
 def speaker_sql(x: str) -> str:
@@ -145,8 +144,8 @@ def p11(spark, sf_dir):
 
 
 _RUN_COLS = """SELECT s.uid AS dialogue_id, 'model-' || CAST(s.dialogue_id % 5 AS VARCHAR) AS model,
-       g."APPROPRIATENESS" AS annotations_appropriateness, g."CONTENT_RICHNESS" AS annotations_richness,
-       g."GRAMMATICAL_CORRECTNESS" AS annotations_grammatical, g."RELEVANCE" AS annotations_relevance,
+       g."APPROPRIATENESS" AS "annotations.appropriateness", g."CONTENT_RICHNESS" AS "annotations.richness",
+       g."GRAMMATICAL_CORRECTNESS" AS "annotations.grammatical", g."RELEVANCE" AS "annotations.relevance",
        s.appropriateness AS LLM_appropriateness, s.richness AS LLM_richness,
        s.grammatical AS LLM_grammatical, s.relevance AS LLM_relevance,
        (s.appropriateness + s.relevance) / 2 AS am_fm_scores
@@ -162,14 +161,14 @@ def run_table(spark, sf_dir):
     return t.select(
         F.col("uid").alias("dialogue_id"),
         F.concat(F.lit("model-"), (F.col("dialogue_id") % 5).cast("string")).alias("model"),
-        *[ad.gold_expr(i).alias(f"annotations_{q}") for i, q in enumerate(quals)],
+        *[ad.gold_expr(i).alias(f"annotations.{q}") for i, q in enumerate(quals)],
         *[score[q].alias(f"LLM_{q}") for q in quals],
         ((score["appropriateness"] + score["relevance"]) / 2).alias("am_fm_scores"),
     )
 
 
 _P12 = " UNION ALL ".join(
-    [f"SELECT dialogue_id, 'annotations_{q}' AS column_name, 'gold' AS role, round(annotations_{q}, 6) AS value "
+    [f"SELECT dialogue_id, 'annotations.{q}' AS column_name, 'gold' AS role, round(\"annotations.{q}\", 6) AS value "
      "FROM run" for q in ("appropriateness", "richness", "grammatical", "relevance")]
     + [f"SELECT dialogue_id, 'LLM_{q}', 'pred', round(LLM_{q}, 6) FROM run"
        for q in ("appropriateness", "richness", "grammatical", "relevance")]

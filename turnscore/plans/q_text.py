@@ -25,11 +25,10 @@ FROM turns WHERE NOT coalesce(ends_with(uid, '000'), false)"""
 _RESP_SQL = trim_ws_sql("CASE WHEN text = '' THEN 'no response' ELSE text END")
 
 
-def chatbot_pairs(spark, sf_dir):
-    """Kept chatbot turns with their history (W1) and cleaned response."""
+def kept_pairs(spark, sf_dir):
+    """All kept turns with their history (W1) and cleaned response."""
     t = dl.dialogue_context(dl.drop_first_turns(ad.turns(spark, sf_dir)))
-    t = t.where(F.col("sid") == "Chatbot").withColumn("response", F.col("text"))
-    return dl.prepare_pairs(t.select("uid", "context", "response"))
+    return dl.prepare_pairs(t.select("uid", "context", F.col("text").alias("response")))
 
 
 _F1 = prompts.get_prompt("vh-appropriateness-03")
@@ -38,40 +37,35 @@ _F1 = prompts.get_prompt("vh-appropriateness-03")
 @query(
     "F1_render_prompt",
     sql(f"""SELECT uid, {render_sql(_F1.template, {'dialogue_context': 'context', 'response': _RESP_SQL})} AS prompt
-FROM h WHERE sid = 'Chatbot'""", "turns", extra={"h": _HIST}),
+FROM h""", "turns", extra={"h": _HIST}),
 )
 def f1(spark, sf_dir):
-    p = chatbot_pairs(spark, sf_dir)
+    p = kept_pairs(spark, sf_dir)
     return p.select("uid", prompts.render_prompt(_F1).alias("prompt"))
 
 
-_NONE = [n for n, v in prompts.PROMPTS.items() if v[1] == "none"]
+_ALL = list(prompts.PROMPTS)
 
 
 def _m4_sql():
     parts = []
-    for n in _NONE:
+    for n in _ALL:
         p = prompts.get_prompt(n)
         txt = render_sql(p.template, {"dialogue_context": "context", "response": _RESP_SQL})
         parts.append(f"SELECT uid, '{n}' AS prompt, {len(p.qualities)} AS n_qualities, md5({txt}) AS prompt_md5, "
-                     f"CAST(length({txt}) AS BIGINT) AS prompt_chars FROM h WHERE sid = 'Chatbot'")
+                     f"CAST(length({txt}) AS BIGINT) AS prompt_chars FROM h")
     return " UNION ALL ".join(parts)
 
 
 @query("M4_prompt_table", sql(_m4_sql(), "turns", extra={"h": _HIST}))
 def m4(spark, sf_dir):
-    """Every turn rendered with every example-free prompt in one job: rows
-    fan out over the (fixed, small) prompt list with ``explode``."""
-    p = chatbot_pairs(spark, sf_dir)
-    names = prompts.check_names(_NONE)
-    x = p.select("uid", "context", "response", F.explode(F.array(*[F.lit(n) for n in names])).alias("prompt"))
-    text = F.lit(None).cast("string")
-    nq = F.lit(None).cast("int")
-    for n in names:
-        pr = prompts.get_prompt(n)
-        text = F.when(F.col("prompt") == n, prompts.render_prompt(pr)).otherwise(text)
-        nq = F.when(F.col("prompt") == n, F.lit(len(pr.qualities))).otherwise(nq)
-    return x.select("uid", "prompt", nq.alias("n_qualities"), F.md5(text).alias("prompt_md5"),
+    """Every turn rendered with every registered prompt in one job: a turn
+    fans out over the prompt names and meets the fixed prompt table (27 rows),
+    whose pieces are filled row by row."""
+    p = kept_pairs(spark, sf_dir)
+    x = p.withColumn("prompt", F.explode(F.array(*[F.lit(n) for n in _ALL]))).join(F.broadcast(prompts.prompt_table(spark)), "prompt")
+    text = prompts.render_parts(F.col("parts"), F.col("context"), F.col("response"))
+    return x.select("uid", "prompt", F.size("qualities").alias("n_qualities"), F.md5(text).alias("prompt_md5"),
                     F.length(text).cast("long").alias("prompt_chars"))
 
 

@@ -92,7 +92,7 @@ def w4(spark, sf_dir):
 # ------------------------------------------------------------------ mining
 
 _LONG = " UNION ALL ".join(
-    [f"SELECT dialogue_id, 'annotations_{q}' AS column_name, 'gold' AS role, annotations_{q} AS value FROM run"
+    [f"SELECT dialogue_id, 'annotations.{q}' AS column_name, 'gold' AS role, \"annotations.{q}\" AS value FROM run"
      for q in QUALITIES]
     + [f"SELECT dialogue_id, 'LLM_{q}', 'pred', LLM_{q} FROM run" for q in QUALITIES]
 )

@@ -1,13 +1,11 @@
 """Explicit schemas and quality constants.
 
 Missing ratings are NULL everywhere inside the engine (NaN is converted once,
-at load, by :func:`nan_to_null`).
+at load, by :func:`turnscore.sources.io.nan_to_null`).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # ---------------------------------------------------------------------------
@@ -51,31 +49,6 @@ SUBTASK_DIMENSIONS = {
 RATINGS = T.ArrayType(T.DoubleType())
 EMBEDDING = T.ArrayType(T.FloatType())
 
-TEST_TURNS = T.StructType(
-    [
-        T.StructField("UID", T.StringType()),
-        T.StructField("SID", T.StringType()),
-        T.StructField("PARAPHRASES", T.StringType()),
-    ]
-)
-
-TURN_GOLD = T.StructType(
-    [
-        T.StructField("UID", T.StringType()),
-        T.StructField("UID_TEST", T.StringType()),
-        T.StructField("CID", T.StringType()),
-        T.StructField("SID", T.StringType()),
-        T.StructField("SUPERVISED", T.StringType()),
-        T.StructField("LANGUAGE", T.StringType()),
-    ]
-    + [T.StructField(d, T.DoubleType()) for d in TURN_DIMENSIONS]
-)
-
-SUBMISSION = T.StructType(
-    [T.StructField("UID", T.StringType())]
-    + [T.StructField(d, T.DoubleType()) for d in TURN_DIMENSIONS]
-)
-
 REHEARSAL_INPUT = T.StructType(
     [
         T.StructField("id", T.StringType()),
@@ -112,8 +85,3 @@ def dialogue_schema(annotations: list[str] | tuple[str, ...]) -> T.StructType:
         ]
     )
 
-
-def nan_to_null(c: Column | str) -> Column:
-    """NaN -> NULL for a double column (the reference's missing marker)."""
-    c = F.col(c) if isinstance(c, str) else c
-    return F.when(~F.isnan(c), c)

@@ -4,7 +4,9 @@ round-trip sinks."""
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -35,19 +37,38 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSe
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only when it is unset (local tests) a folder of our own is created and
-    registered, so ``DataFrame.checkpoint()`` works everywhere."""
+    Only in a local session, where the driver is the one machine there is, a
+    folder of our own stands in for an unset one (removed when the process
+    ends); on a cluster an unset folder is an error, since files written to a
+    worker's own disk can't be read by the others."""
     sc = spark.sparkContext
     d = sc.getCheckpointDir()
     if not d:
         d = spark.conf.get("spark.checkpoint.dir", None)
         if not d:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             d = tempfile.mkdtemp(prefix="turnscore-ckpt-")
+            atexit.register(shutil.rmtree, d, ignore_errors=True)
         sc.setCheckpointDir(d)
         d = sc.getCheckpointDir() or d
     return d
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers (once per session), so they find
+    it without an installed wheel or a ``PYTHONPATH`` that reaches it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_turnscore_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="turnscore-ship-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = shutil.make_archive(os.path.join(folder, "turnscore-package"), "zip", os.path.dirname(here), "turnscore")
+    sc.addPyFile(archive)
+    sc._turnscore_shipped = True
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder."""
     base = checkpoint_dir(spark).rstrip("/")

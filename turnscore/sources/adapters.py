@@ -132,10 +132,11 @@ def scores_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def submission_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A participant submission: UID + four dimensions (the synthetic scores)."""
+    """A participant submission: UID + four dimensions (the synthetic scores).
+    Every 19th turn is left out, as a careless participant would."""
     from turnscore.schemas import TURN_DIMENSIONS
 
-    s = scores_wide(spark, sf_dir)
+    s = scores_wide(spark, sf_dir).where((F.col("dialogue_id") + F.col("turn_id")) % 19 != 0)
     return s.select(F.col("uid").alias("UID"), *[F.col(q).alias(d) for q, d in zip(QUALITIES, TURN_DIMENSIONS)])
 
 
@@ -190,7 +191,7 @@ def dialogue_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit(" "), "context", F.lit(" ")).alias("context_pa"),
         F.concat(F.lit("[zh] "), "response").alias("response_zh"),
         F.concat(F.lit("[es] "), "response").alias("response_es"),
-        F.concat(F.lit("  "), "response", F.lit("\t")).alias("response_pa"),
+        F.concat(F.lit("\u3000  "), "response", F.lit("\t\u3000")).alias("response_pa"),
     )
 
 

@@ -17,18 +17,56 @@ from pyspark.sql import types as T
 CSV_OPTIONS = {"header": "true", "escape": '"', "emptyValue": "", "nullValue": "\\N"}
 
 
-def read_dialogue_json(spark: SparkSession, path: str, schema: T.StructType, multiline: bool = True) -> DataFrame:
-    """One dataset file. ``multiline``: a JSON array (the challenge
-    format; one task per file, convert once to Parquet); otherwise JSON
-    lines (splittable). Nested ``annotations`` stay a struct of lists."""
-    return spark.read.schema(schema).option("multiLine", multiline).json(path)
+def json_layout(spark: SparkSession, path: str) -> str:
+    """``array`` (each file one JSON array or one record over several lines) or
+    ``lines`` (one record per line), judged by the first line of every file;
+    an error where the files differ."""
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"),
+        F.monotonically_increasing_id().alias("i"), F.trim("value").alias("v"),
+    ).where("v <> ''")
+    first = lines.groupBy("f").agg(F.min_by("v", F.struct("b", "i")).alias("v"))
+    whole = F.col("v").startswith("{") & F.col("v").endswith("}")
+    kinds = {r["k"] for r in first.select(F.when(whole, "lines").otherwise("array").alias("k")).distinct().collect()}
+    if len(kinds) > 1:
+        raise ValueError(f"{path} mixes JSON arrays and JSON lines")
+    return kinds.pop() if kinds else "lines"
+
+
+def read_dialogue_json(spark: SparkSession, path: str, schema: T.StructType, multiline: bool | None = None) -> DataFrame:
+    """One dataset. ``multiline`` true: JSON arrays (the challenge format;
+    one task per file, convert once to Parquet); false: JSON lines
+    (splittable); by default the files tell (:func:`json_layout`). A file of
+    the other layout fails instead of losing records. Nested ``annotations``
+    stay a struct of lists; NaN becomes NULL."""
+    layout = json_layout(spark, path)
+    if multiline is None:
+        multiline = layout == "array"
+    elif multiline != (layout == "array"):
+        raise ValueError(f"{path} holds JSON {layout}, but multiline={multiline} was asked for")
+    return nan_to_null(spark.read.schema(schema).option("multiLine", multiline).option("mode", "FAILFAST").json(path))
+
+
+def nan_to_null(df: DataFrame) -> DataFrame:
+    """NaN in a double column, or in lists of doubles (of a struct too), as
+    NULL: a reader's values are missing or real numbers."""
+
+    def fixed(c, t):
+        if isinstance(t, (T.DoubleType, T.FloatType)):
+            return F.when(~F.isnan(c), c)
+        if isinstance(t, T.ArrayType) and isinstance(t.elementType, (T.DoubleType, T.FloatType)):
+            return F.transform(c, lambda x: F.when(~F.isnan(x), x))
+        if isinstance(t, T.StructType):
+            return F.when(c.isNotNull(), F.struct(*[fixed(c[f.name], f.dataType).alias(f.name) for f in t.fields]))
+        return c
+
+    return df.select(*[fixed(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields])
 
 
 def flatten_annotations(df: DataFrame, struct_col: str = "annotations") -> DataFrame:
     """Long annotator lists ``(.., annotation, ratings)`` from the nested struct."""
     fields = df.schema[struct_col].dataType.fieldNames()
-    arr = F.array(*[F.struct(F.lit(f).alias("annotation"), F.col(f"{struct_col}.{f}").alias("ratings"))
-                    for f in fields])
+    arr = F.array(*[F.struct(F.lit(f).alias("annotation"), F.col(struct_col)[f].alias("ratings")) for f in fields])
     keep = [c for c in df.columns if c != struct_col]
     return df.select(*keep, F.inline(arr))
 
@@ -39,7 +77,7 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     r = spark.read.schema(schema).option("multiLine", "true")
     for k, v in CSV_OPTIONS.items():
         r = r.option(k, v)
-    return r.csv(path)
+    return nan_to_null(r.csv(path))
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -64,6 +102,15 @@ def write_nested_json(df: DataFrame, path: str, annotation_cols: Sequence[str],
     nest_annotations(df, annotation_cols).write.mode(mode).json(path)
 
 
+def _read_partitioned(spark: SparkSession, root: str) -> DataFrame:
+    """A partitioned table with its partition values as the strings they are:
+    inferred types would make one run of ``007`` and ``7``."""
+    schema = spark.read.parquet(root).schema
+    text = ("run_id", "split")
+    fields = [T.StructField(f.name, T.StringType()) if f.name in text else f for f in schema.fields]
+    return spark.read.schema(T.StructType(fields)).parquet(root)
+
+
 def _partition_write(df: DataFrame, root: str, parts: list[str]) -> None:
     """Idempotent partitioned write: only the partitions present in ``df``
     are replaced (dynamic partition overwrite), so a retried job or a re-run
@@ -81,7 +128,7 @@ def write_results(df: DataFrame, root: str, run_id: str, extra_partitions: Seque
 
 def read_results(spark: SparkSession, root: str, run_id: str) -> DataFrame:
     """S3: a run's result table by id (partition pruning on ``run_id``)."""
-    return spark.read.parquet(root).where(F.col("run_id") == run_id)
+    return _read_partitioned(spark, root).where(F.col("run_id") == run_id)
 
 
 def write_embeddings(df: DataFrame, root: str, run_id: str, split: str) -> None:
@@ -92,7 +139,7 @@ def write_embeddings(df: DataFrame, root: str, run_id: str, split: str) -> None:
 
 
 def read_embeddings(spark: SparkSession, root: str, run_id: str, split: str) -> DataFrame:
-    return spark.read.parquet(root).where((F.col("run_id") == run_id) & (F.col("split") == split))
+    return _read_partitioned(spark, root).where((F.col("run_id") == run_id) & (F.col("split") == split))
 
 
 RUN_SCHEMA = T.StructType(
@@ -116,4 +163,4 @@ def append_run(spark: SparkSession, root: str, run_id: str, prompt: str, model_n
 
 def read_runs(spark: SparkSession, root: str) -> DataFrame:
     """All run records (``run_id`` comes from the partition folders)."""
-    return spark.read.parquet(root).select(*RUN_SCHEMA.fieldNames())
+    return _read_partitioned(spark, root).select(*RUN_SCHEMA.fieldNames())
