@@ -190,5 +190,5 @@ def train_on_embeddings(data: DataFrame, reg_params: Sequence[float] = (0.0, 0.1
 
     train, dev = data.where(F.col(split) == "train"), data.where(F.col(split) == "dev")
     models = rg.fit_candidates(train, reg_params, label)
-    best = rg.select_best(models, dev, 1, label)[0][2]
+    best = rg.select_best(models, dev, 1, label)[0][0]
     return rg.predict(best, dev, label=label)

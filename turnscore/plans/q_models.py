@@ -134,15 +134,15 @@ def _fit(spark, sf_dir):
 
 @query("M5_train_regressor")
 def m5(spark, sf_dir):
-    """Fit one pipeline per regularisation value; dev metrics per candidate."""
+    """Fit one ridge per regularisation value; dev metrics of all in one pass."""
     train, dev, models = _fit(spark, sf_dir)
-    n_train = train.count()
-    rows = []
-    for rp, m in models:
-        met = rg.dev_metrics(m.transform(rg.features(dev)))
-        rows.append((float(rp), int(n_train), met["spearman"], met["pearson"], met["log_cosh"]))
-    return spark.createDataFrame(rows, "reg_param double, n_train long, dev_spearman double, dev_pearson double, "
-                                       "dev_log_cosh double")
+    table = spark.createDataFrame([(i, m.reg_param, m.converged) for i, m in enumerate(models)],
+                                  "candidate int, reg_param double, converged boolean")
+    n_train = train.agg(F.count(F.lit(1)).alias("n_train"))
+    met = rg.evaluate_candidates(models, dev)
+    return met.join(F.broadcast(table), "candidate").join(F.broadcast(n_train)).select(
+        "reg_param", "n_train", "converged", F.col("spearman").alias("dev_spearman"), F.col("pearson").alias("dev_pearson"),
+        F.col("log_cosh").alias("dev_log_cosh"))
 
 
 @query("T5_best_model")
@@ -150,7 +150,7 @@ def t5(spark, sf_dir):
     """Keep the two best candidates by dev Spearman."""
     _, dev, models = _fit(spark, sf_dir)
     best = rg.select_best(models, dev, 2)
-    return spark.createDataFrame([(i + 1, float(rp), float(s)) for i, (rp, s, _) in enumerate(best)],
+    return spark.createDataFrame([(i + 1, m.reg_param, float(s)) for i, (m, s) in enumerate(best)],
                                  "position int, reg_param double, dev_spearman double")
 
 
@@ -158,19 +158,18 @@ def t5(spark, sf_dir):
 def m6(spark, sf_dir):
     """Predictions of the best model on the dev split with real gold."""
     _, dev, models = _fit(spark, sf_dir)
-    best = rg.select_best(models, dev, 1)[0][2]
-    return rg.predict(best, dev)
+    return rg.predict(rg.select_best(models, dev, 1)[0][0], dev)
 
 
 @query("M7_rank_evaluator")
 def m7(spark, sf_dir):
     """The custom evaluator's three metrics for the best model on dev."""
     _, dev, models = _fit(spark, sf_dir)
-    best = rg.select_best(models, dev, 1)[0][2]
-    pred = best.transform(rg.features(dev))
+    best, value = rg.select_best(models, dev, 1)[0]
+    pred = best.transform(dev)
     ev = rg.RankCorrelationEvaluator("spearman")
     met = rg.dev_metrics(pred)
-    rows = [("evaluator_spearman", ev.evaluate(pred), ev.isLargerBetter())]
+    rows = [("evaluator_spearman", ev.evaluate(pred), ev.isLargerBetter()), ("grouped_spearman", value, True)]
     rows += [(k, v, k != "log_cosh") for k, v in met.items()]
     return spark.createDataFrame(rows, "metric string, value double, larger_is_better boolean")
 
