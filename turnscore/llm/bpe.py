@@ -4,14 +4,17 @@ From the vocabulary alone follow byte pairs that no token holds inside. No
 merge can ever join across such a pair, so it is a certain cut: the fragments
 between cuts are encoded independently and their ids concatenated. A blank
 makes such pairs with every neighbour, so whole texts first fall apart into
-blank-separated words (found on the bytes of a batch at once); each distinct
-word of a batch is normalised and pre-tokenised once, each of its pieces is
-cut at the forced boundaries, and each distinct fragment is merged once.
+blank-separated words (found on the bytes of a batch at once), and a mark that
+ends a word after a plain letter is cut off where no token joins the two; each
+distinct word of a batch is normalised and pre-tokenised once, each of its
+pieces is cut at the forced boundaries, and each distinct fragment is merged
+once.
 Fragments that end a piece carry the vocabulary's end-of-word mark, others
 don't.
 
-Work and memory follow the batch: caches live in the worker, hold at most
-``CACHE`` entries each and are emptied when full.
+Work and memory follow the batch: caches live as long as a task, hold at most
+``CACHE`` entries each and are emptied when full; of the words, only those that
+a batch holds twice are kept for the next.
 
 Cases: a null text is empty; an empty text has no tokens and decodes to the
 empty text; special tokens written out in a text become their ids, as the
@@ -22,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +34,9 @@ from pyspark.sql import functions as F
 
 from turnscore.llm import words as W
 
-CACHE = 400_000
+CACHE = 120_000
+#: Bytes of text encoded at a time.
+CHUNK = 1 << 20
 #: Tokenizer files travel by broadcast up to this size.
 MOST_FILE_BYTES = 64 << 20
 
@@ -69,7 +75,13 @@ class ForcedBoundaryBPE:
             body = t[: -len(self.suffix)] if self.suffix and t.endswith(self.suffix) else t
             self.joins.update(body[i : i + 2] for i in range(len(body) - 1))
         self.joins = {p for p in self.joins if p[0] in byte and p[1] in byte}
-        self.plain_ascii = _splits_ascii(spec)
+        self.plain = _splits_latin(spec)
+        self.byte_level = {b: c for c, b in byte.items()}
+        #: After a plain letter, a mark at the word's end is a piece of its own; it is cut off where no token joins them.
+        self.cut_after = np.zeros((256, 256), bool)
+        for letter in range(97, 123):
+            for mark in range(33, 127):
+                self.cut_after[letter, mark] = chr(letter) + chr(mark) not in self.joins
         self.fragments: dict[tuple[str, bool], list[int]] = {}
         self.words: dict[bytes, tuple[bytes, bytes, int]] = {}
 
@@ -93,47 +105,87 @@ class ForcedBoundaryBPE:
         return ids + self.fragment_ids(piece[start:], True)
 
     def word_ids(self, word: str) -> list[int]:
-        if any(s in word for s in self.special):
-            return self.library.encode(word, add_special_tokens=False).ids
-        if self.plain_ascii and word.isascii() and word.isprintable():
-            pieces = self.plain_ascii.findall(word.lower())
+        if self.plain and _LATIN.fullmatch(word):
+            pieces = self.plain.findall(word.lower())
+            if not word.isascii():
+                pieces = [p.encode().decode("latin-1").translate(self.byte_level) for p in pieces]
         else:
             normal = self.normalizer.normalize_str(word) if self.normalizer else word
             pieces = [p for p, _ in self.pre_tokenizer.pre_tokenize_str(normal)]
+        if len(pieces) == 1:
+            return self.piece_ids(pieces[0])
         return [i for p in pieces for i in self.piece_ids(p)]
 
-    def word(self, raw: bytes) -> tuple[bytes, bytes, int]:
-        """(ids as little-endian 32-bit integers, decoded text, number of ids) of a word."""
+    def word(self, raw: bytes, keep: bool) -> tuple[bytes, bytes, int]:
+        """(ids as little-endian 32-bit integers, decoded text, number of ids) of a
+        word; ``keep`` it for later batches."""
         found = self.words.get(raw)
         if found is None:
-            ids = self.word_ids(raw.decode("utf-8", "replace"))
-            found = (np.array(ids, "<u4").tobytes(), " ".join([self.token[i] for i in ids]).encode(), len(ids))
-            if len(self.words) >= CACHE:
-                self.words.clear()
-            self.words[raw] = found
+            word = raw.decode("utf-8", "replace")
+            special = self.special_here and any(s in word for s in self.special)
+            ids = self.library.encode(word, add_special_tokens=False).ids if special else self.word_ids(word)
+            token = self.token
+            found = (struct.pack(f"<{len(ids)}I", *ids), " ".join([token[i] for i in ids]).encode(), len(ids))
+            if keep:
+                if len(self.words) >= CACHE:
+                    self.words.clear()
+                self.words[raw] = found
         return found
 
+    def units(self, texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(bytes, starts, ends, bounds) of what is encoded on its own: words, in
+        lower case where they are plain ASCII, less a closing mark, and those marks."""
+        w = W.split(texts, n_hashes=0)
+        data, starts, ends = w.data, w.starts, w.ends
+        self.special_here = any(s.encode() in data.tobytes().lower() for s in self.special)
+        if not self.plain or self.special_here:
+            return data, starts, ends, w.bounds
+        wide = np.r_[0, np.cumsum(data >= 128)]
+        plain = wide[ends] == wide[starts]
+        inside = np.zeros(len(data) + 1, np.int8)
+        inside[starts[plain]] += 1
+        inside[ends[plain]] -= 1
+        data = np.where(np.cumsum(inside[:-1], dtype=np.int8) > 0, W.LOWER[data], data)
+        long = ends - starts > 1
+        cut = np.zeros(len(starts), bool)
+        cut[long] = _MARK[data[ends[long] - 1]] & self.cut_after[data[ends[long] - 2], data[ends[long] - 1]]
+        n = np.flatnonzero(cut)
+        starts2 = np.insert(starts, n + 1, ends[n] - 1)
+        ends2 = np.insert(np.where(cut, ends - 1, ends), n + 1, ends[n])
+        return data, starts2, ends2, w.bounds + np.r_[0, np.cumsum(cut)][w.bounds]
+
     def encode_batch(self, texts) -> list[tuple[bytes, bytes, int]]:
         """For each text: ids, decoded text, number of ids."""
-        w = W.split(texts)
-        _, first, number = np.unique(w.hashes[0], return_index=True, return_inverse=True)
-        data = w.data.tobytes()
-        known = [self.word(data[a:b]) for a, b in zip(w.starts[first].tolist(), w.ends[first].tolist())]
+        data, starts, ends, bounds = self.units(texts)
+        _, first, number = np.unique(W.span_hash(data, starts, ends, W.BASES[0]), return_index=True, return_inverse=True)
+        raw = data.tobytes()
+        often = (np.bincount(number, minlength=len(first)) > 1).tolist()
+        known = [self.word(raw[a:b], k) for a, b, k in zip(starts[first].tolist(), ends[first].tolist(), often)]
         ids, decoded = [k[0] for k in known], [k[1] for k in known]
         counts = np.array([k[2] for k in known], np.int64)
         total = np.concatenate([[0], np.cumsum(counts[number])]) if len(number) else np.zeros(1, np.int64)
         silent = bool((counts == 0).any())
         out = []
-        for a, b in zip(w.bounds[:-1].tolist(), w.bounds[1:].tolist()):
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
             own = number[a:b].tolist()
             text = b" ".join([decoded[i] for i in own if decoded[i]] if silent else [decoded[i] for i in own])
             out.append((b"".join([ids[i] for i in own]), text, int(total[b] - total[a])))
         return out
 
 
-def _splits_ascii(spec: dict):
+#: Marks that may close a word.
+_MARK = np.zeros(256, bool)
+_MARK[[ord(c) for c in ".,;:!?"]] = True
+
+
+#: Words of printable Latin characters: none of them composes with another, and
+#: each has a lower case of its own.
+_LATIN = re.compile("[!-~\u00a1-\u00ac\u00ae-\u017f]+")
+
+
+def _splits_latin(spec: dict):
     """For a file that folds case and splits by the usual word pattern: that
-    pattern over lower-case ASCII, which spares plain words the library call."""
+    pattern over lower-case Latin words, which spares them the library call."""
     try:
         kinds = [n["type"] for n in spec["normalizer"]["normalizers"]]
         split = spec["pre_tokenizer"]["pretokenizers"][0]
@@ -141,8 +193,8 @@ def _splits_ascii(spec: dict):
         fits = kinds == ["NFC", "Replace", "Lowercase"] and split["pattern"]["Regex"] == known and split["behavior"] == "Removed"
     except (KeyError, TypeError, IndexError):
         return None
-    # for printable characters, which are their own byte-level characters
-    return re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[!-/:-@\[-`{-~]+") if fits else None
+    letters, numbers = "a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u017f", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
+    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{letters}{numbers}]+") if fits else None
 
 
 _ENCODERS: dict[str, ForcedBoundaryBPE] = {}
@@ -174,7 +226,7 @@ def encode(docs: DataFrame, tokenizer_path: str, keep: list[str], text: str = "t
     def run(batches):
         bpe = encoder(shared.value)
         for batch in batches:
-            for part in W.chunks(batch, "_text"):
+            for part in W.chunks(batch, "_text", CHUNK):
                 got = bpe.encode_batch(part.column("_text"))
                 n = pa.array([g[2] for g in got], pa.int64())
                 if output == "digest":
@@ -186,5 +238,7 @@ def encode(docs: DataFrame, tokenizer_path: str, keep: list[str], text: str = "t
                     a = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
                     b = pa.array([g[1].decode() for g in got], pa.string())
                 yield pa.record_batch([*[part.column(k) for k in kept], n, a, b], names=[*kept, *["_" + m.split(" ")[0] for m in more]])
+        bpe.words.clear()
+        bpe.fragments.clear()
 
-    return rows.mapInArrow(run, schema).toDF(*keep, *[m.split(" ")[0] for m in more])
+    return rows.mapInArrow(W.lean(run), schema).toDF(*keep, *[m.split(" ")[0] for m in more])
