@@ -397,6 +397,6 @@ def decontaminate(
         return run
 
     for b in shared[:-1]:
-        rows = rows.mapInArrow(pass_over(b, False), rows.schema)
-    out = rows.mapInArrow(pass_over(shared[-1], True), kept_schema + _OUT)
+        rows = rows.mapInArrow(W.lean(pass_over(b, False)), rows.schema)
+    out = rows.mapInArrow(W.lean(pass_over(shared[-1], True)), kept_schema + _OUT)
     return out.toDF(*keep, *_OUT_NAMES)

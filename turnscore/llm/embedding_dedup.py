@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from turnscore.llm import words as W
 from turnscore.llm.components import connected_components
 from turnscore.session import reliable_checkpoint
 
@@ -121,13 +122,13 @@ def assign(classes: DataFrame, cells: dict[tuple, np.ndarray], threshold: float)
                 got = own.take(pa.array(row))
                 yield pa.record_batch([*got.columns, pa.array(cell, pa.int32()), pa.array(home)], names=[*got.schema.names, "cell", "home"])
 
-    return classes.select("label", "size", "node", "vector", "weight").mapInArrow(run, f"{schema}, cell int, home boolean")
+    return classes.select("label", "size", "node", "vector", "weight").mapInArrow(W.lean(run), f"{schema}, cell int, home boolean")
 
 
 def _compare(threshold: float):
     """One pair of blocks: links of the visitors to the home members."""
 
-    def run(table: pa.Table) -> pa.Table:
+    def run(key, table: pa.Table) -> pa.Table:
         at_home = table["at_home"].to_numpy(zero_copy_only=False).astype(bool)
         size = table["size"][0].as_py()
         x = unit(table["vector"].combine_chunks().flatten().to_numpy(), size)
@@ -180,7 +181,7 @@ def compare_cells(placed: DataFrame, threshold: float) -> DataFrame:
         "v", F.explode(F.sequence(F.lit(0), F.col("vb") - 1)))
     columns = [*place, "h", "v", "at_home", "node", "vector", "weight"]
     both = visitors.select(*columns).unionByName(homes.select(*columns))
-    return both.groupBy(*place, "h", "v").applyInArrow(_compare(threshold), "node binary, hub binary, links long")
+    return both.groupBy(*place, "h", "v").applyInArrow(W.lean2(_compare(threshold)), "node binary, hub binary, links long")
 
 
 def dedup(vectors: DataFrame, id_column: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = THRESHOLD) -> DataFrame:

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from turnscore.llm import words as W
 from turnscore.llm.words import U64
 
 SHARD_BYTES = 4 << 20
@@ -45,7 +46,7 @@ def distinct_texts(docs: DataFrame, shards: int, text: str = "text") -> DataFram
             yield from first.select(["shard", "h1", "h2", "text"]).append_column(
                 "copies", g["i_count"].cast(pa.int64())).to_batches()
 
-    return rows.mapInArrow(run, "shard int, h1 long, h2 long, text string, copies long")
+    return rows.mapInArrow(W.lean(run), "shard int, h1 long, h2 long, text string, copies long")
 
 
 def text_key(text):
@@ -124,7 +125,7 @@ class Outbox:
 def tally(messages: DataFrame, width: int) -> DataFrame:
     """Replies (shard, bucket, totals) to messages with entries of ``width`` bytes."""
 
-    def run(table: pa.Table) -> pa.Table:
+    def run(key, table: pa.Table) -> pa.Table:
         table = table.sort_by("shard")
         bodies, shards = table["entries"].to_pylist(), table["shard"].to_pylist()
         counts = np.frombuffer(b"".join(table["counts"].to_pylist()), np.uint8).astype(np.int64)
@@ -150,4 +151,4 @@ def tally(messages: DataFrame, width: int) -> DataFrame:
              "totals": pa.array([total[e - len(b) // width : e].tobytes() for b, e in zip(bodies, ends)], pa.binary())}
         )
 
-    return messages.groupBy("bucket").applyInArrow(run, REPLY)
+    return messages.groupBy("bucket").applyInArrow(W.lean2(run), REPLY)

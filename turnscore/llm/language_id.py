@@ -196,7 +196,7 @@ def classify(docs: DataFrame, model: Model, keep: list[str], text: str = "text")
                     names=[*kept, "_lang", "_score"],
                 )
 
-    return rows.mapInArrow(run, schema).toDF(*keep, "lang_pred", "score")
+    return rows.mapInArrow(W.lean(run), schema).toDF(*keep, "lang_pred", "score")
 
 
 def identify(docs: DataFrame, keep: list[str], text: str = "text", label: str = "lang", id_column: str = "doc_id", **options) -> DataFrame:

@@ -142,12 +142,12 @@ def recurring_lines(docs: DataFrame, text: str = "text", least: int = LEAST_DOCS
         s.find_templates(of(replies, 1))
         return s.results(of(replies, 2))
 
-    leaves = X.tally(by_shard.applyInArrow(send_leaves, X.MESSAGE), 8)
-    fields = X.tally(by_shard.cogroup(leaves.groupBy("shard")).applyInArrow(send_fields, X.MESSAGE), 8)
+    leaves = X.tally(by_shard.applyInArrow(W.lean2(send_leaves), X.MESSAGE), 8)
+    fields = X.tally(by_shard.cogroup(leaves.groupBy("shard")).applyInArrow(W.lean3(send_fields), X.MESSAGE), 8)
     two = leaves.withColumn("kind", F.lit(0)).unionByName(fields.withColumn("kind", F.lit(1)))
-    templates = X.tally(by_shard.cogroup(two.groupBy("shard")).applyInArrow(send_templates, X.MESSAGE), 8)
+    templates = X.tally(by_shard.cogroup(two.groupBy("shard")).applyInArrow(W.lean3(send_templates), X.MESSAGE), 8)
     three = two.unionByName(templates.withColumn("kind", F.lit(2)))
-    return by_shard.cogroup(three.groupBy("shard")).applyInArrow(finish, _RESULT)
+    return by_shard.cogroup(three.groupBy("shard")).applyInArrow(W.lean3(finish), _RESULT)
 
 
 def drop_recurring_lines(docs: DataFrame, text: str = "text", least: int = LEAST_DOCS) -> DataFrame:

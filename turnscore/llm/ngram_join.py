@@ -111,7 +111,7 @@ def set_table(docs: DataFrame, keep: list[str], text: str = "text", shingle: int
                     names=[*kept, "n_shingles", "fp", "elements"],
                 )
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(W.lean(run), schema)
 
 
 def light_pairs(size: int, boundary: int, t: tuple[int, int] = THRESHOLD):
@@ -174,7 +174,7 @@ def light_links(sets: DataFrame, boundary: int, t: tuple[int, int] = THRESHOLD)
                     )
 
     subsets = sets.where(F.col("n_shingles").between(1, boundary)).select("fp", "n_shingles", "elements").dropDuplicates(["fp"])
-    subsets = subsets.mapInArrow(run, "k1 long, k2 long, side int, same boolean, fp binary")
+    subsets = subsets.mapInArrow(W.lean(run), "k1 long, k2 long, side int, same boolean, fp binary")
     hubs = subsets.groupBy("k1", "k2").agg(
         F.min("fp").alias("hub"), F.max("fp").alias("other"), F.min("side").alias("s0"), F.max("side").alias("s1"), F.first("same").alias("same")
     ).where("hub <> other and (same or s0 <> s1)")
@@ -233,8 +233,8 @@ def heavy_sets(docs: DataFrame, text: str, least: int, shingle: int = SHINGLE, t
     def answer(key, texts, replies):
         return Shard(texts, shingle, least, buckets).survivors(replies, t)
 
-    replies = X.tally(by_shard.applyInArrow(send, X.MESSAGE), 4)
-    return by_shard.cogroup(replies.groupBy("shard")).applyInArrow(answer, _SURVIVOR)
+    replies = X.tally(by_shard.applyInArrow(W.lean2(send), X.MESSAGE), 4)
+    return by_shard.cogroup(replies.groupBy("shard")).applyInArrow(W.lean3(answer), _SURVIVOR)
 
 
 def _may_link(x: str, y: str, t: tuple[int, int]):
@@ -262,7 +262,7 @@ def verify(pairs: DataFrame, sets: DataFrame, t: tuple[int, int] = THRESHOLD) ->
 
     one = pairs.join(sets.select(F.col("fp").alias("a"), F.col("elements").alias("x")), "a")
     both = one.join(sets.select(F.col("fp").alias("b"), F.col("elements").alias("y")), "b").select("a", "b", "x", "y")
-    return both.mapInArrow(run, "a binary, b binary")
+    return both.mapInArrow(W.lean(run), "a binary, b binary")
 
 
 def heavy_links(sets: DataFrame, t: tuple[int, int] = THRESHOLD) -> DataFrame:

@@ -130,11 +130,11 @@ def repeated_runs(docs: DataFrame, text: str = "text", length: int = LENGTH, sha
         s.windows(replies.filter(pa.array(kind == 0)))
         return s.results(replies.filter(pa.array(kind == 1)))
 
-    anchors = X.tally(by_shard.applyInArrow(send_anchors, X.MESSAGE), 4)
-    sent = by_shard.cogroup(anchors.groupBy("shard")).applyInArrow(send_windows, X.MESSAGE)
+    anchors = X.tally(by_shard.applyInArrow(W.lean2(send_anchors), X.MESSAGE), 4)
+    sent = by_shard.cogroup(anchors.groupBy("shard")).applyInArrow(W.lean3(send_windows), X.MESSAGE)
     windows = X.tally(sent, 16)
     both = anchors.withColumn("kind", F.lit(0)).unionByName(windows.withColumn("kind", F.lit(1)))
-    return by_shard.cogroup(both.groupBy("shard")).applyInArrow(finish, _RESULT)
+    return by_shard.cogroup(both.groupBy("shard")).applyInArrow(W.lean3(finish), _RESULT)
 
 
 def dedup_substrings(docs: DataFrame, keep: list[str], text: str = "text", length: int = LENGTH, with_text: bool = False) -> DataFrame:

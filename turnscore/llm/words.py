@@ -10,12 +10,63 @@ rests on equality alone): a polynomial over its bytes from prefix sums modulo
 
 from __future__ import annotations
 
+import ctypes
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+except OSError:  # another C library: freed memory stays with the process
+    _LIBC = None
+
+
+def release() -> None:
+    """Hands freed memory back to the system. Python workers are reused and the
+    C library keeps what numpy frees, so without this each idle worker would
+    hold the peak of its last task."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
+def lean(run):
+    """A function over batches that releases memory when its partition ends."""
+
+    def leaned(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return leaned
+
+
+def lean2(f):
+    """Likewise for a function of a group's key and rows."""
+
+    def leaned(key, rows):
+        try:
+            return f(key, rows)
+        finally:
+            release()
+
+    return leaned
+
+
+def lean3(f):
+    """Likewise for a function of a key and two groups of rows."""
+
+    def leaned(key, rows, more):
+        try:
+            return f(key, rows, more)
+        finally:
+            release()
+
+    return leaned
+
 BASES = (U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F))
 WINDOW_BASES = (U64(0xD6E8FEB86659FD93), U64(0xA0761D6478BD642F))
 
