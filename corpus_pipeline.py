@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from turnscore.llm import bpe, decontamination, language_id, line_templates, ngram_join
 from turnscore.llm.queries import table, tokenizer_path
-from turnscore.session import reliable_checkpoint
+from turnscore.session import reliable_checkpoint, ship_package
 
 #: A document whose best language scores less has no recognisable language.
 LEAST_SCORE = 0.15
@@ -74,6 +74,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The result of all stages over the ``documents`` of a folder."""
+    ship_package(spark)
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = reliable_checkpoint(stage(spark, docs, sf_dir))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnscore.llm import bpe, chat_format, decontamination, embedding_dedup, language_id, line_templates, ngram_join, secret_scan, substring_dedup, url_filter
+from turnscore.session import ship_package
 
 QUERIES = {}
 ORACLE = {}
@@ -13,7 +14,11 @@ ORACLE = {}
 
 def query(name: str, sql: str | None = None):
     def put(f):
-        QUERIES[name] = f
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)
+            return f(spark, sf_dir)
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLE[name] = sql
         return f
