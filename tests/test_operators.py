@@ -420,7 +420,11 @@ def test_banned_context_paths_agree(spark):
                                   "dialogue_id int, context string")
     dev = spark.createDataFrame([("",), ("ctx1",), (None,)], "context string")
     small = sorted(r["dialogue_id"] for r in sb.drop_banned_contexts(train, dev).collect())
-    big = sorted(r["dialogue_id"] for r in sb.drop_banned_contexts(train, dev, max_broadcast_bytes=0).collect())
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        big = sorted(r["dialogue_id"] for r in sb.drop_banned_contexts(train, dev).collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     want = sorted(i for i in range(60) if i % 3 != 0 and i % 7 != 1) + [99]
     assert small == big == want
 

@@ -94,16 +94,16 @@ def average_rank(
 
 
 def metric_vs_gold(
-    df: DataFrame, id_col: str, gold: str, metric: str, buckets: int = 1024
+    df: DataFrame, id_col: str, gold: str, metric: str, buckets: int = 1024, group: Sequence[str] = ()
 ) -> DataFrame:
-    """One metric against one gold column over the whole table: both
-    ranks and the absolute rank difference, largest difference first (ties by
-    id)."""
-    base = df.select(id_col, F.col(gold).alias("gold_score"), F.col(metric).alias("metric_score"))
-    r = average_rank(base, "gold_score", (), "gold_rank", buckets)
-    r = average_rank(r, "metric_score", (), "metric_rank", buckets)
+    """One metric against one gold column over the whole table, or within
+    each ``group``: both ranks and the absolute rank difference, largest
+    difference first (ties by id)."""
+    base = df.select(*group, id_col, F.col(gold).alias("gold_score"), F.col(metric).alias("metric_score"))
+    r = average_rank(base, "gold_score", group, "gold_rank", buckets)
+    r = average_rank(r, "metric_score", group, "metric_rank", buckets)
     out = r.select(
-        id_col, "gold_score", "gold_rank", "metric_score", "metric_rank",
+        *group, id_col, "gold_score", "gold_rank", "metric_score", "metric_rank",
         F.abs(F.col("gold_rank") - F.col("metric_rank")).alias("metric_vs_gold"),
     )
-    return out.orderBy(F.col("metric_vs_gold").desc(), F.col(id_col))
+    return out.orderBy(*group, F.col("metric_vs_gold").desc(), F.col(id_col))

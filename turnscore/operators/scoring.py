@@ -13,12 +13,10 @@ library); a service or local model plugs in through the same factory.
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -108,54 +106,70 @@ def _one(call, row: pd.DataFrame):
 # ------------------------------------------------------------------ M3
 
 EMBED_DIM = 16
+_WS_SPLIT = "[ \\t\\n\\r\\x0b\\x0c]+"
+Embedder = Callable[[pd.Series], pd.Series]
 
 
-_WS_SPLIT = re.compile(r"[ \t\n\r\x0b\x0c]+")
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def hashed_token_vectors(text: str, dim: int = EMBED_DIM) -> list[list[float]]:
-    """One vector per whitespace token (lower-cased): signed feature hashing
+def _token_vector(token: Column, dim: int) -> Column:
+    trigrams = F.when(F.length(token) >= 3, F.transform(F.sequence(F.lit(1), F.length(token) - 2), lambda i: F.substring(token, i, F.lit(3))))
+    grams = F.concat(F.array(token), F.coalesce(trigrams, F.array().cast("array<string>")))
+    hashes = F.transform(grams, lambda g: F.conv(F.substring(F.md5(g.cast("binary")), 1, 8), 16, 10).cast("long"))
+    signed = lambda h: F.when(F.shiftright(h, 16).bitwiseAND(F.lit(1)) == 1, F.lit(1.0)).otherwise(F.lit(-1.0))
+    slots = lambda hs: F.transform(
+        F.sequence(F.lit(0), F.lit(dim - 1)),
+        lambda d: F.aggregate(hs, F.lit(0.0), lambda a, h: a + F.when(h % dim == d, signed(h)).otherwise(F.lit(0.0))))
+    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
+    unit = lambda v: _bound(F.when(norm(v) == 0, F.lit(1.0)).otherwise(norm(v)),
+                            lambda n: F.transform(v, lambda x: (x / n).cast("float")))
+    return _bound(hashes, lambda hs: _bound(slots(hs), unit))
+
+
+def hashed_token_vectors(text: Column, dim: int = EMBED_DIM) -> Column:
+    """One vector per white-space token (lower-cased): signed feature hashing
     of the token and of its character trigrams (``md5`` of the gram: the
     first 8 hex digits give the slot and, by bit 16, the sign),
-    L2-normalised, float32."""
-    vecs = []
-    for tok in _WS_SPLIT.split((text or "").lower()):
-        if not tok:
-            continue
-        v = np.zeros(dim, dtype=np.float64)
-        grams = [tok] + [tok[i:i + 3] for i in range(max(0, len(tok) - 2))]
-        for g in grams:
-            h = int(hashlib.md5(g.encode("utf-8")).hexdigest()[:8], 16)
-            v[h % dim] += 1.0 if (h >> 16) & 1 else -1.0
-        norm = float(np.sqrt((v * v).sum())) or 1.0
-        vecs.append((v / norm).astype(np.float32).tolist())
-    return vecs
-
-
-def embed_turns(df: DataFrame, text: str = "response", id_col: str = "uid", dim: int = EMBED_DIM) -> DataFrame:
-    """M3: per turn, one vector per generated token
-    (``ARRAY<ARRAY<FLOAT>>``), by a pluggable embedder in ``mapInPandas``."""
-    schema = T.StructType(
-        [T.StructField(id_col, df.schema[id_col].dataType),
-         T.StructField("token_vectors", T.ArrayType(T.ArrayType(T.FloatType())))]
-    )
+    L2-normalised, float32. A column expression, with no Python."""
+    tokens = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), _WS_SPLIT), lambda t: t != "")
+    return F.transform(tokens, lambda t: _token_vector(t, dim))
+
+
+def embed_turns(df: DataFrame, text: str = "response", id_col: str = "uid", dim: int = EMBED_DIM,
+                embedder: Callable[[], Embedder] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """M3: per turn, one vector per generated token (``token_vectors``,
+    ``ARRAY<ARRAY<FLOAT>>``), beside the ``keep`` columns (scores and gold, say).
+    ``embedder`` plugs in a model: a factory, called once per partition, of a
+    function from a series of texts to a series of lists of vectors
+    (``mapInPandas``); the shipped hashing is column expressions."""
+    if embedder is None:
+        return df.select(id_col, *keep, hashed_token_vectors(F.col(text), dim).alias("token_vectors"))
+    fields = [df.schema[c] for c in (id_col, *keep)]
+    schema = T.StructType([*fields, T.StructField("token_vectors", T.ArrayType(T.ArrayType(T.FloatType())))])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        embed = embedder()  # once per partition
         for pdf in batches:
-            yield pd.DataFrame({id_col: pdf[id_col], "token_vectors": [hashed_token_vectors(t, dim) for t in pdf[text]]})
+            out = pdf[[id_col, *keep]].copy()
+            out["token_vectors"] = list(embed(pdf[text]))
+            yield out
 
-    return df.select(id_col, text).mapInPandas(run, schema)
+    return df.select(*dict.fromkeys((id_col, *keep, text))).mapInPandas(run, schema)
 
 
-def pooled_embeddings(df: DataFrame, text: str = "response", id_col: str = "uid") -> DataFrame:
-    """M3 + A14: token vectors pooled to one embedding (empty texts give an
-    empty embedding)."""
+def pooled_embeddings(df: DataFrame, text: str = "response", id_col: str = "uid", dim: int = EMBED_DIM,
+                      embedder: Callable[[], Embedder] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """M3 + A14: token vectors pooled to one embedding (a text without tokens
+    gives zeros), beside the ``keep`` columns."""
     from turnscore.operators.features import max_and_avg_pool
 
-    e = embed_turns(df, text, id_col)
+    e = embed_turns(df, text, id_col, dim, embedder, keep)
     # an empty text has no token: a zero vector keeps every embedding the same length
     pooled = F.when(F.size("token_vectors") > 0, max_and_avg_pool("token_vectors")).otherwise(
-        F.array_repeat(F.lit(0.0), 2 * EMBED_DIM)
+        F.array_repeat(F.lit(0.0), 2 * dim)
     )
-    return e.select(id_col, F.size("token_vectors").alias("n_tokens"),
+    return e.select(id_col, *keep, F.size("token_vectors").alias("n_tokens"),
                     F.transform(pooled, lambda x: x.cast("float")).alias("embedding"))

@@ -93,21 +93,12 @@ def union_datasets(parts: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def drop_banned_contexts(train: DataFrame, dev: DataFrame, context: str = "context",
-                         max_broadcast_bytes: int = 64 * 1024 * 1024) -> DataFrame:
+def drop_banned_contexts(train: DataFrame, dev: DataFrame, context: str = "context") -> DataFrame:
     """Remove train rows whose (raw) context occurs in the dev set
-    (``left_anti``, never ``NOT IN``, for NULL safety).
-
-    The distinct dev contexts are measured first (one small aggregation);
-    when they fit ``max_broadcast_bytes`` they are broadcast, so train rows
-    never shuffle and a context shared by a huge number of train rows (the
-    empty first-turn context, say) costs nothing extra. Beyond the bound the
-    anti join shuffles both sides and AQE splits skewed partitions."""
-    banned = dev.select(context).distinct()
-    size = banned.agg(F.coalesce(F.sum(F.octet_length(context) + 16), F.lit(0)).alias("b")).first()["b"]
-    if size <= max_broadcast_bytes:
-        banned = F.broadcast(banned)
-    return train.join(banned, context, "left_anti")
+    (``left_anti``, never ``NOT IN``, for NULL safety). The distinct dev contexts
+    are the small side: AQE broadcasts them when they are small at run time, and
+    otherwise splits a train partition that one context fills."""
+    return train.join(dev.select(context).distinct(), context, "left_anti")
 
 
 def cap_rows(df: DataFrame, n: int, order: Sequence[str] = ("uid",)) -> DataFrame:

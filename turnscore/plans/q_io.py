@@ -190,21 +190,30 @@ def s8(spark, sf_dir):
 def _e4_sql():
     from turnscore.plans.q_windows import _HARD, _MINING
 
-    return sql("""SELECT d.dialogue_id, d.dataset, d.model FROM drows d
-WHERE d.dialogue_id IN (SELECT dialogue_id FROM (""" + _HARD + "))", "drows", "scores_wide", "gold_wide",
-               extra=_MINING)
+    return sql("""SELECT d.dialogue_id, d.dataset, d.model, round(s.share, 6) AS source_share FROM drows d
+JOIN (""" + _HARD + """) h ON h.dialogue_id = d.dialogue_id
+JOIN run r ON r.dialogue_id = d.dialogue_id
+JOIN (SELECT r.model, count(*) / sum(count(*)) OVER () AS share
+      FROM (""" + _HARD + """) h JOIN run r ON r.dialogue_id = h.dialogue_id GROUP BY r.model) s ON s.model = r.model""",
+               "drows", "scores_wide", "gold_wide", extra=_MINING)
 
 
 @query("E4_mine_hard_set", _e4_sql())
 def e4(spark, sf_dir):
-    """Whole job: rank disagreement -> hardest 200 -> source shares -> hard
-    subset of the dataset (written nested, as the reference's hard set)."""
+    """Whole job: a run's results stored and read back (S9, S3), rank
+    disagreement, hardest 200, source shares, hard subset of the dataset, and
+    the share of each row's response source."""
     from turnscore.plans.jobs import mine_hard_set
     from turnscore.plans.q_rows import run_table
 
+    root = scratch_path(spark, "e4-results")
+    io.write_results(run_table(spark, sf_dir), root, "run-a")
+    run = io.read_results(spark, root, "run-a").drop("run_id")
     d = ad.dialogue_rows(spark, sf_dir).select("dialogue_id", "dataset", "model", "context", "response")
-    _, _, subset = mine_hard_set(run_table(spark, sf_dir), d, "LLM", 200)
-    return subset.select("dialogue_id", "dataset", "model")
+    _, shares, subset = mine_hard_set(run, d, "LLM", 200)
+    source = run.select("dialogue_id", F.col("model").alias("source"))
+    return subset.join(source, "dialogue_id").join(shares.select(F.col("model").alias("source"), "share"), "source").select(
+        "dialogue_id", "dataset", "model", F.col("share").alias("source_share"))
 
 
 @query(
@@ -214,8 +223,14 @@ def e4(spark, sf_dir):
 FROM rc""", "rehearsal_in", extra=__import__("turnscore.plans.q_text", fromlist=["_REH"])._REH),
 )
 def e5(spark, sf_dir):
-    """Whole job: rehearsal rows, constant variant."""
+    """Whole job: rehearsal input from a CSV file (S2), rehearsal rows (constant
+    variant), written as a dataset file (S6) and read back by its layout (S1)."""
     from turnscore.plans.jobs import build_rehearsal
 
-    return build_rehearsal(ad.rehearsal_input(spark, sf_dir), "constant")
-
+    source = ad.rehearsal_input(spark, sf_dir)
+    path = scratch_path(spark, "e5-rehearsal")
+    io.write_csv(source, f"{path}/csv")
+    rows = build_rehearsal(io.read_csv(spark, f"{path}/csv", source.schema), "constant")
+    io.write_nested_json(rows, f"{path}/json", _REH_COLS)
+    back = io.read_dialogue_json(spark, f"{path}/json", dialogue_schema(_REH_COLS))
+    return back.select("dialogue_id", "model", "context", "response", *[F.get(F.col("annotations")[c], 0).alias(c) for c in _REH_COLS])

@@ -77,16 +77,16 @@ def w3(spark, sf_dir):
 @query(
     "W4_metric_vs_gold",
     sql(
-        f"""SELECT uid, gold AS gold_score, {avg_rank_sql('gold', '')} AS gold_rank, score AS metric_score,
-       {avg_rank_sql('score', '')} AS metric_rank,
-       abs({avg_rank_sql('gold', '')} - {avg_rank_sql('score', '')}) AS metric_vs_gold
-FROM rl WHERE quality = 'relevance' AND gold IS NOT NULL AND NOT isnan(gold)""",
+        f"""SELECT quality, uid, gold AS gold_score, {avg_rank_sql('gold', 'quality')} AS gold_rank, score AS metric_score,
+       {avg_rank_sql('score', 'quality')} AS metric_rank,
+       abs({avg_rank_sql('gold', 'quality')} - {avg_rank_sql('score', 'quality')}) AS metric_vs_gold
+FROM rl WHERE gold IS NOT NULL AND NOT isnan(gold)""",
         "rl",
     ),
 )
 def w4(spark, sf_dir):
-    g = ag.annotated_mask(ad.scored_turns(spark, sf_dir).where(F.col("quality") == "relevance"))
-    return metric_vs_gold(g, "uid", "gold", "score")
+    g = ag.annotated_mask(ad.scored_turns(spark, sf_dir))
+    return metric_vs_gold(g, "uid", "gold", "score", group=["quality"])
 
 
 # ------------------------------------------------------------------ mining

@@ -69,10 +69,36 @@ def ship_package(spark: SparkSession) -> None:
     sc._turnscore_shipped = True
 
 
+def scratch_root(spark: SparkSession) -> str:
+    """This application's folder inside the shared checkpoint folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/turnscore/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh sub-folder of the shared checkpoint folder."""
-    base = checkpoint_dir(spark).rstrip("/")
-    return f"{base}/turnscore/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh sub-folder of the shared checkpoint folder, removed with all
+    others of the application when the driver ends (:func:`remove_scratch`)."""
+    sc = spark.sparkContext
+    if not getattr(sc, "_turnscore_scratch", False):
+        sc._turnscore_scratch = True
+        atexit.register(_remove_quietly, spark)
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def remove_scratch(spark: SparkSession) -> None:
+    """Delete what this application wrote under :func:`scratch_root`; tables read
+    from there can't be read any more."""
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _remove_quietly(spark: SparkSession) -> None:
+    """At the driver's end: the context may be stopped already."""
+    try:
+        if spark.sparkContext._jsc is not None:
+            remove_scratch(spark)
+    except Exception:  # noqa: BLE001 - nothing is left to talk to
+        pass
 
 
 def sf_table(spark: SparkSession, sf_dir: str, name: str):

@@ -97,9 +97,16 @@ def nest_annotations(df: DataFrame, annotation_cols: Sequence[str], struct_col:
     return df.select(*keep, nested.alias(struct_col))
 
 
+#: Translated texts that a dataset file has a column for even where there are none.
+TRANSLATIONS = ("context_zh", "context_es", "context_pa", "response_zh", "response_es", "response_pa")
+
+
 def write_nested_json(df: DataFrame, path: str, annotation_cols: Sequence[str], mode: str = "overwrite") -> None:
-    """Write the nested records as JSON lines (one file per task)."""
-    nest_annotations(df, annotation_cols).write.mode(mode).json(path)
+    """Write the nested records as JSON lines (one file per task), with
+    empty texts for the translations that ``df`` lacks, so any variant loads."""
+    nested = nest_annotations(df, annotation_cols)
+    lacking = {c: F.lit("") for c in TRANSLATIONS if c not in nested.columns}
+    nested.withColumns(lacking).write.mode(mode).json(path)
 
 
 def _read_partitioned(spark: SparkSession, root: str) -> DataFrame:
