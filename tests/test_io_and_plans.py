@@ -126,7 +126,8 @@ def test_session_helpers(spark):
 
     d = session.checkpoint_dir(spark)
     assert d == spark.sparkContext.getCheckpointDir()  # the session's folder, not a new one
-    assert session.scratch_path(spark, "x").startswith(d.rstrip("/") + "/turnscore/x-")
+    path = session.scratch_path(spark, "x")
+    assert path.startswith(session.scratch_root(spark) + "/x-") and path.startswith(d.rstrip("/") + "/turnscore/")
     conf = session.cluster_conf(100 * 10**12, 8000)
     assert int(conf["spark.sql.shuffle.partitions"]) >= 16000
     assert conf["spark.sql.adaptive.skewJoin.enabled"] == "true"
