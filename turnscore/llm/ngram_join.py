@@ -12,9 +12,9 @@ copies are never paired. Between different sets:
   share one among the first ``s - ceil(t s) + 1``. Frequencies are counted over
   the whole corpus (see ``exchange``). A set of which more than ``1 - t`` is
   found nowhere else has no partner and drops out at once. In each list all
-  members first meet one hub (the member most made of common shingles); then only members
-  outside the hub's component meet the others, so a group of near copies costs
-  about its size and not its square. Candidates pass a lossless filter (parity
+  members first meet one hub (the member most made of common shingles); then only
+  members that do not link with it meet the others, so a group of near copies
+  costs about its size and not its square. Candidates pass a lossless filter (parity
   sketches bound the symmetric difference from below), then the exact overlap
   is counted.
 
@@ -276,16 +276,13 @@ def heavy_links(sets: DataFrame, t: tuple[int, int] = THRESHOLD) -> DataFrame:
         .select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct()
     )
     links = reliable_checkpoint(verify(first, sets, t))
-    component = connected_components(links)
-    # members that stayed outside their hub's component meet all others of the list
-    named = lists.join(component.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    of_hub = hubs.select("e", F.col("fp").alias("hub")).join(component.select(F.col("node").alias("hub"), "component"), "hub", "left").select(
-        "e", "hub", F.coalesce("component", "hub").alias("hub_component"))
-    placed = reliable_checkpoint(named.join(of_hub, "e").where("fp <> hub"))
-    outside = placed.where("component <> hub_component")
+    # members without a link to their list's hub meet all others of the list
+    inside = links.select(F.col("a").alias("fp"), F.col("b").alias("hub"), F.lit(True).alias("inside"))
+    placed = lists.join(hubs.select("e", F.col("fp").alias("hub")), "e").where("fp <> hub").join(inside, ["fp", "hub"], "left")
+    placed = reliable_checkpoint(placed.withColumn("inside", F.coalesce("inside", F.lit(False))))
     second = (
-        outside.alias("x").join(placed.alias("y"), "e")
-        .where("x.component <> y.component and (x.fp < y.fp or y.component = y.hub_component)")
+        placed.where("not inside").alias("x").join(placed.alias("y"), "e")
+        .where("x.fp <> y.fp and (y.inside or x.fp < y.fp)")
         .where(_may_link("x", "y", t))
         .select(F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b")).distinct()
     )
