@@ -44,9 +44,11 @@ def mask_report(df: DataFrame, group: Sequence[str], gold: str = "gold", pred: s
 
 
 def correlations(
-    df: DataFrame, group: Sequence[str], gold: str = "gold", pred: str = "score", buckets: int = 1024
+    df: DataFrame, group: Sequence[str], gold: str = "gold", pred: str = "score", buckets: int = 1024,
+    missing: bool = False,
 ) -> DataFrame:
-    """A3 + A4 per group: ``group..., n, pearson, spearman``.
+    """A3 + A4 per group: ``group..., n, pearson, spearman`` and, with
+    ``missing``, ``n_missing``, the annotated rows that have no prediction.
 
     Pairs where gold or prediction is missing (NULL / NaN) are masked out
     (P9, pairwise); a group with no pair is kept with ``n = 0`` and NULL
@@ -60,18 +62,19 @@ def correlations(
     g = list(group)
     ok = present(gold) & present(pred)
     pairs = df.select(*g, F.when(ok, F.col(gold).cast("double")).alias("_x"),
-                      F.when(ok, F.col(pred).cast("double")).alias("_y"))
-    pairs = pairs.groupBy(*g, "_x", "_y").agg(F.count(F.lit(1)).alias("_c"))
+                      F.when(ok, F.col(pred).cast("double")).alias("_y"),
+                      (present(gold) & ~F.coalesce(present(pred), F.lit(False))).alias("_l"))
+    pairs = pairs.groupBy(*g, "_x", "_y", "_l").agg(F.count(F.lit(1)).alias("_c"))
     # both columns are ranked in one pass: the pair rows are stacked by side,
     # ranked together (group + side), joined to their ranks once and folded
     # back to one row per pair
-    long = pairs.select(*g, "_x", "_y", "_c", F.inline(F.array(
+    long = pairs.select(*g, "_x", "_y", "_l", "_c", F.inline(F.array(
         F.struct(F.lit("x").alias("_side"), F.col("_x").alias("_v")),
         F.struct(F.lit("y").alias("_side"), F.col("_y").alias("_v")),
     )))
     rt = rank_table(long, "_v", g + ["_side"], "_rank", buckets, weight="_c")
     ranked = long.join(rt, g + ["_side", "_v"], "left")
-    j = ranked.groupBy(*g, "_x", "_y", "_c").agg(
+    j = ranked.groupBy(*g, "_x", "_y", "_l", "_c").agg(
         F.max(F.when(F.col("_side") == "x", F.col("_rank"))).alias("_rx"),
         F.max(F.when(F.col("_side") == "y", F.col("_rank"))).alias("_ry"),
     )
@@ -84,16 +87,17 @@ def correlations(
         F.expr(f"CAST(coalesce(sum({w}), 0) AS BIGINT)").alias("n"),
         *[F.expr(f"try_divide(sum({w} * {c}), sum({w}))").alias(f"_m{c}") for c in cols],
         F.expr("min(_x) < max(_x)").alias("_vx"), F.expr("min(_y) < max(_y)").alias("_vy"),
+        F.expr("CAST(coalesce(sum(CASE WHEN _l THEN _c END), 0) AS BIGINT)").alias("_lost"),
     )
     means = means.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(g)], *[c for c in means.columns if c not in g])
     same = F.lit(True)
     for i, c in enumerate(g):
         same = same & j[c].eqNullSafe(means[f"_g{i}"])
-    d = j.join(means, same).select(*[j[c] for c in g], "_c", "_x", "n", "_vx", "_vy", *[(j[c] - means[f"_m{c}"]).alias(f"_d{c}") for c in cols])
+    d = j.join(means, same).select(*[j[c] for c in g], "_c", "_x", "n", "_lost", "_vx", "_vy", *[(j[c] - means[f"_m{c}"]).alias(f"_d{c}") for c in cols])
     sums = {"_sxx": "_d_x * _d_x", "_syy": "_d_y * _d_y", "_sxy": "_d_x * _d_y",
             "_rsxx": "_d_rx * _d_rx", "_rsyy": "_d_ry * _d_ry", "_rsxy": "_d_rx * _d_ry"}
     agg = d.groupBy(*g).agg(
-        F.max("n").alias("n"), F.max("_vx").alias("_vx"), F.max("_vy").alias("_vy"),
+        F.max("n").alias("n"), F.max("_lost").alias("n_missing"), F.max("_vx").alias("_vx"), F.max("_vy").alias("_vy"),
         *[F.expr(f"sum({w} * {e})").alias(k) for k, e in sums.items()],
     )
 
@@ -101,7 +105,7 @@ def correlations(
         return F.expr(f"CASE WHEN _vx AND _vy AND {p}sxx > 0 AND {p}syy > 0 "
                       f"THEN greatest(-1.0D, least(1.0D, {p}sxy / (sqrt({p}sxx) * sqrt({p}syy)))) END")
 
-    return agg.select(*g, "n", corr("_").alias("pearson"), corr("_r").alias("spearman"))
+    return agg.select(*g, "n", *["n_missing"] * missing, corr("_").alias("pearson"), corr("_r").alias("spearman"))
 
 
 def macro_mean(per_quality: DataFrame, group: Sequence[str] = ()) -> DataFrame:
@@ -173,18 +177,12 @@ def dimension_table(spark: SparkSession, dims: Sequence[str]) -> DataFrame:
 def _aligned_pairs(gold: DataFrame, submission: DataFrame, dims: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """Gold and submission rows meet once, wide, on the UID; the
     dimensions fan out afterwards with ``inline`` (no join of long tables).
-    Every gold row stays: ``missing`` is true where the submission lacks it."""
-    sub = submission.select(F.col("UID"), *[F.col(d).alias(f"_p_{d}") for d in dims], F.lit(False).alias("_lacks"))
+    Every gold row stays, with a NULL prediction where the submission lacks it."""
+    sub = submission.select(F.col("UID"), *[F.col(d).alias(f"_p_{d}") for d in dims])
     j = gold.select("UID", *keep, *dims).join(sub, "UID", "left")
     arr = F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).cast("double").alias("gold"),
                              F.col(f"_p_{d}").cast("double").alias("pred")) for d in dims])
-    return j.select("UID", *keep, F.coalesce("_lacks", F.lit(True)).alias("missing"), F.inline(arr))
-
-
-def missing_counts(pairs: DataFrame, group: Sequence[str]) -> DataFrame:
-    """Annotated gold rows per group for which the submission has no value."""
-    lacks = present("gold") & (F.col("missing") | ~F.coalesce(present("pred"), F.lit(False)))
-    return pairs.groupBy(*group).agg(F.count_if(lacks).alias("n_missing"))
+    return j.select("UID", *keep, F.inline(arr))
 
 
 def leaderboard(
@@ -207,12 +205,14 @@ def leaderboard(
     spark = gold.sparkSession
     dims = select_dimensions(subtask, limit_dims)
     pairs = _aligned_pairs(eval_slice(gold, subtask, dataset, language, supervised), submission, dims)
-    lacking = missing_counts(pairs, ["dimension"])
-    if strict and (short := {r["dimension"]: r["n_missing"] for r in lacking.where("n_missing > 0").collect()}):
-        raise ValueError(f"the submission lacks annotated gold rows: {short}")
-    corr = correlations(pairs, ["dimension"], "gold", "pred", buckets)
+    if strict:
+        lacks = present("gold") & ~F.coalesce(present("pred"), F.lit(False))
+        short = {r["dimension"]: r["n"] for r in pairs.where(lacks).groupBy("dimension").agg(F.count(F.lit(1)).alias("n")).collect()}
+        if short:
+            raise ValueError(f"the submission lacks annotated gold rows: {short}")
+    corr = correlations(pairs, ["dimension"], "gold", "pred", buckets, missing=True)
     dt = F.broadcast(dimension_table(spark, dims))
-    return dt.join(corr, "dimension", "left").join(lacking, "dimension", "left").select(
+    return dt.join(corr, "dimension", "left").select(
         "dimension",
         F.coalesce(F.col("n"), F.lit(0)).alias("n"),
         F.coalesce(F.col("n_missing"), F.lit(0)).alias("n_missing"),
@@ -234,9 +234,9 @@ def leaderboard_slices(
         members.append(F.concat(F.lit("LANGUAGE="), "LANGUAGE"))
     base = base.select("UID", F.array(*members).alias("_slices"), *dims)
     pairs = _aligned_pairs(base, submission, dims, ["_slices"])
-    pairs = pairs.select(F.explode("_slices").alias("slice"), "dimension", "gold", "pred", "missing")
-    corr = correlations(pairs, ["slice", "dimension"], "gold", "pred", buckets)
-    return corr.join(missing_counts(pairs, ["slice", "dimension"]), ["slice", "dimension"]).select(
+    pairs = pairs.select(F.explode("_slices").alias("slice"), "dimension", "gold", "pred")
+    corr = correlations(pairs, ["slice", "dimension"], "gold", "pred", buckets, missing=True)
+    return corr.select(
         "slice", "dimension", "n", "n_missing", F.abs("spearman").alias("spearman"), F.abs("pearson").alias("pearson"))
 
 
