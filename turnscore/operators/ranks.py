@@ -68,8 +68,9 @@ def rank_table(
         F.coalesce(F.sum("_cnt").over(part.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)),
                    F.lit(0)).alias("_below"),
     )
-    # fine buckets inside a bucket (at most SPLIT rows), buckets inside a group
-    fines = counts.groupBy(*g, "_b", "_m").agg(F.sum("_cnt").alias("_mcnt"))
+    # fine buckets inside a bucket (at most SPLIT rows), buckets inside a group;
+    # the rows already lie by fine bucket, so these totals need no exchange
+    fines = local.groupBy(*g, "_b", "_m").agg(F.sum("_cnt").alias("_mcnt"))
     inside = Window.partitionBy(*g, "_b").orderBy("_m").rowsBetween(Window.unboundedPreceding, -1)
     fines = fines.select(*g, "_b", "_m", "_mcnt", F.coalesce(F.sum("_mcnt").over(inside), F.lit(0)).alias("_moff"))
     totals = fines.groupBy(*g, "_b").agg(F.sum("_mcnt").alias("_bcnt"))
