@@ -1,6 +1,8 @@
 """The pipeline's stages on odd rows, and each stage's decisions on its input."""
 
+import random
 import re
+import zlib
 
 import pytest
 from tokenizers import Tokenizer
@@ -39,6 +41,20 @@ def test_language_stage_keeps_clean_documents(stages):
     assert kept <= letters and len(kept) >= 0.99 * len(letters)
 
 
+def test_language_stage_drops_what_no_language_explains(spark):
+    r = random.Random(3)
+    word = lambda: "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=r.randint(2, 9)))
+    junk = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=300)), " ".join(word() for _ in range(80)), "".join(chr(r.randint(0x4E00, 0x9000)) for _ in range(100)),
+            "".join(r.choices("ABCDEFGHIJKLMabcdefghijklm0123456789+/", k=400)), "Все люди рождаются свободными и равными в своем достоинстве и правах",
+            "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan"]
+    docs = C.table(spark, "/root/testdata/sf0.01", "documents")
+    planted = spark.createDataFrame([(10**6 + i, t, None, None, len(t)) for i, t in enumerate(junk)], docs.schema)
+    kept = {r.doc_id for r in C.keep_recognised(spark, docs.unionByName(planted), SMALL).collect()}
+    assert not any(10**6 + i in kept for i in range(len(junk)))
+    held = [r.doc_id for r in docs.collect() if zlib.crc32(str(r.doc_id).encode()) % 5 == 0 and re.search(r"[^\W\d_]", r.text)]
+    assert len(kept & set(held)) >= 0.99 * len(held)
+
+
 def test_line_stage_drops_what_recurs(stages):
     _, before, after = stages[1]
     rows = [(r.doc_id, r.text) for r in before.collect()]

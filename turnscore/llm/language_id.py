@@ -9,7 +9,9 @@ matrix times coefficients, the last two multiplied out beforehand, so that a
 text costs one row gather per distinct n-gram.
 
 Letters are folded to lower case; all other ASCII is one blank. A language's
-score is its regression value cut to 0..1.
+score is its regression value cut to 0..1. As the values of a text add up to 1,
+they compare languages only; whether a text is in any of them tells the share of
+its n-grams that a language's training texts hold (``known``).
 
 The model is fitted on a bounded sample: at most about ``PER_LANGUAGE`` labelled
 texts per language, drawn by a hash of the text. Every text is scored whole.
@@ -85,16 +87,23 @@ def has_letter(data: np.ndarray) -> bool:
 
 class Model:
     """Languages and the product of landmark matrix and coefficients
-    (``DIMENSIONS`` x languages)."""
+    (``DIMENSIONS`` x languages). ``held``: which n-grams a language's training
+    texts hold; ``usual``: the share that 99 of 100 training texts have in the
+    others of their language."""
 
-    def __init__(self, languages: list[str], weights: np.ndarray, offset: np.ndarray):
-        self.languages, self.weights, self.offset = languages, weights, offset
+    def __init__(self, languages: list[str], weights: np.ndarray, offset: np.ndarray, held: np.ndarray | None = None, usual: float = 0.0):
+        self.languages, self.weights, self.offset, self.held, self.usual = languages, weights, offset, held, usual
 
     def predict(self, texts) -> tuple[list[str], np.ndarray]:
+        return self.predict_known(texts, False)[:2]
+
+    def predict_known(self, texts, known: bool = True) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Languages, scores and the largest share of n-grams that a language holds (0 if not asked for)."""
         data, offsets = W.utf8(texts)
         n = len(offsets) - 1
+        share = np.zeros(n)
         if not self.languages:
-            return [UNDETERMINED] * n, np.zeros(n)
+            return [UNDETERMINED] * n, np.zeros(n), share
         presence, found, sizes, rows = Presence(), [], [], []
         values = np.zeros((n, len(self.languages)))
 
@@ -102,8 +111,11 @@ class Model:
             if not rows:
                 return
             at = np.r_[0, np.cumsum(sizes)[:-1]]
-            sums = np.add.reduceat(self.weights[np.concatenate(found)], at, axis=0)
+            places = np.concatenate(found)
+            sums = np.add.reduceat(self.weights[places], at, axis=0)
             values[rows] = sums / np.sqrt(np.array(sizes))[:, None] + self.offset
+            if known:
+                share[rows] = np.add.reduceat(self.held[places], at, axis=0, dtype=np.int64).max(axis=1) / np.array(sizes)
             found.clear(), sizes.clear(), rows.clear()
 
         letters = np.zeros(n, bool)
@@ -118,7 +130,7 @@ class Model:
         flush()
         best = values.argmax(axis=1)
         score = np.clip(values[np.arange(n), best], 0.0, 1.0)
-        return [self.languages[b] if ok else UNDETERMINED for b, ok in zip(best, letters)], np.where(letters, score, 0.0)
+        return [self.languages[b] if ok else UNDETERMINED for b, ok in zip(best, letters)], np.where(letters, score, 0.0), share
 
 
 def solve(texts: list[str], labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
@@ -150,7 +162,14 @@ def solve(texts: list[str], labels: list[str], landmarks: int = LANDMARKS, ridge
     fy = (target - mean_y) * np.sqrt(weight)
     gram = fx.T @ fx
     beta = np.linalg.solve(gram + ridge * np.trace(gram) / len(gram) * np.eye(len(gram)), fx.T @ fy)
-    return Model(languages, (marks @ (root @ beta)).astype(np.float32), mean_y - mean_x @ beta)
+    held, shares = np.zeros((DIMENSIONS, len(languages)), bool), []
+    for j, x in enumerate(languages):
+        texts_with = np.zeros(DIMENSIONS, np.int32)
+        for i in by_language[x]:
+            texts_with[rows[i]] += 1
+        held[:, j] = texts_with > 0
+        shares += [float((texts_with[rows[i]] > 1).mean()) for i in by_language[x]]
+    return Model(languages, (marks @ (root @ beta)).astype(np.float32), mean_y - mean_x @ beta, held, float(np.quantile(shares, 0.01)))
 
 
 def held_out(id_column: Column) -> Column:
@@ -178,25 +197,25 @@ def fit(rows: DataFrame, text: str = "text", label: str = "lang", per_language:
     return solve(texts, labels, landmarks)
 
 
-def classify(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
-    """``keep`` columns, ``lang_pred`` and ``score``; only the text is looked at."""
+def classify(docs: DataFrame, model: Model, keep: list[str], text: str = "text", known: bool = False) -> DataFrame:
+    """``keep`` columns, ``lang_pred`` and ``score`` (and ``known``, on request); only the text is looked at."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = [f"c{i}" for i in range(len(keep))]
     rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, kept)])
-    schema = ", ".join([f"{n} {f.dataType.simpleString()}" for n, f in zip(kept, rows.schema)] + ["_lang string", "_score double"])
+    schema = ", ".join([f"{n} {f.dataType.simpleString()}" for n, f in zip(kept, rows.schema)] + ["_lang string", "_score double"] + ["_known double"] * known)
     at = kept[keep.index(text)] if text in keep else "_text"
     rows = rows if text in keep else docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, kept)], F.col(f"`{text}`").alias("_text"))
 
     def run(batches):
         for batch in batches:
             for part in W.chunks(batch, at):
-                lang, score = shared.value.predict(part.column(at))
+                lang, score, share = shared.value.predict_known(part.column(at), known)
                 yield pa.record_batch(
-                    [*[part.column(k) for k in kept], pa.array(lang, pa.string()), pa.array(score, pa.float64())],
-                    names=[*kept, "_lang", "_score"],
+                    [*[part.column(k) for k in kept], pa.array(lang, pa.string()), pa.array(score, pa.float64()), *[pa.array(share, pa.float64())] * known],
+                    names=[*kept, "_lang", "_score", *["_known"] * known],
                 )
 
-    return rows.mapInArrow(W.lean(run), schema).toDF(*keep, "lang_pred", "score")
+    return rows.mapInArrow(W.lean(run), schema).toDF(*keep, "lang_pred", "score", *["known"] * known)
 
 
 def identify(docs: DataFrame, keep: list[str], text: str = "text", label: str = "lang", id_column: str = "doc_id", **options) -> DataFrame:
