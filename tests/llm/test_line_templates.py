@@ -77,6 +77,25 @@ def test_variable_fields_are_one_template_and_copies_are_not_recurrence(spark):
     assert all(r[3] == 0 for r in got if r[0] >= 100)
 
 
+@pytest.mark.parametrize("shard_bytes", [1 << 10, 1 << 22])
+def test_near_copies_are_not_recurrence(spark, monkeypatch, shard_bytes):
+    monkeypatch.setattr(exchange, "SHARD_BYTES", shard_bytes)
+    r = random.Random(5)
+    word = lambda: "".join(r.choices("abcdefghijklmnop", k=7))
+    body = [[word() for _ in range(10)] for _ in range(30)]
+    ten, nine = "printed by the press of the town", "sold at the gate of the mill"
+    rows = []
+    for i in range(20):  # one word of each copy altered
+        lines = [list(x) for x in body]
+        lines[i][5] = word()
+        extra = [ten] * (i != 0) + [nine] * (i % 2)
+        rows.append((i, "\n".join([" ".join(x) for x in lines] + extra)))
+    for i in range(9):
+        rows.append((100 + i, "\n".join([" ".join(word() for _ in range(10)), ten] + [nine] * (i < 8))))
+    got = dict((x[0], x[1]) for x in run(spark, rows, 10))
+    assert got == {i: "\n".join(x for x in t.split("\n") if x != ten) for i, t in rows}
+
+
 def test_empty_table_and_clashing_columns(spark):
     assert run(spark, [], 2) == []
     docs = spark.createDataFrame([("x", 1, "a\nb", 2, "p")], "h1 string, n_lines int, text string, dropped int, _row string")

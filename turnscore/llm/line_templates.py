@@ -8,14 +8,17 @@ fields so generalised are the line's template. A template with at least
 ``CONSTANT`` of its fields constant that recurs in ``LEAST_DOCS`` documents or
 more is boilerplate, and all its lines are dropped from all documents.
 
-Documents are counted by distinct text, so copies of one document do not make
-its lines recur. Counts cover the whole corpus (see ``exchange``): first those
+Copies and near copies of one document do not make its lines recur: a group of
+near copies by the rule of ``ngram_join`` counts as one document for what any of
+its texts holds. Counts cover the whole corpus (see ``exchange``): first those
 of leaves, then those of constant fields in the leaves that recur, then those
-of templates; a shard sends each value once.
+of templates; a shard sends each value once. A small group lies in one shard; a
+large one is spread over several, which then send its values with its name, and
+a bucket counts each name once.
 
 Cases: null and empty texts have no lines; blank lines are kept and are part of
 no template; a line repeated inside one document counts once; repeated rows are
-copies; a document may end up empty; extra columns are kept."""
+copies; texts without words have no near copies; a document may end up empty; extra columns are kept."""
 
 from __future__ import annotations
 
@@ -26,6 +29,8 @@ from pyspark.sql import functions as F
 
 from turnscore.llm import exchange as X
 from turnscore.llm import words as W
+from turnscore.llm.ngram_join import jaccard_components
+from turnscore.session import reliable_checkpoint
 
 DEPTH = 2
 LEAST_DOCS = 10
@@ -33,6 +38,9 @@ LEAST_DOCS = 10
 CONSTANT = (7, 10)
 
 _VARIABLE = W.U64(0x2545F4914F6CDD1D)
+#: Parts of a shard's size that a group of near copies is cut into.
+PARTS = 16
+_MESSAGE = X.MESSAGE + ", names binary"
 _RESULT = "h1 long, h2 long, n_lines long, dropped array<int>"
 
 
@@ -41,6 +49,10 @@ class Shard:
 
     def __init__(self, texts: pa.Table, buckets: int, least: int):
         self.texts, self.least, self.buckets = X.merged(texts), least, buckets
+        named = texts.group_by(["h1", "h2"]).aggregate([("name", "min"), ("spread", "min")]).sort_by([("h1", "ascending"), ("h2", "ascending")])
+        names = named["name_min"].to_numpy()
+        self.group = np.unique(names, return_inverse=True)[1]  # near copies share a number
+        self.spread = np.where(named["spread_min"].to_numpy(), names, 0).view(np.uint64)  # name of a group in several shards
         w = W.split(self.texts["text"])
         data = w.data
         row = w.rows
@@ -61,14 +73,28 @@ class Shard:
             if of.any():
                 leaf[of] = W.window_hash(fields, self.start[of], d, W.WINDOW_BASES[0])
         self.leaf = W.mix(leaf + self.size.astype(np.uint64))
-        self.leaves = X.Outbox(self.leaf, buckets)
+        self.leaves = self._box(self.leaf, self.row)
+
+    def _box(self, keys: np.ndarray, row: np.ndarray) -> X.Outbox:
+        return X.Outbox(keys, self.buckets, self.spread[row] if self.spread.any() else None)
 
     def _messages(self, shard: int, box: X.Outbox, row: np.ndarray) -> pa.Table:
-        """Each value with the number of texts that hold it."""
-        order = np.lexsort((row, box.number))
-        n, r = box.number[order], row[order]
-        once = np.r_[True, (n[1:] != n[:-1]) | (r[1:] != r[:-1])] if len(n) else np.zeros(0, bool)
-        return box.messages(shard, np.bincount(n[once], minlength=len(box.keys)))
+        """Each value with the number of groups that hold it; 0 and the group's
+        name for a group in several shards."""
+        group = self.group[row]
+        order = np.lexsort((group, box.number))
+        n, g = box.number[order], group[order]
+        once = np.r_[True, (n[1:] != n[:-1]) | (g[1:] != g[:-1])] if len(n) else np.zeros(0, bool)
+        counts = np.minimum(np.bincount(n[once], minlength=len(box.keys)), 255).astype(np.uint8)
+        names = box.extra if box.extra is not None else np.zeros(len(box.keys), np.uint64)
+        counts[names != 0] = 0
+        cuts = [(b, i, j) for b, (i, j) in enumerate(zip(box.bounds[:-1], box.bounds[1:])) if i < j]
+        return pa.table({
+            "bucket": pa.array([b for b, _, _ in cuts], pa.int32()), "shard": pa.array([shard] * len(cuts), pa.int32()),
+            "entries": pa.array([box.keys[i:j].tobytes() for _, i, j in cuts], pa.binary()),
+            "counts": pa.array([counts[i:j].tobytes() for _, i, j in cuts], pa.binary()),
+            "names": pa.array([names[i:j][names[i:j] != 0].tobytes() for _, i, j in cuts], pa.binary()),
+        })
 
     def leaf_messages(self, shard: int) -> pa.Table:
         return self._messages(shard, self.leaves, self.row)
@@ -83,7 +109,7 @@ class Shard:
         self.value = self.fields[self.start[self.often][of] + place]
         keys = W.mix(W.mix(self.leaf[self.often][of] + place.astype(np.uint64)) ^ self.value)
         self.field_row = self.row[self.often][of]
-        self.places = X.Outbox(keys, self.buckets)
+        self.places = self._box(keys, self.field_row)
 
     def field_messages(self, shard: int) -> pa.Table:
         return self._messages(shard, self.places, self.field_row)
@@ -96,7 +122,7 @@ class Shard:
         whole = W._span_sums(value, self.first[:-1], self.first[1:], W.WINDOW_BASES[1], 0)
         template = W.mix(W.mix(whole) ^ self.leaf[self.often])
         self.chosen = np.flatnonzero(n * CONSTANT[1] >= size * CONSTANT[0])
-        self.templates = X.Outbox(template[self.chosen], self.buckets)
+        self.templates = self._box(template[self.chosen], self.row[self.often][self.chosen])
 
     def template_messages(self, shard: int) -> pa.Table:
         return self._messages(shard, self.templates, self.row[self.often][self.chosen])
@@ -112,12 +138,62 @@ class Shard:
         })
 
 
+def tally(messages: DataFrame) -> DataFrame:
+    """Replies (shard, bucket, totals): how many groups hold each entry."""
+
+    def run(key, table: pa.Table) -> pa.Table:
+        table = table.sort_by("shard")
+        bodies, shards = table["entries"].to_pylist(), table["shard"].to_pylist()
+        keys = np.frombuffer(b"".join(bodies), np.uint64)
+        counts = np.frombuffer(b"".join(table["counts"].to_pylist()), np.uint8).astype(np.int64)
+        named = counts == 0
+        names = np.zeros(len(keys), np.uint64)
+        names[named] = np.frombuffer(b"".join(table["names"].to_pylist()), np.uint64)
+        order = np.lexsort((names, keys)) if named.any() else np.argsort(keys)
+        k, g = keys[order], names[order]
+        new = np.r_[True, k[1:] != k[:-1]]
+        start = np.flatnonzero(new)
+        first = new | np.r_[True, g[1:] != g[:-1]]
+        sums = np.add.reduceat(np.where(g == 0, counts[order], first), start)
+        total = np.empty(len(order), np.uint16)
+        total[order] = np.repeat(np.minimum(sums, 65535).astype(np.uint16), np.diff(np.r_[start, len(order)]))
+        ends = np.cumsum([len(b) // 8 for b in bodies])
+        return pa.table({
+            "shard": pa.array(shards, pa.int32()), "bucket": pa.array([table["bucket"][0].as_py()] * len(shards), pa.int32()),
+            "totals": pa.array([total[e - len(b) // 8 : e].tobytes() for b, e in zip(bodies, ends)], pa.binary()),
+        })
+
+    return messages.groupBy("bucket").applyInArrow(W.lean2(run), X.REPLY)
+
+
+def near_copies(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(h1, h2, name, parts) of the texts that have near copies: their group's
+    name (not 0) and the number of parts that its size asks for."""
+    rows = docs.select(F.col(f"`{text}`").alias("text"), *X.text_key(F.coalesce(F.col(f"`{text}`"), F.lit("")))).withColumn(
+        "size", F.octet_length("text"))
+    found = jaccard_components(rows, ["h1", "h2", "size"], "h1").where("n_shingles > 0")
+    members = reliable_checkpoint(found.select("h1", "h2", "size", F.when(F.col("component_id") == 0, 1).otherwise(F.col("component_id")).alias("name")).distinct())
+    groups = members.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("size").cast("long")).alias("bytes")).where("n > 1")
+    parts = F.ceil(F.col("bytes") * PARTS / X.SHARD_BYTES).cast("long")
+    return reliable_checkpoint(members.join(groups.select("name", parts.alias("parts")), "name").select("h1", "h2", "name", "parts"))
+
+
+def grouped_texts(docs: DataFrame, shards: int, text: str = "text") -> DataFrame:
+    """``exchange.distinct_texts`` by shard of the group, with the group's ``name``
+    (a text of its own is named by its hash) and whether it is ``spread``."""
+    texts = X.distinct_texts(docs, shards, text).drop("shard").join(near_copies(docs, text), ["h1", "h2"], "left")
+    parts = F.coalesce("parts", F.lit(1))
+    name = F.coalesce("name", "h1")
+    shard = F.pmod(F.xxhash64(name, F.pmod("h2", parts)), F.lit(shards)).cast("int")
+    return texts.select(shard.alias("shard"), "h1", "h2", "text", "copies", name.alias("name"), (parts > 1).alias("spread"))
+
+
 def recurring_lines(docs: DataFrame, text: str = "text", least: int = LEAST_DOCS, shards: int | None = None) -> DataFrame:
     """Per distinct text (keys ``h1``, ``h2``): ``n_lines`` and the numbers (0-based)
     of the lines to drop."""
     shards = shards or X.n_shards(docs, text)
     buckets = X.n_buckets(shards * X.SHARD_BYTES // 20)
-    by_shard = X.distinct_texts(docs, shards, text).groupBy("shard")
+    by_shard = grouped_texts(docs, shards, text).groupBy("shard")
 
     def of(replies: pa.Table, kind: int) -> pa.Table:
         return replies.filter(pa.array(replies["kind"].to_numpy() == kind))
@@ -142,10 +218,10 @@ def recurring_lines(docs: DataFrame, text: str = "text", least: int = LEAST_DOCS
         s.find_templates(of(replies, 1))
         return s.results(of(replies, 2))
 
-    leaves = X.tally(by_shard.applyInArrow(W.lean2(send_leaves), X.MESSAGE), 8)
-    fields = X.tally(by_shard.cogroup(leaves.groupBy("shard")).applyInArrow(W.lean3(send_fields), X.MESSAGE), 8)
+    leaves = tally(by_shard.applyInArrow(W.lean2(send_leaves), _MESSAGE))
+    fields = tally(by_shard.cogroup(leaves.groupBy("shard")).applyInArrow(W.lean3(send_fields), _MESSAGE))
     two = leaves.withColumn("kind", F.lit(0)).unionByName(fields.withColumn("kind", F.lit(1)))
-    templates = X.tally(by_shard.cogroup(two.groupBy("shard")).applyInArrow(W.lean3(send_templates), X.MESSAGE), 8)
+    templates = tally(by_shard.cogroup(two.groupBy("shard")).applyInArrow(W.lean3(send_templates), _MESSAGE))
     three = two.unionByName(templates.withColumn("kind", F.lit(2)))
     return by_shard.cogroup(three.groupBy("shard")).applyInArrow(W.lean3(finish), _RESULT)
 
