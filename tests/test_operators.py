@@ -329,8 +329,12 @@ def test_hot_group_with_narrow_values_ranks_exactly(spark):
     got = ranks.average_rank(df, "v", ["g"], "rank").where("g = 'hot'").collect()
     want = brute_avg_rank([v for _, v in hot])
     assert sorted(r["rank"] for r in got) == pytest.approx(sorted(want))
-    buckets = df.where("g = 'hot'").select(ranks.value_bucket(F.col("v"), 1024).alias("b")).distinct().count()
-    assert buckets > 20
+    counts = ranks.value_counts(df, "v", ["g"])
+    bounds = ranks.sampled_bounds(counts, ["g", "v"], counts.count(), 8)
+    ranges = counts.where("g = 'hot'").select(ranks.range_of(bounds, ["g", "v"]).alias("b")).distinct().count()
+    assert ranges > 20
+    cut = ranks.average_rank(df, "v", ["g"], "rank", 8).where("g = 'hot'").collect()
+    assert sorted(r["rank"] for r in cut) == pytest.approx(sorted(want))
 
 
 def test_label_coverage_reports_unmapped_datasets(spark):
@@ -451,10 +455,12 @@ def test_grading_counts_what_a_submission_lacks(spark):
 def test_crowded_values_spread_over_buckets(spark):
     values = [3.0 + i * 1e-9 for i in range(200_000)]
     df = spark.createDataFrame([(v,) for v in values[::10]], "v double")
-    fine = df.select(ranks.value_bucket(F.col("v"), 1024 * ranks.SPLIT).alias("m")).groupBy("m").count()
-    assert fine.agg(F.max("count")).first()[0] < 2500 and fine.count() > 50
-    got = [r["rank"] for r in ranks.average_rank(df, "v").orderBy("v").collect()]
-    assert got == [float(i + 1) for i in range(len(got))]
+    bounds = ranks.sampled_bounds(df, ["v"], 20_000, 200)
+    ranges = df.select(ranks.range_of(bounds, ["v"]).alias("m")).groupBy("m").count()
+    assert ranges.agg(F.max("count")).first()[0] < 2500 and ranges.count() > 50
+    for per_range in (200, ranks.PER_RANGE):
+        got = [r["rank"] for r in ranks.average_rank(df, "v", per_range=per_range).orderBy("v").collect()]
+        assert got == [float(i + 1) for i in range(len(got))]
 
 
 def test_mining_tells_repeated_ids_apart_and_reads_dotted_names(spark):

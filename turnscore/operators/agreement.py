@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from turnscore.functions.stats import correlation_pvalue
-from turnscore.operators.ranks import rank_table
+from turnscore.operators.identity import written
+from turnscore.operators.ranks import PER_RANGE, ranked_values, value_counts
+from turnscore.operators.submissions import first_per_uid
 from turnscore.schemas import SUBTASK_DIMENSIONS
 
 
@@ -43,12 +45,31 @@ def mask_report(df: DataFrame, group: Sequence[str], gold: str = "gold", pred: s
     )
 
 
+def pearson(df: DataFrame, group: Sequence[str], gold: str = "gold", pred: str = "score") -> DataFrame:
+    """A3 alone: ``group..., n, pearson`` in one aggregate and one exchange. The
+    built-in (co)variances carry mergeable means and co-moments, so partial
+    results of tasks merge without loss of digits far from zero. Masks and
+    NULLs as in :func:`correlations`."""
+    ok = present(gold) & present(pred)
+    rows = df.select(*group, F.when(ok, F.col(gold).cast("double")).alias("_x"), F.when(ok, F.col(pred).cast("double")).alias("_y"))
+    agg = rows.groupBy(*group).agg(
+        F.count("_x").alias("n"), F.covar_pop("_x", "_y").alias("_xy"), F.var_pop("_x").alias("_xx"), F.var_pop("_y").alias("_yy"),
+        F.expr("min(_x) < max(_x) AND min(_y) < max(_y)").alias("_varies"),
+    )
+    return agg.select(*group, "n", _corr("_varies", "_xx", "_yy", "_xy").alias("pearson"))
+
+
+def _corr(varies: str, xx: str, yy: str, xy: str) -> Column:
+    return F.expr(f"CASE WHEN {varies} AND {xx} > 0 AND {yy} > 0 THEN greatest(-1.0D, least(1.0D, {xy} / (sqrt({xx}) * sqrt({yy})))) END")
+
+
 def correlations(
-    df: DataFrame, group: Sequence[str], gold: str = "gold", pred: str = "score", buckets: int = 1024,
-    missing: bool = False,
+    df: DataFrame, group: Sequence[str], gold: str = "gold", pred: str = "score", per_range: int = PER_RANGE,
+    missing: bool = False, sums: Sequence[str] = (),
 ) -> DataFrame:
     """A3 + A4 per group: ``group..., n, pearson, spearman`` and, with
-    ``missing``, ``n_missing``, the annotated rows that have no prediction.
+    ``missing``, ``n_missing``, the annotated rows that have no prediction;
+    ``sums`` names counts (columns) that are added up beside.
 
     Pairs where gold or prediction is missing (NULL / NaN) are masked out
     (P9, pairwise); a group with no pair is kept with ``n = 0`` and NULL
@@ -57,55 +78,38 @@ def correlations(
     The rows are read once and collapsed to distinct ``(group, gold, pred)``
     pairs with a count (map-side combined: ratings against parsed scores
     collapse to a few rows per group, and a hot group costs one row per value
-    pair and partition). Both rank tables and all moments are computed from
-    that weighted table; no join back to the rows."""
+    pair and task). That weighted table is written once, in the shared
+    checkpoint folder; all else reads it. Each side's distinct values get their
+    ranks (:mod:`turnscore.operators.ranks`), and with them value and rank less
+    their group's means, which are known by then: the final sums are of centred
+    products, in one aggregate, and cannot cancel."""
     g = list(group)
     ok = present(gold) & present(pred)
-    pairs = df.select(*g, F.when(ok, F.col(gold).cast("double")).alias("_x"),
-                      F.when(ok, F.col(pred).cast("double")).alias("_y"),
-                      (present(gold) & ~F.coalesce(present(pred), F.lit(False))).alias("_l"))
-    pairs = pairs.groupBy(*g, "_x", "_y", "_l").agg(F.count(F.lit(1)).alias("_c"))
-    # both columns are ranked in one pass: the pair rows are stacked by side,
-    # ranked together (group + side), joined to their ranks once and folded
-    # back to one row per pair
-    long = pairs.select(*g, "_x", "_y", "_l", "_c", F.inline(F.array(
-        F.struct(F.lit("x").alias("_side"), F.col("_x").alias("_v")),
-        F.struct(F.lit("y").alias("_side"), F.col("_y").alias("_v")),
-    )))
-    rt = rank_table(long, "_v", g + ["_side"], "_rank", buckets, weight="_c")
-    ranked = long.join(rt, g + ["_side", "_v"], "left")
-    j = ranked.groupBy(*g, "_x", "_y", "_l", "_c").agg(
-        F.max(F.when(F.col("_side") == "x", F.col("_rank"))).alias("_rx"),
-        F.max(F.when(F.col("_side") == "y", F.col("_rank"))).alias("_ry"),
+    lost = present(gold) & ~F.coalesce(present(pred), F.lit(False))
+    pairs = df.select(*g, F.when(ok, F.col(gold).cast("double")).alias("_x"), F.when(ok, F.col(pred).cast("double")).alias("_y"),
+                      lost.cast("long").alias("_l"), *sums)
+    pairs = pairs.groupBy(*g, "_x", "_y").agg(F.count(F.lit(1)).alias("_c"), F.sum("_l").alias("_l"), *[F.sum(c).alias(c) for c in sums])
+    pairs, seen = written(pairs, n=F.count(F.lit(1)))
+    j = pairs
+    for side in ("_x", "_y"):
+        ranked = ranked_values(value_counts(pairs, side, g, "_c"), side, g, seen["n"], "_rank", per_range, centred=True)
+        names = {c: f"{side}{i}" for i, c in enumerate([*g, side])} | {"_rank": f"{side}_rank", "_c_value": f"{side}v", "_c_rank": f"{side}r", "_varies": f"{side}s"}
+        ranked = ranked.withColumnsRenamed(names)
+        same = F.col(side) == F.col(names[side])
+        for c in g:
+            same = same & F.col(c).eqNullSafe(F.col(names[c]))
+        j = j.join(ranked, same, "left").drop(*[names[c] for c in (*g, side)])
+    # the means were rounded: what the centred values still add up to is taken off (for ranks it is 0)
+    moments = {"_sx": "_xv", "_sy": "_yv", "_xx": "_xv * _xv", "_yy": "_yv * _yv", "_xy": "_xv * _yv", "_rxx": "_xr * _xr", "_ryy": "_yr * _yr", "_rxy": "_xr * _yr"}
+    agg = j.groupBy(*g).agg(
+        F.expr("coalesce(sum(CASE WHEN _x IS NOT NULL THEN _c END), 0)").alias("n"), F.sum("_l").alias("n_missing"),
+        F.expr("coalesce(bool_or(_xs), false) AND coalesce(bool_or(_ys), false)").alias("_varies"),
+        *[F.expr(f"sum(_c * {e})").alias(k) for k, e in moments.items()], *[F.sum(c).alias(c) for c in sums],
     )
-    # weighted moments of values and ranks about their group's means (raw
-    # moments would cancel where the values lie far from zero); a pair row
-    # stands for _c input rows
-    w = "CASE WHEN _x IS NOT NULL THEN _c END"
-    cols = ("_x", "_y", "_rx", "_ry")
-    means = j.groupBy(*g).agg(
-        F.expr(f"CAST(coalesce(sum({w}), 0) AS BIGINT)").alias("n"),
-        *[F.expr(f"try_divide(sum({w} * {c}), sum({w}))").alias(f"_m{c}") for c in cols],
-        F.expr("min(_x) < max(_x)").alias("_vx"), F.expr("min(_y) < max(_y)").alias("_vy"),
-        F.expr("CAST(coalesce(sum(CASE WHEN _l THEN _c END), 0) AS BIGINT)").alias("_lost"),
-    )
-    means = means.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(g)], *[c for c in means.columns if c not in g])
-    same = F.lit(True)
-    for i, c in enumerate(g):
-        same = same & j[c].eqNullSafe(means[f"_g{i}"])
-    d = j.join(means, same).select(*[j[c] for c in g], "_c", "_x", "n", "_lost", "_vx", "_vy", *[(j[c] - means[f"_m{c}"]).alias(f"_d{c}") for c in cols])
-    sums = {"_sxx": "_d_x * _d_x", "_syy": "_d_y * _d_y", "_sxy": "_d_x * _d_y",
-            "_rsxx": "_d_rx * _d_rx", "_rsyy": "_d_ry * _d_ry", "_rsxy": "_d_rx * _d_ry"}
-    agg = d.groupBy(*g).agg(
-        F.max("n").alias("n"), F.max("_lost").alias("n_missing"), F.max("_vx").alias("_vx"), F.max("_vy").alias("_vy"),
-        *[F.expr(f"sum({w} * {e})").alias(k) for k, e in sums.items()],
-    )
-
-    def corr(p: str) -> Column:
-        return F.expr(f"CASE WHEN _vx AND _vy AND {p}sxx > 0 AND {p}syy > 0 "
-                      f"THEN greatest(-1.0D, least(1.0D, {p}sxy / (sqrt({p}sxx) * sqrt({p}syy)))) END")
-
-    return agg.select(*g, "n", *["n_missing"] * missing, corr("_").alias("pearson"), corr("_r").alias("spearman"))
+    return agg.select(
+        *g, "n", *["n_missing"] * missing, *sums,
+        _corr("_varies", "(_xx - try_divide(_sx * _sx, n))", "(_yy - try_divide(_sy * _sy, n))", "(_xy - try_divide(_sx * _sy, n))").alias("pearson"),
+        _corr("_varies", "_rxx", "_ryy", "_rxy").alias("spearman"))
 
 
 def macro_mean(per_quality: DataFrame, group: Sequence[str] = ()) -> DataFrame:
@@ -177,12 +181,15 @@ def dimension_table(spark: SparkSession, dims: Sequence[str]) -> DataFrame:
 def _aligned_pairs(gold: DataFrame, submission: DataFrame, dims: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """Gold and submission rows meet once, wide, on the UID; the
     dimensions fan out afterwards with ``inline`` (no join of long tables).
-    Every gold row stays, with a NULL prediction where the submission lacks it."""
-    sub = submission.select(F.col("UID"), *[F.col(d).alias(f"_p_{d}") for d in dims])
+    Every gold row stays, with a NULL prediction where the submission lacks it.
+    A UID that the submission repeats counts once, by its first row;
+    ``n_duplicates`` says how many rows more there were."""
+    sub = first_per_uid(submission, dims)
+    sub = sub.select(F.col("UID"), *[F.col(d).alias(f"_p_{d}") for d in dims], "n_duplicates")
     j = gold.select("UID", *keep, *dims).join(sub, "UID", "left")
     arr = F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).cast("double").alias("gold"),
                              F.col(f"_p_{d}").cast("double").alias("pred")) for d in dims])
-    return j.select("UID", *keep, F.inline(arr))
+    return j.select("UID", *keep, F.coalesce("n_duplicates", F.lit(0)).cast("long").alias("n_duplicates"), F.inline(arr))
 
 
 def leaderboard(
@@ -193,36 +200,42 @@ def leaderboard(
     language: str | None = None,
     supervised: str | None = None,
     limit_dims: str | Sequence[str] | None = None,
-    buckets: int = 1024,
+    per_range: int = PER_RANGE,
     strict: bool = False,
 ) -> DataFrame:
     """Grade a submission. Per dimension: ``|rho|`` and ``|r|`` of
     the submission against gold on the chosen slice; NULL where it cannot be
     computed (the reference prints ``-``). Aligned by UID (J2), not by row
-    position. ``n_missing`` counts the annotated gold rows that the submission
-    lacks, so leaving out hard turns shows; ``strict`` raises on any (one small
-    action)."""
+    position, and one row per UID: a repeated UID counts once.
+
+    ``n_missing`` counts the annotated gold rows that the submission lacks, so
+    leaving out hard turns shows; ``n_duplicates`` the rows by which it repeats
+    UIDs of the slice, so repeating easy ones does. ``strict`` raises on any
+    (one small action)."""
     spark = gold.sparkSession
     dims = select_dimensions(subtask, limit_dims)
     pairs = _aligned_pairs(eval_slice(gold, subtask, dataset, language, supervised), submission, dims)
     if strict:
         lacks = present("gold") & ~F.coalesce(present("pred"), F.lit(False))
-        short = {r["dimension"]: r["n"] for r in pairs.where(lacks).groupBy("dimension").agg(F.count(F.lit(1)).alias("n")).collect()}
+        found = pairs.groupBy("dimension").agg(F.count_if(lacks).alias("n"), F.sum("n_duplicates").alias("d")).collect()
+        short = {r["dimension"]: r["n"] for r in found if r["n"]}
         if short:
             raise ValueError(f"the submission lacks annotated gold rows: {short}")
-    corr = correlations(pairs, ["dimension"], "gold", "pred", buckets, missing=True)
+        if any(r["d"] for r in found):
+            raise ValueError(f"the submission repeats UIDs: {max(r['d'] for r in found)} rows too many")
+    corr = correlations(pairs, ["dimension"], "gold", "pred", per_range, missing=True, sums=["n_duplicates"])
     dt = F.broadcast(dimension_table(spark, dims))
+    counts = ("n", "n_missing", "n_duplicates")
     return dt.join(corr, "dimension", "left").select(
         "dimension",
-        F.coalesce(F.col("n"), F.lit(0)).alias("n"),
-        F.coalesce(F.col("n_missing"), F.lit(0)).alias("n_missing"),
+        *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in counts],
         F.abs("spearman").alias("spearman"),
         F.abs("pearson").alias("pearson"),
     )
 
 
 def leaderboard_slices(
-    gold: DataFrame, submission: DataFrame, subtask: str = "t2t", buckets: int = 1024
+    gold: DataFrame, submission: DataFrame, subtask: str = "t2t", per_range: int = PER_RANGE
 ) -> DataFrame:
     """A7 for every slice in one job: each aligned row is exploded into the
     slices it belongs to (all, its dataset, its supervision flag and, for
@@ -234,20 +247,20 @@ def leaderboard_slices(
         members.append(F.concat(F.lit("LANGUAGE="), "LANGUAGE"))
     base = base.select("UID", F.array(*members).alias("_slices"), *dims)
     pairs = _aligned_pairs(base, submission, dims, ["_slices"])
-    pairs = pairs.select(F.explode("_slices").alias("slice"), "dimension", "gold", "pred")
-    corr = correlations(pairs, ["slice", "dimension"], "gold", "pred", buckets, missing=True)
+    pairs = pairs.select(F.explode("_slices").alias("slice"), "dimension", "gold", "pred", "n_duplicates")
+    corr = correlations(pairs, ["slice", "dimension"], "gold", "pred", per_range, missing=True, sums=["n_duplicates"])
     return corr.select(
-        "slice", "dimension", "n", "n_missing", F.abs("spearman").alias("spearman"), F.abs("pearson").alias("pearson"))
+        "slice", "dimension", "n", "n_missing", "n_duplicates", F.abs("spearman").alias("spearman"), F.abs("pearson").alias("pearson"))
 
 
 def pooled_evaluation(
     df: DataFrame, set_col: str, gold: str = "gold", pred: str = "score", quality: str = "quality",
-    pool_name: str = "POOL", buckets: int = 1024,
+    pool_name: str = "POOL", per_range: int = PER_RANGE,
 ) -> DataFrame:
     """A10: pool several train sets and evaluate the pool once, plus each set
     on its own, in one job (each row belongs to the pool and to its set)."""
     rows = df.select(F.explode(F.array(F.lit(pool_name), F.col(set_col))).alias("pool"), quality, gold, pred)
-    return correlations(rows, ["pool", quality], gold, pred, buckets)
+    return correlations(rows, ["pool", quality], gold, pred, per_range)
 
 
 def log_cosh(d: Column) -> Column:

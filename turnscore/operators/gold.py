@@ -1,16 +1,19 @@
 """Human ratings: A1, A2, A9, P7, P11, P13.
 
-Gold lives in a long table ``(dataset, id, quality, gold)``; the catalogue
-and mapping tables are broadcast by construction (a few hundred rows, fixed).
+Gold lives in a long table ``(dataset, id, quality, gold)``; the quality
+mapping (a few hundred fixed rows) travels inside the plan as a literal.
 """
 
 from __future__ import annotations
 
+import json
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnscore.schemas import DIMENSION_TO_QUALITY, TURN_DIMENSIONS
-from turnscore.sources.catalogue import quality_mapping
+from turnscore.sources.catalogue import mapping_rows, quality_mapping
 
 
 def aggregate_ratings(ratings: Column | str, rule: Column | str) -> Column:
@@ -28,19 +31,23 @@ def annotator_aggregate(lists: DataFrame, ratings: str = "ratings", rule: str =
 
 
 def composite_quality(
-    values: DataFrame, mapping: DataFrame | None = None, id_col: str = "dialogue_id",
+    values: DataFrame, mapping: DataFrame | None = None, id_col: str | Sequence[str] = "dialogue_id",
     dataset: str = "dataset", annotation: str = "annotation", value: str = "value",
 ) -> DataFrame:
-    """A2: quality = weighted mean of its mapped source annotations (a source
-    listed twice has weight 2); any missing source makes it missing.
-    Output ``(id, dataset, quality, gold)``."""
+    """A2 over a long table of annotation values that holds no rows to work in
+    (:func:`composite_rows` needs no grouping): quality = weighted mean of its
+    mapped source annotations (a source listed twice has weight 2); any missing
+    source makes it missing. ``id_col`` names what tells rows apart, such as
+    dialogue, model and place; an id that still repeats gets NULL.
+    Output ``(id..., dataset, quality, gold)``."""
     spark = values.sparkSession
+    ids = [id_col] if isinstance(id_col, str) else list(id_col)
     m = F.broadcast(mapping if mapping is not None else quality_mapping(spark))
     j = values.join(m, (values[dataset] == m["dataset"]) & (values[annotation] == m["source"]))
     known = F.when(~F.isnan(F.col(value)), F.col(value))
-    j = j.select(values[id_col].alias(id_col), values[dataset].alias(dataset), "quality", "weight", known.alias(value))
+    j = j.select(*[values[c].alias(c) for c in ids], values[dataset].alias(dataset), "quality", "weight", known.alias(value))
     n_sources = m.groupBy("dataset", "quality").agg(F.count(F.lit(1)).alias("_n_src"))
-    agg = j.groupBy(id_col, dataset, "quality").agg(
+    agg = j.groupBy(*ids, dataset, "quality").agg(
         F.count(F.lit(1)).alias("_n"),
         F.count(value).alias("_n_present"),
         F.sum(F.col("weight") * F.col(value)).alias("_sw"),
@@ -48,7 +55,50 @@ def composite_quality(
     )
     agg = agg.join(F.broadcast(n_sources), [dataset, "quality"])
     complete = (F.col("_n_present") == F.col("_n")) & (F.col("_n") == F.col("_n_src"))
-    return agg.select(id_col, dataset, "quality", F.when(complete, F.col("_sw") / F.col("_w")).alias("gold"))
+    return agg.select(*ids, dataset, "quality", F.when(complete, F.col("_sw") / F.col("_w")).alias("gold"))
+
+
+def quality_rules(rows: Sequence[tuple] | None = None) -> Column:
+    """The mapping as one literal: dataset -> its qualities with their weighted
+    sources. ``rows``: (dataset, quality, source, weight), by default the catalogue's."""
+    rules: dict[str, dict[str, list]] = {}
+    for dataset, quality, source, weight in mapping_rows() if rows is None else rows:
+        rules.setdefault(dataset, {}).setdefault(quality, []).append({"source": source, "weight": float(weight)})
+    listed = {d: [{"quality": q, "sources": s} for q, s in qs.items()] for d, qs in rules.items()}
+    return F.from_json(F.lit(json.dumps(listed)), "map<string,array<struct<quality:string,sources:array<struct<source:string,weight:double>>>>>")
+
+
+def row_qualities(values: Column, dataset: Column, rules: Column | None = None) -> Column:
+    """A2 inside one row: from its ``values`` (map: annotation -> value) the list
+    of ``(quality, gold)`` of its dataset. Gold is the weighted mean of the
+    quality's sources, NULL where one is missing or NaN."""
+
+    def gold(q: Column) -> Column:
+        def known(s: Column) -> Column:
+            v = F.try_element_at(values, s["source"])
+            return F.when(~F.isnan(v), v)
+
+        total = F.aggregate(q["sources"], F.lit(0.0), lambda a, s: a + s["weight"] * known(s))  # one NULL makes it NULL
+        return total / F.aggregate(q["sources"], F.lit(0.0), lambda a, s: a + s["weight"])
+
+    own = F.try_element_at(quality_rules() if rules is None else rules, dataset)
+    return F.transform(own, lambda q: F.struct(q["quality"].alias("quality"), gold(q).alias("gold")))
+
+
+def composite_rows(
+    rows: DataFrame, mapping: Sequence[tuple] | None = None, keep: Sequence[str] = ("dialogue_id",),
+    dataset: str = "dataset", values: str = "values",
+) -> DataFrame:
+    """A2: ``(keep..., dataset, quality, gold)`` of every row with a map of
+    annotation values. Nothing is grouped and nothing moves, so rows that share
+    an id, or all their values, keep their gold each."""
+    found = row_qualities(F.col(values), F.col(dataset), None if mapping is None else quality_rules(mapping))
+    return rows.select(*keep, dataset, F.inline(found))
+
+
+def annotation_values(annotations: Column, names: Sequence[str], rule: Column) -> Column:
+    """A1 over a struct of annotator lists: a map of annotation values."""
+    return F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.array(*[aggregate_ratings(annotations[n], rule) for n in names]))
 
 
 def challenge_to_long(gold_wide: DataFrame, uid: str = "UID") -> DataFrame:

@@ -1,9 +1,10 @@
 """Hard-example mining by rank disagreement: P12, J5, J7, J8, A12, A13, T1, T2.
 
-The run table is unpivoted once into ``(id, column_name, role, value)``;
-every column is ranked with the distributed average rank; gold and predicted
-ranks meet in an equi-join on the row id. Column pairing (J7 / J8) works on
-column *names* (schema metadata), never on rows.
+The run table's rows get their places, are unpivoted once into ``(place,
+column_name, value)``, and every column is ranked with the distributed average
+rank; one aggregate by place brings a row's ranks together, and all pairs of
+columns are compared inside the row. Column pairing (J7 / J8) works on column
+*names* (schema metadata), never on rows.
 """
 
 from __future__ import annotations
@@ -11,10 +12,11 @@ from __future__ import annotations
 import warnings
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnscore.operators.ranks import average_rank
+from turnscore.operators.identity import PLACE, placed
+from turnscore.operators.ranks import PER_RANGE, average_rank
 from turnscore.schemas import GOLD_TO_PREDICTED, HARD_SET_SIZE
 
 MEAN_DIFF = "mean_diff"
@@ -42,11 +44,9 @@ def _ids(id_col: str | Sequence[str]) -> list[str]:
     return [id_col] if isinstance(id_col, str) else list(id_col)
 
 
-def to_long(df: DataFrame, gold: Sequence[str], pred: Sequence[str], id_col: str | Sequence[str] = "dialogue_id",
-            row: str | None = None) -> DataFrame:
+def to_long(df: DataFrame, gold: Sequence[str], pred: Sequence[str], id_col: str | Sequence[str] = "dialogue_id") -> DataFrame:
     """Unpivot discovered columns to ``(id..., column_name, role, value)``; names
-    may hold dots, NaN becomes NULL. ``row``: also a column that tells rows
-    with equal ids apart by their values."""
+    may hold dots, NaN becomes NULL. A row's place is carried along."""
     cols = [(c, "gold") for c in gold] + [(c, "pred") for c in pred]
     value = {c: F.col(f"`{c}`").cast("double") for c, _ in cols}
     cells = F.array(*[
@@ -54,13 +54,25 @@ def to_long(df: DataFrame, gold: Sequence[str], pred: Sequence[str], id_col: str
         for c, role in cols
     ])
     ids = [F.col(f"`{c}`") for c in _ids(id_col)]
-    more = [F.xxhash64(*ids, *value.values()).alias(row)] if row else []
-    return df.select(*ids, *more, F.inline(cells))
+    return df.select(*ids, *[PLACE] * (PLACE in df.columns), F.inline(cells))
 
 
-def column_ranks(long: DataFrame, buckets: int = 1024) -> DataFrame:
+def column_ranks(long: DataFrame, per_range: int = PER_RANGE) -> DataFrame:
     """Average rank of every value within its column (W3 per column)."""
-    return average_rank(long, "value", ["column_name"], "rank", buckets)
+    return average_rank(long, "value", ["column_name"], "rank", per_range)
+
+
+def row_ranks(run: DataFrame, gold: Sequence[str], pred: Sequence[str], id_col: str | Sequence[str] = "dialogue_id",
+              per_range: int = PER_RANGE) -> DataFrame:
+    """One row per row of the run table: ids, place, ``_values`` and ``_ranks``
+    (arrays in the order of the gold and then the score columns). A row is its
+    place, so rows that share ids or all values stay apart; one aggregate by
+    place gathers a row's ranks (as many as there are columns)."""
+    rows, _ = placed(run.select(*[F.col(f"`{c}`") for c in dict.fromkeys((*_ids(id_col), *gold, *pred))], *[PLACE] * (PLACE in run.columns)))
+    ranked = column_ranks(to_long(rows, gold, pred, id_col), per_range)
+    each = [F.col("column_name") == c for c in (*gold, *pred)]
+    return ranked.groupBy(*_ids(id_col), PLACE).agg(
+        F.array(*[F.max(F.when(c, F.col("value"))) for c in each]).alias("_values"), F.array(*[F.max(F.when(c, F.col("rank"))) for c in each]).alias("_ranks"))
 
 
 def _short(name: str) -> str:
@@ -86,26 +98,20 @@ def suffix_pairs(gold: Sequence[str], pred: Sequence[str]) -> tuple[list[tuple[s
     return pairs, problems
 
 
-def rank_differences(
-    ranked: DataFrame, pairs: Sequence[tuple[str, str]], id_col: str | Sequence[str] = "dialogue_id"
-) -> DataFrame:
-    """``|gold_rank - pred_rank|`` per row and column pair. The
-    ranks of one row are gathered into a map (one shuffle on the id, at most
-    one entry per column), then every pair reads its two ranks from the map:
-    no self-join of the long table. Rows that share their ids and all values
-    are one row."""
-    ids = _ids(id_col)
-    per_id = ranked.groupBy(*ids).agg(
-        F.map_from_entries(F.collect_set(F.struct("column_name", "rank"))).alias("_ranks")
-    )
-    arr = F.array(*[F.struct(F.lit(gc).alias("gold_col"), F.lit(pc).alias("pred_col")) for gc, pc in pairs])
-    x = per_id.select(*ids, "_ranks", F.inline(arr))
-    diff = F.try_element_at("_ranks", F.col("gold_col")) - F.try_element_at("_ranks", F.col("pred_col"))
-    return x.select(
-        *ids, "gold_col", "pred_col",
-        F.concat_ws("_vs_", "gold_col", "pred_col").alias("pair"),
-        F.abs(diff).alias("rank_diff"),
-    )
+def _gap(columns: Sequence[str], pair: tuple[str, str]) -> Column:
+    rank = [F.col("_ranks")[list(columns).index(c)] for c in pair]
+    return F.abs(rank[0] - rank[1])
+
+
+def rank_differences(ranked: DataFrame, columns: Sequence[str], pairs: Sequence[tuple[str, str]],
+                     id_col: str | Sequence[str] = "dialogue_id") -> DataFrame:
+    """``|gold_rank - pred_rank|`` per row and column pair, from
+    :func:`row_ranks` over ``columns``, inside each row."""
+    if not pairs:
+        raise ValueError(f"no gold column has a score column to compare with among {list(columns)}")
+    cells = F.array(*[F.struct(F.lit(g).alias("gold_col"), F.lit(p).alias("pred_col"), F.lit(f"{g}_vs_{p}").alias("pair"),
+                               _gap(columns, (g, p)).alias("rank_diff")) for g, p in pairs])
+    return ranked.select(*_ids(id_col), PLACE, F.inline(cells))
 
 
 def cross_pairs(gold: Sequence[str], pred: Sequence[str]) -> list[tuple[str, str]]:
@@ -113,9 +119,13 @@ def cross_pairs(gold: Sequence[str], pred: Sequence[str]) -> list[tuple[str, str
     return [(g, p) for g in gold for p in pred]
 
 
-def mean_rank_gap(diffs: DataFrame, id_col: str | Sequence[str] = "dialogue_id") -> DataFrame:
-    """Mean absolute rank difference per row, missing values ignored."""
-    return diffs.groupBy(*_ids(id_col)).agg(F.avg("rank_diff").alias(MEAN_DIFF))
+def mean_rank_gap(columns: Sequence[str], pairs: Sequence[tuple[str, str]]) -> Column:
+    """Mean absolute rank difference of a row of :func:`row_ranks`, missing
+    values ignored."""
+    if not pairs:
+        raise ValueError(f"no gold column has a score column to compare with among {list(columns)}")
+    known = F.filter(F.array(*[_gap(columns, p) for p in pairs]), lambda x: x.isNotNull())
+    return F.try_divide(F.aggregate(known, F.lit(0.0), lambda a, x: a + x), F.size(known))
 
 
 def column_pairs(columns: Sequence[str], metric: str = "LLM") -> tuple[list[tuple[str, str]], list[str]]:
@@ -126,39 +136,36 @@ def column_pairs(columns: Sequence[str], metric: str = "LLM") -> tuple[list[tupl
 
 
 def rank_disagreement(
-    run: DataFrame, metric: str = "LLM", id_col: str | Sequence[str] = "dialogue_id", buckets: int = 1024
+    run: DataFrame, metric: str = "LLM", id_col: str | Sequence[str] = "dialogue_id", per_range: int = PER_RANGE
 ) -> DataFrame:
     """E4 core: discover, rank, pair, average the gaps. ``(id..., mean_diff)``,
-    one row per row of the run table, also where ids repeat (rows equal in all
-    values are one). ``id_col`` may name several columns, such as the dialogue
-    and its model. Gold columns without a counterpart are warned of."""
-    ids = [*_ids(id_col), "_row"]
+    one row per row of the run table, also where ids repeat or rows are equal.
+    ``id_col`` may name several columns, such as the dialogue and its model.
+    Gold columns without a counterpart are warned of; none at all is an error."""
     gold, pred = discover_columns(run.columns, metric)
     pairs, unmatched = column_pairs(run.columns, metric)
     if unmatched:
         warnings.warn(f"no single score column for {unmatched}; they are left out", stacklevel=2)
-    ranked = column_ranks(to_long(run, gold, pred, id_col, "_row"), buckets)
-    return mean_rank_gap(rank_differences(ranked, pairs, ids), ids).drop("_row")
+    gap = mean_rank_gap([*gold, *pred], pairs)
+    return row_ranks(run, gold, pred, id_col, per_range).select(*_ids(id_col), gap.alias(MEAN_DIFF))
 
 
 def ranking_table(
-    run: DataFrame, metric: str = "LLM", id_col: str | Sequence[str] = "dialogue_id", buckets: int = 1024
+    run: DataFrame, metric: str = "LLM", id_col: str | Sequence[str] = "dialogue_id", per_range: int = PER_RANGE
 ) -> DataFrame:
     """The ranking with what it rests on: ids, ``mean_diff`` and, by column name,
-    ``scores`` and ``ranks``, by pair the ``gaps``; largest gap first."""
+    ``scores`` and ``ranks``, by pair the ``gaps``; largest gap first, one row
+    per row of the run table."""
     ids = _ids(id_col)
     gold, pred = discover_columns(run.columns, metric)
     pairs, _ = column_pairs(run.columns, metric)
-    ranked = column_ranks(to_long(run, gold, pred, id_col, "_row"), buckets)
-    rows = ranked.groupBy(*ids, "_row").agg(
-        F.map_from_entries(F.collect_set(F.struct("column_name", "value"))).alias("scores"),
-        F.map_from_entries(F.collect_set(F.struct("column_name", "rank"))).alias("ranks"),
-    )
-    gap = {f"{g}_vs_{q}": F.abs(F.try_element_at("ranks", F.lit(g)) - F.try_element_at("ranks", F.lit(q))) for g, q in pairs}
-    rows = rows.withColumn("gaps", F.create_map(*[x for k, v in gap.items() for x in (F.lit(k), v)]))
-    known = F.filter(F.map_values("gaps"), lambda x: x.isNotNull())
-    mean = F.try_divide(F.aggregate(known, F.lit(0.0), lambda a, x: a + x), F.size(known))
-    return rows.select(*ids, mean.alias(MEAN_DIFF), "scores", "ranks", "gaps").orderBy(F.desc_nulls_last(MEAN_DIFF), *ids)
+    columns = [*gold, *pred]
+    names = F.array(*[F.lit(c) for c in columns])
+    gaps = F.create_map(*[x for p in pairs for x in (F.lit("_vs_".join(p)), _gap(columns, p))])
+    rows = row_ranks(run, gold, pred, id_col, per_range).select(
+        *ids, mean_rank_gap(columns, pairs).alias(MEAN_DIFF), F.map_from_arrays(names, "_values").alias("scores"),
+        F.map_from_arrays(names, "_ranks").alias("ranks"), gaps.alias("gaps"))
+    return rows.orderBy(F.desc_nulls_last(MEAN_DIFF), *ids)
 
 
 def sort_by_gap(df: DataFrame, gap: str = MEAN_DIFF, id_col: str | Sequence[str] = "dialogue_id") -> DataFrame:

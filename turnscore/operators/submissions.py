@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from turnscore.operators.identity import PLACE, occurrence, placed
 from turnscore.schemas import SUBMISSION_ROWS, TURN_DIMENSIONS
 
 
@@ -22,45 +23,72 @@ def first_per_key(df: DataFrame, key: str, order: str) -> DataFrame:
     return best.select(key, "_first.*")
 
 
+def _ordered(df: DataFrame, cols: Sequence[str], order: str) -> DataFrame:
+    """``df`` with an ``order``: its own, or the values of ``cols`` where the rows
+    carry no place (then equal rows are the only ties)."""
+    return df if order in df.columns else df.withColumn(order, F.struct(*cols))
+
+
+def first_per_uid(submission: DataFrame, cols: Sequence[str], uid: str = "UID", order: str = PLACE) -> DataFrame:
+    """One row per UID, the first by its place in the file, and ``n_duplicates``,
+    the rows of that UID beyond it."""
+    rows = _ordered(submission.select(uid, *cols, *[order] * (order in submission.columns)), cols, order)
+    best = rows.groupBy(uid).agg(F.min_by(F.struct(*cols), F.col(order)).alias("_first"), (F.count(F.lit(1)) - 1).alias("n_duplicates"))
+    return best.select(uid, "_first.*", "n_duplicates")
+
+
 def gold_lookup(turns: DataFrame, gold: DataFrame, uid: str = "UID", gold_key: str = "UID_TEST",
-                order: str = "_row") -> DataFrame:
-    """For each turn the first gold row with ``UID_TEST = UID``;
+                order: str = PLACE) -> DataFrame:
+    """For each turn the first gold row with ``UID_TEST = UID``, first by
+    ``order`` (by default the row's place in its file, see
+    :mod:`turnscore.operators.identity`; by value where it has none);
     ``matched`` is false where none exists (the reference raises)."""
-    g = gold if order in gold.columns else gold.withColumn(order, F.monotonically_increasing_id())
-    g = first_per_key(g, gold_key, order).drop(order)
-    dims = [d for d in TURN_DIMENSIONS if d in g.columns]
+    dims = [d for d in TURN_DIMENSIONS if d in gold.columns]
+    g = first_per_key(_ordered(gold.select(gold_key, *dims, *[order] * (order in gold.columns)), dims, order), gold_key, order)
     g = g.select(F.col(gold_key).alias("_k"), *dims, F.lit(True).alias("matched"))
     j = turns.join(g, turns[uid] == g["_k"], "left").drop("_k")
     return j.withColumn("matched", F.coalesce("matched", F.lit(False)))
 
 
-def align(gold_long: DataFrame, pred_long: DataFrame, keys: Sequence[str] = ("UID", "dimension")) -> DataFrame:
+def align(gold_long: DataFrame, pred_long: DataFrame, keys: Sequence[str] = ("UID", "dimension"), order: str = PLACE) -> DataFrame:
     """Participant rows meet gold rows on the key, not by position; every
-    gold row stays, ``matched`` is false where the participant has none."""
-    j = gold_long.join(pred_long.withColumn("matched", F.lit(True)), list(keys), "left")
-    return j.withColumn("matched", F.coalesce("matched", F.lit(False)))
+    gold row stays once, with the first of the participant's rows of its key;
+    ``matched`` is false where there is none, ``n_duplicates`` counts the others."""
+    values = [c for c in pred_long.columns if c not in (*keys, order)]
+    rows = _ordered(pred_long, values, order)
+    best = rows.groupBy(*keys).agg(F.min_by(F.struct(*values), F.col(order)).alias("_first"), (F.count(F.lit(1)) - 1).alias("n_duplicates"))
+    j = gold_long.join(best.withColumn("matched", F.lit(True)), list(keys), "left")
+    return j.select(*gold_long.columns, *[F.col("_first")[v].alias(v) for v in values], F.coalesce("matched", F.lit(False)).alias("matched"),
+                    F.coalesce("n_duplicates", F.lit(0)).cast("long").alias("n_duplicates"))
 
 
 def merge_quality_files(files: dict[str, DataFrame], uid: str = "UID") -> DataFrame:
-    """Combine per-quality files ``(UID, value)`` into one submission by
-    chained full outer joins on UID; ``complete`` is false where any file
-    lacks the UID (the reference asserts identical UID columns)."""
-    out = None
-    for dim, df in files.items():
-        part = df.select(F.col(uid).alias(uid), F.col(df.columns[1]).alias(dim), F.lit(True).alias(f"_has_{dim}"))
-        out = part if out is None else out.join(part, uid, "full_outer")
-    has = [F.coalesce(F.col(f"_has_{d}"), F.lit(False)) for d in files]
-    complete = has[0]
-    for h in has[1:]:
-        complete = complete & h
-    return out.select(uid, *files.keys(), complete.alias("complete"))
+    """Combine per-quality files ``(UID, value)`` into one submission;
+    ``complete`` is false where a file lacks the row (the reference asserts
+    identical UID columns). Every row of every file stays: the k-th row of a
+    UID in one file, by its place, meets the k-th of that UID in the others.
+
+    The files are stacked, numbered and folded once, whatever their number."""
+    parts = []
+    for i, (dim, df) in enumerate(files.items()):
+        value = next(c for c in df.columns if c not in (uid, PLACE))
+        rows, _ = placed(df.select(F.col(uid), F.col(value).alias("_v"), *[PLACE] * (PLACE in df.columns)))
+        parts.append(rows.select(uid, F.lit(i).alias("_file_no"), "_v", PLACE))
+    long = parts[0]
+    for part in parts[1:]:
+        long = long.unionByName(part)
+    long = occurrence(long, [uid, "_file_no"])
+    own = {dim: F.col("_file_no") == i for i, dim in enumerate(files)}
+    out = long.groupBy(uid, "_nth").agg(*[F.max(F.when(c, F.col("_v"))).alias(d) for d, c in own.items()],
+                                        (F.count_distinct("_file_no") == len(files)).alias("complete"))
+    return out.select(uid, *files, "complete")
 
 
 def submission_checks(merged: DataFrame, expected_rows: int = SUBMISSION_ROWS, uid: str = "UID") -> DataFrame:
-    """One-row check table: rows, UIDs that occur more than once,
-    incomplete rows and whether everything holds (``expected_rows`` is a
+    """One-row check table: rows, UIDs that occur more than once, UIDs
+    that some file lacks and whether everything holds (``expected_rows`` is a
     parameter)."""
-    per_uid = merged.groupBy(uid).agg(F.count(F.lit(1)).alias("_n"), F.min(F.col("complete").cast("int")).alias("_c"))
+    per_uid = merged.groupBy(uid).agg(F.count(F.lit(1)).alias("_n"), F.max(F.col("complete").cast("int")).alias("_c"))
     return per_uid.agg(
         F.sum("_n").alias("n_rows"),
         F.count_if(F.col("_n") > 1).alias("n_duplicate_uids"),

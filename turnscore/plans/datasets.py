@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from turnscore.operators import dialogues as dl
 from turnscore.operators import gold as gd
 from turnscore.operators import submissions as sb
+from turnscore.operators.identity import PLACE, with_place
 from turnscore.schemas import DIAL_DIMENSIONS, DIMENSION_TO_QUALITY, TURN_DIMENSIONS, dialogue_schema
 from turnscore.sources import catalogue as cg
 from turnscore.sources import io
@@ -27,30 +28,31 @@ def load_dialogue_dataset(
     spark: SparkSession, root: str, dataset: str, eval_type: str = "en", insert_speaker: bool = False,
     banned_contexts: DataFrame | None = None, multiline: bool | None = None, max_turns: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """One dev/train dataset: prepared pairs and long gold. ``max_turns``
-    keeps the first rows by id (T3); the gold follows the kept rows."""
+    """One dev/train dataset: prepared pairs and long gold, both with the
+    dialogue's id, model and place in the file, so a dialogue that several
+    models answered, or that the file repeats, has a pair and gold for each.
+    ``max_turns`` keeps the first rows in the order of the file (T3); the gold
+    follows the kept rows."""
     rule, annotations = cg.lookup(dataset)
-    raw = io.read_dialogue_json(spark, cg.dataset_path(dataset, root), dialogue_schema(annotations), multiline)
+    raw = io.read_dialogue_json(spark, cg.dataset_path(dataset, root), dialogue_schema(annotations), multiline, place=True)
     if banned_contexts is not None:  # J4 on the raw English context
         raw = sb.drop_banned_contexts(raw, banned_contexts.select("context"))
-    pairs = dl.prepare_pairs(dl.language_variant(raw, eval_type, keep=("dialogue_id", "model")),
-                             insert_speaker=insert_speaker)
-    lists = io.flatten_annotations(raw.select("dialogue_id", "annotations")).select(
-        "dialogue_id", F.lit(dataset).alias("dataset"), "annotation", "ratings", F.lit(rule).alias("rule")
-    )
-    gold = gd.composite_quality(gd.annotator_aggregate(lists)).select("dialogue_id", "quality", "gold")
+    keys = ("dialogue_id", "model", PLACE)
     if max_turns is not None:
-        pairs = sb.cap_rows(pairs, max_turns, ("dialogue_id",))
-        gold = gold.join(pairs.select("dialogue_id"), "dialogue_id", "left_semi")
-    return pairs, gold
+        raw = sb.cap_rows(raw, max_turns, (PLACE,))
+    pairs = dl.prepare_pairs(dl.language_variant(raw, eval_type, keep=keys), insert_speaker=insert_speaker)
+    values = gd.annotation_values(F.col("annotations"), annotations, F.lit(rule))
+    rows = raw.select(*keys, F.lit(dataset).alias("dataset"), values.alias("values"))
+    return pairs, gd.composite_rows(rows, keep=keys).drop("dataset")
 
 
 def read_challenge_csv(spark: SparkSession, path: str, doubles=()) -> DataFrame:
     """A challenge CSV read by header *names* (files differ by subtask: task 1
-    adds ``LANGUAGE``, dialogue level has other dimensions); the rating
-    columns present are cast to double, everything else stays a string."""
+    adds ``LANGUAGE``, dialogue level has other dimensions), each row with its
+    place in the file; the rating columns present are cast to double,
+    everything else stays a string."""
     r = spark.read.option("header", "true").option("multiLine", "true").option("escape", '"')
-    df = r.csv(path)
+    df = with_place(r.csv(path), "csv")
     return df.select(*[F.col(c).cast("double").alias(c) if c in doubles else F.col(c) for c in df.columns])
 
 
@@ -76,8 +78,8 @@ def load_test_turns(
     pairs = hist.select("uid", "sid", "prefix_ok", "context", F.col("text").alias("response"))
     if max_examples is not None:  # T3: after the history, so contexts stay whole
         pairs = sb.cap_rows(pairs, max_examples, ("uid",))
-    gold_file = read_challenge_csv(spark, gold_csv, _ALL_DIMS).withColumn("_row", F.monotonically_increasing_id())
-    looked = sb.gold_lookup(pairs.select("uid"), gold_file, uid="uid", gold_key="UID_TEST", order="_row")
+    gold_file = read_challenge_csv(spark, gold_csv, _ALL_DIMS)
+    looked = sb.gold_lookup(pairs.select("uid"), gold_file, uid="uid", gold_key="UID_TEST")
     gold = gd.challenge_to_long(looked.withColumnRenamed("uid", "UID"))
     return pairs, gold.join(looked.select("uid", "matched"), "uid")
 
@@ -94,12 +96,13 @@ def grade_submission_files(
 
 
 def score_files(pairs: DataFrame, gold: DataFrame, prompt_name: str, scorer=None):
-    """E1 over loaded pairs (``dialogue_id`` or ``uid`` key) and long gold."""
+    """E1 over loaded pairs and long gold, both keyed by ``uid`` or by the
+    dialogue's id, model and place (then the scores' ``uid`` is these as JSON)."""
     from turnscore.plans.jobs import score_and_evaluate
 
-    key = "uid" if "uid" in pairs.columns else "dialogue_id"
-    p = pairs.select(F.col(key).alias("uid"), "context", "response")
-    g = gold.select(F.col(key).alias("uid"), "quality", "gold")
+    key = F.col("uid") if "uid" in pairs.columns else F.to_json(F.struct(*[c for c in ("dialogue_id", "model", PLACE) if c in pairs.columns]))
+    p = pairs.select(key.alias("uid"), "context", "response")
+    g = gold.select(key.alias("uid"), "quality", "gold")
     return score_and_evaluate(p, prompt_name, scorer, g)
 
 

@@ -103,7 +103,8 @@ def score_and_evaluate(
     ``gold``: long ``(uid, quality, gold)``; ``examples``: the block of a
     static-example prompt (a string) or per-turn blocks ``(uid, examples)``
     of a retrieval prompt. Returns the long scores, the parse-error totals
-    and the per-quality agreement."""
+    and the per-quality agreement; ``n_missing`` there counts the annotated
+    gold rows (of the prompt's qualities) that got no score."""
     from turnscore.functions import prompts, replies
     from turnscore.operators import scoring
 
@@ -127,7 +128,9 @@ def score_and_evaluate(
     errors = replies.parse_error_totals(parsed)
     agreement = None
     if gold is not None:
-        agreement = ag.correlations(parsed.join(gold, ["uid", "quality"]), ["quality"], "gold", "score")
+        wanted = gold.where(F.col("quality").isin(*qs)).select("uid", "quality", "gold")
+        joined = wanted.join(parsed.select("uid", "quality", "score"), ["uid", "quality"], "left")
+        agreement = ag.correlations(joined, ["quality"], "gold", "score", missing=True)
     return parsed, errors, agreement
 
 

@@ -122,6 +122,36 @@ FROM drows0""",
                   {rating_sql(1, 'c.position', 'r.conv_id', 'r.turn_id')},
                   {rating_sql(2, 'c.position', 'r.conv_id', 'r.turn_id')}] END AS ratings
 FROM drows r JOIN cat c ON c.dataset = r.dataset""",
+    ),
+    "arows": (
+        ("drows",),
+        """SELECT dialogue_id, conv_id, turn_id + again AS turn_id, text, dataset,
+       CASE WHEN again = 1 THEN 'model-x' ELSE model END AS model, row_number() OVER () AS rid
+FROM (SELECT *, unnest(CASE WHEN conv_id % 13 = 0 THEN [0, 1] WHEN conv_id % 17 = 0 THEN [0, 0] ELSE [0] END) AS again FROM drows)""",
+    ),
+    "alists2": (
+        ("arows", "cat"),
+        f"""SELECT r.rid, r.dialogue_id, r.model, r.dataset, c.annotation, c.rule,
+       CASE WHEN (r.conv_id + r.turn_id + c.position) % 11 = 0 THEN []::DOUBLE[]
+            ELSE [{rating_sql(0, 'c.position', 'r.conv_id', 'r.turn_id')},
+                  {rating_sql(1, 'c.position', 'r.conv_id', 'r.turn_id')},
+                  {rating_sql(2, 'c.position', 'r.conv_id', 'r.turn_id')}] END AS ratings
+FROM arows r JOIN cat c ON c.dataset = r.dataset""",
+    ),
+    "subrows": (
+        ("scores_wide",),
+        """SELECT uid AS "UID", (dialogue_id * 100 + turn_id) * 2 + again AS pos,
+       CASE WHEN again = 0 THEN appropriateness ELSE 5.5 - appropriateness END AS "APPROPRIATENESS",
+       CASE WHEN again = 0 THEN richness ELSE 5.5 - richness END AS "CONTENT_RICHNESS",
+       CASE WHEN again = 0 THEN grammatical ELSE 5.5 - grammatical END AS "GRAMMATICAL_CORRECTNESS",
+       CASE WHEN again = 0 THEN relevance ELSE 5.5 - relevance END AS "RELEVANCE"
+FROM (SELECT *, unnest(CASE WHEN (dialogue_id + turn_id) % 7 = 0 THEN [0, 1] ELSE [0] END) AS again FROM scores_wide
+      WHERE (dialogue_id + turn_id) % 19 <> 0)""",
+    ),
+    "subfirst": (
+        ("subrows",),
+        """SELECT *, count(*) OVER (PARTITION BY "UID") - 1 AS n_duplicates FROM subrows
+QUALIFY row_number() OVER (PARTITION BY "UID" ORDER BY pos) = 1""",
     ),
     "rehearsal_in": (
         ("turns",),

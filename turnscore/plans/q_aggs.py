@@ -29,7 +29,7 @@ def per_quality(spark, sf_dir):
 )
 def a3_pearson(spark, sf_dir):
     """Pearson r of gold vs score per quality, all turns, annotated pairs."""
-    return per_quality(spark, sf_dir).select("quality", "n", "pearson")
+    return ag.pearson(scored_pairs(spark, sf_dir), ["quality"], "gold", "score")
 
 
 @query(

@@ -19,14 +19,15 @@ from turnscore.sources import catalogue as cg
 _A1 = """SELECT dialogue_id, dataset, annotation, rule,
        CASE WHEN rule = 'first' THEN ratings[1] ELSE list_sum(ratings) / nullif(len(ratings), 0) END AS value
 FROM alists"""
-_A2 = """SELECT j.dialogue_id, j.dataset, j.quality,
+_A1_ROWS = _A1.replace("SELECT dialogue_id,", "SELECT rid, dialogue_id, model,").replace("FROM alists", "FROM alists2")
+_A2 = """SELECT j.dialogue_id, j.model, j.dataset, j.quality,
        CASE WHEN count(j.value) = count(*) AND count(*) = max(ns.n_src) THEN sum(j.weight * j.value) / sum(j.weight) END
          AS gold
-FROM (SELECT v.dialogue_id, v.dataset, m.quality, m.weight, v.value FROM a1 v
+FROM (SELECT v.rid, v.dialogue_id, v.model, v.dataset, m.quality, m.weight, v.value FROM a1 v
       JOIN qmap m ON m.dataset = v.dataset AND m.source = v.annotation) j
 JOIN (SELECT dataset, quality, count(*) AS n_src FROM qmap GROUP BY dataset, quality) ns
   ON ns.dataset = j.dataset AND ns.quality = j.quality
-GROUP BY j.dialogue_id, j.dataset, j.quality"""
+GROUP BY j.rid, j.dialogue_id, j.model, j.dataset, j.quality"""
 
 
 def _values(spark, sf_dir):
@@ -41,13 +42,20 @@ def a1(spark, sf_dir):
     return _values(spark, sf_dir).select("dialogue_id", "annotation", "value")
 
 
+def _gold(spark, sf_dir):
+    """Gold of every dataset row, those that share an id or all values included."""
+    rows = ad.annotation_maps(spark, sf_dir)
+    values = F.transform_values("ratings", lambda k, v: gd.aggregate_ratings(v, F.col("rule")))
+    return gd.composite_rows(rows.withColumn("values", values), keep=("dialogue_id", "model"))
+
+
 @query(
     "A2_composite_quality",
-    sql("SELECT dialogue_id, dataset, quality, round(gold, 6) AS gold FROM a2", "alists", "qmap",
-        extra={"a1": _A1, "a2": _A2}),
+    sql("SELECT dialogue_id, model, dataset, quality, round(gold, 6) AS gold FROM a2", "alists2", "qmap",
+        extra={"a1": _A1_ROWS, "a2": _A2}),
 )
 def a2(spark, sf_dir):
-    return gd.composite_quality(_values(spark, sf_dir))
+    return _gold(spark, sf_dir)
 
 
 _Q_ARR = ", ".join(f"'{q}'" for q in QUALITIES)
@@ -58,18 +66,17 @@ _Q_ARR = ", ".join(f"'{q}'" for q in QUALITIES)
     sql(
         f"""SELECT r.dataset, q.quality, coalesce(m.mapped, false) AS mapped, r.n_rows,
        r.n_rows - coalesce(h.n_gold, 0) AS n_missing
-FROM (SELECT dataset, count(*) AS n_rows FROM drows GROUP BY dataset) r
+FROM (SELECT dataset, count(*) AS n_rows FROM arows GROUP BY dataset) r
 CROSS JOIN (SELECT unnest([{_Q_ARR}]) AS quality) q
 LEFT JOIN (SELECT DISTINCT dataset, quality, true AS mapped FROM qmap) m ON m.dataset = r.dataset AND m.quality = q.quality
 LEFT JOIN (SELECT dataset, quality, count(gold) AS n_gold FROM a2 GROUP BY dataset, quality) h
   ON h.dataset = r.dataset AND h.quality = q.quality""",
-        "alists", "qmap", "drows", extra={"a1": _A1, "a2": _A2},
+        "alists2", "qmap", extra={"a1": _A1_ROWS, "a2": _A2},
     ),
 )
 def a9(spark, sf_dir):
-    gold = gd.composite_quality(_values(spark, sf_dir))
-    rows = ad.dialogue_keys(spark, sf_dir).select("dataset")
-    return gd.label_coverage(spark, gold, rows, QUALITIES)
+    rows = ad.annotation_maps(spark, sf_dir).select("dataset")
+    return gd.label_coverage(spark, _gold(spark, sf_dir), rows, QUALITIES)
 
 
 @query(
@@ -131,9 +138,9 @@ WHERE "SID" = 'Chatbot'"""
 _SL_LONG = " UNION ALL ".join(
     f"""SELECT "UID", slice, '{d}' AS dimension, "{d}" AS gold FROM sl""" for d in TURN_DIMENSIONS
 )
-_SUB_LONG = " UNION ALL ".join(f"""SELECT "UID", '{d}' AS dimension, "{d}" AS pred FROM submission"""
+_SUB_LONG = " UNION ALL ".join(f"""SELECT "UID", '{d}' AS dimension, "{d}" AS pred, n_duplicates FROM subfirst"""
                                for d in TURN_DIMENSIONS)
-_PAIRS = """SELECT g."UID", g.slice, g.dimension, g.gold, p.pred FROM gl g LEFT JOIN pl p
+_PAIRS = """SELECT g."UID", g.slice, g.dimension, g.gold, p.pred, coalesce(p.n_duplicates, 0) AS n_duplicates FROM gl g LEFT JOIN pl p
   ON p."UID" = g."UID" AND p.dimension = g.dimension"""
 _RK = f"""SELECT slice, dimension, gold, pred,
        {avg_rank_sql('gold', 'slice, dimension')} AS gr, {avg_rank_sql('pred', 'slice, dimension')} AS pr
@@ -143,20 +150,21 @@ FROM pairs WHERE gold IS NOT NULL AND NOT isnan(gold) AND pred IS NOT NULL AND N
 @query(
     "A7_leaderboard",
     sql(
-        f"""SELECT u.slice, u.dimension, coalesce(c.n, 0) AS n, u.n_missing, round(abs(c.spearman), 6) AS spearman,
+        f"""SELECT u.slice, u.dimension, coalesce(c.n, 0) AS n, u.n_missing, u.n_duplicates, round(abs(c.spearman), 6) AS spearman,
        round(abs(c.pearson), 6) AS pearson
-FROM (SELECT slice, dimension, count(*) FILTER (WHERE gold IS NOT NULL AND pred IS NULL) AS n_missing
+FROM (SELECT slice, dimension, count(*) FILTER (WHERE gold IS NOT NULL AND pred IS NULL) AS n_missing,
+             CAST(sum(n_duplicates) AS BIGINT) AS n_duplicates
       FROM pairs GROUP BY slice, dimension) u
 LEFT JOIN (SELECT slice, dimension, count(*) AS n, {corr_sql('gr', 'pr')} AS spearman,
                   {corr_sql('gold', 'pred')} AS pearson FROM rk GROUP BY slice, dimension) c
   ON c.slice = u.slice AND c.dimension = u.dimension""",
-        "gold_wide", "submission",
+        "gold_wide", "subfirst",
         extra={"sl": _SLICES, "gl": _SL_LONG, "pl": _SUB_LONG, "pairs": _PAIRS, "rk": _RK},
     ),
 )
 def a7(spark, sf_dir):
     """Grade the submission on every slice in one job."""
-    return ag.leaderboard_slices(ad.turn_gold_wide(spark, sf_dir), ad.submission_wide(spark, sf_dir), "t2t")
+    return ag.leaderboard_slices(ad.turn_gold_wide(spark, sf_dir), ad.submission_rows(spark, sf_dir), "t2t")
 
 
 _E3_RK = f"""SELECT dimension, gold, pred, {avg_rank_sql('gold', 'dimension')} AS gr,
@@ -168,12 +176,13 @@ FROM pairs WHERE slice = 'CID=DS2' AND gold IS NOT NULL AND NOT isnan(gold) AND
     "E3_grade_submission",
     sql(
         f"""SELECT d.dimension, coalesce(c.n, 0) AS n, (SELECT count(*) FROM pairs p WHERE p.slice = 'CID=DS2'
-         AND p.dimension = d.dimension AND p.gold IS NOT NULL AND p.pred IS NULL) AS n_missing, round(abs(c.spearman), 6) AS spearman,
+         AND p.dimension = d.dimension AND p.gold IS NOT NULL AND p.pred IS NULL) AS n_missing,
+       (SELECT CAST(sum(n_duplicates) AS BIGINT) FROM pairs p WHERE p.slice = 'CID=DS2' AND p.dimension = d.dimension) AS n_duplicates, round(abs(c.spearman), 6) AS spearman,
        round(abs(c.pearson), 6) AS pearson
 FROM (SELECT unnest(['APPROPRIATENESS', 'RELEVANCE']) AS dimension) d
 LEFT JOIN (SELECT dimension, count(*) AS n, {corr_sql('gr', 'pr')} AS spearman, {corr_sql('gold', 'pred')} AS pearson
            FROM rk3 GROUP BY dimension) c ON c.dimension = d.dimension""",
-        "gold_wide", "submission",
+        "gold_wide", "subfirst",
         extra={"sl": _SLICES, "gl": _SL_LONG, "pl": _SUB_LONG, "pairs": _PAIRS, "rk3": _E3_RK},
     ),
 )
@@ -181,7 +190,7 @@ def e3(spark, sf_dir):
     """Whole job: task 2 turn level, dataset DS2, two dimensions."""
     from turnscore.plans.jobs import grade_submission
 
-    return grade_submission(ad.turn_gold_wide(spark, sf_dir), ad.submission_wide(spark, sf_dir), "t2t",
+    return grade_submission(ad.turn_gold_wide(spark, sf_dir), ad.submission_rows(spark, sf_dir), "t2t",
                             dataset="DS2", limit_dims="APPROPRIATENESS,RELEVANCE")
 
 

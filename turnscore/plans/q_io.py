@@ -191,10 +191,9 @@ def _e4_sql():
     from turnscore.plans.q_windows import _HARD, _MINING
 
     return sql("""SELECT d.dialogue_id, d.dataset, d.model, round(s.share, 6) AS source_share FROM drows d
-JOIN (""" + _HARD + """) h ON h.dialogue_id = d.dialogue_id
-JOIN run r ON r.dialogue_id = d.dialogue_id
-JOIN (SELECT r.model, count(*) / sum(count(*)) OVER () AS share
-      FROM (""" + _HARD + """) h JOIN run r ON r.dialogue_id = h.dialogue_id GROUP BY r.model) s ON s.model = r.model""",
+JOIN (SELECT DISTINCT dialogue_id, model FROM run WHERE dialogue_id IN (SELECT dialogue_id FROM (""" + _HARD + """))) r
+  ON r.dialogue_id = d.dialogue_id
+JOIN (SELECT h.model, count(*) / sum(count(*)) OVER () AS share FROM (""" + _HARD + """) h GROUP BY h.model) s ON s.model = r.model""",
                "drows", "scores_wide", "gold_wide", extra=_MINING)
 
 
@@ -211,7 +210,7 @@ def e4(spark, sf_dir):
     run = io.read_results(spark, root, "run-a").drop("run_id")
     d = ad.dialogue_rows(spark, sf_dir).select("dialogue_id", "dataset", "model", "context", "response")
     _, shares, subset = mine_hard_set(run, d, "LLM", 200)
-    source = run.select("dialogue_id", F.col("model").alias("source"))
+    source = run.select("dialogue_id", F.col("model").alias("source")).distinct()
     return subset.join(source, "dialogue_id").join(shares.select(F.col("model").alias("source"), "share"), "source").select(
         "dialogue_id", "dataset", "model", F.col("share").alias("source_share"))
 

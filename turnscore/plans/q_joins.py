@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from turnscore.operators import dialogues as dl
 from turnscore.operators import features as fe
 from turnscore.operators import submissions as sb
+from turnscore.operators.identity import PLACE
 from turnscore.plans.oracle import gold_sql, sql, tenths_sql, trim_ws_sql
 from turnscore.plans.registry import query
 from turnscore.schemas import TURN_DIMENSIONS
@@ -17,18 +18,23 @@ _DIMS = ", ".join(f'"{d}"' for d in TURN_DIMENSIONS)
 # ------------------------------------------------------------------ J1
 
 
+def _at(file: str, row):
+    """The place of a row in a file."""
+    return F.struct(F.lit(file).alias("file"), F.lit(0).cast("long").alias("block"), row.alias("row")).alias(PLACE)
+
+
 def _gold_file(spark, sf_dir):
     """Gold rows with a file position; some turns lack gold, some have a
     later duplicate with other values (the first must win)."""
     t = ad.turns(spark, sf_dir)
     pos = (F.col("dialogue_id") * 100 + F.col("turn_id")) * 2
     base = t.where((F.col("dialogue_id") + F.col("turn_id")) % 23 != 0).select(
-        F.col("uid").alias("UID_TEST"), pos.alias("_row"),
+        F.col("uid").alias("UID_TEST"), _at("gold.csv", pos),
         *[ad.gold_expr(i).alias(d) for i, d in enumerate(TURN_DIMENSIONS)],
     )
     dup = t.where(((F.col("dialogue_id") + F.col("turn_id")) % 23 != 0)
                   & ((F.col("dialogue_id") + F.col("turn_id")) % 9 == 0)).select(
-        F.col("uid").alias("UID_TEST"), (pos + 1).alias("_row"),
+        F.col("uid").alias("UID_TEST"), _at("gold.csv", pos + 1),
         *[(ad.gold_expr(i) + 0.5).alias(d) for i, d in enumerate(TURN_DIMENSIONS)],
     )
     return base.unionByName(dup)
@@ -53,7 +59,7 @@ FROM turns t LEFT JOIN (SELECT * FROM g0 QUALIFY row_number() OVER (PARTITION BY
 )
 def j1(spark, sf_dir):
     t = ad.turns(spark, sf_dir).select("uid")
-    out = sb.gold_lookup(t, _gold_file(spark, sf_dir), uid="uid", gold_key="UID_TEST", order="_row")
+    out = sb.gold_lookup(t, _gold_file(spark, sf_dir), uid="uid", gold_key="UID_TEST")
     return out.select("uid", *TURN_DIMENSIONS, "matched")
 
 
@@ -68,17 +74,17 @@ def _long_sql(src: str, value: str, where: str = "") -> str:
 
 @query(
     "J2_submission_gold_align",
-    sql("""SELECT g."UID", g.dimension, g.gold, p.pred, p."UID" IS NOT NULL AS matched FROM gl g
-LEFT JOIN pl p ON p."UID" = g."UID" AND p.dimension = g.dimension""", "gold_wide", "submission",
+    sql("""SELECT g."UID", g.dimension, g.gold, p.pred, p."UID" IS NOT NULL AS matched, coalesce(p.n_duplicates, 0) AS n_duplicates FROM gl g
+LEFT JOIN pl p ON p."UID" = g."UID" AND p.dimension = g.dimension""", "gold_wide", "subfirst",
         extra={"gl": _long_sql("gold_wide", "gold", """WHERE "SID" = 'Chatbot'"""),
-               "pl": _long_sql("submission", "pred")}),
+               "pl": " UNION ALL ".join(f"""SELECT "UID", '{d}' AS dimension, "{d}" AS pred, n_duplicates FROM subfirst""" for d in TURN_DIMENSIONS)}),
 )
 def j2(spark, sf_dir):
     from turnscore.operators import agreement as ag
 
     g = ag.eval_slice(ad.turn_gold_wide(spark, sf_dir), "t2t").unpivot(["UID"], list(TURN_DIMENSIONS),
                                                                       "dimension", "gold")
-    p = ad.submission_wide(spark, sf_dir).unpivot(["UID"], list(TURN_DIMENSIONS), "dimension", "pred")
+    p = ad.submission_rows(spark, sf_dir).unpivot(["UID", "_place"], list(TURN_DIMENSIONS), "dimension", "pred")
     return sb.align(g, p)
 
 
@@ -86,8 +92,9 @@ def j2(spark, sf_dir):
 
 
 def quality_files(spark, sf_dir, complete=False):
-    """Four per-quality score files; the richness file misses some UIDs unless
-    ``complete``."""
+    """Four per-quality score files; unless ``complete``, the richness file
+    misses some UIDs, all repeat some turns further down with other scores, and
+    the relevance file repeats some once more."""
     s = ad.scores_wide(spark, sf_dir)
     quals = ("appropriateness", "richness", "grammatical", "relevance")
     files = {}
@@ -95,26 +102,32 @@ def quality_files(spark, sf_dir, complete=False):
         f = s
         if q == "richness" and not complete:
             f = s.where((F.col("dialogue_id") + F.col("turn_id")) % 13 != 0)
-        files[d] = f.select(F.col("uid").alias("UID"), F.col(q))
+        if not complete:
+            key = F.col("dialogue_id") + F.col("turn_id")
+            last = [F.lit(2)] if q == "relevance" else []
+            f = f.select("*", F.explode(F.when(key % 11 == 0, F.array(F.lit(0), F.lit(1), *last)).otherwise(F.array(F.lit(0)))).alias("_again"))
+            row = F.col("_again") * 10_000_000 + F.col("dialogue_id") * 100 + F.col("turn_id")
+            files[d] = f.select(F.col("uid").alias("UID"), (F.col(q) + F.col("_again")).alias(q), _at(f"{q}.csv", row))
+        else:
+            files[d] = f.select(F.col("uid").alias("UID"), F.col(q))
     return files
 
 
-def _file_sql(q: int, extra_where: str = "") -> str:
-    return f"""SELECT uid AS "UID", {tenths_sql(str(q))} / 10 AS v FROM turns {extra_where}"""
+def _file_sql(q: int, extra_where: str = "", times: int = 2) -> str:
+    return f"""SELECT "UID", v + again AS v, row_number() OVER (PARTITION BY "UID" ORDER BY again) AS nth
+FROM (SELECT uid AS "UID", {tenths_sql(str(q))} / 10 AS v,
+             unnest(CASE WHEN (dialogue_id + turn_id) % 11 = 0 THEN {list(range(times))} ELSE [0] END) AS again FROM turns {extra_where})"""
 
 
 _FILES = {
     "fa": _file_sql(0),
     "fr": _file_sql(1, "WHERE (dialogue_id + turn_id) % 13 <> 0"),
     "fg": _file_sql(2),
-    "fl": _file_sql(3),
+    "fl": _file_sql(3, times=3),
 }
-_MERGED = """SELECT coalesce(fa."UID", fr."UID", fg."UID", fl."UID") AS "UID",
-       fa.v AS "APPROPRIATENESS", fr.v AS "CONTENT_RICHNESS", fg.v AS "GRAMMATICAL_CORRECTNESS", fl.v AS "RELEVANCE",
-       (fa."UID" IS NOT NULL AND fr."UID" IS NOT NULL AND fg."UID" IS NOT NULL AND fl."UID" IS NOT NULL) AS complete
-FROM fa FULL OUTER JOIN fr ON fr."UID" = fa."UID"
-        FULL OUTER JOIN fg ON fg."UID" = coalesce(fa."UID", fr."UID")
-        FULL OUTER JOIN fl ON fl."UID" = coalesce(fa."UID", fr."UID", fg."UID")"""
+_MERGED = """SELECT "UID", fa.v AS "APPROPRIATENESS", fr.v AS "CONTENT_RICHNESS", fg.v AS "GRAMMATICAL_CORRECTNESS", fl.v AS "RELEVANCE",
+       (fa.v IS NOT NULL AND fr.v IS NOT NULL AND fg.v IS NOT NULL AND fl.v IS NOT NULL) AS complete
+FROM fa FULL OUTER JOIN fr USING ("UID", nth) FULL OUTER JOIN fg USING ("UID", nth) FULL OUTER JOIN fl USING ("UID", nth)"""
 
 
 @query("J3_submission_merge", sql("SELECT * FROM merged", "turns", extra={**_FILES, "merged": _MERGED}))
@@ -127,7 +140,7 @@ def j3(spark, sf_dir):
     sql("""SELECT CAST(sum(n) AS BIGINT) AS n_rows, count(*) FILTER (WHERE n > 1) AS n_duplicate_uids,
        count(*) FILTER (WHERE NOT all_complete) AS n_incomplete, CAST(1790 AS BIGINT) AS expected_rows,
        (sum(n) = 1790 AND count(*) FILTER (WHERE n > 1) = 0 AND count(*) FILTER (WHERE NOT all_complete) = 0) AS ok
-FROM (SELECT "UID", count(*) AS n, bool_and(complete) AS all_complete FROM thrice GROUP BY "UID")""",
+FROM (SELECT "UID", count(*) AS n, bool_or(complete) AS all_complete FROM thrice GROUP BY "UID")""",
         "turns", extra={**_FILES, "merged": _MERGED,
                         "thrice": """SELECT * FROM merged UNION ALL SELECT * FROM merged WHERE ends_with("UID", '3')
 UNION ALL SELECT * FROM merged WHERE ends_with("UID", '3')"""}),
@@ -155,7 +168,7 @@ def u2(spark, sf_dir):
     sql("""SELECT "UID", round("APPROPRIATENESS", 6) AS "APPROPRIATENESS", round("CONTENT_RICHNESS", 6) AS "CONTENT_RICHNESS",
        round("GRAMMATICAL_CORRECTNESS", 6) AS "GRAMMATICAL_CORRECTNESS", round("RELEVANCE", 6) AS "RELEVANCE"
 FROM merged WHERE NOT coalesce(ends_with("UID", '0000'), false)""", "turns",
-        extra={**_FILES, "fr": _file_sql(1), "merged": _MERGED}),
+        extra={**{k: _file_sql(i, times=1) for i, k in enumerate(_FILES)}, "merged": _MERGED}),
 )
 def e2(spark, sf_dir):
     """Whole job: merge four complete files, check them (on), drop first turns

@@ -91,16 +91,17 @@ def m3(spark, sf_dir):
     return emb.select("uid", "n_tokens", *fe.vector_summary("embedding", "emb"))
 
 
+_E1_ROWS = """SELECT g.quality, g.gold, s.score FROM rl g LEFT JOIN sl s ON g.uid = s.uid AND g.quality = s.quality
+WHERE g.gold IS NOT NULL AND NOT isnan(g.gold)"""
 _E1_RANK = f"""SELECT quality, gold, score, {avg_rank_sql('gold', 'quality')} AS gr, {avg_rank_sql('score', 'quality')} AS pr
-FROM (SELECT s.quality, g.gold, s.score FROM sl s JOIN rl g ON g.uid = s.uid AND g.quality = s.quality
-      WHERE g.gold IS NOT NULL AND NOT isnan(g.gold))"""
+FROM e1r WHERE score IS NOT NULL"""
 
 
 @query(
     "E1_score_and_evaluate",
-    sql(f"""SELECT quality, count(*) AS n, round({corr_sql('gold', 'score')}, 6) AS pearson,
-       round({corr_sql('gr', 'pr')}, 6) AS spearman FROM e1 GROUP BY quality""",
-        "rl", extra={"h": _HIST, "heur": _HEUR, "sl": _heur_long(False), "e1": _E1_RANK}),
+    sql(f"""SELECT quality, count(*) AS n, (SELECT count(*) FROM e1r m WHERE m.quality = e1.quality AND m.score IS NULL) AS n_missing,
+       round({corr_sql('gold', 'score')}, 6) AS pearson, round({corr_sql('gr', 'pr')}, 6) AS spearman FROM e1 GROUP BY quality""",
+        "rl", extra={"h": _HIST, "heur": _HEUR, "sl": _heur_long(False), "e1r": _E1_ROWS, "e1": _E1_RANK}),
 )
 def e1(spark, sf_dir):
     """Whole job: history, prompt, scorer, parse, agreement with gold."""

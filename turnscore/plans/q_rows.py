@@ -143,25 +143,39 @@ def p11(spark, sf_dir):
     return kept.select("dialogue_id", "gold")
 
 
-_RUN_COLS = """SELECT s.uid AS dialogue_id, 'model-' || CAST(s.dialogue_id % 5 AS VARCHAR) AS model,
+_RUN_BASE = """SELECT s.uid AS dialogue_id, 'model-' || CAST(s.dialogue_id % 5 AS VARCHAR) AS model,
        g."APPROPRIATENESS" AS "annotations.appropriateness", g."CONTENT_RICHNESS" AS "annotations.richness",
        g."GRAMMATICAL_CORRECTNESS" AS "annotations.grammatical", g."RELEVANCE" AS "annotations.relevance",
        s.appropriateness AS LLM_appropriateness, s.richness AS LLM_richness,
        s.grammatical AS LLM_grammatical, s.relevance AS LLM_relevance,
-       (s.appropriateness + s.relevance) / 2 AS am_fm_scores
+       (s.appropriateness + s.relevance) / 2 AS am_fm_scores, s.dialogue_id AS conv_id
 FROM scores_wide s JOIN gold_wide g ON g."UID" = s.uid"""
+# some rows stand twice, equal in all; of others a second row has its NULL elsewhere
+_RUN_COLS = f"""SELECT *, row_number() OVER () AS rid FROM (
+SELECT * EXCLUDE (conv_id, again) REPLACE (
+         CASE WHEN again = 1 THEN NULL ELSE "annotations.appropriateness" END AS "annotations.appropriateness",
+         CASE WHEN again = 1 THEN "annotations.appropriateness" WHEN again = 2 THEN NULL ELSE "annotations.relevance" END AS "annotations.relevance")
+FROM (SELECT *, unnest(CASE WHEN conv_id % 13 = 0 THEN [0, 0] WHEN conv_id % 17 = 0 THEN [0, 1, 2] ELSE [0] END) AS again FROM ({_RUN_BASE})))"""
 
 
 def run_table(spark, sf_dir):
     """A run's result table in the reference's wide layout (one projection
-    over the turns: gold and scores are both row-wise)."""
+    over the turns: gold and scores are both row-wise). As in real runs ids
+    repeat: every 13th dialogue's rows stand twice, equal in all; every 17th's
+    have two rows more, whose NULLs stand elsewhere."""
     t = ad.turns(spark, sf_dir)
     quals = ("appropriateness", "richness", "grammatical", "relevance")
     score = {q: ad.score_tenths(i) / 10 for i, q in enumerate(quals)}
+    again = F.when(F.col("dialogue_id") % 13 == 0, F.lit([0, 0])).when(F.col("dialogue_id") % 17 == 0, F.lit([0, 1, 2])).otherwise(F.lit([0]))
+    t = t.select("*", F.explode(again).alias("_again"))
+    gold = {q: ad.gold_expr(i) for i, q in enumerate(quals)}
+    first, last = gold["appropriateness"], gold["relevance"]
+    gold["appropriateness"] = F.when(F.col("_again") != 1, first)
+    gold["relevance"] = F.when(F.col("_again") == 1, first).when(F.col("_again") == 0, last)
     return t.select(
         F.col("uid").alias("dialogue_id"),
         F.concat(F.lit("model-"), (F.col("dialogue_id") % 5).cast("string")).alias("model"),
-        *[ad.gold_expr(i).alias(f"annotations.{q}") for i, q in enumerate(quals)],
+        *[gold[q].alias(f"annotations.{q}") for q in quals],
         *[score[q].alias(f"LLM_{q}") for q in quals],
         ((score["appropriateness"] + score["relevance"]) / 2).alias("am_fm_scores"),
     )

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from turnscore.operators import agreement as ag
 from turnscore.operators import dialogues as dl
 from turnscore.operators import mining as mn
+from turnscore.operators.identity import PLACE
 from turnscore.operators.ranks import average_rank, metric_vs_gold
 from turnscore.plans.oracle import avg_rank_sql, sql, trim_ws_sql
 from turnscore.plans.q_rows import _RUN_COLS, run_table
@@ -92,16 +93,16 @@ def w4(spark, sf_dir):
 # ------------------------------------------------------------------ mining
 
 _LONG = " UNION ALL ".join(
-    [f"SELECT dialogue_id, 'annotations.{q}' AS column_name, 'gold' AS role, \"annotations.{q}\" AS value FROM run"
+    [f"SELECT rid, dialogue_id, model, 'annotations.{q}' AS column_name, 'gold' AS role, \"annotations.{q}\" AS value FROM run"
      for q in QUALITIES]
-    + [f"SELECT dialogue_id, 'LLM_{q}', 'pred', LLM_{q} FROM run" for q in QUALITIES]
+    + [f"SELECT rid, dialogue_id, model, 'LLM_{q}', 'pred', LLM_{q} FROM run" for q in QUALITIES]
 )
 _RK = f"""SELECT *, CASE WHEN value IS NOT NULL THEN {avg_rank_sql('value', 'column_name')} END AS rank FROM lg"""
-_J8 = """SELECT g.dialogue_id, g.column_name AS gold_col, p.column_name AS pred_col,
+_J8 = """SELECT g.rid, g.dialogue_id, g.model, g.column_name AS gold_col, p.column_name AS pred_col,
        g.column_name || '_vs_' || p.column_name AS pair, abs(g.rank - p.rank) AS rank_diff
-FROM rk g JOIN rk p ON g.dialogue_id = p.dialogue_id AND g.role = 'gold' AND p.role = 'pred'
+FROM rk g JOIN rk p ON g.rid = p.rid AND g.role = 'gold' AND p.role = 'pred'
      AND ends_with(p.column_name, substr(g.column_name, 13))"""
-_GAP = "SELECT dialogue_id, avg(rank_diff) AS mean_diff FROM j8 GROUP BY dialogue_id"
+_GAP = "SELECT rid, dialogue_id, model, avg(rank_diff) AS mean_diff FROM j8 GROUP BY rid, dialogue_id, model"
 _MINING = {"run": _RUN_COLS, "lg": _LONG, "rk": _RK, "j8": _J8, "gap": _GAP}
 _HARD = """SELECT * FROM gap ORDER BY mean_diff DESC NULLS LAST, dialogue_id LIMIT 200"""
 
@@ -109,13 +110,11 @@ _HARD = """SELECT * FROM gap ORDER BY mean_diff DESC NULLS LAST, dialogue_id LIM
 def _ranked(spark, sf_dir):
     run = run_table(spark, sf_dir)
     gold, pred = mn.discover_columns(run.columns, "LLM")
-    return run, gold, pred, mn.column_ranks(mn.to_long(run, gold, pred))
+    return gold, pred, mn.row_ranks(run, gold, pred)
 
 
 def _gaps(spark, sf_dir):
-    run, gold, pred, ranked = _ranked(spark, sf_dir)
-    pairs, _ = mn.suffix_pairs(gold, pred)
-    return run, mn.mean_rank_gap(mn.rank_differences(ranked, pairs))
+    return mn.rank_disagreement(run_table(spark, sf_dir), "LLM", ("dialogue_id", "model"))
 
 
 @query(
@@ -123,13 +122,13 @@ def _gaps(spark, sf_dir):
     sql(
         """SELECT g.dialogue_id, g.column_name AS gold_col, p.column_name AS pred_col,
        g.column_name || '_vs_' || p.column_name AS pair, round(abs(g.rank - p.rank), 6) AS rank_diff
-FROM rk g JOIN rk p ON g.dialogue_id = p.dialogue_id AND g.role = 'gold' AND p.role = 'pred'""",
+FROM rk g JOIN rk p ON g.rid = p.rid AND g.role = 'gold' AND p.role = 'pred'""",
         "scores_wide", "gold_wide", extra={"run": _RUN_COLS, "lg": _LONG, "rk": _RK},
     ),
 )
 def j7(spark, sf_dir):
-    _, gold, pred, ranked = _ranked(spark, sf_dir)
-    return mn.rank_differences(ranked, mn.cross_pairs(gold, pred))
+    gold, pred, ranked = _ranked(spark, sf_dir)
+    return mn.rank_differences(ranked, [*gold, *pred], mn.cross_pairs(gold, pred)).drop(PLACE)
 
 
 @query(
@@ -138,9 +137,9 @@ def j7(spark, sf_dir):
         "scores_wide", "gold_wide", extra={"run": _RUN_COLS, "lg": _LONG, "rk": _RK, "j8": _J8}),
 )
 def j8(spark, sf_dir):
-    _, gold, pred, ranked = _ranked(spark, sf_dir)
+    gold, pred, ranked = _ranked(spark, sf_dir)
     pairs, _ = mn.suffix_pairs(gold, pred)
-    return mn.rank_differences(ranked, pairs)
+    return mn.rank_differences(ranked, [*gold, *pred], pairs).drop(PLACE)
 
 
 @query(
@@ -149,7 +148,7 @@ def j8(spark, sf_dir):
         extra=_MINING),
 )
 def a13(spark, sf_dir):
-    return _gaps(spark, sf_dir)[1]
+    return _gaps(spark, sf_dir).drop("model")
 
 
 @query(
@@ -158,7 +157,7 @@ def a13(spark, sf_dir):
         "scores_wide", "gold_wide", extra=_MINING),
 )
 def t1(spark, sf_dir):
-    return mn.sort_by_gap(_gaps(spark, sf_dir)[1])
+    return mn.sort_by_gap(_gaps(spark, sf_dir).drop("model"))
 
 
 @query(
@@ -167,21 +166,19 @@ def t1(spark, sf_dir):
         "scores_wide", "gold_wide", extra=_MINING),
 )
 def t2(spark, sf_dir):
-    return mn.hardest(_gaps(spark, sf_dir)[1], 200)
+    return mn.hardest(_gaps(spark, sf_dir).drop("model"), 200)
 
 
 @query(
     "A12_source_share",
     sql(
-        """SELECT r.model, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share
-FROM (""" + _HARD + """) h JOIN run r ON r.dialogue_id = h.dialogue_id GROUP BY r.model""",
+        """SELECT h.model, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share
+FROM (""" + _HARD + """) h GROUP BY h.model""",
         "scores_wide", "gold_wide", extra=_MINING,
     ),
 )
 def a12(spark, sf_dir):
-    run, gaps = _gaps(spark, sf_dir)
-    hard = mn.hardest(gaps, 200).join(run.select("dialogue_id", "model"), "dialogue_id")
-    return mn.source_share(hard)
+    return mn.source_share(mn.hardest(_gaps(spark, sf_dir), 200))
 
 
 @query(
@@ -193,6 +190,6 @@ WHERE d.dialogue_id IN (SELECT dialogue_id FROM (""" + _HARD + "))",
     ),
 )
 def j5(spark, sf_dir):
-    _, gaps = _gaps(spark, sf_dir)
+    gaps = _gaps(spark, sf_dir)
     d = ad.dialogue_rows(spark, sf_dir).select("dialogue_id", "dataset", "model")
     return mn.hard_subset(d, mn.hardest(gaps, 200))

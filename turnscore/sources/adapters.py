@@ -10,12 +10,14 @@ work of every query grows with them.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnscore.schemas import QUALITIES
 from turnscore.session import sf_table
-from turnscore.sources.catalogue import DATASET_NAMES, catalogue
+from turnscore.sources.catalogue import DATASET_NAMES, catalogue, catalogue_rows
 
 LANGS = ("EN", "ZH", "ES")
 
@@ -223,6 +225,39 @@ def annotation_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
                     ratings.alias("ratings"))
 
 
+def annotation_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dataset rows with their annotator lists inside: ``(dialogue_id, model,
+    dataset, rule, ratings)``, ``ratings`` a map by annotation. As in real files
+    ids repeat: every 13th dialogue was answered by a second model and rated
+    anew, every 17th stands in the file twice, equal in all."""
+    known: dict[str, dict] = {}
+    for _, dataset, rule, annotation, position, *_ in catalogue_rows():
+        known.setdefault(dataset, {"rule": rule, "of": []})["of"].append({"annotation": annotation, "position": position})
+    cat = F.from_json(F.lit(json.dumps(known)), "map<string,struct<rule:string,of:array<struct<annotation:string,position:int>>>>")
+    rows = dialogue_keys(spark, sf_dir).withColumn("model", F.concat(F.lit("model-"), (F.col("conv_id") % 5).cast("string")))
+    twice = F.when(F.col("conv_id") % 13 == 0, F.array(F.lit(0), F.lit(1))).when(F.col("conv_id") % 17 == 0, F.array(F.lit(0), F.lit(0))).otherwise(F.array(F.lit(0)))
+    rows = rows.select("*", F.explode(twice).alias("again"), F.try_element_at(cat, F.col("dataset")).alias("_cat"))
+    rows = rows.withColumn("model", F.when(F.col("again") == 1, "model-x").otherwise(F.col("model"))).withColumn("turn_id", F.col("turn_id") + F.col("again"))
+    r = [f"CAST(1 + (conv_id * 7 + turn_id * 13 + {k * 5} + a.position * 11 + length(text) * {k + 1}) % 5 AS DOUBLE)" for k in range(3)]
+    lists = F.expr(f"""map_from_entries(transform(_cat.of, a -> struct(a.annotation AS k, CASE WHEN (conv_id + turn_id + a.position) % 11 = 0
+        THEN CAST(array() AS ARRAY<DOUBLE>) ELSE array({', '.join(r)}) END AS v)))""")
+    return rows.select("dialogue_id", "model", "dataset", F.col("_cat.rule").alias("rule"), lists.alias("ratings"))
+
+
+def submission_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The submission file as it is: the rows of :func:`submission_wide`, every
+    7th turn a second time with other scores further down, and each row's place."""
+    from turnscore.schemas import TURN_DIMENSIONS
+
+    s = scores_wide(spark, sf_dir).where((F.col("dialogue_id") + F.col("turn_id")) % 19 != 0)
+    again = F.when((F.col("dialogue_id") + F.col("turn_id")) % 7 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    s = s.select("*", F.explode(again).alias("_again"))
+    place = F.struct(F.lit("submission.csv").alias("file"), F.lit(0).cast("long").alias("block"),
+                     ((F.col("dialogue_id") * 100 + F.col("turn_id")) * 2 + F.col("_again")).alias("row"))
+    return s.select(F.col("uid").alias("UID"), *[F.when(F.col("_again") == 0, F.col(q)).otherwise(5.5 - F.col(q)).alias(d) for q, d in zip(QUALITIES, TURN_DIMENSIONS)],
+                    place.alias("_place"))
+
+
 def rehearsal_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rehearsal CSV shape: id, sid, response, paraphrase ratings p_*, original
     ratings o_* (NULL when ``conv_id % 5 = 0``)."""

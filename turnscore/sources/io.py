@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from turnscore.operators.identity import with_place
+
 CSV_OPTIONS = {"header": "true", "escape": '"', "emptyValue": "", "nullValue": "\\N"}
 
 
@@ -33,18 +35,21 @@ def json_layout(spark: SparkSession, path: str) -> str:
     return kinds.pop() if kinds else "lines"
 
 
-def read_dialogue_json(spark: SparkSession, path: str, schema: T.StructType, multiline: bool | None = None) -> DataFrame:
+def read_dialogue_json(spark: SparkSession, path: str, schema: T.StructType, multiline: bool | None = None,
+                       place: bool = False) -> DataFrame:
     """One dataset. ``multiline`` true: JSON arrays (the challenge format;
     one task per file, convert once to Parquet); false: JSON lines
     (splittable); by default the files tell (:func:`json_layout`). A file of
     the other layout fails instead of losing records. Nested ``annotations``
-    stay a struct of lists; NaN becomes NULL."""
+    stay a struct of lists; NaN becomes NULL. ``place``: also each row's place
+    in the files (:mod:`turnscore.operators.identity`)."""
     layout = json_layout(spark, path)
     if multiline is None:
         multiline = layout == "array"
     elif multiline != (layout == "array"):
         raise ValueError(f"{path} holds JSON {layout}, but multiline={multiline} was asked for")
-    return nan_to_null(spark.read.schema(schema).option("multiLine", multiline).option("mode", "FAILFAST").json(path))
+    rows = spark.read.schema(schema).option("multiLine", multiline).option("mode", "FAILFAST").json(path)
+    return nan_to_null(with_place(rows, "json") if place else rows)
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:
