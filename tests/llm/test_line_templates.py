@@ -96,6 +96,13 @@ def test_near_copies_are_not_recurrence(spark, monkeypatch, shard_bytes):
     assert got == {i: "\n".join(x for x in t.split("\n") if x != ten) for i, t in rows}
 
 
+@pytest.mark.parametrize("least, dropped", [(250, 400), (300, 400), (400, 400), (401, 0)])
+def test_counts_have_no_cap(spark, least, dropped):
+    r = random.Random(8)
+    rows = [(i, "all rights reserved here\n" + " ".join("".join(r.choices("abcdefgh", k=6)) for _ in range(8))) for i in range(400)]
+    assert sum(x[3] for x in run(spark, rows, least)) == dropped
+
+
 def test_empty_table_and_clashing_columns(spark):
     assert run(spark, [], 2) == []
     docs = spark.createDataFrame([("x", 1, "a\nb", 2, "p")], "h1 string, n_lines int, text string, dropped int, _row string")

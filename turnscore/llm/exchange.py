@@ -50,8 +50,9 @@ def distinct_texts(docs: DataFrame, shards: int, text: str = "text") -> DataFram
 
 
 def text_key(text):
-    """128 bits that stand for a whole text."""
-    return F.xxhash64(text).alias("h1"), F.xxhash64(text, F.lit("second")).alias("h2")
+    """128 bits that stand for a whole text: two hashes of it with different
+    seeds (a later column's hash starts from the one before, so the salt goes first)."""
+    return F.xxhash64(text).alias("h1"), F.xxhash64(F.lit("second"), text).alias("h2")
 
 
 def merged(texts: pa.Table) -> pa.Table:
@@ -98,10 +99,8 @@ class Outbox:
         """One row per bucket that gets entries."""
         counts = np.minimum(self.counts if multiplicity is None else multiplicity, 255).astype(np.uint8)
         rows = []
-        for b in range(self.buckets):
+        for b in np.flatnonzero(np.diff(self.bounds)).tolist():
             i, j = self.bounds[b], self.bounds[b + 1]
-            if i == j:
-                continue
             if self.short:
                 body = self.keys[i:j].astype(np.uint32).tobytes()
             elif self.extra is not None:

@@ -10,11 +10,16 @@ more is boilerplate, and all its lines are dropped from all documents.
 
 Copies and near copies of one document do not make its lines recur: a group of
 near copies by the rule of ``ngram_join`` counts as one document for what any of
-its texts holds. Counts cover the whole corpus (see ``exchange``): first those
-of leaves, then those of constant fields in the leaves that recur, then those
-of templates; a shard sends each value once. A small group lies in one shard; a
-large one is spread over several, which then send its values with its name, and
-a bucket counts each name once.
+its texts holds.
+
+Texts are parsed twice, shard by shard. First a shard sends its leaves and its
+shingles to be counted over the corpus (see ``exchange``). A leaf's count of
+distinct texts bounds its count of groups from above, so the second time only
+lines of leaves that recur by it are kept, as hashes of their fields, together
+with what the join needs to name the near copies. All further counts are of
+groups and work on these few lines alone: leaves, constant fields, templates.
+Each is a count of distinct (value, group) pairs, so a value that a third of all
+texts hold is spread over all tasks; counts are 64 bits wide.
 
 Cases: null and empty texts have no lines; blank lines are kept and are part of
 no template; a line repeated inside one document counts once; repeated rows are
@@ -28,8 +33,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnscore.llm import exchange as X
+from turnscore.llm import ngram_join as J
 from turnscore.llm import words as W
-from turnscore.llm.ngram_join import jaccard_components
+from turnscore.llm.components import connected_components
 from turnscore.session import reliable_checkpoint
 
 DEPTH = 2
@@ -38,192 +44,173 @@ LEAST_DOCS = 10
 CONSTANT = (7, 10)
 
 _VARIABLE = W.U64(0x2545F4914F6CDD1D)
-#: Parts of a shard's size that a group of near copies is cut into.
-PARTS = 16
-_MESSAGE = X.MESSAGE + ", names binary"
-_RESULT = "h1 long, h2 long, n_lines long, dropped array<int>"
+_SETS, _LEAVES = 0, 1
+_MESSAGE = "kind int, bucket int, shard int, entries binary, counts binary"
+_REPLY = "shard int, kind int, bucket int, totals binary"
+_PARSED = (
+    "h1 long, h2 long, fp binary, n int, score double, sketch array<long>, prefix array<long>, elements binary, "
+    "line array<int>, leaf array<long>, fields array<array<long>>"
+)
 
 
 class Shard:
-    """Lines of a shard's distinct texts and what they send."""
-
-    def __init__(self, texts: pa.Table, buckets: int, least: int):
-        self.texts, self.least, self.buckets = X.merged(texts), least, buckets
-        named = texts.group_by(["h1", "h2"]).aggregate([("name", "min"), ("spread", "min")]).sort_by([("h1", "ascending"), ("h2", "ascending")])
-        names = named["name_min"].to_numpy()
-        self.group = np.unique(names, return_inverse=True)[1]  # near copies share a number
-        self.spread = np.where(named["spread_min"].to_numpy(), names, 0).view(np.uint64)  # name of a group in several shards
+    """A shard's distinct texts: their shingle sets and the leaves of their lines."""
+
+    def __init__(self, texts: pa.Table, set_buckets: int, leaf_buckets: int):
+        self.texts = X.merged(texts)
         w = W.split(self.texts["text"])
-        data = w.data
-        row = w.rows
+        lower = W.Words(w.data, w.starts, w.ends, w.bounds, (W.span_hash(W.LOWER[w.data], w.starts, w.ends, W.BASES[0]),))
+        self.sets = J.Shard.__new__(J.Shard)
+        self.sets.take(J.Sets(None, J.SHINGLE, lower), 1, set_buckets)
+        data, row = w.data, w.rows
         digit = np.r_[np.int32(0), np.cumsum((data >= 48) & (data <= 57), dtype=np.int32)]
-        fields = np.where(digit[w.ends] > digit[w.starts], _VARIABLE, w.hashes[0])
+        self.fields = np.where(digit[w.ends] > digit[w.starts], _VARIABLE, w.hashes[0])
         breaks = np.r_[np.int32(0), np.cumsum(data == 10, dtype=np.int32)]
         _, offsets = W.utf8(self.texts["text"])
         line = breaks[w.starts] - breaks[offsets[row]]
         new = np.r_[True, (row[1:] != row[:-1]) | (line[1:] != line[:-1])] if len(row) else np.zeros(0, bool)
         self.start = np.flatnonzero(new)
         self.size = np.diff(np.r_[self.start, len(row)])
-        self.row, self.line, self.fields = row[self.start], line[self.start], fields
-        self.n_lines = breaks[offsets[1:]] - breaks[offsets[:-1]] + (offsets[1:] > offsets[:-1])
+        self.row, self.line = row[self.start], line[self.start]
         lead = np.minimum(self.size, DEPTH)
         leaf = np.zeros(len(self.start), np.uint64)
         for d in range(1, DEPTH + 1):
             of = lead == d
             if of.any():
-                leaf[of] = W.window_hash(fields, self.start[of], d, W.WINDOW_BASES[0])
+                leaf[of] = W.window_hash(self.fields, self.start[of], d, W.WINDOW_BASES[0])
         self.leaf = W.mix(leaf + self.size.astype(np.uint64))
-        self.leaves = self._box(self.leaf, self.row)
-
-    def _box(self, keys: np.ndarray, row: np.ndarray) -> X.Outbox:
-        return X.Outbox(keys, self.buckets, self.spread[row] if self.spread.any() else None)
-
-    def _messages(self, shard: int, box: X.Outbox, row: np.ndarray) -> pa.Table:
-        """Each value with the number of groups that hold it; 0 and the group's
-        name for a group in several shards."""
-        group = self.group[row]
-        order = np.lexsort((group, box.number))
-        n, g = box.number[order], group[order]
-        once = np.r_[True, (n[1:] != n[:-1]) | (g[1:] != g[:-1])] if len(n) else np.zeros(0, bool)
-        counts = np.minimum(np.bincount(n[once], minlength=len(box.keys)), 255).astype(np.uint8)
-        names = box.extra if box.extra is not None else np.zeros(len(box.keys), np.uint64)
-        counts[names != 0] = 0
-        cuts = [(b, i, j) for b, (i, j) in enumerate(zip(box.bounds[:-1], box.bounds[1:])) if i < j]
-        return pa.table({
+        self.leaves = X.Outbox(self.leaf, leaf_buckets)
+
+    def messages(self, shard: int) -> pa.Table:
+        """Distinct shingles and leaves, each leaf with the number of texts that hold it."""
+        sets = self.sets.outbox.messages(shard)
+        box = self.leaves
+        order = np.lexsort((self.row, box.number))
+        n, r = box.number[order], self.row[order]
+        once = np.r_[True, (n[1:] != n[:-1]) | (r[1:] != r[:-1])] if len(n) else np.zeros(0, bool)
+        counts = np.bincount(n[once], minlength=len(box.keys)).astype(np.int64)
+        cuts = [(b, box.bounds[b], box.bounds[b + 1]) for b in np.flatnonzero(np.diff(box.bounds)).tolist()]
+        leaves = pa.table({
             "bucket": pa.array([b for b, _, _ in cuts], pa.int32()), "shard": pa.array([shard] * len(cuts), pa.int32()),
             "entries": pa.array([box.keys[i:j].tobytes() for _, i, j in cuts], pa.binary()),
             "counts": pa.array([counts[i:j].tobytes() for _, i, j in cuts], pa.binary()),
-            "names": pa.array([names[i:j][names[i:j] != 0].tobytes() for _, i, j in cuts], pa.binary()),
         })
-
-    def leaf_messages(self, shard: int) -> pa.Table:
-        return self._messages(shard, self.leaves, self.row)
-
-    def find_fields(self, replies: pa.Table) -> None:
-        """Lines of recurring leaves, and their fields by place."""
-        self.often = np.flatnonzero(self.leaves.totals(replies)[self.leaves.number] >= self.least)
-        size = self.size[self.often]
-        self.first = np.r_[0, np.cumsum(size)]
-        of = np.repeat(np.arange(len(size)), size)
-        place = np.arange(len(of)) - self.first[:-1][of]
-        self.value = self.fields[self.start[self.often][of] + place]
-        keys = W.mix(W.mix(self.leaf[self.often][of] + place.astype(np.uint64)) ^ self.value)
-        self.field_row = self.row[self.often][of]
-        self.places = self._box(keys, self.field_row)
-
-    def field_messages(self, shard: int) -> pa.Table:
-        return self._messages(shard, self.places, self.field_row)
-
-    def find_templates(self, replies: pa.Table) -> None:
-        constant = (self.places.totals(replies)[self.places.number] >= self.least) & (self.value != _VARIABLE)
-        size = np.diff(self.first)
-        n = np.diff(np.r_[0, np.cumsum(constant)][self.first])
-        value = np.where(constant, self.value, _VARIABLE)
-        whole = W._span_sums(value, self.first[:-1], self.first[1:], W.WINDOW_BASES[1], 0)
-        template = W.mix(W.mix(whole) ^ self.leaf[self.often])
-        self.chosen = np.flatnonzero(n * CONSTANT[1] >= size * CONSTANT[0])
-        self.templates = self._box(template[self.chosen], self.row[self.often][self.chosen])
-
-    def template_messages(self, shard: int) -> pa.Table:
-        return self._messages(shard, self.templates, self.row[self.often][self.chosen])
-
-    def results(self, replies: pa.Table) -> pa.Table:
-        gone = self.often[self.chosen[self.templates.totals(replies)[self.templates.number] >= self.least]]
-        row, line = self.row[gone], self.line[gone]
+        kinds = pa.array([_SETS] * len(sets) + [_LEAVES] * len(leaves), pa.int32())
+        return pa.concat_tables([sets, leaves]).add_column(0, "kind", kinds)
+
+    def parsed(self, replies: pa.Table, least: int) -> pa.Table:
+        """Per text: its set, what the join needs where it may have a partner, and
+        the lines of leaves that ``least`` texts hold."""
+        kind = replies["kind"].to_numpy()
+        partnered = {r[0]: r for r in self.sets.partnered(replies.filter(pa.array(kind == _SETS)), J.THRESHOLD)}
+        own = replies.filter(pa.array(kind == _LEAVES))
+        total = np.zeros(len(self.leaves.keys), np.int64)
+        for b, body in zip(own["bucket"].to_pylist(), own["totals"].to_pylist()):
+            total[self.leaves.bounds[b] : self.leaves.bounds[b + 1]] = np.frombuffer(body, np.int64)
+        often = np.flatnonzero(total[self.leaves.number] >= least)
         n = self.texts.num_rows
-        offsets = np.searchsorted(row, np.arange(n + 1)).astype(np.int32)
+        cut = np.searchsorted(self.row[often], np.arange(n + 1))
+        size = self.size[often]
+        first = np.r_[0, np.cumsum(size)]
+        at = np.repeat(self.start[often] - first[:-1], size) + np.arange(first[-1])
+        offsets = pa.array(cut.astype(np.int32))
+        fields = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(self.fields[at].view(np.int64)))
+        s = self.sets.sets
+        none = (None,) * 7
+        rows = [partnered.get(i, none) for i in range(n)]
+        small = [
+            r[6] if r[6] is not None else s.elements[a:b].tobytes() if 0 < b - a <= J.MOST_LIGHT else None
+            for r, a, b in zip(rows, s.bounds[:-1].tolist(), s.bounds[1:].tolist())
+        ]
         return pa.table({
-            "h1": self.texts["h1"], "h2": self.texts["h2"], "n_lines": pa.array(self.n_lines, pa.int64()),
-            "dropped": pa.ListArray.from_arrays(pa.array(offsets), pa.array(line.astype(np.int32))),
+            "h1": self.texts["h1"], "h2": self.texts["h2"], "fp": pa.array(self.sets.keys, pa.binary()), "n": pa.array(s.sizes, pa.int32()),
+            "score": pa.array([r[3] for r in rows], pa.float64()), "sketch": pa.array([r[4] for r in rows], pa.list_(pa.int64())),
+            "prefix": pa.array([r[5] for r in rows], pa.list_(pa.int64())), "elements": pa.array(small, pa.binary()),
+            "line": pa.ListArray.from_arrays(offsets, pa.array(self.line[often].astype(np.int32))),
+            "leaf": pa.ListArray.from_arrays(offsets, pa.array(self.leaf[often].view(np.int64))),
+            "fields": pa.ListArray.from_arrays(offsets, fields),
         })
 
 
 def tally(messages: DataFrame) -> DataFrame:
-    """Replies (shard, bucket, totals): how many groups hold each entry."""
+    """Replies (shard, kind, bucket, totals): how often each entry was sent."""
 
     def run(key, table: pa.Table) -> pa.Table:
+        kind, bucket = (k.as_py() for k in key)
         table = table.sort_by("shard")
         bodies, shards = table["entries"].to_pylist(), table["shard"].to_pylist()
-        keys = np.frombuffer(b"".join(bodies), np.uint64)
-        counts = np.frombuffer(b"".join(table["counts"].to_pylist()), np.uint8).astype(np.int64)
-        named = counts == 0
-        names = np.zeros(len(keys), np.uint64)
-        names[named] = np.frombuffer(b"".join(table["names"].to_pylist()), np.uint64)
-        order = np.lexsort((names, keys)) if named.any() else np.argsort(keys)
-        k, g = keys[order], names[order]
-        new = np.r_[True, k[1:] != k[:-1]]
-        start = np.flatnonzero(new)
-        first = new | np.r_[True, g[1:] != g[:-1]]
-        sums = np.add.reduceat(np.where(g == 0, counts[order], first), start)
-        total = np.empty(len(order), np.uint16)
-        total[order] = np.repeat(np.minimum(sums, 65535).astype(np.uint16), np.diff(np.r_[start, len(order)]))
-        ends = np.cumsum([len(b) // 8 for b in bodies])
+        entry, count, answer = (np.uint32, np.uint8, np.uint16) if kind == _SETS else (np.uint64, np.int64, np.int64)
+        keys = np.frombuffer(b"".join(bodies), entry)
+        counts = np.frombuffer(b"".join(table["counts"].to_pylist()), count).astype(np.int64)
+        order = np.argsort(keys)
+        k = keys[order]
+        start = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+        sums = np.add.reduceat(counts[order], start)
+        if kind == _SETS:  # only which shingles are rarer and which are alone matters
+            sums = np.minimum(sums, np.iinfo(answer).max)
+        total = np.empty(len(order), answer)
+        total[order] = np.repeat(sums.astype(answer), np.diff(np.r_[start, len(order)]))
+        width = keys.dtype.itemsize
+        ends = np.cumsum([len(b) // width for b in bodies])
         return pa.table({
-            "shard": pa.array(shards, pa.int32()), "bucket": pa.array([table["bucket"][0].as_py()] * len(shards), pa.int32()),
-            "totals": pa.array([total[e - len(b) // 8 : e].tobytes() for b, e in zip(bodies, ends)], pa.binary()),
+            "shard": pa.array(shards, pa.int32()), "kind": pa.array([kind] * len(shards), pa.int32()), "bucket": pa.array([bucket] * len(shards), pa.int32()),
+            "totals": pa.array([total[e - len(b) // width : e].tobytes() for b, e in zip(bodies, ends)], pa.binary()),
         })
 
-    return messages.groupBy("bucket").applyInArrow(W.lean2(run), X.REPLY)
-
+    return messages.groupBy("kind", "bucket").applyInArrow(W.lean2(run), _REPLY)
 
-def near_copies(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(h1, h2, name, parts) of the texts that have near copies: their group's
-    name (not 0) and the number of parts that its size asks for."""
-    rows = docs.select(F.col(f"`{text}`").alias("text"), *X.text_key(F.coalesce(F.col(f"`{text}`"), F.lit("")))).withColumn(
-        "size", F.octet_length("text"))
-    found = jaccard_components(rows, ["h1", "h2", "size"], "h1").where("n_shingles > 0")
-    members = reliable_checkpoint(found.select("h1", "h2", "size", F.when(F.col("component_id") == 0, 1).otherwise(F.col("component_id")).alias("name")).distinct())
-    groups = members.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("size").cast("long")).alias("bytes")).where("n > 1")
-    parts = F.ceil(F.col("bytes") * PARTS / X.SHARD_BYTES).cast("long")
-    return reliable_checkpoint(members.join(groups.select("name", parts.alias("parts")), "name").select("h1", "h2", "name", "parts"))
 
+def parse(docs: DataFrame, text: str, least: int, shards: int | None = None) -> DataFrame:
+    """The second parse of every distinct text (``_PARSED``), written once."""
+    shards = shards or X.n_shards(docs, text)
+    set_buckets, leaf_buckets = X.n_buckets(shards * X.SHARD_BYTES // 6), X.n_buckets(shards * X.SHARD_BYTES // 60)
+    by_shard = X.distinct_texts(docs, shards, text).groupBy("shard")
 
-def grouped_texts(docs: DataFrame, shards: int, text: str = "text") -> DataFrame:
-    """``exchange.distinct_texts`` by shard of the group, with the group's ``name``
-    (a text of its own is named by its hash) and whether it is ``spread``."""
-    texts = X.distinct_texts(docs, shards, text).drop("shard").join(near_copies(docs, text), ["h1", "h2"], "left")
-    parts = F.coalesce("parts", F.lit(1))
-    name = F.coalesce("name", "h1")
-    shard = F.pmod(F.xxhash64(name, F.pmod("h2", parts)), F.lit(shards)).cast("int")
-    return texts.select(shard.alias("shard"), "h1", "h2", "text", "copies", name.alias("name"), (parts > 1).alias("spread"))
+    def send(key, texts):
+        return Shard(texts, set_buckets, leaf_buckets).messages(key[0].as_py())
 
+    def keep(key, texts, replies):
+        return Shard(texts, set_buckets, leaf_buckets).parsed(replies, least)
 
-def recurring_lines(docs: DataFrame, text: str = "text", least: int = LEAST_DOCS, shards: int | None = None) -> DataFrame:
-    """Per distinct text (keys ``h1``, ``h2``): ``n_lines`` and the numbers (0-based)
-    of the lines to drop."""
-    shards = shards or X.n_shards(docs, text)
-    buckets = X.n_buckets(shards * X.SHARD_BYTES // 20)
-    by_shard = grouped_texts(docs, shards, text).groupBy("shard")
+    replies = tally(by_shard.applyInArrow(W.lean2(send), _MESSAGE))
+    return reliable_checkpoint(by_shard.cogroup(replies.groupBy("shard")).applyInArrow(W.lean3(keep), _PARSED))
 
-    def of(replies: pa.Table, kind: int) -> pa.Table:
-        return replies.filter(pa.array(replies["kind"].to_numpy() == kind))
 
-    def send_leaves(key, texts):
-        return Shard(texts, buckets, least).leaf_messages(key[0].as_py())
+def group_names(parsed: DataFrame) -> DataFrame:
+    """(fp, name): the group of near copies that a set belongs to, for the sets
+    that have a partner; others are groups of their own."""
+    sets = parsed.where("n > 0").select("fp", F.col("n").cast("long").alias("n_shingles"), "elements", "score", "sketch", "prefix")
+    small = parsed.where(F.col("n").between(1, J.MOST_LIGHT)).groupBy("n").agg(F.count(F.lit(1)).alias("m")).collect()
+    more = parsed.where(F.col("n") > J.MOST_LIGHT).count()
+    boundary = J.choose_boundary({**{r["n"]: r["m"] for r in small}, J.MOST_LIGHT + 1: more})
+    heavy = sets.where(F.col("prefix").isNotNull() & (F.col("n_shingles") >= J.first_heavy(boundary))).withColumn("n", F.col("n_shingles").cast("int"))
+    heavy = reliable_checkpoint(heavy.drop("n_shingles").dropDuplicates(["fp"]))
+    links = J.light_links(sets, boundary).unionByName(J.heavy_links(heavy))
+    return connected_components(links).select(F.col("node").alias("fp"), F.col("component").alias("name"))
 
-    def send_fields(key, texts, replies):
-        s = Shard(texts, buckets, least)
-        s.find_fields(replies)
-        return s.field_messages(key[0].as_py())
 
-    def send_templates(key, texts, replies):
-        s = Shard(texts, buckets, least)
-        s.find_fields(of(replies, 0))
-        s.find_templates(of(replies, 1))
-        return s.template_messages(key[0].as_py())
+def _in_groups(rows: DataFrame, of: list[str], least: int) -> DataFrame:
+    """The values ``of`` that ``least`` groups hold, or more."""
+    return rows.select(*of, "name").distinct().groupBy(*of).agg(F.count(F.lit(1)).alias("groups")).where(F.col("groups") >= least).drop("groups")
 
-    def finish(key, texts, replies):
-        s = Shard(texts, buckets, least)
-        s.find_fields(of(replies, 0))
-        s.find_templates(of(replies, 1))
-        return s.results(of(replies, 2))
 
-    leaves = tally(by_shard.applyInArrow(W.lean2(send_leaves), _MESSAGE))
-    fields = tally(by_shard.cogroup(leaves.groupBy("shard")).applyInArrow(W.lean3(send_fields), _MESSAGE))
-    two = leaves.withColumn("kind", F.lit(0)).unionByName(fields.withColumn("kind", F.lit(1)))
-    templates = tally(by_shard.cogroup(two.groupBy("shard")).applyInArrow(W.lean3(send_templates), _MESSAGE))
-    three = two.unionByName(templates.withColumn("kind", F.lit(2)))
-    return by_shard.cogroup(three.groupBy("shard")).applyInArrow(W.lean3(finish), _RESULT)
+def recurring_lines(docs: DataFrame, text: str = "text", least: int = LEAST_DOCS, shards: int | None = None) -> DataFrame:
+    """Per distinct text (keys ``h1``, ``h2``) with lines to drop: their numbers
+    (0-based)."""
+    parsed = parse(docs, text, least, shards)
+    lines = parsed.where(F.size("line") > 0).select("h1", "h2", "fp", F.inline(F.arrays_zip("line", "leaf", "fields")))
+    lines = lines.join(group_names(parsed), "fp", "left").withColumn("name", F.coalesce("name", "fp")).drop("fp")
+    lines = reliable_checkpoint(lines)
+    lines = lines.join(_in_groups(lines, ["leaf"], least), "leaf")
+    variable = F.lit(int(_VARIABLE.view(np.int64)))
+    places = lines.select("h1", "h2", "line", "leaf", "name", F.posexplode("fields").alias("place", "value"))
+    constant = _in_groups(places.where(F.col("value") != variable), ["leaf", "place", "value"], least).withColumn("constant", F.lit(True))
+    found = places.join(constant, ["leaf", "place", "value"], "left").groupBy("h1", "h2", "line", "leaf", "name").agg(
+        F.sort_array(F.collect_list(F.struct("place", F.when(F.col("constant"), F.col("value")).alias("value")))).alias("template"))
+    n = F.size(F.filter("template", lambda f: f["value"].isNotNull()))
+    found = reliable_checkpoint(found.where(n * CONSTANT[1] >= F.size("template") * CONSTANT[0]))
+    gone = found.join(_in_groups(found, ["leaf", "template"], least), ["leaf", "template"], "left_semi")
+    return gone.groupBy("h1", "h2").agg(F.collect_list("line").alias("dropped"))
 
 
 def drop_recurring_lines(docs: DataFrame, text: str = "text", least: int = LEAST_DOCS) -> DataFrame:
@@ -231,7 +218,7 @@ def drop_recurring_lines(docs: DataFrame, text: str = "text", least: int = LEAST
     null), plus ``n_lines`` and ``n_dropped``."""
     taken = [c for c in docs.columns if c in ("n_lines", "n_dropped")]
     columns = [c for c in docs.columns if c not in taken]
-    found = recurring_lines(docs.select(F.col(f"`{text}`").alias("text")), least=least).where(F.size("dropped") > 0)
+    found = recurring_lines(docs.select(F.col(f"`{text}`").alias("text")), least=least)
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in columns if c != text]).alias("_row") if len(columns) > 1 else F.lit(None).cast("string").alias("_row"),
         F.col(f"`{text}`").alias("_text"), *X.text_key(F.coalesce(F.col(f"`{text}`"), F.lit(""))),

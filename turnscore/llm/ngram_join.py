@@ -57,10 +57,11 @@ def least_overlap(a: int, b: int, t: tuple[int, int] = THRESHOLD) -> int:
 
 class Sets:
     """Shingle sets of a batch of texts: ``elements[bounds[r]:bounds[r+1]]``,
-    sorted; ``fp`` two fingerprints per set."""
+    sorted; ``fp`` two fingerprints per set. ``words``: the lower-cased words,
+    where they are known already."""
 
-    def __init__(self, texts, shingle: int):
-        w = W.split(texts, lower=True)
+    def __init__(self, texts, shingle: int, words: W.Words | None = None):
+        w = W.split(texts, lower=True) if words is None else words
         n = np.diff(w.bounds)
         size = np.clip(n, 1, shingle)  # shingle length of each row
         count = np.where(n > 0, np.maximum(n - size + 1, 0), 0)
@@ -189,7 +190,9 @@ class Shard:
     """Distinct heavy sets of a shard."""
 
     def __init__(self, texts: pa.Table, shingle: int, least: int, buckets: int):
-        s = Sets(X.merged(texts)["text"], shingle)
+        self.take(Sets(X.merged(texts)["text"], shingle), least, buckets)
+
+    def take(self, s: Sets, least: int, buckets: int) -> None:
         keys = s.keys()
         first = {k: r for r, k in reversed(list(enumerate(keys)))}
         self.rows = np.array(sorted(r for r in first.values() if s.sizes[r] >= least), np.int64)
@@ -201,6 +204,12 @@ class Shard:
         self.outbox = X.Outbox(self.elements, buckets, short=True)
 
     def survivors(self, replies: pa.Table, t: tuple[int, int]) -> pa.Table:
+        out = [r[1:] for r in self.partnered(replies, t)]
+        kinds = [("fp", pa.binary()), ("n", pa.int32()), ("score", pa.float64()), ("sketch", pa.list_(pa.int64())), ("prefix", pa.list_(pa.int64())), ("elements", pa.binary())]
+        return pa.table({n: pa.array([r[i] for r in out], k) for i, (n, k) in enumerate(kinds)})
+
+    def partnered(self, replies: pa.Table, t: tuple[int, int]) -> list[tuple]:
+        """(row, fp, n, score, sketch, prefix, elements) of the sets that may have a partner."""
         df = self.outbox.totals(replies)[self.outbox.number].astype(np.int64)
         shared = np.add.reduceat(df > 1, self.bounds[:-1], dtype=np.int64) if len(self.rows) else np.zeros(0, np.int64)
         least = -(-t[0] * self.sizes // t[1])
@@ -213,11 +222,10 @@ class Shard:
             if len(prefix):
                 bits = np.bincount((own % W.U64(64 * SKETCH_WORDS)).astype(np.int64), minlength=64 * SKETCH_WORDS).astype(np.uint8) & 1
                 out.append((
-                    self.keys[self.rows[i]], int(b - a), float(np.log2(freq).mean()), np.packbits(bits).view(np.int64).tolist(),
+                    int(self.rows[i]), self.keys[self.rows[i]], int(b - a), float(np.log2(freq).mean()), np.packbits(bits).view(np.int64).tolist(),
                     prefix.view(np.int64).tolist(), own.tobytes(),
                 ))
-        kinds = [("fp", pa.binary()), ("n", pa.int32()), ("score", pa.float64()), ("sketch", pa.list_(pa.int64())), ("prefix", pa.list_(pa.int64())), ("elements", pa.binary())]
-        return pa.table({n: pa.array([r[i] for r in out], k) for i, (n, k) in enumerate(kinds)})
+        return out
 
 
 def heavy_sets(docs: DataFrame, text: str, least: int, shingle: int = SHINGLE, t: tuple[int, int] = THRESHOLD, shards: int | None = None) -> DataFrame:
