@@ -18,8 +18,8 @@ def shingles(text, n=3):
     return frozenset(tuple(w[i : i + n]) for i in range(len(w) - n + 1))
 
 
-def brute(rows, t=(90, 100)):
-    sets = [shingles(x) for _, x in rows]
+def brute(rows, t=(90, 100), n=3):
+    sets = [shingles(x, n) for _, x in rows]
     parent = list(range(len(rows)))
 
     def root(x):

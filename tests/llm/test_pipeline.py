@@ -55,6 +55,23 @@ def test_language_stage_drops_what_no_language_explains(spark):
     assert len(kept & set(held)) >= 0.99 * len(held)
 
 
+def test_language_stage_holds_on_a_large_vocabulary(spark):
+    """Training texts that would fill a small table of n-grams."""
+    r = random.Random(7)
+    make = lambda vowels, consonants: "".join(r.choice(consonants) + r.choice(vowels) for _ in range(r.randint(2, 5)))
+    spoken = {"aa": [make("aeiou", "bcdfghlmnprst") for _ in range(30_000)], "bb": [make("aeiouyäö", "dghjklmnprstvk") + r.choice("nst") for _ in range(30_000)]}
+    rows = [(i, " ".join(r.choices(spoken[x], k=300)), x, None, 0) for i, x in enumerate(["aa", "bb"] * 500)]
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    junk = ["".join(r.choices(letters, k=1500)), " ".join("".join(r.choices(letters, k=r.randint(2, 9))) for _ in range(300)),
+            "".join(r.choices("ABCDEFGHIJKLMabcdefghijklmnopqrstuvwxyz0123456789+/", k=1500)), "".join(chr(r.randint(0x4E00, 0x9000)) for _ in range(300)),
+            "Все люди рождаются свободными и равными в своем достоинстве и правах " * 5]
+    docs = spark.createDataFrame(rows + [(10**6 + i, t, None, None, 0) for i, t in enumerate(junk)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {x.doc_id for x in C.keep_recognised(spark, docs, SMALL).collect()}
+    assert not any(10**6 + i in kept for i in range(len(junk)))
+    held = {i for i, *_ in rows if zlib.crc32(str(i).encode()) % 5 == 0}
+    assert len(kept & held) >= 0.97 * len(held)
+
+
 def test_line_stage_drops_what_recurs(stages):
     _, before, after = stages[1]
     rows = [(r.doc_id, r.text) for r in before.collect()]
@@ -63,7 +80,7 @@ def test_line_stage_drops_what_recurs(stages):
 
 def test_join_stage_keeps_one_of_each_group(stages):
     _, before, after = stages[2]
-    want = {k for k, _, c in components_by_hand([(r.doc_id, r.text) for r in before.collect()]) if k == c}
+    want = {k for k, _, c in components_by_hand([(r.doc_id, r.text) for r in before.collect()], (80, 100), 5) if k == c}
     assert {r.doc_id for r in after.collect()} == want and len(want) < before.count()
 
 
@@ -114,7 +131,7 @@ def test_registered(spark):
     from __spark_entry__ import queries as registered
 
     names = set(registered())
-    assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
+    assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 14))
     assert {"op1_chat_formatting", "op7_url_filters"} <= set(oracle_sql()) and C.ORACLE_SQL is None
     assert language_id.PER_LANGUAGE > 0
     assert C.run(spark, SMALL).columns == ["doc_id", "lang", "source", "n_tokens", "ids"]

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import random
 import re
 
 import numpy as np
@@ -100,3 +101,48 @@ def test_query_on_whole_documents(spark):
         listed = ",".join(f"{k}:{a}:{b}" for a, b, k in base(docs[r.doc_id]))
         assert r.base_sha256 == hashlib.sha256(listed.encode()).hexdigest()
         assert [s for s in r.spans.split(",") if s and not s.startswith("crf")] == [s for s in listed.split(",") if s]
+
+
+@pytest.fixture(scope="module")
+def fitted():
+    import pyarrow.parquet as pq
+
+    texts = [t for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist() if t]
+    return S.fit_texts(texts[:600]), texts[600:]
+
+
+def _key(r, letters, n):
+    return "".join(r.choices(letters, k=n))
+
+
+#: Make-ups that training never plants as such.
+HELD_OUT = {
+    "ghp_": lambda r: "ghp_" + _key(r, S._BASE62, 36), "sk_live_": lambda r: "sk_live_" + _key(r, S._BASE62, 24), "40 of base64": lambda r: _key(r, S._BASE62 + "+/", 40),
+    "upper hex": lambda r: _key(r, "0123456789ABCDEF", 40), "web token": lambda r: ".".join("eyJ" + _key(r, S._BASE62, n) for n in (17, 40)) + "." + _key(r, S._BASE62 + "-_", 43),
+    "AIza": lambda r: "AIza" + _key(r, S._BASE62 + "-_", 35), "xoxb": lambda r: "xoxb-" + _key(r, "0123456789", 11) + "-" + _key(r, S._BASE62, 24),
+    "glpat": lambda r: "glpat-" + _key(r, S._BASE62, 20), "small letters and digits": lambda r: _key(r, "abcdefghijklmnopqrstuvwxyz0123456789", 36),
+}
+
+
+@pytest.mark.parametrize("kind", HELD_OUT)
+def test_recall_on_planted_kinds_in_words_that_no_base_pattern_knows(fitted, kind):
+    crf, texts = fitted
+    r, planted, places = random.Random(kind), [], []
+    for text in texts[:150]:
+        words = text.split(" ")
+        at, secret = r.randint(0, len(words)), HELD_OUT[kind](r)
+        head = " ".join([*words[:at], r.choice(["", "the key ", "use ", '"'])])
+        planted.append(head + secret + " " + " ".join(words[at:]))
+        places.append((len(head), len(head) + len(secret)))
+    found = S.scan(pa.array(planted), crf)
+    hit = sum(any(a <= x and y <= b for a, b, _ in spans) for spans, (x, y) in zip(found, places))
+    assert hit >= 0.9 * len(planted), hit
+
+
+def test_false_rate_on_untouched_texts(fitted):
+    crf, texts = fitted
+    added = sum(k == 3 for spans in S.scan(pa.array(texts), crf) for _, _, k in spans)
+    assert added <= len(texts) // 200
+    harmless = ["see https://www.example.com/some/long-path/with_words/2024/index.html?x=1", "version 10.2.33-beta of MyVeryLongClassNameForTests",
+                "call 0123456789012345678901 on 2024-01-02", "THE_QUICK_BROWN_FOX_JUMPS", "mail first.last42@mail7.example.com", "Donaudampfschifffahrtsgesellschaft"]
+    assert [[s for s in spans if s[2] == 3] for spans in S.scan(pa.array(harmless), crf)] == [[]] * len(harmless)

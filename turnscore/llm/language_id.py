@@ -11,7 +11,8 @@ text costs one row gather per distinct n-gram.
 Letters are folded to lower case; all other ASCII is one blank. A language's
 score is its regression value cut to 0..1. As the values of a text add up to 1,
 they compare languages only; whether a text is in any of them tells the share of
-its n-grams that a language's training texts hold (``known``).
+its 4-grams that a language's training texts hold (``known``), less what chance
+would give in a table so full.
 
 The model is fitted on a bounded sample: at most about ``PER_LANGUAGE`` labelled
 texts per language, drawn by a hash of the text. Every text is scored whole.
@@ -27,13 +28,15 @@ import unicodedata
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnscore.llm import words as W
 
 ORDERS = (2, 3, 4)
 DIMENSIONS = 1 << 16
+#: Places of the longest n-grams for ``known``: far more than a language's texts hold, so chance hits stay rare.
+KNOWN = 1 << 22
 LANDMARKS = 256
 PER_LANGUAGE = 400
 RIDGE = 1e-2
@@ -46,8 +49,8 @@ _FOLD[128:] = np.arange(128, 256)
 _MULTIPLIER = np.uint32(2654435761)
 
 
-def grams(data: np.ndarray) -> np.ndarray:
-    """Places of all n-grams of a text's bytes (with repeats)."""
+def _codes(data: np.ndarray) -> list[np.ndarray]:
+    """Codes of the n-grams of a text's bytes, for n from 2 on."""
     s = _FOLD[data].astype(np.uint32)
     s = s[np.flatnonzero((s != 32) | (np.r_[np.uint32(0), s[:-1]] != 32))] if len(s) else s  # one blank for many
     if len(s):
@@ -57,11 +60,22 @@ def grams(data: np.ndarray) -> np.ndarray:
         if len(s) < n:
             break
         code = code[:-1] * np.uint32(257) + s[n - 1 :]
-        if n in ORDERS:
-            out.append(((code + np.uint32(n)) * _MULTIPLIER) >> np.uint32(16))
+        out.append(code)
+    return out
+
+
+def grams(data: np.ndarray) -> np.ndarray:
+    """Places of all n-grams of a text's bytes (with repeats)."""
+    out = [((code + np.uint32(n)) * _MULTIPLIER) >> np.uint32(16) for n, code in enumerate(_codes(data), 2) if n in ORDERS]
     return np.concatenate(out).astype(np.int64) if out else np.zeros(0, np.int64)
 
 
+def long_grams(data: np.ndarray) -> np.ndarray:
+    """Places of a text's longest n-grams in the ``KNOWN`` table (of the whole text, if it has fewer bytes)."""
+    codes = _codes(data)
+    return ((codes[-1] * _MULTIPLIER) >> np.uint32(32 - KNOWN.bit_length() + 1)).astype(np.int64) if codes else np.zeros(0, np.int64)
+
+
 class Presence:
     """Distinct n-grams of one text after the other, without sorting."""
 
@@ -87,12 +101,23 @@ def has_letter(data: np.ndarray) -> bool:
 
 class Model:
     """Languages and the product of landmark matrix and coefficients
-    (``DIMENSIONS`` x languages). ``held``: which n-grams a language's training
-    texts hold; ``usual``: the share that 99 of 100 training texts have in the
-    others of their language."""
+    (``DIMENSIONS`` x languages). ``held``: which long n-grams a language's
+    training texts hold (packed bits, languages x ``KNOWN``); ``usual``: the
+    known share that 99 of 100 training texts have in the others of their
+    language."""
 
     def __init__(self, languages: list[str], weights: np.ndarray, offset: np.ndarray, held: np.ndarray | None = None, usual: float = 0.0):
         self.languages, self.weights, self.offset, self.held, self.usual = languages, weights, offset, held, usual
+        self.chance = None if held is None else np.bitwise_count(held).sum(axis=1) / KNOWN
+
+    def known(self, data: np.ndarray) -> float:
+        """The share of a text's long n-grams that one language holds, at most,
+        beyond what chance would hold."""
+        g = long_grams(data)
+        if not len(g):
+            return 0.0
+        share = ((self.held[:, g >> 3] >> (g & 7).astype(np.uint8)) & 1).mean(axis=1)
+        return float(np.clip((share - self.chance) / (1 - np.minimum(self.chance, 0.999)), 0, 1).max())
 
     def predict(self, texts) -> tuple[list[str], np.ndarray]:
         return self.predict_known(texts, False)[:2]
@@ -114,8 +139,6 @@ class Model:
             places = np.concatenate(found)
             sums = np.add.reduceat(self.weights[places], at, axis=0)
             values[rows] = sums / np.sqrt(np.array(sizes))[:, None] + self.offset
-            if known:
-                share[rows] = np.add.reduceat(self.held[places], at, axis=0, dtype=np.int64).max(axis=1) / np.array(sizes)
             found.clear(), sizes.clear(), rows.clear()
 
         letters = np.zeros(n, bool)
@@ -125,6 +148,8 @@ class Model:
             if letters[r]:
                 g = presence.of(own)
                 found.append(g), sizes.append(len(g)), rows.append(r)
+                if known:
+                    share[r] = self.known(own)
                 if len(rows) >= 256:
                     flush()
         flush()
@@ -162,13 +187,15 @@ def solve(texts: list[str], labels: list[str], landmarks: int = LANDMARKS, ridge
     fy = (target - mean_y) * np.sqrt(weight)
     gram = fx.T @ fx
     beta = np.linalg.solve(gram + ridge * np.trace(gram) / len(gram) * np.eye(len(gram)), fx.T @ fy)
-    held, shares = np.zeros((DIMENSIONS, len(languages)), bool), []
+    held, shares = np.zeros((len(languages), KNOWN // 8), np.uint8), []
+    own = [long_grams(data[offsets[i] : offsets[i + 1]]) for i in used]
     for j, x in enumerate(languages):
-        texts_with = np.zeros(DIMENSIONS, np.int32)
+        texts_with = np.zeros(KNOWN, np.int32)
         for i in by_language[x]:
-            texts_with[rows[i]] += 1
-        held[:, j] = texts_with > 0
-        shares += [float((texts_with[rows[i]] > 1).mean()) for i in by_language[x]]
+            texts_with[np.unique(own[i])] += 1
+        held[j] = np.packbits(texts_with > 0, bitorder="little")
+        chance = (texts_with > 0).mean()
+        shares += [float(((texts_with[own[i]] > 1).mean() - chance) / (1 - chance)) for i in by_language[x] if len(own[i])]
     return Model(languages, (marks @ (root @ beta)).astype(np.float32), mean_y - mean_x @ beta, held, float(np.quantile(shares, 0.01)))
 
 
@@ -180,20 +207,19 @@ def held_out(id_column: Column) -> Column:
 def fit(rows: DataFrame, text: str = "text", label: str = "lang", per_language: int = PER_LANGUAGE, landmarks: int = LANDMARKS) -> Model:
     """Fits on a sample of ``rows`` with a text and a label, drawn by text hash so
     that each language gives about ``per_language`` texts (all, if it has fewer)."""
-    labelled = rows.select(F.col(text).alias("t"), F.col(label).alias("y")).where("t is not null and y is not null and t <> ''")
-    counts = {r["y"]: r["n"] for r in labelled.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    labelled = rows.select(F.col(text).alias("t"), F.col(label).alias("y")).where("t is not null and y is not null and t <> ''").withColumn(
+        "h", F.xxhash64("t", F.lit("sample")))
+    # a hot text counts, and is drawn, once
+    counts = {r["y"]: r["n"] for r in labelled.select("y", "h").distinct().groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return Model([], np.zeros((DIMENSIONS, 0), np.float32), np.zeros(0))
     steps = 1 << 30
     share = F.create_map(*[F.lit(v) for y, n in counts.items() for v in (y, int(min(1.0, per_language / n) * steps))])
-    place = F.pmod(F.xxhash64("t", F.lit("sample")), F.lit(steps))
-    sample = labelled.where(place < share[F.col("y")]).select("t", "y").orderBy(place, "t").collect()
-    kept: dict[str, int] = {}
-    texts, labels = [], []
-    for r in sample:  # a hot text may stand for many rows
-        kept[r["y"]] = kept.get(r["y"], 0) + 1
-        if kept[r["y"]] <= 2 * per_language:
-            texts.append(r["t"]), labels.append(r["y"])
+    place = F.pmod("h", F.lit(steps))
+    drawn = labelled.where(place < share[F.col("y")]).groupBy("y", "h").agg(F.min("t").alias("t"))
+    first = Window.partitionBy("y").orderBy(place, "h")
+    sample = drawn.withColumn("i", F.row_number().over(first)).where(F.col("i") <= 2 * per_language).orderBy(place, "t", "y").collect()
+    texts, labels = [r["t"] for r in sample], [r["y"] for r in sample]
     return solve(texts, labels, landmarks)
 
 

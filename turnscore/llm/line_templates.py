@@ -53,20 +53,31 @@ _PARSED = (
 )
 
 
+def _capitals(data: np.ndarray, w: W.Words) -> np.ndarray:
+    """A fingerprint of where each word has capitals (0: nowhere), which tells
+    words apart whose lower-cased hashes are equal."""
+    at = np.flatnonzero((data >= 65) & (data <= 90))
+    word = np.searchsorted(w.starts, at, side="right") - 1
+    out = np.zeros(len(w.starts), np.uint64)
+    if len(at):
+        first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+        out[word[first]] = W.mix(np.add.reduceat(W.mix((at - w.starts[word]).astype(np.uint64) + W.U64(1)), first))
+    return out
+
+
 class Shard:
     """A shard's distinct texts: their shingle sets and the leaves of their lines."""
 
     def __init__(self, texts: pa.Table, set_buckets: int, leaf_buckets: int):
         self.texts = X.merged(texts)
-        w = W.split(self.texts["text"])
-        lower = W.Words(w.data, w.starts, w.ends, w.bounds, (W.span_hash(W.LOWER[w.data], w.starts, w.ends, W.BASES[0]),))
+        lower = W.split(self.texts["text"], lower=True)
         self.sets = J.Shard.__new__(J.Shard)
         self.sets.take(J.Sets(None, J.SHINGLE, lower), 1, set_buckets)
-        data, row = w.data, w.rows
+        data, offsets = W.utf8(self.texts["text"])
+        w, row = lower, lower.rows
         digit = np.r_[np.int32(0), np.cumsum((data >= 48) & (data <= 57), dtype=np.int32)]
-        self.fields = np.where(digit[w.ends] > digit[w.starts], _VARIABLE, w.hashes[0])
+        self.fields = np.where(digit[w.ends] > digit[w.starts], _VARIABLE, w.hashes[0] + _capitals(data, w))
         breaks = np.r_[np.int32(0), np.cumsum(data == 10, dtype=np.int32)]
-        _, offsets = W.utf8(self.texts["text"])
         line = breaks[w.starts] - breaks[offsets[row]]
         new = np.r_[True, (row[1:] != row[:-1]) | (line[1:] != line[:-1])] if len(row) else np.zeros(0, bool)
         self.start = np.flatnonzero(new)
@@ -189,28 +200,42 @@ def group_names(parsed: DataFrame) -> DataFrame:
     return connected_components(links).select(F.col("node").alias("fp"), F.col("component").alias("name"))
 
 
-def _in_groups(rows: DataFrame, of: list[str], least: int) -> DataFrame:
-    """The values ``of`` that ``least`` groups hold, or more."""
-    return rows.select(*of, "name").distinct().groupBy(*of).agg(F.count(F.lit(1)).alias("groups")).where(F.col("groups") >= least).drop("groups")
+def _recurring(kinds: DataFrame, held: DataFrame, of: list[str], least: int) -> DataFrame:
+    """The values ``of`` that ``least`` groups hold, or more. ``kinds``: (leaf,
+    fields, groups, of...), the kinds of line that have a value and how many
+    groups hold that kind; ``held``: (leaf, fields, name).
+
+    The largest of a value's kinds bounds its groups from below and their sum from
+    above; only where neither decides are the distinct groups counted."""
+    bounds = kinds.groupBy(*of).agg(F.max("groups").alias("low"), F.sum("groups").alias("high")).where(F.col("high") >= least)
+    sure = bounds.where(F.col("low") >= least).select(*of)
+    open_ = kinds.join(bounds.where(F.col("low") < least).select(*of), of, "left_semi")
+    names = held.join(open_.select(*dict.fromkeys(["leaf", "fields", *of])), ["leaf", "fields"]).select(*of, "name").distinct()
+    return sure.unionByName(names.groupBy(*of).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select(*of))
 
 
 def recurring_lines(docs: DataFrame, text: str = "text", least: int = LEAST_DOCS, shards: int | None = None) -> DataFrame:
     """Per distinct text (keys ``h1``, ``h2``) with lines to drop: their numbers
-    (0-based)."""
+    (0-based). Lines of equal fields are one kind, so what follows the parse
+    works on kinds, and on the groups that hold them."""
     parsed = parse(docs, text, least, shards)
     lines = parsed.where(F.size("line") > 0).select("h1", "h2", "fp", F.inline(F.arrays_zip("line", "leaf", "fields")))
     lines = lines.join(group_names(parsed), "fp", "left").withColumn("name", F.coalesce("name", "fp")).drop("fp")
     lines = reliable_checkpoint(lines)
-    lines = lines.join(_in_groups(lines, ["leaf"], least), "leaf")
+    held = lines.select("leaf", "fields", "name").distinct()
+    kinds = reliable_checkpoint(held.groupBy("leaf", "fields").agg(F.count(F.lit(1)).alias("groups")))
+    kinds = kinds.join(_recurring(kinds, held, ["leaf"], least), "leaf", "left_semi")
     variable = F.lit(int(_VARIABLE.view(np.int64)))
-    places = lines.select("h1", "h2", "line", "leaf", "name", F.posexplode("fields").alias("place", "value"))
-    constant = _in_groups(places.where(F.col("value") != variable), ["leaf", "place", "value"], least).withColumn("constant", F.lit(True))
-    found = places.join(constant, ["leaf", "place", "value"], "left").groupBy("h1", "h2", "line", "leaf", "name").agg(
+    places = reliable_checkpoint(kinds.select("leaf", "fields", "groups", F.posexplode("fields").alias("place", "value")))
+    constant = _recurring(places.where(F.col("value") != variable), held, ["leaf", "place", "value"], least).withColumn("constant", F.lit(True))
+    templates = places.join(constant, ["leaf", "place", "value"], "left").groupBy("leaf", "fields", "groups").agg(
         F.sort_array(F.collect_list(F.struct("place", F.when(F.col("constant"), F.col("value")).alias("value")))).alias("template"))
     n = F.size(F.filter("template", lambda f: f["value"].isNotNull()))
-    found = reliable_checkpoint(found.where(n * CONSTANT[1] >= F.size("template") * CONSTANT[0]))
-    gone = found.join(_in_groups(found, ["leaf", "template"], least), ["leaf", "template"], "left_semi")
-    return gone.groupBy("h1", "h2").agg(F.collect_list("line").alias("dropped"))
+    templates = reliable_checkpoint(templates.where(n * CONSTANT[1] >= F.size("template") * CONSTANT[0]))
+    gone = templates.join(_recurring(templates, held, ["leaf", "template"], least), ["leaf", "template"], "left_semi").select("leaf", "fields")
+    # a written table: few kinds are broadcast, so a kind that many lines share stays where its lines are
+    dropped = lines.select("h1", "h2", "line", "leaf", "fields").join(reliable_checkpoint(gone), ["leaf", "fields"], "left_semi")
+    return dropped.groupBy("h1", "h2").agg(F.collect_list("line").alias("dropped"))
 
 
 def drop_recurring_lines(docs: DataFrame, text: str = "text", least: int = LEAST_DOCS) -> DataFrame:
@@ -226,7 +251,8 @@ def drop_recurring_lines(docs: DataFrame, text: str = "text", least: int = LEAST
     lines = F.split("_text", "\n", -1)
     left = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("dropped", i)), "\n")
     n_lines = F.when(F.coalesce(F.length("_text"), F.lit(0)) > 0, F.size(lines)).otherwise(0).cast("long")
-    out = rows.join(found.select("h1", "h2", "dropped"), ["h1", "h2"], "left").select(
+    # the lines are the small side of every partition, so texts needn't be sorted to meet them
+    out = rows.join(found.select("h1", "h2", "dropped").hint("shuffle_hash"), ["h1", "h2"], "left").select(
         "_row", F.when(F.col("dropped").isNull(), F.col("_text")).otherwise(left).alias("_kept"), n_lines.alias("n_lines"),
         F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"),
     )

@@ -5,23 +5,29 @@ the tokens of the text adds what they miss: each token is tagged secret begin
 (B), inside (I) or outside (O) from its shape, its neighbours, the signs around
 it and features of the whole file; the best tagging is found by Viterbi.
 
-The CRF learns from the base spans of a bounded sample of texts (``SAMPLE``,
-drawn by text hash): windows around the spans and elsewhere, trained by
-forward-backward and AdaGrad. Each window around a span is taken a second time
-without its context features, so that shape alone can tell a secret in words
-that no base pattern knows. Every text is scanned whole.
+The CRF learns from a bounded sample of texts (``SAMPLE``, drawn by text hash),
+by forward-backward and AdaGrad over windows: around the base spans, elsewhere,
+and around tokens planted at random places of the sample, random keys of several
+make-ups as secrets and made-up identifiers, paths, dates, numbers and host
+names as harmless neighbours of theirs. A planted key stands among words that no
+base pattern knows, so its shape has to tell it: above all how often its
+neighbouring characters change between digits, capitals and small letters. Each
+window around a base span is taken a second time without its context features.
+It claims random tokens of 20 characters and more that mix digits and letters;
+short passwords and words are beyond it. Every text is scanned whole.
 
 A tagging splits exactly where a token is outside by more than any gain from
 transitions; only the short stretches between such tokens are decoded, all at
 once. Spans of the CRF that touch a base span are dropped; base spans stay.
 
 Positions are code points, ends exclusive. A null text is empty; empty texts
-have no spans; without any base span in the sample the CRF adds nothing;
+have no spans; without any text in the sample the CRF adds nothing;
 repeated rows are scanned row by row; extra columns are ignored."""
 
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 
 import numpy as np
@@ -35,7 +41,9 @@ SAMPLE = 4000
 WINDOW = 16
 ROUNDS = 60
 #: Windows taken away from the spans, at most.
-ELSEWHERE = 1500
+ELSEWHERE = 1000
+#: Texts of the sample that get planted tokens, at most.
+PLANTED = 500
 KINDS = ("assign", "access", "hex", "crf")
 
 #: The base patterns and their least lengths.
@@ -57,7 +65,7 @@ _CLASS[48:58], _CLASS[65:91], _CLASS[97:123] = 1, 2, 3
 _CLASS[list(b"+/_-.")] = 4
 
 _HASH = 1 << 12
-_BLOCKS = {"shape": 8 * 32, "mixed": 64, "turns": 8, "digits": 8 * 5, "hex": 8 * 2, "signs": 49, "switch": 8 * 4, "file": 16, "own": _HASH, "before": _HASH, "after": _HASH}
+_BLOCKS = {"shape": 8 * 32, "mixed": 64, "turns": 8, "digits": 8 * 5, "hex": 8 * 2, "signs": 49, "switch": 8 * 4, "rate": 8 * 6, "file": 16, "own": _HASH, "before": _HASH, "after": _HASH}
 _OFFSETS = dict(zip(_BLOCKS, np.cumsum([0, *_BLOCKS.values()])))
 N_FEATURES = sum(_BLOCKS.values())
 
@@ -122,6 +130,12 @@ def features(data: np.ndarray, offsets: np.ndarray, w: W.Words) -> np.ndarray:
         change[1:] = kind[1:] != kind[:-1]
     switches = count(change) - (change[s] if n else 0)
     switch = np.searchsorted(np.array([1, 3, 6]), switches, side="right")
+    # changes between neighbouring digits, capitals and small letters, by the characters that could change
+    plain = (kind >= 1) & (kind <= 3)
+    turn = change.copy()
+    turn[1:] &= plain[1:] & plain[:-1]
+    turned = count(turn) - (turn[s] if n else 0)
+    rate = np.searchsorted(np.array([0.1, 0.2, 0.3, 0.4, 0.5]), turned / np.maximum(count(plain) - 1, 1), side="right")
     first, last = offsets[row], offsets[row + 1]
     left = np.where(s > first, _SIGN[data[np.maximum(s - 1, 0)]], 5)
     right = np.where(e < last, _SIGN[data[np.minimum(e, max(0, len(data) - 1))]], 5)
@@ -140,7 +154,7 @@ def features(data: np.ndarray, offsets: np.ndarray, w: W.Words) -> np.ndarray:
     mixed = (shape & 31) * 2 + (length >= 12)
     turns = np.searchsorted(np.array([1, 3, 6]), switches, side="right") * 2 + (length >= 12)
     columns = {"shape": shape, "mixed": mixed, "turns": turns, "digits": size * 5 + share, "hex": size * 2 + hexed, "signs": left * 7 + right, "switch": size * 4 + switch,
-               "file": file[row], "own": own, "before": before, "after": after}
+               "rate": size * 6 + rate, "file": file[row], "own": own, "before": before, "after": after}
     return np.stack([(columns[k] + _OFFSETS[k]).astype(np.int32) for k in _BLOCKS], axis=1)
 
 
@@ -234,38 +248,106 @@ def train(f: np.ndarray, y: np.ndarray, mask: np.ndarray, rounds: int = ROUNDS,
     return CRF(w, t)
 
 
+_DIGITS, _UPPER, _LOWER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_BASE62 = _DIGITS + _UPPER + _LOWER
+
+
+def made_secret(r: random.Random) -> str:
+    """A random key of one of several make-ups."""
+    draw = lambda letters, a, b: "".join(r.choices(letters, k=r.randint(a, b)))
+    return r.choice([
+        lambda: draw(_BASE62, 20, 64), lambda: draw(_BASE62 + "+/", 24, 88), lambda: draw(_DIGITS + "ABCDEF", 24, 64), lambda: draw(_UPPER + "234567", 24, 40),
+        lambda: draw(_DIGITS + _LOWER, 24, 48), lambda: draw(_LOWER, 2, 4) + r.choice("_-") + draw(_BASE62, 20, 44),
+        lambda: ".".join(draw(_BASE62 + "-_", 12, 40) for _ in range(3)),
+    ])()
+
+
+def made_harmless(r: random.Random, words: list[str]) -> str:
+    """A long or odd token that is no secret."""
+    some = lambda n: [r.choice(words) for _ in range(n)]
+    digits = lambda n: "".join(r.choices(_DIGITS, k=n))
+    return r.choice([
+        lambda: r.choice("-_./").join(some(r.randint(2, 6))), lambda: "".join(w.capitalize() for w in some(r.randint(2, 5))),
+        lambda: "/".join([".".join(some(2)) + r.choice([".com", ".org", ".net"]), *some(r.randint(1, 3)), digits(r.randint(1, 6))]),
+        lambda: "-".join([digits(4), digits(2), digits(2)]), lambda: digits(r.randint(5, 24)), lambda: "_".join(some(2)) + digits(r.randint(1, 4)) + ".html",
+        lambda: "_".join(some(r.randint(2, 4))).upper(), lambda: ".".join(digits(r.randint(1, 3)) for _ in range(r.randint(2, 4))),
+        lambda: f"{r.choice(words)}{digits(r.randint(1, 4))}.{'.'.join(some(2))}", lambda: r.choice(_UPPER) + digits(r.randint(1, 3)) + "-" + digits(r.randint(2, 8)),
+    ])()
+
+
+def planted(texts: list[str], most: int = PLANTED) -> list[tuple[str, list[tuple[int, int, bool]]]]:
+    """Texts with made-up tokens at random places: byte spans and whether they are secrets."""
+    out = []
+    for i, text in enumerate(texts[:most]):
+        r = random.Random(i)
+        words = text.split(" ")
+        plain = [w for w in (re.sub("[^a-z]", "", w) for w in words[:200]) if len(w) > 1] or ["data", "file"]
+        at = sorted(r.sample(range(len(words) + 1), min(4, len(words) + 1)))
+        pieces, spans, size, before = [], [], 0, 0
+        for k, place in enumerate(at):
+            secret = k % 2 == 0
+            lead = r.choice(["", "", "", "=", ":", '"', "(", "key ", "value: "]) if secret else r.choice(["", "", "", '"', "(", "see "])
+            token = made_secret(r) if secret else made_harmless(r, plain)
+            head = " ".join([*words[before:place], lead])
+            size += len(head.encode())
+            spans.append((size, size + len(token), secret))
+            size += len(token) + 1
+            pieces.append(head + token)
+            before = place
+        pieces.append(" ".join(words[before:]))
+        out.append((" ".join(pieces), spans))
+    return out
+
+
 def fit_texts(texts: list[str]) -> CRF:
-    """Learns from the base spans of some texts."""
+    """Learns from the base spans of some texts and from tokens planted in them."""
     fs, ys, masks = [], [], []
     T, elsewhere = 2 * WINDOW + 1, 0
     context = [list(_BLOCKS).index(k) for k in ("signs", "before", "after")]
-    for part in W.chunks(pa.table({"t": pa.array(texts, pa.string())}), "t"):
-        data, offsets = W.utf8(part["t"])
-        w = W.split(part["t"], SEPARATORS)
+
+    def learn(part, extra: list[tuple[int, int, int, bool]], spread_too: bool) -> None:
+        """``extra``: (row, start, end, secret) of planted tokens, in bytes of their row."""
+        nonlocal elsewhere
+        data, offsets = W.utf8(part)
+        w = W.split(part, SEPARATORS)
         f = features(data, offsets, w)
         y = np.zeros(len(f), np.int64)
-        centres = []
-        for _, _, _, _, a, b in sorted(base_spans(data, offsets), key=lambda s: -s[1]):
+        based, centres = set(), []
+        spans = [(int(offsets[r]) + a, int(offsets[r]) + b, secret) for r, a, b, secret in extra]
+        base = [(a, b) for _, _, _, _, a, b in sorted(base_spans(data, offsets), key=lambda s: -s[1])]
+        for a, b, secret in [*spans, *[(a, b, True) for a, b in base]]:
             i, j = int(np.searchsorted(w.ends, a, side="right")), int(np.searchsorted(w.starts, b, side="left"))
             if j > i:
-                y[i:j] = 2
-                y[i] = 1
                 centres.append(i)
+                if secret:
+                    y[i:j] = 2
+                    y[i] = 1
+        for a, b in base:
+            based.add(int(np.searchsorted(w.ends, a, side="right")))
         row = w.rows
-        filled = np.flatnonzero(np.diff(w.bounds))
-        spread = (w.bounds[filled] + (np.diff(w.bounds)[filled] * 0.37).astype(np.int64))[: max(0, ELSEWHERE - elsewhere)]
-        elsewhere += len(spread)
+        spread = np.zeros(0, np.int64)
+        if spread_too:
+            filled = np.flatnonzero(np.diff(w.bounds))
+            spread = (w.bounds[filled] + (np.diff(w.bounds)[filled] * 0.37).astype(np.int64))[: max(0, ELSEWHERE - elsewhere)]
+            elsewhere += len(spread)
         for c in [*centres, *spread.tolist()]:
             a, b = max(c - WINDOW, int(w.bounds[row[c]])), min(c + WINDOW + 1, int(w.bounds[row[c] + 1]))
             pad = T - (b - a)
             fs.append(np.pad(f[a:b], ((0, pad), (0, 0))))
             ys.append(np.pad(y[a:b], (0, pad)))
             masks.append(np.arange(T) < b - a)
-            if y[c] > 0:
+            if c in based and spread_too:
                 bare = fs[-1].copy()
                 at = np.ix_((ys[-1] > 0) & masks[-1], context)
                 bare[at] = np.array([_OFFSETS[list(_BLOCKS)[k]] for k in context])
                 fs.append(bare), ys.append(ys[-1]), masks.append(masks[-1])
+
+    for part in W.chunks(pa.table({"t": pa.array(texts, pa.string())}), "t"):
+        learn(part["t"], [], True)
+    more = planted([t for t in texts if t])
+    for at in range(0, len(more), 200):
+        some = more[at : at + 200]
+        learn(pa.array([t for t, _ in some], pa.string()), [(r, a, b, secret) for r, (_, spans) in enumerate(some) for a, b, secret in spans], False)
     if not any((y > 0).any() for y in ys):
         return CRF(np.zeros((N_FEATURES, 3)), np.zeros((3, 3)), trained=False)
     return train(np.stack(fs), np.stack(ys), np.stack(masks))
