@@ -70,7 +70,7 @@ def made_up(seed):
 @pytest.mark.parametrize("seed", [1, 2])
 def test_audit_equals_plain_counts(spark, monkeypatch, seed):
     monkeypatch.setattr(A, "TRIE_BYTES", 2000)
-    monkeypatch.setattr(A, "RANGE_BYTES", 1000)
+    monkeypatch.setattr(A, "TASK_BYTES", 8000)
     docs, labels = made_up(seed)
     assert run(spark, docs, labels) == brute(docs, labels)
 

@@ -18,6 +18,8 @@ from turnscore.llm import words as W
 from turnscore.llm.words import U64
 
 SHARD_BYTES = 4 << 20
+#: Distinct texts handed on at a time.
+TOGETHER = 1024
 #: Entries that a bucket should hold on average.
 BUCKET_ENTRIES = 1 << 19
 
@@ -40,11 +42,13 @@ def distinct_texts(docs: DataFrame, shards: int, text: str = "text") -> DataFram
 
     def run(batches):
         for batch in batches:
-            t = pa.Table.from_batches([batch]).append_column("i", pa.array(np.arange(batch.num_rows)))
-            g = t.group_by(["h1", "h2"]).aggregate([("i", "min"), ("i", "count")])
-            first = t.take(g["i_min"])
-            yield from first.select(["shard", "h1", "h2", "text"]).append_column(
-                "copies", g["i_count"].cast(pa.int64())).to_batches()
+            keys = pa.Table.from_batches([batch.select(["h1", "h2"])]).append_column("i", pa.array(np.arange(batch.num_rows)))
+            g = keys.group_by(["h1", "h2"]).aggregate([("i", "min"), ("i", "count")]).sort_by("i_min")
+            for at in range(0, g.num_rows, TOGETHER):  # no second copy of a whole batch
+                part = g.slice(at, TOGETHER)
+                first = batch.take(part["i_min"].combine_chunks())
+                yield pa.record_batch([*[first.column(c) for c in ("shard", "h1", "h2", "text")], part["i_count"].combine_chunks().cast(pa.int64())],
+                                      names=["shard", "h1", "h2", "text", "copies"])
 
     return rows.mapInArrow(W.lean(run), "shard int, h1 long, h2 long, text string, copies long")
 

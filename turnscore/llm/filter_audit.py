@@ -40,11 +40,11 @@ from pyspark.sql import functions as F
 from turnscore.llm import words as W
 from turnscore.session import reliable_checkpoint
 
-#: Text that a range should hold.
-RANGE_BYTES = 16 << 20
-MOST_RANGES = 1 << 16
+#: Text that a task should get, and the ranges that it is made of, so that tasks come out alike.
+TASK_BYTES, RANGES = 16 << 20, 8
+MOST_RANGES = 1 << 17
 #: Prefixes drawn for the bounds, and bytes of them, at most (about).
-SAMPLE, SAMPLE_BYTES = 200_000, 16 << 20
+SAMPLE, SAMPLE_BYTES = 1_000_000, 16 << 20
 FIRST_PREFIX = 32
 TRIE_BYTES = 8 << 20
 
@@ -232,16 +232,16 @@ def _grow(batches):
         yield harvest(trie)
 
 
-def originals(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
+def originals(docs: DataFrame) -> DataFrame:
     """(id, h): per distinct text of rows (id, text) its smallest id and its hash."""
     rows = docs.where(F.col("id").isNotNull()).select("id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     n, total = rows.agg(F.count(F.lit(1)), F.sum(F.octet_length("text").cast("long"))).first()
     spark = docs.sparkSession
-    ranges = min(MOST_RANGES, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(total or 0) // range_bytes)))
-    shared = spark.sparkContext.broadcast(bounds(rows, n, ranges))
+    tasks = min(MOST_RANGES // RANGES, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(total or 0) // TASK_BYTES)))
+    shared = spark.sparkContext.broadcast(bounds(rows, n, tasks * RANGES))
     kind = dict(rows.dtypes)["id"]
     thinned = rows.mapInArrow(W.lean(_thinned(shared)), f"range int, text string, h long, id {kind}")
-    placed = thinned.repartition(ranges, "range").sortWithinPartitions("text")
+    placed = thinned.repartition(tasks, "range").sortWithinPartitions("text")
     return placed.select("text", "h", "id").mapInArrow(W.lean(_grow), f"id {kind}, h long")
 
 

@@ -44,6 +44,8 @@ LEAST_DOCS = 10
 CONSTANT = (7, 10)
 
 _VARIABLE = W.U64(0x2545F4914F6CDD1D)
+#: Text of a shard: sets and lines are taken apart at once, so it is half of what other operators take.
+SHARD_BYTES = X.SHARD_BYTES // 2
 _SETS, _LEAVES = 0, 1
 _MESSAGE = "kind int, bucket int, shard int, entries binary, counts binary"
 _REPLY = "shard int, kind int, bucket int, totals binary"
@@ -173,8 +175,8 @@ def tally(messages: DataFrame) -> DataFrame:
 
 def parse(docs: DataFrame, text: str, least: int, shards: int | None = None) -> DataFrame:
     """The second parse of every distinct text (``_PARSED``), written once."""
-    shards = shards or X.n_shards(docs, text)
-    set_buckets, leaf_buckets = X.n_buckets(shards * X.SHARD_BYTES // 6), X.n_buckets(shards * X.SHARD_BYTES // 60)
+    shards = shards or X.n_shards(docs, text, SHARD_BYTES)
+    set_buckets, leaf_buckets = X.n_buckets(shards * SHARD_BYTES // 6), X.n_buckets(shards * SHARD_BYTES // 60)
     by_shard = X.distinct_texts(docs, shards, text).groupBy("shard")
 
     def send(key, texts):
@@ -251,8 +253,7 @@ def drop_recurring_lines(docs: DataFrame, text: str = "text", least: int = LEAST
     lines = F.split("_text", "\n", -1)
     left = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("dropped", i)), "\n")
     n_lines = F.when(F.coalesce(F.length("_text"), F.lit(0)) > 0, F.size(lines)).otherwise(0).cast("long")
-    # the lines are the small side of every partition, so texts needn't be sorted to meet them
-    out = rows.join(found.select("h1", "h2", "dropped").hint("shuffle_hash"), ["h1", "h2"], "left").select(
+    out = rows.join(found.select("h1", "h2", "dropped"), ["h1", "h2"], "left").select(
         "_row", F.when(F.col("dropped").isNull(), F.col("_text")).otherwise(left).alias("_kept"), n_lines.alias("n_lines"),
         F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"),
     )

@@ -261,8 +261,8 @@ def verify(pairs: DataFrame, sets: DataFrame, t: tuple[int, int] = THRESHOLD) ->
     def run(batches):
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for x, y in zip(batch.column("x"), batch.column("y")):  # views, not copies, of the elements
+                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 at = np.minimum(np.searchsorted(q, p), len(q) - 1)
                 common = int((q[at] == p).sum())
                 keep.append(t[1] * common >= t[0] * (len(p) + len(q) - common))
