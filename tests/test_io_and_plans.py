@@ -111,7 +111,7 @@ def test_sinks_are_idempotent_per_partition(spark):
     io.write_results(df, root, "r1")
     io.write_results(df, root, "r1")  # a retried job
     io.write_results(df.limit(1), root, "r2")
-    counts = {r["run_id"]: r["count"] for r in spark.read.parquet(root).groupBy("run_id").count().collect()}
+    counts = {r["run_id"]: r["count"] for r in io.read_all_runs(spark, root).groupBy("run_id").count().collect()}
     assert counts == {"r1": 2, "r2": 1}
     runs = tempfile.mkdtemp(prefix="ts-runs-") + "/runs"
     io.append_run(spark, runs, "a", "op-all-02", "m", 1)
@@ -187,3 +187,50 @@ def test_a_cluster_without_a_shared_folder_is_an_error():
     sc = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077")
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         checkpoint_dir(SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda k, d: d)))
+
+
+def test_a_reader_sees_one_published_version(spark, tmp_path):
+    root = str(tmp_path / "results")
+    rows = lambda v, n: spark.createDataFrame([(f"u{i}", v) for i in range(n)], "uid string, score double")
+    io.write_results(rows(1.0, 3), root, "r/1 x")
+    early = io.read_results(spark, root, "r/1 x")
+    # a re-run that dies after writing files leaves nothing to see
+    real = io._put_text
+    io._put_text = lambda *a: (_ for _ in ()).throw(RuntimeError("lost"))
+    try:
+        io.write_results(rows(2.0, 5), root, "r/1 x")
+    except RuntimeError:
+        pass
+    finally:
+        io._put_text = real
+    assert {r["score"] for r in io.read_results(spark, root, "r/1 x").collect()} == {1.0}
+    io.write_results(rows(3.0, 4), root, "r/1 x")
+    assert [r["score"] for r in early.collect()] == [1.0] * 3  # who had resolved the run still reads the whole old one
+    assert [r["score"] for r in io.read_results(spark, root, "r/1 x").collect()] == [3.0] * 4
+    stream = str(tmp_path / "stream")
+    for run, epoch, v in (("s", 1, 4.0), ("s", 2, 5.0), ("s", 1, 6.0), ("t", 1, 7.0)):
+        io.write_results(rows(v, 1), stream, run, {"epoch": epoch})
+    assert sorted(r["score"] for r in io.read_results(spark, stream, "s").collect()) == [5.0, 6.0]
+    assert sorted(r["score"] for r in io.read_all_runs(spark, stream).collect()) == [5.0, 6.0, 7.0]
+
+
+def test_old_versions_go_but_the_last_one(spark, tmp_path):
+    root = str(tmp_path / "results")
+    for i in range(4):
+        io.write_results(spark.createDataFrame([("u", float(i))], "uid string, score double"), root, "r1")
+    left = [d for d in os.listdir(f"{root}/run_id=r1") if d.startswith("version=")]
+    assert len(left) == 2 and io.read_results(spark, root, "r1").first()["score"] == 3.0
+
+
+def test_layout_needs_the_heads_of_the_files_only(spark, tmp_path):
+    import gzip
+
+    long = json.dumps({"context": "x" * 300_000})
+    files = {"lines.json": f"\n\n{long}\n{{}}\n", "one.json": long, "array.json": "[" + long + "]", "spread.json": "{\n" + long[1:], "blank.json": " \n" * 50_000, "bom.json": "\ufeff{}\n"}
+    want = {"lines.json": "lines", "one.json": "lines", "array.json": "array", "spread.json": "array", "blank.json": "lines", "bom.json": "lines"}
+    for name, text in files.items():
+        (tmp_path / name).write_text(text, encoding="utf-8")
+        assert io.json_layout(spark, str(tmp_path / name)) == want[name], name
+    with gzip.open(tmp_path / "packed.json.gz", "wt") as f:
+        f.write(files["lines.json"])
+    assert io.json_layout(spark, str(tmp_path / "packed.json.gz")) == "lines"

@@ -401,7 +401,7 @@ def test_knn_does_not_depend_on_the_blocks(spark):
     store = spark.createDataFrame(store_rows, "ex_id long, embedding array<double>")
     q = spark.createDataFrame([(100 + i, [rnd.random() for _ in range(4)]) for i in range(50)] + [(3, store_rows[3][1])],
                               "query_id long, embedding array<double>")
-    one, two, five = (sorted(tuple(r) for r in rt.nearest(q, store, 4, blocks=b).collect()) for b in (1, 2, 5))
+    one, two, five = (sorted(tuple(r) for r in rt.nearest(q, store, 4, pivots=b).collect()) for b in (1, 2, 5))
     assert one == two == five and len(one) == 51 * 4
     assert not any(r[0] == r[1] for r in one)  # query 3 excludes store row 3
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tests.conftest import SMALL
 from turnscore.operators import dialogues as dl
 from turnscore.sources import adapters as ad
+from turnscore.sources import io
 from turnscore.streaming.history import score_micro_batches, stream_dialogue_context
 
 
@@ -41,7 +42,7 @@ def test_micro_batch_scoring(spark):
     base = tempfile.mkdtemp(prefix="ts-stream-score-")
     q = score_micro_batches(ctx, t, base + "/results", "stream-run", base + "/ckpt")
     q.awaitTermination(300)
-    res = spark.read.parquet(base + "/results").where("run_id = 'stream-run'")
+    res = io.read_results(spark, base + "/results", "stream-run")
     n_turns = t.where("turn_id > 0").count()
     assert res.count() == 4 * n_turns
     assert res.select("uid").distinct().count() == n_turns

@@ -202,42 +202,29 @@ def group_names(parsed: DataFrame) -> DataFrame:
     return connected_components(links).select(F.col("node").alias("fp"), F.col("component").alias("name"))
 
 
-def _recurring(kinds: DataFrame, held: DataFrame, of: list[str], least: int) -> DataFrame:
-    """The values ``of`` that ``least`` groups hold, or more. ``kinds``: (leaf,
-    fields, groups, of...), the kinds of line that have a value and how many
-    groups hold that kind; ``held``: (leaf, fields, name).
-
-    The largest of a value's kinds bounds its groups from below and their sum from
-    above; only where neither decides are the distinct groups counted."""
-    bounds = kinds.groupBy(*of).agg(F.max("groups").alias("low"), F.sum("groups").alias("high")).where(F.col("high") >= least)
-    sure = bounds.where(F.col("low") >= least).select(*of)
-    open_ = kinds.join(bounds.where(F.col("low") < least).select(*of), of, "left_semi")
-    names = held.join(open_.select(*dict.fromkeys(["leaf", "fields", *of])), ["leaf", "fields"]).select(*of, "name").distinct()
-    return sure.unionByName(names.groupBy(*of).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select(*of))
+def _in_groups(rows: DataFrame, of: list[str], least: int) -> DataFrame:
+    """The values ``of`` that ``least`` groups hold, or more."""
+    return rows.select(*of, "name").distinct().groupBy(*of).agg(F.count(F.lit(1)).alias("groups")).where(F.col("groups") >= least).drop("groups")
 
 
 def recurring_lines(docs: DataFrame, text: str = "text", least: int = LEAST_DOCS, shards: int | None = None) -> DataFrame:
     """Per distinct text (keys ``h1``, ``h2``) with lines to drop: their numbers
-    (0-based). Lines of equal fields are one kind, so what follows the parse
-    works on kinds, and on the groups that hold them."""
+    (0-based)."""
     parsed = parse(docs, text, least, shards)
     lines = parsed.where(F.size("line") > 0).select("h1", "h2", "fp", F.inline(F.arrays_zip("line", "leaf", "fields")))
     lines = lines.join(group_names(parsed), "fp", "left").withColumn("name", F.coalesce("name", "fp")).drop("fp")
     lines = reliable_checkpoint(lines)
-    held = lines.select("leaf", "fields", "name").distinct()
-    kinds = reliable_checkpoint(held.groupBy("leaf", "fields").agg(F.count(F.lit(1)).alias("groups")))
-    kinds = kinds.join(_recurring(kinds, held, ["leaf"], least), "leaf", "left_semi")
+    lines = lines.join(_in_groups(lines, ["leaf"], least), "leaf")
     variable = F.lit(int(_VARIABLE.view(np.int64)))
-    places = reliable_checkpoint(kinds.select("leaf", "fields", "groups", F.posexplode("fields").alias("place", "value")))
-    constant = _recurring(places.where(F.col("value") != variable), held, ["leaf", "place", "value"], least).withColumn("constant", F.lit(True))
-    templates = places.join(constant, ["leaf", "place", "value"], "left").groupBy("leaf", "fields", "groups").agg(
+    places = lines.select("h1", "h2", "line", "leaf", "name", F.posexplode("fields").alias("place", "value"))
+    constant = _in_groups(places.where(F.col("value") != variable), ["leaf", "place", "value"], least).withColumn("constant", F.lit(True))
+    found = places.join(constant, ["leaf", "place", "value"], "left").groupBy("h1", "h2", "line", "leaf", "name").agg(
         F.sort_array(F.collect_list(F.struct("place", F.when(F.col("constant"), F.col("value")).alias("value")))).alias("template"))
     n = F.size(F.filter("template", lambda f: f["value"].isNotNull()))
-    templates = reliable_checkpoint(templates.where(n * CONSTANT[1] >= F.size("template") * CONSTANT[0]))
-    gone = templates.join(_recurring(templates, held, ["leaf", "template"], least), ["leaf", "template"], "left_semi").select("leaf", "fields")
-    # a written table: few kinds are broadcast, so a kind that many lines share stays where its lines are
-    dropped = lines.select("h1", "h2", "line", "leaf", "fields").join(reliable_checkpoint(gone), ["leaf", "fields"], "left_semi")
-    return dropped.groupBy("h1", "h2").agg(F.collect_list("line").alias("dropped"))
+    found = reliable_checkpoint(found.where(n * CONSTANT[1] >= F.size("template") * CONSTANT[0]))
+    # a written table: few templates are broadcast, so one that many lines share stays where its lines are
+    gone = found.join(reliable_checkpoint(_in_groups(found, ["leaf", "template"], least)), ["leaf", "template"], "left_semi")
+    return gone.groupBy("h1", "h2").agg(F.collect_list("line").alias("dropped"))
 
 
 def drop_recurring_lines(docs: DataFrame, text: str = "text", least: int = LEAST_DOCS) -> DataFrame:

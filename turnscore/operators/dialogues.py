@@ -13,6 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from turnscore.functions.text import col, trim_ws
 
@@ -107,58 +108,108 @@ def dialogue_context(
     trimmed, joined by newline; empty for the first kept turn. ``dialogue``
     may be several key columns (W2 uses dialogue and segment).
 
-    With ``block_size`` (default) a dialogue is cut into blocks of turn
-    numbers. One aggregate by ``(dialogue, block)`` gathers a block's turns in
-    order (the only shuffle of whole rows); the texts of all earlier blocks
-    come from a window over the dialogue's blocks, one joined text per block;
-    each turn then takes the texts before it from its block's array. A
-    dialogue holding a large share of all rows is spread over its blocks, and
-    the result is identical to the plain window (``block_size=None``)."""
+    With ``block_size`` (default) a dialogue is cut into blocks, so one that
+    holds a large share of all rows is spread over many tasks; the result is
+    identical to the plain window (``block_size=None``).
+
+    Whole history: blocks of turn numbers. One aggregate by ``(dialogue,
+    block)`` gathers a block's turns in order (the only shuffle of whole rows);
+    the texts of all earlier blocks come from a window over the dialogue's
+    blocks, one joined text per block; each turn then takes the texts before it
+    from its block's array. The contexts are quadratic in the dialogue's length
+    by definition.
+
+    ``max_history`` (the last k turns): turns are numbered by a segmented scan
+    (:func:`ordinals`) and cut into blocks of consecutive numbers, at least k
+    long; a block also gets the last k texts of the one before, and a window
+    inside the block does the rest. No task sees more than two blocks' texts,
+    however long the dialogue is."""
     keys = _keys(dialogue)
     t = trim_ws(text) if trim else F.col(text)
-    if max_history is not None or block_size is None:
+    if block_size is None:
         lo = Window.unboundedPreceding if max_history is None else -max_history
         w = Window.partitionBy(*keys).orderBy(turn).rowsBetween(lo, -1)
         ctx = F.array_join(F.collect_list(t).over(w), "\n")
         return df.withColumn(out, speaker_tags(ctx) if insert_speaker else ctx)
     columns = [c for c in df.columns if c != out]
     rest = [c for c in columns if c not in keys]
+    if max_history is not None:
+        size = max(block_size, max_history)
+        numbered = ordinals(df, keys, turn, "_ord", block_size)
+        whole = F.struct(*rest)
+        tail = F.col("_ord") % size >= size - max_history
+        # for each turn its own row and, near the end of a block, its text for the next one
+        spots = F.array(F.struct(F.floor(F.col("_ord") / size).alias("_blk"), F.lit(True).alias("_own")))
+        later = F.array(F.struct((F.floor(F.col("_ord") / size) + 1).alias("_blk"), F.lit(False).alias("_own")))
+        x = numbered.select(*keys, "_ord", t.alias("_t"), whole.alias("_row"), F.inline(F.when(tail, F.concat(spots, later)).otherwise(spots)))
+        x = x.withColumn("_row", F.when(F.col("_own"), F.col("_row")))
+        w = Window.partitionBy(*keys, "_blk").orderBy("_ord").rowsBetween(-max_history, -1)
+        ctx = F.array_join("_texts", "\n")
+        x = x.withColumn("_texts", F.collect_list("_t").over(w)).where("_own")
+        return x.select(*[F.col(c) if c in keys else F.col("_row")[c].alias(c) for c in columns], (speaker_tags(ctx) if insert_speaker else ctx).alias(out))
     x = df.select(*keys, F.floor(F.col(turn) / F.lit(block_size)).alias("_blk"),
                   F.struct(F.col(turn).alias("_k"), t.alias("_t"), F.struct(*rest).alias("_row")).alias("_s"))
-    blocks = x.groupBy(*keys, "_blk").agg(
-        F.array_sort(F.collect_list("_s"), lambda a, b: F.when(a["_k"] < b["_k"], -1).when(a["_k"] > b["_k"], 1).otherwise(0)).alias("_ss")
-    )
-    texts = F.filter(F.transform("_ss", lambda s: s["_t"]), lambda v: v.isNotNull())
+    blocks = x.groupBy(*keys, "_blk").agg(_in_order(F.collect_list("_s"), x.schema["_s"].dataType).alias("_ss"))
+    blocks = blocks.withColumn("_tt", F.transform("_ss", lambda s: s["_t"]))
+    texts = F.filter("_tt", lambda v: v.isNotNull())
     earlier = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     # one text per block, none for a block without any; a null block number orders first
     whole = F.when(F.size(texts) > 0, F.array_join(texts, "\n"))
     blocks = blocks.withColumn("_pre", F.collect_list(whole).over(earlier))
-    y = blocks.select(*keys, "_ss", "_pre", F.posexplode("_ss").alias("_i", "_s"))
-    own = F.filter(F.transform(F.slice("_ss", 1, F.col("_i")), lambda s: s["_t"]), lambda v: v.isNotNull())
+    y = blocks.select(*keys, "_tt", "_pre", F.posexplode("_ss").alias("_i", "_s"))
+    own = F.filter(F.slice("_tt", 1, F.col("_i")), lambda v: v.isNotNull())
     ctx = F.array_join(F.concat("_pre", own), "\n")
     if insert_speaker:
         ctx = speaker_tags(ctx)
     return y.select(*[F.col(c) if c in keys else F.col("_s._row")[c].alias(c) for c in columns], ctx.alias(out))
 
 
+def _in_order(turns: Column, of: T.StructType) -> Column:
+    """A list of structs by their first field; with the structs' own order where
+    their types have one (compared natively), else by a comparator."""
+
+    def ordered(t: T.DataType) -> bool:
+        if isinstance(t, T.StructType):
+            return all(ordered(f.dataType) for f in t.fields)
+        return ordered(t.elementType) if isinstance(t, T.ArrayType) else not isinstance(t, (T.MapType, T.VariantType))
+
+    if ordered(of):
+        return F.sort_array(turns)
+    return F.array_sort(turns, lambda a, b: F.when(a[of.names[0]] < b[of.names[0]], -1).when(a[of.names[0]] > b[of.names[0]], 1).otherwise(0))
+
+
+def _scan(df: DataFrame, keys: Sequence[str], turn: str, count: Column, out: str, block_size: int) -> DataFrame:
+    """A segmented scan: ``count`` summed over the turns up to each one of its
+    dialogue. Sums inside blocks of turn numbers, a prefix over a dialogue's
+    blocks (one row each), and a join of the two; no task sees a dialogue's rows."""
+    x = df.withColumn("_blk", F.floor(F.col(turn) / F.lit(block_size)))
+    inside = Window.partitionBy(*keys, "_blk").orderBy(turn).rowsBetween(Window.unboundedPreceding, 0)
+    x = x.withColumn("_in", F.sum(count).over(inside))
+    totals = x.groupBy(*keys, "_blk").agg(F.sum(count).alias("_bt"))
+    earlier = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    names = {c: f"_p{i}" for i, c in enumerate([*keys, "_blk"])}
+    prefix = totals.select(*[F.col(c).alias(n) for c, n in names.items()], F.coalesce(F.sum("_bt").over(earlier), F.lit(0)).alias("_pre"))
+    same = F.lit(True)
+    for c, n in names.items():
+        same = same & F.col(c).eqNullSafe(F.col(n))
+    return x.join(prefix, same, "left").select(*[c for c in df.columns if c != out], (F.coalesce("_pre", F.lit(0)) + F.col("_in")).cast("long").alias(out))
+
+
+def ordinals(df: DataFrame, dialogue: str | Sequence[str], turn: str, out: str, block_size: int = 256) -> DataFrame:
+    """The number (from 0) of each turn in its dialogue."""
+    counted = _scan(df, _keys(dialogue), turn, F.lit(1), out, block_size)
+    return counted.withColumn(out, F.col(out) - 1)
+
+
 def running_count(df: DataFrame, dialogue: str, turn: str, flag: str, out: str,
                   block_size: int | None = 256) -> DataFrame:
-    """Number of ``flag`` rows at or before each turn of its dialogue. Blocked
-    like the history: in-block running sums plus the totals of earlier blocks
-    (a window over one row per block), so a hot dialogue is not one task."""
+    """Number of ``flag`` rows at or before each turn of its dialogue, by the
+    same segmented scan, so a hot dialogue is not one task."""
     f = F.col(flag).cast("int")
     if block_size is None:
         w = Window.partitionBy(dialogue).orderBy(turn).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumn(out, F.sum(f).over(w))
-    x = df.withColumn("_blk", F.floor(F.col(turn) / F.lit(block_size)))
-    inside = Window.partitionBy(dialogue, "_blk").orderBy(turn).rowsBetween(Window.unboundedPreceding, 0)
-    x = x.withColumn("_in", F.sum(f).over(inside))
-    totals = x.groupBy(dialogue, "_blk").agg(F.sum(f).alias("_bt"))
-    earlier = Window.partitionBy(dialogue).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    prefix = totals.select(dialogue, "_blk", F.coalesce(F.sum("_bt").over(earlier), F.lit(0)).alias("_pre"))
-    return x.join(prefix, [dialogue, "_blk"], "left").withColumn(
-        out, (F.coalesce("_pre", F.lit(0)) + F.col("_in")).cast("long")
-    ).drop("_blk", "_in", "_pre")
+    return _scan(df, [dialogue], turn, f, out, block_size)
 
 
 def segment_context(

@@ -1,12 +1,23 @@
 """Retrieval of rated examples: J9, J10, J11, J12, T4.
 
-Exact k-nearest neighbours (squared L2, ties by id) without a cross join and
-with nothing on the driver: queries and store are cut into blocks by a hash
-of their ids, every pair of blocks meets in one task (``cogroup``, Arrow
-batches, BLAS distance blocks with an exact re-check) and keeps its own top
-``k`` per query, and a window per query picks the final ``k``. The number of
-blocks follows the session's shuffle partitions, so a task's memory is bounded
-by the cluster's partitioning and no job runs while a plan is built.
+Exact k-nearest neighbours (squared L2, ties by id) with the triangle inequality
+instead of all distances:
+
+* Pivots are store vectors drawn by a hash of their ids (a bounded number, about
+  four times the root of the store). Every store vector lies in the cell of its
+  nearest pivot; a cell has a least and a largest distance from its pivot.
+* A query's distances to the pivots bound its k-th neighbour from above (the k-th
+  nearest pivot; the cells that hold k vectors for sure), and every cell from
+  below (its shell around the pivot; half the detour over the plane between two
+  pivots). A query visits just the cells whose lower bound is not above its
+  upper bound.
+* Cells and their visitors are cut into blocks of bounded size that meet in one
+  task (``cogroup``). There the same inequality holds for single vectors: sorted
+  by their distance from the pivot, only a range of them can be near enough. What
+  is left is a BLAS product with an exact re-check, and each query keeps its own
+  top ``k``; a window per query picks the final ``k``.
+
+Nothing but pivots and cell statistics comes to the driver, both bounded.
 """
 
 from __future__ import annotations
@@ -21,14 +32,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from turnscore.functions.ids import sample_key
+from turnscore.operators.identity import written
 
 _CAND = T.StructType(
     [
         T.StructField("query_id", T.LongType()),
         T.StructField("ex_id", T.LongType()),
         T.StructField("dist", T.DoubleType()),
+        T.StructField("computed", T.LongType()),
     ]
 )
+#: Most pivots; vectors of a cell and visits of a query block that meet in one task.
+MOST_PIVOTS, STORE_BLOCK, VISIT_BLOCK = 4096, 4096, 16384
+#: Queries whose ranges are searched together.
+TOGETHER = 64
 
 
 def _exact_d2(x: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -79,41 +96,153 @@ def _merge(best_ids, best_d, cid, cd, k):
     return np.take_along_axis(ids, order, 1), np.take_along_axis(dd, order, 1)
 
 
-_OUT = T.StructType(_CAND.fields + [T.StructField("rk", T.IntegerType())])
-
-
 def _vectors(t: pa.Table, id_col: str) -> tuple[np.ndarray, np.ndarray]:
-    flat = t["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     ids = t[id_col].to_numpy().astype(np.int64)
-    return ids, flat.reshape(len(ids), -1)
+    return ids, _matrix(t["embedding"].combine_chunks())
+
+
+def _matrix(vectors) -> np.ndarray:
+    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(vectors), -1) if len(vectors) else np.zeros((0, 0))
+
+
+def _to_pivots(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """Distances (rows x pivots), not below 0; good to about 1e-7 of the vectors' length."""
+    d2 = np.einsum("ij,ij->i", x, x)[:, None] + np.einsum("ij,ij->i", pivots, pivots)[None] - 2.0 * (x @ pivots.T)
+    return np.sqrt(np.maximum(d2, 0.0))
+
+
+def _exact_distance(x: np.ndarray, pivot: np.ndarray) -> np.ndarray:
+    return np.sqrt(_exact_d2(x, pivot))
+
+
+def pivots_of(store: DataFrame, n: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, vectors) of the pivots, drawn by a hash of the ids."""
+    if n is None:
+        n = min(MOST_PIVOTS, 4 * math.isqrt(store.count()) + 1)
+    drawn = store.select("ex_id", "embedding").orderBy(F.xxhash64(F.lit("pivot"), "ex_id"), "ex_id").limit(n).toArrow()
+    return _vectors(drawn, "ex_id")
+
+
+def in_cells(store: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """The store with each vector's cell and its distance ``d`` from the cell's pivot."""
+    shared = store.sparkSession.sparkContext.broadcast(pivots)
+
+    def run(batches):
+        p = shared.value
+        for batch in batches:
+            if batch.num_rows:
+                x = _matrix(batch.column("embedding"))
+                cell = _to_pivots(x, p).argmin(axis=1)
+                yield pa.record_batch([*batch.columns, pa.array(cell, pa.int32()), pa.array(_exact_distance(x, p[cell]))], names=[*batch.schema.names, "cell", "d"])
+
+    schema = T.StructType([*store.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("d", T.DoubleType())])
+    return store.mapInArrow(run, schema)
+
+
+def reach_and_visits(q: np.ndarray, qids: np.ndarray, ids: np.ndarray, pivots: np.ndarray, n: np.ndarray, low: np.ndarray, high: np.ndarray, k: int,
+                     exclude_self: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For queries: an upper bound of the distance of the k-th neighbour, the
+    distances to the pivots, and which cells (``n`` vectors each between ``low``
+    and ``high`` from the pivot) can hold a neighbour within it. Rounding is
+    allowed for, always to the safe side."""
+    d = _to_pivots(q, pivots)
+    slack = 1e-6 * (1.0 + np.sqrt(np.einsum("ij,ij->i", q, q)) + np.sqrt(np.einsum("ij,ij->i", pivots, pivots).max()))[:, None]
+    known = np.where(ids[None] == qids[:, None], np.inf, d) if exclude_self else d
+    reach = np.partition(known, k - 1, axis=1)[:, k - 1] if k <= known.shape[1] else np.full(len(q), np.inf)
+    far = np.where(n[None] > 0, d + high[None], np.inf)
+    order = np.argsort(far, axis=1)
+    held = np.cumsum(n[order], axis=1) >= k + exclude_self
+    enough = held.argmax(axis=1)
+    sure = np.where(held.any(axis=1), np.take_along_axis(far, np.take_along_axis(order, enough[:, None], axis=1), axis=1)[:, 0], np.inf)
+    reach = np.minimum(reach, sure) + slack[:, 0]
+    shell = np.maximum(d - high[None], low[None] - d)
+    plane = (d - d.min(axis=1, keepdims=True)) / 2
+    return reach, d, (n[None] > 0) & (np.maximum(shell, plane) <= reach[:, None] + slack)
+
+
+def _visits(k: int, exclude_self: bool, shared):
+    def run(batches):
+        ids, pivots, n, low, high = shared.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                q, qids = _matrix(part.column("embedding")), part.column("query_id").to_numpy()
+                reach, d, visited = reach_and_visits(q, qids, ids, pivots, n, low, high, k, exclude_self)
+                row, cell = np.nonzero(visited)
+                own = part.take(pa.array(row))
+                first = np.r_[True, row[1:] != row[:-1]] if len(row) else np.zeros(0, bool)
+                yield pa.record_batch(
+                    [*own.columns, pa.array(cell, pa.int32()), pa.array(d[row, cell]), pa.array(reach[row]), pa.array(np.where(first, len(pivots), 0), pa.int64())],
+                    names=["query_id", "embedding", "cell", "d", "reach", "computed"])
 
+    return run
 
-def _pair_topk(k: int, exclude_self: bool, block_cells: int = 4_000_000):
-    """One pair of blocks: the top ``k`` store rows of each query, the distance
-    matrix taken in bounded pieces."""
+
+def _meet(k: int, exclude_self: bool):
+    """Visitors and vectors of one block of a cell: each query's ``k`` best, and
+    how many distances were computed for it."""
 
     def run(queries: pa.Table, store: pa.Table) -> pa.Table:
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        found = []
         if queries.num_rows and store.num_rows:
+            store, queries = store.sort_by([("d", "ascending"), ("ex_id", "ascending")]), queries.sort_by([("d", "ascending"), ("query_id", "ascending")])
             qids, qmat = _vectors(queries, "query_id")
             sids, smat = _vectors(store, "ex_id")
+            d, dq, reach = store["d"].to_numpy(), queries["d"].to_numpy(), queries["reach"].to_numpy()
+            slack = 1e-6 * (1.0 + dq + d[-1])
+            low = np.searchsorted(d, dq - reach - slack, side="left")
+            high = np.searchsorted(d, dq + reach + slack, side="right")
             sxx = np.einsum("ij,ij->i", smat, smat)
-            step = max(1, block_cells // max(1, len(sids)))
-            for lo in range(0, len(qids), step):
-                ci, cd = _block_topk(sids, smat, sxx, qids[lo:lo + step], qmat[lo:lo + step], k, exclude_self)
-                best_ids, best_d = _merge(np.empty((len(ci), 0), np.int64), np.empty((len(ci), 0)), ci, cd, k)
-                keep = np.isfinite(best_d).ravel()
-                rows = np.repeat(qids[lo:lo + step], best_ids.shape[1])
-                found.append((rows[keep], best_ids.ravel()[keep], best_d.ravel()[keep]))
-        columns = [np.concatenate([f[i] for f in found]) if found else np.empty(0, t) for i, t in enumerate((np.int64, np.int64, float))]
-        return pa.table({"query_id": columns[0], "ex_id": columns[1], "dist": columns[2]})
+            for at in range(0, len(qids), TOGETHER):
+                own = slice(at, at + TOGETHER)
+                a, b = int(low[own].min()), int(high[own].max())
+                if a >= b:
+                    continue
+                ids, dist = _block_topk(sids[a:b], smat[a:b], sxx[a:b], qids[own], qmat[own], k, exclude_self)
+                ids, dist = _merge(np.empty((len(ids), 0), np.int64), np.empty((len(ids), 0)), ids, dist, k)
+                near = np.isfinite(dist) & (np.sqrt(dist) <= (reach + slack)[own][:, None])
+                near[:, 0] = True  # carries the count
+                computed = np.where(np.arange(ids.shape[1])[None] == 0, b - a, 0) + np.zeros((len(ids), 1), np.int64)
+                rows = np.repeat(qids[own], ids.shape[1]).reshape(ids.shape)
+                found.append((rows[near], ids[near], dist[near], computed[near]))
+        columns = [np.concatenate([f[i] for f in found]) if found else np.empty(0, t) for i, t in enumerate((np.int64, np.int64, float, np.int64))]
+        return pa.table({"query_id": columns[0], "ex_id": columns[1], "dist": columns[2], "computed": columns[3]})
 
     return run
 
 
-def block_counts(spark) -> int:
-    """Blocks per side: the pairs of blocks are about the shuffle partitions."""
-    return max(1, math.isqrt(int(spark.conf.get("spark.sql.shuffle.partitions"))))
+def candidates(queries: DataFrame, store: DataFrame, k: int, exclude_self: bool = True, pivots: int | None = None,
+               query_id: str = "query_id", query_vec: str = "embedding") -> DataFrame:
+    """(query_id, ex_id, dist, computed): every query's neighbours within its
+    reach (infinitely far rows carry counts only); ``computed`` adds up to the
+    number of distances computed, those to pivots included."""
+    spark = store.sparkSession
+    q = queries.select(F.col(query_id).cast("long").alias("query_id"), F.col(query_vec).alias("embedding"))
+    s = store.select(F.col("ex_id").cast("long").alias("ex_id"), "embedding")
+    ids, points = pivots_of(s, pivots)
+    if not len(ids):
+        return spark.createDataFrame([], _CAND)
+    s, _ = written(in_cells(s, points))
+    n, low, high = np.zeros(len(ids), np.int64), np.zeros(len(ids)), np.zeros(len(ids))
+    for r in s.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("low"), F.max("d").alias("high")).collect():  # a row per pivot
+        n[r["cell"]], low[r["cell"]], high[r["cell"]] = r["n"], r["low"], r["high"]
+    shared = spark.sparkContext.broadcast((ids, points, n, low, high))
+    visits, _ = written(q.mapInArrow(_visits(k, exclude_self, shared), "query_id long, embedding array<double>, cell int, d double, reach double, computed long"
+                                     if dict(q.dtypes)["embedding"] == "array<double>" else "query_id long, embedding array<float>, cell int, d double, reach double, computed long"))
+    # blocks of a cell's vectors and of its visitors; both lists are as long as the pivots
+    blocks = F.get(F.lit([max(1, -(-int(c) // STORE_BLOCK)) for c in n]), F.col("cell"))
+    own = visits.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / VISIT_BLOCK).cast("int").alias("parties"))
+    met = visits.join(F.broadcast(own), "cell").select(
+        "cell", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.pmod(F.xxhash64("query_id"), F.col("parties")).cast("int").alias("party"),
+        "query_id", "embedding", "d", "reach")
+    held = s.join(F.broadcast(own), "cell").select(
+        "cell", F.pmod(F.xxhash64("ex_id"), blocks).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("parties") - 1)).alias("party"),
+        "ex_id", "embedding", "d")
+    key = ("cell", "block", "party")
+    cand = met.groupBy(*key).cogroup(held.groupBy(*key)).applyInArrow(_meet(k, exclude_self), _CAND)
+    counts = visits.where("computed > 0").select("query_id", F.lit(None).cast("long").alias("ex_id"), F.lit(float("inf")).alias("dist"), "computed")
+    return cand.unionByName(counts)
 
 
 def nearest(
@@ -121,22 +250,14 @@ def nearest(
     store: DataFrame,
     k: int,
     exclude_self: bool = True,
-    blocks: int | None = None,
+    pivots: int | None = None,
     query_id: str = "query_id",
     query_vec: str = "embedding",
 ) -> DataFrame:
     """Exact top-``k`` store rows per query: ``(query_id, ex_id, dist, rk)``,
-    ``rk`` 1..k by (distance, id).
-
-    Every query block meets every store block once: a vector is sent
-    ``blocks`` times, a query's ``k`` best of each store block once."""
-    n = blocks or block_counts(store.sparkSession)
-    q = queries.select(F.col(query_id).cast("long").alias("query_id"), F.col(query_vec).alias("embedding"))
-    s = store.select(F.col("ex_id").cast("long").alias("ex_id"), "embedding")
-    every = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    q = q.select(F.pmod(F.xxhash64("query_id"), F.lit(n)).cast("int").alias("qb"), every.alias("sb"), "query_id", "embedding")
-    s = s.select(every.alias("qb"), F.pmod(F.xxhash64("ex_id"), F.lit(n)).cast("int").alias("sb"), "ex_id", "embedding")
-    cand = q.groupBy("qb", "sb").cogroup(s.groupBy("qb", "sb")).applyInArrow(_pair_topk(k, exclude_self), _CAND)
+    ``rk`` 1..k by (distance, id). Pivots and cells are found when this is
+    called (small jobs); ``pivots`` sets their number."""
+    cand = candidates(queries, store, k, exclude_self, pivots, query_id, query_vec).where(F.col("dist") < float("inf")).drop("computed")
     w = Window.partitionBy("query_id").orderBy("dist", "ex_id")
     return cand.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k)
 

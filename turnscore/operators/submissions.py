@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnscore.operators.identity import PLACE, occurrence, placed
+from turnscore.operators.identity import PLACE, occurrence, placed, written
 from turnscore.schemas import SUBMISSION_ROWS, TURN_DIMENSIONS
 
 
@@ -121,12 +121,23 @@ def union_datasets(parts: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def text_digest(text: str) -> Column:
+    """32 bytes that stand for a whole text (SHA-256); NULL for NULL."""
+    return F.unhex(F.sha2(F.col(text).cast("binary"), 256))
+
+
 def drop_banned_contexts(train: DataFrame, dev: DataFrame, context: str = "context") -> DataFrame:
     """Remove train rows whose (raw) context occurs in the dev set
-    (``left_anti``, never ``NOT IN``, for NULL safety). The distinct dev contexts
-    are the small side: AQE broadcasts them when they are small at run time, and
-    otherwise splits a train partition that one context fills."""
-    return train.join(dev.select(context).distinct(), context, "left_anti")
+    (``left_anti``, never ``NOT IN``, for NULL safety).
+
+    Contexts are long, so none is shuffled: both sides' distinct digests meet
+    first, and what they share, the banned digests that train really holds, is
+    written once (a job when this is called). It is as small as the overlap, so
+    its known size lets the planner broadcast it and leave the train rows where
+    they are; a large overlap is joined by digest, with skew splitting."""
+    own, other = (d.select(text_digest(context).alias("_digest")).where("_digest is not null").distinct() for d in (train, dev))
+    banned, _ = written(own.join(other, "_digest", "left_semi"))
+    return train.withColumn("_digest", text_digest(context)).join(banned, "_digest", "left_anti").select(*train.columns)
 
 
 def cap_rows(df: DataFrame, n: int, order: Sequence[str] = ("uid",)) -> DataFrame:

@@ -142,7 +142,8 @@ def s9(spark, sf_dir):
     root = scratch_path(spark, "s9-results")
     io.write_results(r, root, "run-a")
     io.write_results(r.where(F.col("sid") == "Chatbot"), root, "run-b")
-    return spark.read.parquet(root).groupBy("run_id").agg(F.count(F.lit(1)).alias("n_rows"))
+    io.write_results(r, root, "run-a")  # a re-run takes the place of the first
+    return io.read_all_runs(spark, root).groupBy("run_id").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 @query(

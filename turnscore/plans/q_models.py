@@ -126,14 +126,39 @@ def _ensembled(spark, sf_dir):
     return data.withColumn("split", F.when(F.col("vec_id") % 5 == 0, "dev").otherwise("train"))
 
 
+_REG_PARAMS = (0.0, 0.1, 1.0)
+
+
 def _fit(spark, sf_dir):
-    data = _ensembled(spark, sf_dir)
-    train, dev = data.where(F.col("split") == "train"), data.where(F.col("split") == "dev")
-    models = rg.fit_candidates(train, (0.0, 0.1, 1.0))
-    return train, dev, models
+    """Ridges on one feature (the first component): they have a closed form that
+    SQL can check. All features are in E6 and in the network's query."""
+    r = ad.embedding_records(spark, sf_dir)
+    data, _ = gd.drop_unlabelled(r.select("dialogue_id", "vec_id", F.array(F.col("embedding")[0].cast("double")).alias("features"), F.col("gold").alias("label")), "label")
+    train, dev = data.where(F.col("vec_id") % 5 != 0), data.where(F.col("vec_id") % 5 == 0)
+    return train, dev, rg.fit_candidates(train, _REG_PARAMS)
+
+
+#: The closed form: the penalty stands on the scale of the label's deviation.
+_RIDGE = {
+    "d": "SELECT dialogue_id, vec_id, CAST(embedding[1] AS DOUBLE) AS x, gold AS y FROM emb_records WHERE gold IS NOT NULL",
+    "tm": "SELECT avg(x) AS mx, stddev_samp(x) AS sx, avg(y) AS my, stddev_pop(y) AS sy, covar_pop(x, y) AS cxy, var_pop(x) AS vx, count(*) AS n "
+          "FROM d WHERE vec_id % 5 <> 0",
+    "cand": "SELECT * FROM (VALUES " + ", ".join(f"({i}, CAST({r} AS DOUBLE))" for i, r in enumerate(_REG_PARAMS)) + ") AS v(candidate, reg_param)",
+    "pr": "SELECT candidate, reg_param, n, dialogue_id, y, my + (cxy / sx) / (vx / (sx * sx) + reg_param / sy) * (x - mx) / sx AS p FROM d, tm, cand "
+          "WHERE vec_id % 5 = 0",
+    "rk": f"SELECT *, {avg_rank_sql('y', 'candidate')} AS gr, {avg_rank_sql('p', 'candidate')} AS pr FROM pr",
+    "met": f"""SELECT candidate, reg_param, n, {corr_sql('gr', 'pr')} AS spearman, {corr_sql('y', 'p')} AS pearson,
+       avg(abs(p - y) + ln(1 + exp(-2 * abs(p - y))) - ln(2)) AS log_cosh FROM rk GROUP BY candidate, reg_param, n""",
+    "best": "SELECT *, row_number() OVER (ORDER BY round(spearman, 9) DESC, candidate) AS position FROM met",
+}
+
 
+def _ridge_sql(body: str) -> str:
+    return sql(body, "emb_records", extra=_RIDGE)
 
-@query("M5_train_regressor")
+
+@query("M5_train_regressor", _ridge_sql("""SELECT reg_param, n AS n_train, true AS converged, round(spearman, 6) AS dev_spearman,
+       round(pearson, 6) AS dev_pearson, round(log_cosh, 6) AS dev_log_cosh FROM met"""))
 def m5(spark, sf_dir):
     """Fit one ridge per regularisation value; dev metrics of all in one pass."""
     train, dev, models = _fit(spark, sf_dir)
@@ -146,23 +171,26 @@ def m5(spark, sf_dir):
         F.col("log_cosh").alias("dev_log_cosh"))
 
 
-@query("T5_best_model")
+@query("T5_best_model", _ridge_sql("SELECT CAST(position AS INTEGER) AS position, reg_param, round(spearman, 6) AS dev_spearman FROM best WHERE position <= 2"))
 def t5(spark, sf_dir):
-    """Keep the two best candidates by dev Spearman."""
+    """Keep the two best candidates by dev Spearman (ties: the first)."""
     _, dev, models = _fit(spark, sf_dir)
     best = rg.select_best(models, dev, 2)
     return spark.createDataFrame([(i + 1, m.reg_param, float(s)) for i, (m, s) in enumerate(best)],
                                  "position int, reg_param double, dev_spearman double")
 
 
-@query("M6_predict_regressor")
+@query("M6_predict_regressor", _ridge_sql("""SELECT dialogue_id, round(p, 6) AS prediction, round(y, 6) AS gold FROM pr
+WHERE candidate = (SELECT candidate FROM best WHERE position = 1)"""))
 def m6(spark, sf_dir):
     """Predictions of the best model on the dev split with real gold."""
     _, dev, models = _fit(spark, sf_dir)
     return rg.predict(rg.select_best(models, dev, 1)[0][0], dev)
 
 
-@query("M7_rank_evaluator")
+@query("M7_rank_evaluator", _ridge_sql("""SELECT v.metric, round(CASE WHEN v.metric = 'pearson' THEN b.pearson WHEN v.metric = 'log_cosh' THEN b.log_cosh ELSE b.spearman END, 6) AS value,
+       v.metric <> 'log_cosh' AS larger_is_better
+FROM (SELECT unnest(['evaluator_spearman', 'grouped_spearman', 'spearman', 'pearson', 'log_cosh']) AS metric) v, best b WHERE b.position = 1"""))
 def m7(spark, sf_dir):
     """The custom evaluator's three metrics for the best model on dev."""
     _, dev, models = _fit(spark, sf_dir)
@@ -175,6 +203,20 @@ def m7(spark, sf_dir):
     return spark.createDataFrame(rows, "metric string, value double, larger_is_better boolean")
 
 
+@query("M5_network_regressor")
+def m5_network(spark, sf_dir):
+    """The network on the ensembled embeddings: dev metrics after training, beside a ridge's."""
+    from turnscore.operators import network as nw
+
+    data = _ensembled(spark, sf_dir)
+    train, dev = data.where(F.col("split") == "train"), data.where(F.col("split") == "dev")
+    net = nw.fit_network(train, dev, hidden=(32,), rounds=4, steps=50)
+    models = [*rg.fit_candidates(train, (1.0,)), net]
+    met = rg.evaluate_candidates(models, dev)
+    names = spark.createDataFrame([(i, m.name) for i, m in enumerate(models)], "candidate int, model string")
+    return met.join(F.broadcast(names), "candidate").select("model", "n", "spearman", "pearson", "log_cosh")
+
+
 @query("E6_train_on_embeddings")
 def e6(spark, sf_dir):
     """Whole job: pool train sets of dialogue rows, drop rows whose context

@@ -2,13 +2,17 @@
 
 Formats and options follow SURVEY trap K7 (CSV round trip with quotes,
 newlines, empty strings and NULLs). Result tables are Parquet partitioned by
-``run_id`` so reading one run is partition pruning, not a glob.
+``run_id`` and version, so reading one run is partition pruning, not a glob; a
+run's version is published by its manifest (:func:`publish`).
 """
 
 from __future__ import annotations
 
 import json
+import re
+import uuid
 from collections.abc import Sequence
+from urllib.parse import quote, unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,19 +26,42 @@ CSV_OPTIONS = {"header": "true", "escape": '"', "emptyValue": "", "nullValue": "
 def json_layout(spark: SparkSession, path: str) -> str:
     """``array`` (each file one JSON array or one record over several lines) or
     ``lines`` (one record per line), judged by the first line of every file;
-    an error where the files differ."""
-    lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"),
-        F.monotonically_increasing_id().alias("i"), F.trim("value").alias("v"),
-    ).where("v <> ''")
-    first = lines.groupBy("f").agg(F.min_by("v", F.struct("b", "i")).alias("v"))
-    whole = F.col("v").startswith("{") & F.col("v").endswith("}")
-    kinds = {r["k"] for r in first.select(F.when(whole, "lines").otherwise("array").alias("k")).distinct().collect()}
+    an error where the files differ. Only the head of each file is read."""
+    files = [r["path"] for r in spark.read.format("binaryFile").load(path).select("path").collect()]  # lists, reads nothing
+    kinds = {k for f in files if (k := _layout_of(spark, f))}
     if len(kinds) > 1:
         raise ValueError(f"{path} mixes JSON arrays and JSON lines")
     return kinds.pop() if kinds else "lines"
 
 
+def _layout_of(spark: SparkSession, file: str, size: int = 1 << 16) -> str | None:
+    """The layout that a file's first line that isn't blank shows; None if there is none."""
+    while True:
+        head, ended = _head(spark, file, size)
+        text = head.lstrip()
+        if not text:
+            if ended:
+                return None
+        elif not text.startswith("{"):
+            return "array"
+        elif "\n" in text or ended:
+            return "lines" if text.split("\n", 1)[0].rstrip().endswith("}") else "array"
+        size *= 8  # a long first line, or many blank ones
+
+
+def _head(spark: SparkSession, file: str, size: int) -> tuple[str, bool]:
+    """The first ``size`` bytes of a (possibly compressed) file as text, and whether that is all."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    stream = _files(spark, file).open(_path(spark, file))
+    try:
+        codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(_path(spark, file))
+        source = codec.createInputStream(stream) if codec else stream
+        raw = bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(jvm.org.apache.commons.io.input.BoundedInputStream(source, size)))
+    finally:
+        stream.close()
+    return raw.decode("utf-8-sig", "ignore"), len(raw) < size
+
+
 def read_dialogue_json(spark: SparkSession, path: str, schema: T.StructType, multiline: bool | None = None,
                        place: bool = False) -> DataFrame:
     """One dataset. ``multiline`` true: JSON arrays (the challenge format;
@@ -114,44 +141,122 @@ def write_nested_json(df: DataFrame, path: str, annotation_cols: Sequence[str],
     nested.withColumns(lacking).write.mode(mode).json(path)
 
 
+#: Names of the partition columns that are text whatever they look like.
+_TEXT_KEYS = ("run_id", "split", "version")
+
+
 def _read_partitioned(spark: SparkSession, root: str) -> DataFrame:
     """A partitioned table with its partition values as the strings they are:
     inferred types would make one run of ``007`` and ``7``."""
     schema = spark.read.parquet(root).schema
-    text = ("run_id", "split")
-    fields = [T.StructField(f.name, T.StringType()) if f.name in text else f for f in schema.fields]
+    fields = [T.StructField(f.name, T.StringType()) if f.name in _TEXT_KEYS else f for f in schema.fields]
     return spark.read.schema(T.StructType(fields)).parquet(root)
 
 
-def _partition_write(df: DataFrame, root: str, parts: list[str]) -> None:
-    """Idempotent partitioned write: only the partitions present in ``df``
-    are replaced (dynamic partition overwrite), so a retried job or a re-run
-    epoch rewrites its own rows instead of appending duplicates."""
-    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-       .partitionBy(*parts).parquet(root))
+def publish(df: DataFrame, root: str, key: dict[str, str | int]) -> str:
+    """Replace the part ``key`` (such as one run, or one run's split) of the
+    table at ``root`` by ``df``, all at once.
+
+    The rows are written beside what is there, as a version of their own; then
+    one small file, the part's manifest, is replaced by a rename. Readers resolve
+    manifests, so during a re-run they see the old rows or the new ones, never a
+    mix, and rows of a failed write are never seen. The version before stays for
+    readers that have resolved it already; older ones are removed."""
+    spark = df.sparkSession
+    version = uuid.uuid4().hex[:12]
+    df.withColumns({**{k: F.lit(v) for k, v in key.items()}, "version": F.lit(version)}).write.mode("append").partitionBy(*key, "version").parquet(root)
+    folder, manifest = _manifest(root, key)
+    before = _read_text(spark, f"{folder}/{manifest}").split()
+    _put_text(spark, folder, manifest, " ".join([version, *before[:1]]))
+    if all(re.fullmatch(r"[A-Za-z0-9._-]+", str(v)) for v in key.values()):
+        for old in before[1:]:
+            _files(spark, old_path := "/".join([root, *[f"{k}={v}" for k, v in key.items()], f"version={old}"])).delete(_path(spark, old_path), True)
+    return version
+
+
+def _manifest(root: str, key: dict) -> tuple[str, str]:
+    """Folder (of the run) and name of a part's manifest; Spark doesn't read names that begin with ``_``."""
+    names = [f"{k}={quote(str(v), safe='')}" for k, v in key.items()]
+    return f"{root.rstrip('/')}/_published/{names[0]}", "&".join(names[1:]) or "all"
+
+
+def _path(spark: SparkSession, path: str):
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def _files(spark: SparkSession, path: str):
+    return _path(spark, path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _read_text(spark: SparkSession, path: str) -> str:
+    fs, p = _files(spark, path), _path(spark, path)
+    if not fs.exists(p):
+        return ""
+    stream = fs.open(p)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def _put_text(spark: SparkSession, folder: str, name: str, text: str) -> None:
+    jvm, fs = spark.sparkContext._jvm, _files(spark, folder)
+    staged, final = (_path(spark, f"{folder}/{n}") for n in (f".{uuid.uuid4().hex}", name))
+    stream = fs.create(staged, True)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    how = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    how[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    context.rename(fs.makeQualified(staged), fs.makeQualified(final), how)
+
+
+def _versions(spark: SparkSession, root: str, run_id: str, part: str | None = None) -> list[str]:
+    """Published versions of a run (of one of its parts)."""
+    folder, _ = _manifest(root, {"run_id": run_id})
+    fs = _files(spark, folder)
+    if not fs.exists(_path(spark, folder)):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(_path(spark, folder))]
+    found = [_read_text(spark, f"{folder}/{n}").split()[:1] for n in names if not n.startswith(".") and (part is None or n == part)]
+    return [v for vs in found for v in vs]
+
+
+def read_published(spark: SparkSession, root: str, run_id: str, part: str | None = None) -> DataFrame:
+    """A run's rows as published (partition pruning on run and version)."""
+    chosen = (F.col("run_id") == run_id) & F.col("version").isin(_versions(spark, root, run_id, part))
+    return _read_partitioned(spark, root).where(chosen).drop("version")
+
+
+def read_all_runs(spark: SparkSession, root: str) -> DataFrame:
+    """All runs' rows as published. The versions, one per run and part, are a
+    small table that the planner may broadcast."""
+    folder = f"{root.rstrip('/')}/_published"
+    runs = [s.getPath().getName() for s in _files(spark, folder).listStatus(_path(spark, folder))]
+    versions = [(v,) for r in runs for v in _versions(spark, root, unquote(r.split("=", 1)[1]))]
+    return _read_partitioned(spark, root).join(spark.createDataFrame(versions, "version string"), "version", "left_semi").drop("version")
 
 
-def write_results(df: DataFrame, root: str, run_id: str, extra_partitions: Sequence[str] = ()) -> None:
-    """S9 (and the run-result side of S3): publish a scored table as the
-    ``run_id=<id>`` partition of the results table (replacing that run's
-    earlier rows, other runs untouched)."""
-    _partition_write(df.withColumn("run_id", F.lit(run_id)), root, ["run_id", *extra_partitions])
+def write_results(df: DataFrame, root: str, run_id: str, part: dict[str, str | int] | None = None) -> None:
+    """S9 (and the run-result side of S3): publish a scored table as run
+    ``run_id`` of the results table (:func:`publish`: that run's earlier rows are
+    replaced at once, other runs are untouched). ``part``: only a part of the
+    run, such as a streaming epoch."""
+    publish(df, root, {"run_id": run_id, **(part or {})})
 
 
 def read_results(spark: SparkSession, root: str, run_id: str) -> DataFrame:
-    """S3: a run's result table by id (partition pruning on ``run_id``)."""
-    return _read_partitioned(spark, root).where(F.col("run_id") == run_id)
+    """S3: a run's result table by id, as published last."""
+    return read_published(spark, root, run_id)
 
 
 def write_embeddings(df: DataFrame, root: str, run_id: str, split: str) -> None:
-    """Embedding records (``ARRAY<FLOAT>``) as the ``run_id``/``split``
-    partition (idempotent, other runs and splits untouched)."""
-    _partition_write(df.withColumn("run_id", F.lit(run_id)).withColumn("split", F.lit(split)), root,
-                     ["run_id", "split"])
+    """Publish embedding records (``ARRAY<FLOAT>``) as a run's split."""
+    publish(df, root, {"run_id": run_id, "split": split})
 
 
 def read_embeddings(spark: SparkSession, root: str, run_id: str, split: str) -> DataFrame:
-    return _read_partitioned(spark, root).where((F.col("run_id") == run_id) & (F.col("split") == split))
+    return read_published(spark, root, run_id, _manifest(root, {"run_id": run_id, "split": split})[1]).where(F.col("split") == split)
 
 
 RUN_SCHEMA = T.StructType(
@@ -167,12 +272,12 @@ RUN_SCHEMA = T.StructType(
 
 def append_run(spark: SparkSession, root: str, run_id: str, prompt: str, model_name: str, seed: int,
                **options) -> None:
-    """Persist one run record (all options as JSON) as the run's own
-    partition: recording the same run again replaces its record."""
+    """Publish one run record (all options as JSON): recording the same run
+    again replaces its record."""
     row = (run_id, prompt, model_name, int(seed), json.dumps(options, sort_keys=True))
-    _partition_write(spark.createDataFrame([row], RUN_SCHEMA), root, ["run_id"])
+    publish(spark.createDataFrame([row], RUN_SCHEMA).drop("run_id"), root, {"run_id": run_id})
 
 
 def read_runs(spark: SparkSession, root: str) -> DataFrame:
     """All run records (``run_id`` comes from the partition folders)."""
-    return _read_partitioned(spark, root).select(*RUN_SCHEMA.fieldNames())
+    return read_all_runs(spark, root).select(*RUN_SCHEMA.fieldNames())

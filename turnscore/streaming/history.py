@@ -63,9 +63,9 @@ def score_micro_batches(contexts: DataFrame, turns: DataFrame, results_root: str
         pairs = pairs.withColumn("prompt", prompts.render_prompt(prompt))
         raw = scoring.batch_score(pairs, scorer, keep=("uid", "context", "response", "prompt"))
         parsed = replies.parse_replies(raw, prompt.qualities, "reply", keep=("uid", "call_failed"))
-        # one partition per (run, epoch): a re-run epoch after a failure
+        # one part per (run, epoch): a re-run epoch after a failure
         # replaces its own rows (exactly-once output with the checkpoint)
-        io.write_results(parsed.withColumn("epoch", F.lit(epoch)), results_root, run_id, ["epoch"])
+        io.write_results(parsed, results_root, run_id, {"epoch": epoch})
 
     w = contexts.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if trigger_available_now else w
