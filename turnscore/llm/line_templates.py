@@ -214,7 +214,8 @@ def recurring_lines(docs: DataFrame, text: str = "text", least: int = LEAST_DOCS
     lines = parsed.where(F.size("line") > 0).select("h1", "h2", "fp", F.inline(F.arrays_zip("line", "leaf", "fields")))
     lines = lines.join(group_names(parsed), "fp", "left").withColumn("name", F.coalesce("name", "fp")).drop("fp")
     lines = reliable_checkpoint(lines)
-    lines = lines.join(_in_groups(lines, ["leaf"], least), "leaf")
+    # written tables: few leaves and templates are broadcast, so one that many lines share stays where its lines are
+    lines = lines.join(reliable_checkpoint(_in_groups(lines, ["leaf"], least)), "leaf")
     variable = F.lit(int(_VARIABLE.view(np.int64)))
     places = lines.select("h1", "h2", "line", "leaf", "name", F.posexplode("fields").alias("place", "value"))
     constant = _in_groups(places.where(F.col("value") != variable), ["leaf", "place", "value"], least).withColumn("constant", F.lit(True))
@@ -222,7 +223,6 @@ def recurring_lines(docs: DataFrame, text: str = "text", least: int = LEAST_DOCS
         F.sort_array(F.collect_list(F.struct("place", F.when(F.col("constant"), F.col("value")).alias("value")))).alias("template"))
     n = F.size(F.filter("template", lambda f: f["value"].isNotNull()))
     found = reliable_checkpoint(found.where(n * CONSTANT[1] >= F.size("template") * CONSTANT[0]))
-    # a written table: few templates are broadcast, so one that many lines share stays where its lines are
     gone = found.join(reliable_checkpoint(_in_groups(found, ["leaf", "template"], least)), ["leaf", "template"], "left_semi")
     return gone.groupBy("h1", "h2").agg(F.collect_list("line").alias("dropped"))
 

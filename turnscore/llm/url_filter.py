@@ -70,7 +70,7 @@ def rule_keys(host: Column, path: Column, rules: list[tuple[str, str]]) -> Colum
 
 def key_hash(key: Column) -> tuple[Column, Column]:
     """128 bits that stand for a key."""
-    return F.xxhash64(key), F.xxhash64(key, F.lit("second"))
+    return F.xxhash64(key), F.xxhash64(F.lit("second"), key)
 
 
 class Level:
