@@ -20,11 +20,12 @@ from turnscore.llm import bpe, decontamination, language_id, line_templates, ngr
 from turnscore.llm.queries import table, tokenizer_path
 from turnscore.session import reliable_checkpoint, ship_package
 
-#: Share of a recognised document's distinct n-grams that one language's training texts hold, at least; less where
-#: the training texts know each other less (``Model.usual``). The score can't tell: a text's language values add up
-#: to 1 whatever the text. On sf0.001, sf0.01, sf0.1 and check_h held-out rows have 0.82 to 1, random letters and
-#: words, base64, other scripts and other languages 0.08 to 0.66.
+#: Share of a recognised document's 4-grams that one language's training texts hold, at least, beyond chance; less
+#: where the training texts know each other less (``Model.usual``). The score can't tell: a text's language values add
+#: up to 1 whatever the text.
 LEAST_KNOWN = 0.7
+#: Near copies: words of a shingle and least similarity.
+SHINGLE, SIMILARITY = 5, (80, 100)
 
 
 def _with_text(docs: DataFrame, columns: list[str]) -> DataFrame:
@@ -47,7 +48,7 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def keep_representatives(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document, that of the smallest id, of each group of near copies."""
-    groups = ngram_join.jaccard_components(docs, ["doc_id"])
+    groups = ngram_join.jaccard_components(docs, ["doc_id"], shingle=SHINGLE, t=SIMILARITY)
     gone = groups.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("names")).where("not names").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
