@@ -36,7 +36,7 @@ def curved(spark, n=400, seed=3):
 
 def test_learns_what_a_ridge_cannot(spark):
     train, dev = curved(spark)
-    net = nw.fit_network(train, dev, hidden=(16,), rounds=6, steps=60, rate=0.02, shares=3)
+    net = nw.fit_network(train, dev, hidden=(16,), rounds=4, steps=100, rate=0.02, shares=2, local=20)
     ridge = rg.fit_candidates(train, (0.1,))[0]
     got = {r["candidate"]: r["spearman"] for r in rg.evaluate_candidates([ridge, net], dev).collect()}
     assert got[0] < 0.5 < 0.9 < got[1] and net.losses[-1] < 0.2 * net.losses[0]
@@ -46,7 +46,7 @@ def test_learns_what_a_ridge_cannot(spark):
 
 def test_spread_of_the_rows_does_not_matter(spark):
     train, dev = curved(spark, 120)
-    one, three = (nw.fit_network(train.repartition(p), dev, hidden=(4,), rounds=1, steps=15, shares=s) for p, s in ((2, 1), (5, 3)))
+    one, three = (nw.fit_network(train.repartition(p), dev, hidden=(4,), rounds=1, steps=5, shares=s, local=1) for p, s in ((2, 1), (5, 3)))
     assert np.allclose(nw.flat(one.params), nw.flat(three.params), atol=1e-9) and np.allclose(one.losses, three.losses)
 
 

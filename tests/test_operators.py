@@ -118,6 +118,19 @@ def test_correlation_edge_cases(spark):
     assert mm["n_undefined"] == 3 and mm["pearson_mean"] == pytest.approx(0.5)
 
 
+def test_pvalue_columns_equal_plain_python(spark):
+    from turnscore.functions.stats import pvalue
+
+    rows = [(r, n) for r in (0.0, 1e-9, -1e-3, 0.01, 0.1, -0.3, 0.5, 0.9, -0.999, 1 - 1e-12, 1.0, -1.0) for n in (2, 3, 4, 5, 10, 47, 500, 9999, 100_001, 100_002, 10**7, 10**12)]
+    df = spark.createDataFrame([*rows, (None, 10), (float("nan"), 10), (0.5, None)], "r double, n long")
+    out = df.select("r", "n", pvalue(F.col("r"), F.col("n")).alias("p"))
+    assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+    for x in out.collect():
+        want = correlation_pvalue(x["r"], x["n"]) if x["r"] is not None and x["n"] is not None else None
+        # plain Python loses the last digits of 1 - r * r next to 1
+        assert x["p"] == (None if want is None else pytest.approx(want, rel=1e-7, abs=3e-7)), (x, want)
+
+
 def test_pvalue():
     assert correlation_pvalue(0.5, 10) == pytest.approx(0.14111, abs=1e-5)
     assert correlation_pvalue(0.0, 30) == pytest.approx(1.0)

@@ -10,12 +10,10 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from turnscore.functions.stats import correlation_pvalue
+from turnscore.functions.stats import pvalue
 from turnscore.operators.identity import written
 from turnscore.operators.ranks import PER_RANGE, ranked_values, value_counts
 from turnscore.operators.submissions import first_per_uid
@@ -125,19 +123,8 @@ def macro_mean(per_quality: DataFrame, group: Sequence[str] = ()) -> DataFrame:
 
 def with_pvalues(corr: DataFrame, n_col: str = "n", cols: Sequence[str] = ("pearson", "spearman")) -> DataFrame:
     """A5: two-sided p-value of each correlation (t-test with n-2 degrees of
-    freedom, as scipy). Runs on the tiny per-group result only."""
-
-    @F.pandas_udf(T.DoubleType())
-    def pval(r: pd.Series, n: pd.Series) -> pd.Series:
-        return pd.Series(
-            [correlation_pvalue(a, int(b)) if a is not None and not pd.isna(a) else None for a, b in zip(r, n)],
-            dtype="float64",
-        )
-
-    out = corr
-    for c in cols:
-        out = out.withColumn(f"{c}_p", pval(F.col(c), F.col(n_col)))
-    return out
+    freedom, as scipy), column expressions only."""
+    return corr.withColumns({f"{c}_p": pvalue(F.col(c), F.col(n_col)) for c in cols})
 
 
 def eval_slice(

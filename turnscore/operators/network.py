@@ -2,12 +2,14 @@
 between them, trained with Adam by data-parallel gradient steps.
 
 A training round is one barrier job: every task keeps its share of the scaled
-rows, computes the gradient of its part of the step's batch, and all tasks add
-up all gradients (``allGather``, in the order of the tasks), so each makes the
-same step and the result does not depend on how rows are spread, but for the
-order of additions. The round hands its weights back; dev Spearman decides
-after each round whether to go on, and the best weights stay. A lost executor
-costs the round at most: it starts again from the weights of the last one.
+rows and takes ``local`` gradient steps on it, then all tasks exchange what they
+have (``allGather``, in the order of the tasks) and go on from the same state:
+with ``local=1`` the sum of all gradients makes one step, so the result does not
+depend on how rows are spread, but for the order of additions; with more, weights
+and moments are averaged by rows, which costs a tenth of the exchanges. The round
+hands its weights back; dev Spearman decides after each round whether to go on,
+and the best weights stay. A lost executor costs the round at most: it starts
+again from the weights of the last one.
 
 Rows are scaled by a fitted ``StandardScaler`` and written once, in shares of
 which each fits a task's memory (the number of shares is the number of slots).
@@ -98,24 +100,44 @@ class State:
         self.weights = self.weights - rate * (self.m / (1 - 0.9**self.step)) / (np.sqrt(self.v / (1 - 0.98**self.step)) + 1e-8)
 
 
-def _round(shared, like: Params, steps: int, batch: int | None, rate: float, decay: float):
+def _round(shared, like: Params, steps: int, batch: int | None, rate: float, decay: float, local: int):
     def run(batches):
         task = BarrierTaskContext.get()
+
+        def together(values: np.ndarray) -> np.ndarray:
+            """The sum of all tasks' values."""
+            parts = task.allGather(base64.b64encode(values.tobytes()).decode())
+            return np.sum([np.frombuffer(base64.b64decode(p), np.float64) for p in parts], axis=0)
+
         tables = [b for b in batches if b.num_rows]
         n_inputs = like[0][0].shape[0]
         x = np.concatenate([b.column("_x").flatten().to_numpy(zero_copy_only=False).reshape(-1, n_inputs) for b in tables]) if tables else np.zeros((0, n_inputs))
         y = np.concatenate([b.column("_label").to_numpy() for b in tables]) if tables else np.zeros(0)
         state = State(*shared.value)
-        losses = []
-        for _ in range(steps):
-            # a step's batch: the next stretch of every task's rows, whose order is a hash of them
+        rows, losses = float(len(y)), []
+
+        def gradient() -> tuple[float, np.ndarray, float]:
+            # a step's batch: the next stretch of the task's rows, whose order is a hash of them
             own = slice(None) if batch is None or len(y) <= batch else np.arange(state.step * batch, (state.step + 1) * batch) % len(y)
-            loss, gradient = loss_and_gradient(shaped(state.weights, like), x[own], y[own])
-            message = np.concatenate([[loss, float(len(y[own]))], gradient])
-            parts = task.allGather(base64.b64encode(message.tobytes()).decode())
-            total = sum(np.frombuffer(base64.b64decode(p), np.float64) for p in parts)
-            losses.append(total[0] / max(total[1], 1.0))
-            state.update(total[2:] / max(total[1], 1.0), rate, decay)
+            loss, g = loss_and_gradient(shaped(state.weights, like), x[own], y[own])
+            return loss, g, float(len(y[own]))
+
+        while len(losses) < steps:
+            if local == 1:
+                loss, g, n = gradient()
+                total = together(np.concatenate([[loss, n], g]))
+                losses.append(total[0] / max(total[1], 1.0))
+                state.update(total[2:] / max(total[1], 1.0), rate, decay)
+                continue
+            seen = []
+            for _ in range(min(local, steps - len(losses))):
+                loss, g, n = gradient()
+                seen.append(loss / max(n, 1.0))
+                state.update(g / max(n, 1.0), rate, decay)
+            k = len(seen)
+            total = together(np.concatenate([[rows], rows * np.array(seen), rows * state.weights, rows * state.m, rows * state.v]))
+            losses += (total[1 : k + 1] / total[0]).tolist()
+            state.weights, state.m, state.v = np.split(total[k + 1 :] / total[0], 3)
         if task.partitionId() == 0:
             yield pa.record_batch([pa.array([v.tobytes()]) for v in (state.weights, state.m, state.v)] + [pa.array([state.step]), pa.array([losses], pa.list_(pa.float64()))],
                                   names=["weights", "m", "v", "step", "losses"])
@@ -155,9 +177,11 @@ def _predicted(scaled: DataFrame, params: Params, out: str) -> DataFrame:
 def fit_network(
     train: DataFrame, dev: DataFrame, hidden: Sequence[int] = (64, 64), label: str = "label", vec: str = "features", rounds: int = 20, steps: int = 50,
     batch: int | None = None, rate: float = 0.01, decay: float = 0.0, patience: int = 3, seed: int = 0, shares: int | None = None,
+    local: int = 10,
 ) -> Network:
     """Trains until dev Spearman has not risen for ``patience`` rounds of
-    ``steps`` steps. ``batch``: rows per task and step (all by default). Rows
+    ``steps`` steps. ``batch``: rows per task and step (all by default);
+    ``local``: steps between two exchanges. Rows
     without a label don't train; a dev set without a defined Spearman (constant
     labels) is judged by the training loss."""
     from turnscore.operators.regression import features
@@ -165,12 +189,12 @@ def fit_network(
     spark = train.sparkSession
     has = F.col(label).isNotNull() & ~F.isnan(F.col(label).cast("double"))
     data = features(train.where(has), vec)
+    if data.isEmpty():
+        raise ValueError("no labelled training rows")
     scaler = StandardScaler(inputCol="_vec", outputCol="_scaled", withMean=True, withStd=True).fit(data)
     shares = shares or spark.sparkContext.defaultParallelism
     spread = scaler.transform(data).select(F.col(label).cast("double").alias("_label"), vector_to_array("_scaled").alias("_x"))
-    rows, seen = written(spread.withColumn("_h", F.xxhash64("_x", "_label")), n=F.count(F.lit(1)), mean=F.avg("_label"))
-    if not seen["n"]:
-        raise ValueError("no labelled training rows")
+    rows, seen = written(spread.withColumn("_h", F.xxhash64("_x", "_label")), mean=F.avg("_label"))
     n_inputs = len(scaler.mean)
     params = init_params(n_inputs, hidden, seed)
     params[-1][1][:] = seen["mean"]
@@ -181,7 +205,7 @@ def fit_network(
     best, best_value, since, losses, values = flat(params), -np.inf, 0, [], []
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast((state.weights, state.m, state.v, state.step))
-        done = own.mapInArrow(_round(shared, params, steps, batch, rate, decay), "weights binary, m binary, v binary, step long, losses array<double>", barrier=True).collect()[0]  # one task answers; a barrier job runs whole
+        done = own.mapInArrow(_round(shared, params, steps, batch, rate, decay, local), "weights binary, m binary, v binary, step long, losses array<double>", barrier=True).collect()[0]  # one task answers; a barrier job runs whole
         state = State(*[np.frombuffer(done[k], np.float64) for k in ("weights", "m", "v")], done["step"])
         losses += done["losses"]
         scored = _predicted(judged, shaped(state.weights, params), "score").select(F.lit("dev").alias("g"), "gold", "score")
