@@ -210,7 +210,7 @@ def m5_network(spark, sf_dir):
 
     data = _ensembled(spark, sf_dir)
     train, dev = data.where(F.col("split") == "train"), data.where(F.col("split") == "dev")
-    net = nw.fit_network(train, dev, hidden=(32,), rounds=4, steps=50)
+    net = nw.fit_network(train, dev, hidden=(32,), rounds=2, steps=20)
     models = [*rg.fit_candidates(train, (1.0,)), net]
     met = rg.evaluate_candidates(models, dev)
     names = spark.createDataFrame([(i, m.name) for i, m in enumerate(models)], "candidate int, model string")
