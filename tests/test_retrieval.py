@@ -63,3 +63,42 @@ def test_small_and_empty_stores(spark):
     queries, store = frames(spark, s, s)
     assert found(rt.nearest(queries, store, 5)) == sorted(brute(s, s, 5, True))
     assert rt.nearest(queries, store.where("false"), 5).count() == 0 == rt.nearest(queries.where("false"), store, 5).count()
+
+
+def test_vectors_without_clusters_are_sent_once_per_block(spark, monkeypatch):
+    """Every cell is visited, yet no table grows with queries times cells."""
+    monkeypatch.setattr(rt, "LEAST_BLOCK", 200, raising=False)
+    rows, real = [], rt.written
+
+    def counted(df, **metrics):
+        back, seen = real(df, **metrics)
+        rows.append(back.count())
+        return back, seen
+
+    monkeypatch.setattr(rt, "written", counted)
+    s = np.random.RandomState(5).randn(1500, 32)
+    queries, store = frames(spark, s, s)
+    assert [x for x in found(rt.nearest(queries, store, 4)) if x[0] < 50] == sorted(brute(s[:50], s, 4, True))
+    assert max(rows) <= len(s)
+
+
+def test_repeated_keys_and_equal_vectors(spark, monkeypatch):
+    """Of 900 equal vectors only the smallest ids count; a repeated id is left out as a whole."""
+    monkeypatch.setattr(rt, "PAIRS", 64)
+    monkeypatch.setattr(rt, "KEPT", 100)
+    monkeypatch.setattr(rt, "TOGETHER", 70)
+    s = clustered(6, 1000, 4)
+    s[100:] = s[0]
+    _, store = frames(spark, s, s)
+    store = store.unionByName(store.where("ex_id in (0, 100, 101)"))
+    queries = store.select(F.col("ex_id").alias("query_id"), "embedding").where("query_id in (0, 5, 100, 999)").distinct()
+    got = {}
+    for q, e, _ in found(rt.nearest(queries, store, 4)):
+        got.setdefault(q, []).append(e)
+    assert (got[0], got[100], got[999]) == ([100, 100, 101, 101], [0, 0, 101, 101], [0, 0, 100, 100])
+    assert got[5] == sorted(i for _, i, _ in brute(s, s, 4, True)[20:24])
+
+
+def test_groups_of_cells():
+    starts, pieces = rt.groups_of(np.array([3, 4, 0, 25, 0, 2, 9, 1]), 10)
+    assert (starts.tolist(), pieces.tolist()) == ([0, 3, 4, 6], [1, 3, 1, 1])

@@ -11,13 +11,17 @@ instead of all distances:
   below (its shell around the pivot; half the detour over the plane between two
   pivots). A query visits just the cells whose lower bound is not above its
   upper bound.
-* Cells and their visitors are cut into blocks of bounded size that meet in one
-  task (``cogroup``). There the same inequality holds for single vectors: sorted
-  by their distance from the pivot, only a range of them can be near enough. What
-  is left is a BLAS product with an exact re-check, and each query keeps its own
-  top ``k``; a window per query picks the final ``k``.
-
-Nothing but pivots and cell statistics comes to the driver, both bounded.
+* Cells are put together to blocks of bounded size (a larger cell is cut), and a
+  query is sent once to every block that holds a cell for it, not once to every
+  cell: vectors without clusters visit all cells, and then rows by cell would grow
+  with the power 1.5 of the table. Blocks and parties of their visitors meet in
+  one task (``cogroup``), where a BLAS product screens the pairs against each
+  query's bound, what passes is computed directly, and the bound shrinks to the
+  ``k``-th distance found so far. A window per query picks the final ``k``.
+
+Nothing but pivots and cell statistics comes to the driver, both bounded. Memory of
+a task is bounded by the sizes of blocks; the number of distances is quadratic
+where the vectors have no clusters.
 """
 
 from __future__ import annotations
@@ -42,10 +46,12 @@ _CAND = T.StructType(
         T.StructField("computed", T.LongType()),
     ]
 )
-#: Most pivots; vectors of a cell and visits of a query block that meet in one task.
-MOST_PIVOTS, STORE_BLOCK, VISIT_BLOCK = 4096, 4096, 16384
-#: Queries whose ranges are searched together.
-TOGETHER = 64
+#: Most pivots; most vectors of a block and of a party of visitors that meet in one task.
+MOST_PIVOTS, STORE_BLOCK, VISIT_BLOCK = 4096, 1 << 16, 1 << 16
+#: Small tables are cut into so many blocks, of so many rows at least.
+BLOCKS, LEAST_BLOCK = 8, 1024
+#: Queries and vectors of one product; distances to pivots held at once; pairs computed, and kept, at once.
+TOGETHER, STEP, TO_PIVOTS, PAIRS, KEPT = 2048, 256, 1 << 19, 1 << 15, 1 << 17
 
 
 def _exact_d2(x: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -53,47 +59,14 @@ def _exact_d2(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.einsum("...j,...j->...", diff, diff)
 
 
-def _block_topk(ids, x, xx, qids, qmat, k, exclude_self, margin=8):
-    """Exact top-k of one batch for a block of queries.
-
-    Candidates come from the BLAS form ``|x|^2 + |q|^2 - 2 x.q`` (fast, a few
-    ulps off); their distances are then recomputed directly. A query whose
-    candidate set cannot be proven complete (the next approximate distance is
-    within the error bound of the k-th exact one) is recomputed directly over
-    the whole batch, so the result is always exact."""
-    b, m = len(ids), len(qids)
-    qq = np.einsum("ij,ij->i", qmat, qmat)
-    approx = xx[:, None] + qq[None, :] - 2.0 * (x @ qmat.T)
-    if exclude_self:
-        approx[ids[:, None] == qids[None, :]] = np.inf
-    kk = min(b, k + margin)
-    cand = np.argpartition(approx, kk - 1, axis=0)[:kk] if kk < b else np.tile(np.arange(b)[:, None], (1, m))
-    d = _exact_d2(x[cand], qmat[None, :, :])  # kk x m
-    if exclude_self:
-        d[ids[cand] == qids[None, :]] = np.inf
-    cid = ids[cand]
-    if kk < b:
-        err = 1e-9 * (xx.max() + qq) + 1e-12
-        kth = np.sort(d, axis=0)[min(k, kk) - 1]
-        nxt = np.partition(approx, kk, axis=0)[kk]
-        unsure = np.where(nxt - err <= kth + err)[0]
-        for j in unsure:  # rare: fall back to the direct form for this query
-            full = _exact_d2(x, qmat[j])
-            if exclude_self:
-                full[ids == qids[j]] = np.inf
-            top = np.lexsort((ids, full))[:kk]
-            cand[:, j], d[:, j], cid[:, j] = top, full[top], ids[top]
-    return cid.T, d.T  # m x kk
-
-
-def _merge(best_ids, best_d, cid, cd, k):
-    """Keep the k smallest (distance, id) per row."""
-    ids = np.concatenate([best_ids, cid], axis=1)
-    dd = np.concatenate([best_d, cd], axis=1)
-    m, w = ids.shape
-    rows = np.repeat(np.arange(m), w)
-    order = (np.lexsort((ids.ravel(), dd.ravel(), rows)).reshape(m, w) % w)[:, :k]
-    return np.take_along_axis(ids, order, 1), np.take_along_axis(dd, order, 1)
+def _best(at: np.ndarray, ids: np.ndarray, dist: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The ``k`` smallest (distance, id) of every query ``at``, in order, and their numbers from 0."""
+    order = np.lexsort((ids, dist, at))
+    at, ids, dist = at[order], ids[order], dist[order]
+    row = np.arange(len(at))
+    nth = row - np.maximum.accumulate(np.where(np.r_[True, at[1:] != at[:-1]][: len(at)], row, 0))
+    own = nth < k
+    return at[own], ids[own], dist[own], nth[own]
 
 
 def _vectors(t: pa.Table, id_col: str) -> tuple[np.ndarray, np.ndarray]:
@@ -130,11 +103,13 @@ def in_cells(store: DataFrame, pivots: np.ndarray) -> DataFrame:
 
     def run(batches):
         p = shared.value
+        rows = max(16, TO_PIVOTS // len(p))
         for batch in batches:
-            if batch.num_rows:
-                x = _matrix(batch.column("embedding"))
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                x = _matrix(part.column("embedding"))
                 cell = _to_pivots(x, p).argmin(axis=1)
-                yield pa.record_batch([*batch.columns, pa.array(cell, pa.int32()), pa.array(_exact_distance(x, p[cell]))], names=[*batch.schema.names, "cell", "d"])
+                yield pa.record_batch([*part.columns, pa.array(cell, pa.int32()), pa.array(_exact_distance(x, p[cell]))], names=[*part.schema.names, "cell", "d"])
 
     schema = T.StructType([*store.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("d", T.DoubleType())])
     return store.mapInArrow(run, schema)
@@ -161,51 +136,129 @@ def reach_and_visits(q: np.ndarray, qids: np.ndarray, ids: np.ndarray, pivots: n
     return reach, d, (n[None] > 0) & (np.maximum(shell, plane) <= reach[:, None] + slack)
 
 
+def groups_of(n: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of cells (``n`` vectors each) with up to ``size`` vectors together: the
+    first cell of every run, and into how many pieces it is cut (more than one
+    only where it is a single larger cell)."""
+    starts, pieces, held = [], [], 0
+    for cell, m in enumerate(int(m) for m in n):
+        if not starts or held + m > size:
+            starts.append(cell)
+            pieces.append(max(1, -(-m // size)))
+            held = m
+        else:
+            held += m
+    return np.array(starts), np.array(pieces)
+
+
 def _visits(k: int, exclude_self: bool, shared):
+    """Per query the bound, its nearest pivot and the runs of cells to visit."""
+
     def run(batches):
-        ids, pivots, n, low, high = shared.value
+        ids, pivots, n, low, high, starts = shared.value
+        rows = max(16, TO_PIVOTS // len(pivots))
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
                 q, qids = _matrix(part.column("embedding")), part.column("query_id").to_numpy()
                 reach, d, visited = reach_and_visits(q, qids, ids, pivots, n, low, high, k, exclude_self)
-                row, cell = np.nonzero(visited)
-                own = part.take(pa.array(row))
-                first = np.r_[True, row[1:] != row[:-1]] if len(row) else np.zeros(0, bool)
-                yield pa.record_batch(
-                    [*own.columns, pa.array(cell, pa.int32()), pa.array(d[row, cell]), pa.array(reach[row]), pa.array(np.where(first, len(pivots), 0), pa.int64())],
-                    names=["query_id", "embedding", "cell", "d", "reach", "computed"])
+                row, group = np.nonzero(np.logical_or.reduceat(visited, starts, axis=1))
+                ends = np.searchsorted(row, np.arange(len(q) + 1)).astype(np.int32)
+                groups = pa.ListArray.from_arrays(pa.array(ends), pa.array(group, pa.int32()))
+                yield pa.record_batch([*part.columns, pa.array(d.argmin(axis=1), pa.int32()), pa.array(d.min(axis=1)), pa.array(reach), groups],
+                                      names=["query_id", "embedding", "home", "near", "reach", "groups"])
 
     return run
 
 
-def _meet(k: int, exclude_self: bool):
-    """Visitors and vectors of one block of a cell: each query's ``k`` best, and
-    how many distances were computed for it."""
+def _repeats(ids: np.ndarray, x: np.ndarray, cell: np.ndarray, d: np.ndarray, k: int) -> np.ndarray:
+    """Which rows (by cell, distance, id) cannot be neighbours, since ``k + 1``
+    smaller ids have an equal vector."""
+    same = (cell[1:] == cell[:-1]) & (d[1:] == d[:-1])
+    maybe = np.flatnonzero(same)
+    for at in range(0, len(maybe), PAIRS):
+        i = maybe[at : at + PAIRS]
+        same[i] = (x[i + 1] == x[i]).all(axis=1)
+    nth = np.cumsum(np.r_[0, ids[1:] != ids[:-1]])
+    first = np.maximum.accumulate(np.where(np.r_[True, ~same], np.arange(len(ids)), 0))
+    return nth - nth[first] > k
+
+
+def _search(qids, q, near, reach, sids, x, cell, d, pivots, k: int, exclude_self: bool):
+    """(query's row, id, distance, number from 0) of the ``k`` best vectors of a
+    block within reach for up to ``TOGETHER`` queries, and how many distances
+    each took. The block is ordered by cell and distance from the pivot.
+
+    A product ``|x|^2 - 2 x.q`` screens the pairs with an allowance for rounding;
+    the distances of those that pass are computed directly, so nothing is lost."""
+    starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+    ends = np.r_[starts[1:], len(cell)]
+    points = pivots[cell[starts]]
+    xx, qq = np.einsum("ij,ij->i", x, x), np.einsum("ij,ij->i", q, q)
+    to = _to_pivots(points, q)  # cells x queries
+    low, high = d[starts][:, None], d[ends - 1][:, None]
+    least = np.maximum(np.maximum(to - high, low - to), (to - near) / 2)
+    slack = 1e-6 * (1.0 + np.sqrt(qq) + np.sqrt(np.einsum("ij,ij->i", points, points).max()))
+    error = 1e-9 * (xx.max() + qq) + 1e-12
+    bound = (reach + slack) ** 2
+    twice, computed = -2.0 * q, np.zeros(len(q), np.int64)
+    best = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64))
+    found, held = [], 0
+
+    def merged():
+        at, ids, dist = (np.concatenate([best[i], *[f[i] for f in found]]) for i in range(3))
+        kept = _best(at, ids, dist, k)
+        last = kept[3] == k - 1
+        bound[kept[0][last]] = np.minimum(bound[kept[0][last]], kept[2][last])
+        return kept
+
+    for c in np.argsort(least.mean(axis=1)):
+        who = np.flatnonzero(least[c] <= np.sqrt(bound) + slack)
+        if not len(who):
+            continue
+        computed[who] += ends[c] - starts[c]
+        factor = (twice if len(who) == len(q) else twice[who]).T
+        for a in range(starts[c], ends[c], STEP):
+            b = min(a + STEP, ends[c])
+            screen = x[a:b] @ factor
+            screen += xx[a:b, None]
+            row, column = np.nonzero(screen <= (bound + error - qq)[who])
+            for at in range(0, len(row), PAIRS):
+                i, j = a + row[at : at + PAIRS], who[column[at : at + PAIRS]]
+                dist = _exact_d2(x[i], q[j])
+                own = dist <= bound[j]
+                if exclude_self:
+                    own &= sids[i] != qids[j]
+                found.append((j[own], sids[i[own]], dist[own]))
+                held += len(found[-1][0])
+                if held > KEPT:
+                    best = merged()
+                    found, held = [], 0
+    best = merged()
+    return best, computed
+
+
+def _meet(k: int, exclude_self: bool, shared):
+    """Visitors and vectors of one block: each query's ``k`` best, and how many
+    distances were computed for it."""
 
     def run(queries: pa.Table, store: pa.Table) -> pa.Table:
         found = []
         if queries.num_rows and store.num_rows:
-            store, queries = store.sort_by([("d", "ascending"), ("ex_id", "ascending")]), queries.sort_by([("d", "ascending"), ("query_id", "ascending")])
-            qids, qmat = _vectors(queries, "query_id")
-            sids, smat = _vectors(store, "ex_id")
-            d, dq, reach = store["d"].to_numpy(), queries["d"].to_numpy(), queries["reach"].to_numpy()
-            slack = 1e-6 * (1.0 + dq + d[-1])
-            low = np.searchsorted(d, dq - reach - slack, side="left")
-            high = np.searchsorted(d, dq + reach + slack, side="right")
-            sxx = np.einsum("ij,ij->i", smat, smat)
-            for at in range(0, len(qids), TOGETHER):
-                own = slice(at, at + TOGETHER)
-                a, b = int(low[own].min()), int(high[own].max())
-                if a >= b:
-                    continue
-                ids, dist = _block_topk(sids[a:b], smat[a:b], sxx[a:b], qids[own], qmat[own], k, exclude_self)
-                ids, dist = _merge(np.empty((len(ids), 0), np.int64), np.empty((len(ids), 0)), ids, dist, k)
-                near = np.isfinite(dist) & (np.sqrt(dist) <= (reach + slack)[own][:, None])
-                near[:, 0] = True  # carries the count
-                computed = np.where(np.arange(ids.shape[1])[None] == 0, b - a, 0) + np.zeros((len(ids), 1), np.int64)
-                rows = np.repeat(qids[own], ids.shape[1]).reshape(ids.shape)
-                found.append((rows[near], ids[near], dist[near], computed[near]))
+            pivots = shared.value[1]
+            sids, x = _vectors(store, "ex_id")
+            cell, d = store["cell"].to_numpy(), store["d"].to_numpy()
+            order = np.lexsort((sids, d, cell))
+            order = order[~_repeats(sids[order], x[order], cell[order], d[order], k)]
+            sids, x, cell, d = sids[order], x[order], cell[order], d[order]
+            queries = queries.sort_by([("home", "ascending"), ("query_id", "ascending")])
+            for at in range(0, queries.num_rows, TOGETHER):
+                part = queries.slice(at, TOGETHER)
+                qids, q = _vectors(part, "query_id")
+                (row, ids, dist, nth), computed = _search(qids, q, part["near"].to_numpy(), part["reach"].to_numpy(), sids, x, cell, d, pivots, k, exclude_self)
+                none = np.setdiff1d(np.flatnonzero(computed), row)  # carry counts only
+                found.append((qids[row], ids, dist, np.where(nth == 0, computed[row], 0)))
+                found.append((qids[none], np.zeros(len(none), np.int64), np.full(len(none), np.inf), computed[none]))
         columns = [np.concatenate([f[i] for f in found]) if found else np.empty(0, t) for i, t in enumerate((np.int64, np.int64, float, np.int64))]
         return pa.table({"query_id": columns[0], "ex_id": columns[1], "dist": columns[2], "computed": columns[3]})
 
@@ -227,24 +280,32 @@ def candidates(queries: DataFrame, store: DataFrame, k: int, exclude_self: bool
     n, low, high = np.zeros(len(ids), np.int64), np.zeros(len(ids)), np.zeros(len(ids))
     for r in s.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("low"), F.max("d").alias("high")).collect():  # a row per pivot
         n[r["cell"]], low[r["cell"]], high[r["cell"]] = r["n"], r["low"], r["high"]
-    shared = spark.sparkContext.broadcast((ids, points, n, low, high))
-    visits, _ = written(q.mapInArrow(_visits(k, exclude_self, shared), "query_id long, embedding array<double>, cell int, d double, reach double, computed long"
-                                     if dict(q.dtypes)["embedding"] == "array<double>" else "query_id long, embedding array<float>, cell int, d double, reach double, computed long"))
-    # blocks of a cell's vectors and of its visitors; both lists are as long as the pivots
-    blocks = F.get(F.lit([max(1, -(-int(c) // STORE_BLOCK)) for c in n]), F.col("cell"))
-    own = visits.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / VISIT_BLOCK).cast("int").alias("parties"))
-    met = visits.join(F.broadcast(own), "cell").select(
-        "cell", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.pmod(F.xxhash64("query_id"), F.col("parties")).cast("int").alias("party"),
-        "query_id", "embedding", "d", "reach")
-    held = s.join(F.broadcast(own), "cell").select(
-        "cell", F.pmod(F.xxhash64("ex_id"), blocks).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("parties") - 1)).alias("party"),
-        "ex_id", "embedding", "d")
-    key = ("cell", "block", "party")
-    cand = met.groupBy(*key).cogroup(held.groupBy(*key)).applyInArrow(_meet(k, exclude_self), _CAND)
-    counts = visits.where("computed > 0").select("query_id", F.lit(None).cast("long").alias("ex_id"), F.lit(float("inf")).alias("dist"), "computed")
+    starts, pieces = groups_of(n, _block_size(int(n.sum()), STORE_BLOCK))
+    shared = spark.sparkContext.broadcast((ids, points, n, low, high, starts))
+    vector = dict(q.dtypes)["embedding"]
+    visits, seen = written(q.mapInArrow(_visits(k, exclude_self, shared), f"query_id long, embedding {vector}, home int, near double, reach double, groups array<int>"),
+                           n=F.count(F.lit(1)))
+    size = _block_size(seen["n"], VISIT_BLOCK)
+    visitors = {r["g"]: r["count"] for r in visits.select(F.explode("groups").alias("g")).groupBy("g").count().collect()}  # a row per group of cells
+    parties = [-(-visitors.get(g, 0) // size) for g in range(len(starts))]
+    group = np.searchsorted(starts, np.arange(len(n)), side="right") - 1
+    whole, cut = F.get(F.lit(parties), F.col("group")), F.get(F.lit([int(p) for p in pieces]), F.col("group"))
+    met = visits.select("query_id", "embedding", "home", "near", "reach", F.explode("groups").alias("group")).select(
+        "group", F.explode(F.sequence(F.lit(0), cut - 1)).alias("piece"), F.pmod(F.xxhash64("query_id"), whole).cast("int").alias("party"),
+        "query_id", "embedding", "home", "near", "reach")
+    held = s.withColumn("group", F.get(F.lit([int(g) for g in group]), F.col("cell"))).where(whole > 0).select(
+        "group", F.pmod(F.xxhash64("ex_id"), cut).cast("int").alias("piece"), F.explode(F.sequence(F.lit(0), whole - 1)).alias("party"),
+        "ex_id", "embedding", "cell", "d")
+    key = ("group", "piece", "party")
+    cand = met.groupBy(*key).cogroup(held.groupBy(*key)).applyInArrow(_meet(k, exclude_self, shared), _CAND)
+    counts = visits.select("query_id", F.lit(None).cast("long").alias("ex_id"), F.lit(float("inf")).alias("dist"), F.lit(len(ids)).cast("long").alias("computed"))
     return cand.unionByName(counts)
 
 
+def _block_size(rows: int, most: int) -> int:
+    return min(most, max(LEAST_BLOCK, -(-rows // BLOCKS)))
+
+
 def nearest(
     queries: DataFrame,
     store: DataFrame,
