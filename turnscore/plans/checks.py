@@ -23,6 +23,6 @@ def plan_problems(df: DataFrame, allow_single_partition: bool = False) -> list[s
 
 
 def python_nodes(df: DataFrame) -> int:
-    """Number of Python execution nodes (UDF / mapInPandas) in the plan."""
+    """Number of Python execution nodes (UDF / mapInPandas / mapInArrow) in the plan."""
     plan = physical_plan(df)
-    return sum(plan.count(k) for k in ("MapInPandas", "ArrowEvalPython", "BatchEvalPython", "FlatMapGroupsInPandas"))
+    return sum(plan.count(k) for k in ("MapInPandas", "MapInArrow", "ArrowEvalPython", "BatchEvalPython", "FlatMapGroupsInPandas"))

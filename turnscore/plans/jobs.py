@@ -117,7 +117,7 @@ def score_and_evaluate(
         pairs = pairs.join(examples.select("uid", F.col("examples").alias("_examples")), "uid", "left")
         block = F.coalesce(F.col("_examples"), F.lit(""))
     rendered = pairs.withColumn("prompt", prompts.render_prompt(prompt, examples=block))
-    raw = scoring.batch_score(rendered.select("uid", "context", "response", "prompt"), scorer)
+    raw = scoring.batch_score(rendered, scorer, keep=("uid",))
     parsed = replies.parse_replies(raw, qs, "reply", default=prompt.default_missing_value, keep=("uid", "call_failed"))
     # model calls are the expensive step: materialise the scores once in the
     # shared checkpoint folder so the evaluation branches (and a recomputed

@@ -39,7 +39,7 @@ def _heur_long(fail: bool) -> str:
 
 def scored(spark, sf_dir, fail_prefix=None):
     pairs = kept_pairs(spark, sf_dir).withColumn("prompt", prompts.render_prompt(PROMPT))
-    raw = sc.batch_score(pairs, sc.heuristic_scorer(fail_prefix), keep=("uid", "context", "response", "prompt"))
+    raw = sc.batch_score(pairs, sc.heuristic_scorer(fail_prefix), keep=("uid",))
     parsed = replies.parse_replies(raw, PROMPT.qualities, "reply", keep=("uid", "call_failed"))
     return parsed.select("uid", "quality", "score", "parse_error", "call_failed")
 

@@ -61,7 +61,7 @@ def score_micro_batches(contexts: DataFrame, turns: DataFrame, results_root: str
     def each(batch: DataFrame, epoch: int) -> None:
         pairs = batch.join(turns.select("uid", F.col("text").alias("response")), "uid")
         pairs = pairs.withColumn("prompt", prompts.render_prompt(prompt))
-        raw = scoring.batch_score(pairs, scorer, keep=("uid", "context", "response", "prompt"))
+        raw = scoring.batch_score(pairs, scorer, keep=("uid",))
         parsed = replies.parse_replies(raw, prompt.qualities, "reply", keep=("uid", "call_failed"))
         # one part per (run, epoch): a re-run epoch after a failure
         # replaces its own rows (exactly-once output with the checkpoint)
