@@ -4,6 +4,7 @@ import random
 import re
 from collections import defaultdict
 
+import pyarrow as pa
 import pytest
 
 from turnscore.llm import exchange, ngram_join
@@ -99,3 +100,17 @@ def test_boundary_follows_the_cost():
         for b in range(a, 44):
             o = ngram_join.least_overlap(a, b)
             assert 100 * o >= 90 * (a + b - o) and 100 * (o - 1) < 90 * (a + b - o + 1)
+
+
+def test_sets_are_built_from_small_slices(spark, monkeypatch):
+    caught = []
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: caught.append(run))
+    ngram_join.set_table(docs, ["doc_id"])
+    texts = [" ".join(f"w{i * j % 997}" for j in range(250)) for i in range(3000)]
+    batch = pa.record_batch([pa.array(range(3000), pa.int64()), pa.array(texts)], names=["c0", "_text"])
+    parts = list(caught[0](iter([batch])))
+    assert max(sum(len(texts[i]) for i in p.column("c0").to_pylist()) for p in parts) <= 1 << 20
+    whole = ngram_join.Sets(batch.column("_text"), ngram_join.SHINGLE)
+    table = pa.Table.from_batches(parts)
+    assert table["c0"].to_pylist() == list(range(3000)) and table["fp"].to_pylist() == whole.keys()

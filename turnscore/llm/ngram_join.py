@@ -48,6 +48,10 @@ MOST_LIGHT = 40
 #: Cost of a shingle of a heavy set (counted, sorted, listed) in subsets of a light one.
 SCAN_COST = 4
 SKETCH_WORDS = 8
+#: Bytes of text whose sets are built at once; a worker holds about twenty times as much meanwhile.
+CHUNK = 1 << 20
+#: Bytes of distinct text of a shard: half of what others take, since its sets and their messages are held together.
+SHARD_BYTES = X.SHARD_BYTES // 2
 
 
 def least_overlap(a: int, b: int, t: tuple[int, int] = THRESHOLD) -> int:
@@ -62,23 +66,28 @@ class Sets:
 
     def __init__(self, texts, shingle: int, words: W.Words | None = None):
         w = W.split(texts, lower=True) if words is None else words
-        n = np.diff(w.bounds)
+        hashes, bounds = w.hashes[0], w.bounds
+        del w  # a worker's memory counts: nothing is held longer than it is needed
+        n = np.diff(bounds)
         size = np.clip(n, 1, shingle)  # shingle length of each row
         count = np.where(n > 0, np.maximum(n - size + 1, 0), 0)
         row = np.repeat(np.arange(len(n)), count)
-        start = np.arange(len(row)) - np.repeat(np.r_[0, np.cumsum(count)[:-1]], count) + w.bounds[row]
+        start = np.arange(len(row)) - np.repeat(np.r_[0, np.cumsum(count)[:-1]], count) + bounds[row]
         h = np.zeros(len(row), np.uint64)
         for k in range(1, shingle + 1):
             of = size[row] == k
             if of.any():
-                h[of] = W.mix(W.window_hash(w.hashes[0], start[of], k, W.WINDOW_BASES[0]) + W.U64(k))
+                h[of] = W.mix(W.window_hash(hashes, start[of], k, W.WINDOW_BASES[0]) + W.U64(k))
+        del hashes, start
+        row = row.astype(np.uint16 if len(n) < 1 << 16 else np.int64)
         order = np.argsort(h)
-        rows = row[order]
-        rows = rows.astype(np.uint16) if len(n) < 1 << 16 else rows
-        order = order[np.argsort(rows, kind="stable")]
         h, row = h[order], row[order]
+        order = np.argsort(row, kind="stable")
+        h, row = h[order], row[order]
+        del order
         new = np.r_[True, (h[1:] != h[:-1]) | (row[1:] != row[:-1])] if len(h) else np.zeros(0, bool)
         self.elements, row = h[new], row[new]
+        del h, new
         self.sizes = np.bincount(row, minlength=len(n)).astype(np.int64)
         self.bounds = np.r_[0, np.cumsum(self.sizes)]
         self.fp = [W.mix(self.sums(W.mix(self.elements ^ c)) + self.sizes.astype(np.uint64)) for c in W.BASES]
@@ -101,7 +110,7 @@ def set_table(docs: DataFrame, keep: list[str], text: str = "text", shingle: int
 
     def run(batches):
         for batch in batches:
-            for part in W.chunks(batch, "_text"):
+            for part in W.chunks(batch, "_text", CHUNK):
                 s = Sets(part.column("_text"), shingle)
                 small = [
                     s.elements[a:b].tobytes() if 0 < b - a <= MOST_LIGHT else None
@@ -199,8 +208,10 @@ class Shard:
         self.sets, self.keys = s, keys
         self.sizes = s.sizes[self.rows]
         self.bounds = np.r_[0, np.cumsum(self.sizes)]
-        at = np.repeat(s.bounds[self.rows] - self.bounds[:-1], self.sizes) + np.arange(self.bounds[-1])
+        at = np.repeat(s.bounds[self.rows] - self.bounds[:-1], self.sizes)
+        at += np.arange(self.bounds[-1])
         self.elements = s.elements[at]
+        del at
         self.outbox = X.Outbox(self.elements, buckets, short=True)
 
     def survivors(self, replies: pa.Table, t: tuple[int, int]) -> pa.Table:
@@ -231,8 +242,8 @@ class Shard:
 def heavy_sets(docs: DataFrame, text: str, least: int, shingle: int = SHINGLE, t: tuple[int, int] = THRESHOLD, shards: int | None = None) -> DataFrame:
     """Distinct sets of ``least`` shingles or more that may have a partner, with
     those of their rarest shingles (``prefix``) that other sets hold too."""
-    shards = shards or X.n_shards(docs, text)
-    buckets = X.n_buckets(shards * X.SHARD_BYTES // 6)
+    shards = shards or X.n_shards(docs, text, SHARD_BYTES)
+    buckets = X.n_buckets(shards * (X.SHARD_BYTES // 2) // 6)
     by_shard = X.distinct_texts(docs, shards, text).groupBy("shard")
 
     def send(key, texts):
