@@ -4,9 +4,10 @@ import random
 import re
 from collections import defaultdict
 
+import pyarrow as pa
 import pytest
 
-from turnscore.llm import exchange
+from turnscore.llm import exchange, words
 from turnscore.llm import line_templates as T
 
 
@@ -108,3 +109,21 @@ def test_empty_table_and_clashing_columns(spark):
     docs = spark.createDataFrame([("x", 1, "a\nb", 2, "p")], "h1 string, n_lines int, text string, dropped int, _row string")
     out = T.drop_recurring_lines(docs).first()
     assert (out.h1, out.text, out.n_lines, out.dropped, out._row, out.n_dropped) == ("x", "a\nb", 2, 2, "p", 0)
+
+
+def test_templates_are_sums_of_fixed_size(spark, monkeypatch):
+    """Written tables are aggregated without lists, so rows of a line merge before they are shuffled."""
+    plans, write = [], T.reliable_checkpoint
+    monkeypatch.setattr(T, "reliable_checkpoint", lambda df: plans.append(df._jdf.queryExecution().toString()) or write(df))
+    rows = made_up(3)
+    assert run(spark, rows, 5) == brute(rows, 5)
+    assert plans and not any("collect_list" in p for p in plans)
+
+
+def test_hashes_are_summed_in_short_stretches(monkeypatch):
+    monkeypatch.setattr(words, "_POWERS", {})
+    texts = [" ".join(f"w{i * j % 997}" for j in range(250)) for i in range(600)]
+    w = words.split(pa.array(texts))
+    assert max(p.nbytes for both in words._POWERS.values() for p in both) <= 1 << 19
+    monkeypatch.setattr(words, "STRETCH", 1 << 20)
+    assert (words.split(pa.array(texts)).hashes[0] == w.hashes[0]).all()

@@ -217,13 +217,14 @@ def recurring_lines(docs: DataFrame, text: str = "text", least: int = LEAST_DOCS
     # written tables: few leaves and templates are broadcast, so one that many lines share stays where its lines are
     lines = lines.join(reliable_checkpoint(_in_groups(lines, ["leaf"], least)), "leaf")
     variable = F.lit(int(_VARIABLE.view(np.int64)))
-    places = lines.select("h1", "h2", "line", "leaf", "name", F.posexplode("fields").alias("place", "value"))
-    constant = _in_groups(places.where(F.col("value") != variable), ["leaf", "place", "value"], least).withColumn("constant", F.lit(True))
-    found = places.join(constant, ["leaf", "place", "value"], "left").groupBy("h1", "h2", "line", "leaf", "name").agg(
-        F.sort_array(F.collect_list(F.struct("place", F.when(F.col("constant"), F.col("value")).alias("value")))).alias("template"))
-    n = F.size(F.filter("template", lambda f: f["value"].isNotNull()))
-    found = reliable_checkpoint(found.where(n * CONSTANT[1] >= F.size("template") * CONSTANT[0]))
-    gone = found.join(reliable_checkpoint(_in_groups(found, ["leaf", "template"], least)), ["leaf", "template"], "left_semi")
+    places = lines.select("h1", "h2", "line", "leaf", "name", F.size("fields").alias("n"), F.posexplode("fields").alias("place", "value"))
+    places = places.where(F.col("value") != variable)
+    constant = places.join(_in_groups(places, ["leaf", "place", "value"], least), ["leaf", "place", "value"], "left_semi")
+    # a template is told by two hashes over the constant fields and their places; sums of fixed size, unlike lists, merge before the shuffle
+    hashes = [F.bit_xor(F.xxhash64(*salt, "place", "value")).alias(t) for t, salt in (("t1", []), ("t2", [F.lit("second")]))]
+    found = constant.groupBy("h1", "h2", "line", "leaf", "name", "n").agg(F.count(F.lit(1)).alias("constants"), *hashes)
+    found = reliable_checkpoint(found.where(F.col("constants") * CONSTANT[1] >= F.col("n") * CONSTANT[0]).drop("n", "constants"))
+    gone = found.join(reliable_checkpoint(_in_groups(found, ["leaf", "t1", "t2"], least)), ["leaf", "t1", "t2"], "left_semi")
     return gone.groupBy("h1", "h2").agg(F.collect_list("line").alias("dropped"))
 
 
@@ -239,7 +240,8 @@ def drop_recurring_lines(docs: DataFrame, text: str = "text", least: int = LEAST
     )
     lines = F.split("_text", "\n", -1)
     left = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("dropped", i)), "\n")
-    n_lines = F.when(F.coalesce(F.length("_text"), F.lit(0)) > 0, F.size(lines)).otherwise(0).cast("long")
+    breaks = F.octet_length("_text") - F.octet_length(F.replace("_text", F.lit("\n"), F.lit("")))  # without a second split
+    n_lines = F.when(F.coalesce(F.length("_text"), F.lit(0)) > 0, breaks + 1).otherwise(0).cast("long")
     out = rows.join(found.select("h1", "h2", "dropped"), ["h1", "h2"], "left").select(
         "_row", F.when(F.col("dropped").isNull(), F.col("_text")).otherwise(left).alias("_kept"), n_lines.alias("n_lines"),
         F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"),

@@ -160,8 +160,8 @@ def split(texts, separators: bytes = SPACES, lower: bool = False, n_hashes: int
     return Words(data, starts, ends, bounds, hashes)
 
 
-#: Bytes or words whose prefix sums are taken at a time.
-STRETCH = 1 << 18
+#: Bytes or words whose prefix sums are taken at a time: few enough that they stay in a core's cache.
+STRETCH = 1 << 15
 
 
 def _stretches(starts: np.ndarray, ends: np.ndarray):
