@@ -3,6 +3,7 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from tests.conftest import SMALL
@@ -56,3 +57,13 @@ def test_empty_table_and_clashing_columns(spark):
     out = bpe.encode(docs, queries.tokenizer_path(), ["c0", "_text", "doc_id"], output="digest")
     assert tuple(out.first())[:4] == (2, "x", 1, 2)
     assert bpe.encode(docs.where("false"), queries.tokenizer_path(), ["doc_id"]).count() == 0
+
+
+def test_a_worker_keeps_no_encoder_after_its_task(spark, monkeypatch):
+    caught = []
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: caught.append(run) or self.selectExpr("1", "2", "3", "4"))
+    bpe.encode(docs, queries.tokenizer_path(), ["doc_id"])
+    batch = pa.record_batch([pa.array([1, 2]), pa.array(["a word", None])], names=["c0", "_text"])
+    assert [p.num_rows for p in caught[0](iter([batch]))] == [2]
+    assert not bpe._ENCODERS

@@ -3,8 +3,10 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.conftest import SMALL
@@ -119,3 +121,20 @@ def test_query_equals_plain_search(spark):
     want = {k: v for (k, _), v in zip(docs, brute(docs, bench))}
     got = {r.doc_id: tuple(r)[1:] for r in queries.QUERIES["op10_benchmark_decontamination"](spark, SMALL).collect()}
     assert got == want and any(v[4] for v in want.values())
+
+
+def test_indexes_are_built_from_small_slices(spark, monkeypatch):
+    caught, sizes, search = [], [], D._search
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: caught.append(run) or self.selectExpr(*["1"] * 9))
+    D.decontaminate(docs, spark.createDataFrame([(1, "w5 w5 w5")], "item_id long, text string"), ["doc_id"])
+    monkeypatch.setattr(D, "_search", lambda t, *a: sizes.append(sum(len(x) for x in t["_text"].to_pylist())) or search(t, *a))
+    texts = [" ".join(f"w{i * j % 997}" for j in range(250)) for i in range(3000)]
+    batch = pa.record_batch([pa.array(range(3000), pa.int64()), pa.array(texts), pa.array([b""] * 3000), pa.array([[]] * 3000, pa.list_(pa.string()))],
+                            names=["_k0", "_text", "_spans", "_items"])
+    tracemalloc.start()
+    parts = list(caught[0](iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert max(sizes) <= 2 << 20 and peak < 60 << 20
+    assert sum(p.num_rows for p in parts) == 3000

@@ -225,6 +225,12 @@ def encode(docs: DataFrame, tokenizer_path: str, keep: list[str], text: str = "t
 
     def run(batches):
         bpe = encoder(shared.value)
+        try:
+            yield from encoded(bpe, batches)
+        finally:  # workers are reused: an idle one would hold the encoder for other stages' whole time
+            _ENCODERS.clear()
+
+    def encoded(bpe, batches):
         for batch in batches:
             for part in W.chunks(batch, "_text", CHUNK):
                 got = bpe.encode_batch(part.column("_text"))
@@ -238,7 +244,5 @@ def encode(docs: DataFrame, tokenizer_path: str, keep: list[str], text: str = "t
                     a = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
                     b = pa.array([g[1].decode() for g in got], pa.string())
                 yield pa.record_batch([*[part.column(k) for k in kept], n, a, b], names=[*kept, *["_" + m.split(" ")[0] for m in more]])
-        bpe.words.clear()
-        bpe.fragments.clear()
 
     return rows.mapInArrow(W.lean(run), schema).toDF(*keep, *[m.split(" ")[0] for m in more])

@@ -35,7 +35,8 @@ from pyspark.sql import functions as F
 from turnscore.llm import words as W
 
 WINDOW = 10
-SHARD_BYTES = 6 << 20
+#: Text of a shard; a Python worker holds about thirty times as much while it builds the index.
+SHARD_BYTES = 2 << 20
 #: Words of one index at most.
 INDEX_WORDS = 1 << 20
 SAMPLE = 8
@@ -96,11 +97,15 @@ def suffix_order(symbols: np.ndarray) -> np.ndarray:
     depth = 3 if bits <= 21 else 1
     key = s.copy()
     if depth == 3:
-        padded = np.concatenate([s, np.zeros(2, np.int64)])
-        key = (padded[:n] << (2 * bits)) | (padded[1 : n + 1] << bits) | padded[2 : n + 2]
+        key <<= 2 * bits
+        key[:-1] |= s[1:] << bits
+        key[:-2] |= s[2:]
+    del s
     order = np.argsort(key)
     in_order = key[order]
+    del key
     first = np.flatnonzero(np.r_[True, in_order[1:] != in_order[:-1]])
+    del in_order
     rank = np.empty(n + 1, np.int64)
     rank[n] = -1
     sizes = np.diff(np.r_[first, n])
@@ -137,10 +142,14 @@ class FMIndex:
         is_word[separators] = False
         text[is_word] = word + d  # each separator is a symbol of its own, below all words
         text[separators] = np.arange(d)
+        del hashes, is_word
         sa = suffix_order(text)
         previous = text[sa - 1]
+        del text
         bwt = np.where((sa == 0) | (previous < d), 0, previous - d + 1)  # here all separators are 0
+        del previous
         self.tree = WaveletMatrix(bwt, len(self.vocabulary) + 1)
+        del bwt
         self.before = d + np.concatenate([[0], np.cumsum(np.bincount(word, minlength=len(self.vocabulary)))])
         inside = np.arange(n) - np.repeat(self.starts[:-1], lengths + 1)
         marked = (inside % sample == 0)[sa]
@@ -276,23 +285,26 @@ def _search(table: pa.Table, column: str, phrases: Phrases) -> pa.Table:
     w = W.split(table[column], W.NON_ALNUM, lower=True)
     _, offsets = W.utf8(table[column])
     _, first, same = np.unique(W.span_hash(w.data, offsets[:-1], offsets[1:], W.BASES[0]), return_index=True, return_inverse=True)
-    hit, pairs = find(w.hashes[0], w.bounds, first, phrases)
+    hashes, bounds = w.hashes[0], w.bounds
+    del w  # a worker's memory counts: nothing is held longer than it is needed
+    hit, pairs = find(hashes, bounds, first, phrases)
+    del hashes
     edge = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
-    inner = w.bounds[1:-1]
+    inner = bounds[1:-1]
     begin, end = edge[:-1] == 1, edge[1:] == -1
     inner = inner[(inner > 0) & (inner < len(hit))]
     if len(inner):
         begin[inner] = hit[inner]
         end[inner - 1] = hit[inner - 1]
     begin, end = np.flatnonzero(begin), np.flatnonzero(end) + 1
-    cut = np.searchsorted(begin, w.bounds)
+    cut = np.searchsorted(begin, bounds)
     by_row = np.searchsorted(pairs[:, 0], np.arange(table.num_rows + 1))
     spans, items = [], []
     old_spans, old_items = table["_spans"].to_pylist(), table["_items"].to_pylist()
     for r in range(table.num_rows):
         f = first[same[r]]
         a, b = cut[f], cut[f + 1]
-        own = (np.stack([begin[a:b], end[a:b]], axis=1) - w.bounds[f]).astype(np.int64)
+        own = (np.stack([begin[a:b], end[a:b]], axis=1) - bounds[f]).astype(np.int64)
         spans.append(old_spans[r] + own.tobytes())
         items.append(old_items[r] + [phrases.names[i] for i in pairs[by_row[f] : by_row[f + 1], 1]])
     at = table.schema.get_field_index
@@ -313,7 +325,7 @@ def _merged(packed: bytes) -> np.ndarray:
 
 
 def _finish(table: pa.Table, column: str, keep: list[str]) -> pa.RecordBatch:
-    w = W.split(table[column], W.NON_ALNUM, lower=True)
+    w = W.split(table[column], W.NON_ALNUM, lower=True, n_hashes=0)
     raw, offsets = W.utf8(table[column])
     n_words = np.diff(w.bounds)
     n_hit, n_items, digest, clean, spans_out, names_out = [], [], [], [], [], []
